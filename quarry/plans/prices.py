@@ -1 +1,185 @@
-"""placeholder"""
+"""BTC/ETH price analyses over the ``prices`` view: gaps, fill, statistics, outliers, charts."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from ..operators import charts, clean, dq, stats
+from ..sources.views import prices
+from .registry import query
+from .sqlgen import hist_sql, union_all
+
+P = ("prices",)
+COLS = ["event_id", "ts", "bitcoin", "ether"]
+SERIES = ["bitcoin", "ether"]
+
+# Parameters of the registered queries.
+SLICE = ("2024-01-05", "2024-01-12")
+DROP_DAYS = ["2024-01-07", "2024-01-21"]
+MASK_BELOW = 20.0
+ORDER = ["ts", "event_id"]
+
+
+def _r(c, n=6):
+    return F.round(c, n)
+
+
+def _drop_days_sql():
+    return ", ".join(f"DATE '{d}'" for d in DROP_DAYS)
+
+
+def _cleaned(spark, d):
+    p = prices(spark, d)
+    return clean.drop_keys(p, F.to_date("ts"), [dt.date.fromisoformat(x) for x in DROP_DAYS])
+
+
+@query("null_audit", covers="I6", views=P, sql=union_all(
+    f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS n_null FROM prices" for c in COLS))
+def null_audit(spark, d):
+    return dq.null_counts(prices(spark, d), COLS)
+
+
+@query("any_null", covers="I5 C7", views=P, sql=union_all(
+    f"SELECT '{c}' AS column_name, coalesce(bool_or({c} IS NULL), false) AS has_null FROM prices" for c in COLS))
+def any_null(spark, d):
+    return dq.any_null(prices(spark, d), COLS)
+
+
+@query("null_rows", covers="I7 C7", views=P, sql="SELECT * FROM prices WHERE ether IS NULL")
+def null_rows(spark, d):
+    return dq.null_rows(prices(spark, d), "ether")
+
+
+@query("date_slice", covers="P10 C7", views=P, sql=f"""
+SELECT * FROM prices WHERE ts >= TIMESTAMP '{SLICE[0]}' AND ts < TIMESTAMP '{SLICE[1]}' + INTERVAL 1 DAY""")
+def date_slice(spark, d):
+    return clean.date_slice(prices(spark, d), "ts", *SLICE)
+
+
+@query("drop_dates", covers="P12 X9", views=P,
+       sql=f"SELECT * FROM prices WHERE CAST(ts AS DATE) NOT IN ({_drop_days_sql()})")
+def drop_dates(spark, d):
+    return _cleaned(spark, d)
+
+
+@query("drop_mask", covers="P13", views=P, sql=f"SELECT * FROM prices WHERE NOT coalesce(ether < {MASK_BELOW}, false)")
+def drop_mask(spark, d):
+    return clean.drop_masked(prices(spark, d), F.col("ether") < MASK_BELOW)
+
+
+@query("bfill", covers="W3 C7", views=P, sql="""
+SELECT *, first_value(ether IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+          AS ether_filled FROM prices""")
+def bfill(spark, d):
+    return clean.backfill(prices(spark, d), "ether", ORDER, out="ether_filled")
+
+
+@query("central_tendency", covers="A10", views=P, sql=union_all(
+    f"SELECT '{c}' AS column_name, round(avg({c}), 6) AS mean, round(quantile_cont({c}, 0.5), 6) AS median FROM prices"
+    for c in SERIES))
+def central_tendency(spark, d):
+    out = stats.central_tendency(prices(spark, d), SERIES)
+    return out.select("column_name", _r(F.col("mean")).alias("mean"), _r(F.col("median")).alias("median"))
+
+
+_VARIANTS_SQL = f"""variants AS (
+  SELECT 'raw' AS variant, bitcoin, ether FROM prices
+  UNION ALL
+  SELECT 'cleaned' AS variant, bitcoin, ether FROM prices WHERE CAST(ts AS DATE) NOT IN ({_drop_days_sql()}))"""
+
+
+def _variants(spark, d):
+    raw = prices(spark, d).withColumn("variant", F.lit("raw"))
+    cleaned = _cleaned(spark, d).withColumn("variant", F.lit("cleaned"))
+    return raw.unionByName(cleaned)
+
+
+@query("dispersion", covers="A11 A12 C6", views=P, sql=f", {_VARIANTS_SQL}\n" + union_all(
+    f"SELECT variant, '{c}' AS column_name, round(max({c}) - min({c}), 6) AS value_range, "
+    f"round(var_samp({c}), 6) AS variance, round(stddev_samp({c}), 6) AS std FROM variants GROUP BY variant"
+    for c in SERIES))
+def dispersion(spark, d):
+    out = stats.dispersion(_variants(spark, d), SERIES, extra=["variant"])
+    return out.select("variant", "column_name", *[_r(F.col(c)).alias(c) for c in ("value_range", "variance", "std")])
+
+
+@query("quantiles", covers="A13", views=P, sql="""
+SELECT round(quantile_cont(bitcoin, 0.2), 6) AS q20, round(quantile_cont(bitcoin, 0.5), 6) AS q50 FROM prices""")
+def quantiles(spark, d):
+    q = stats.quantiles(prices(spark, d), "bitcoin", {"q20": 0.2, "q50": 0.5})
+    return q.select(_r(F.col("q20")).alias("q20"), _r(F.col("q50")).alias("q50"))
+
+
+@query("iqr", covers="A14 C6", views=P, sql=f""", {_VARIANTS_SQL}
+SELECT variant, round(quantile_cont(bitcoin, 0.25), 6) AS q25, round(quantile_cont(bitcoin, 0.75), 6) AS q75,
+       round(quantile_cont(bitcoin, 0.75) - quantile_cont(bitcoin, 0.25), 6) AS iqr
+FROM variants GROUP BY variant""")
+def iqr(spark, d):
+    q = stats.iqr(_variants(spark, d), "bitcoin", ["variant"])
+    return q.select("variant", *[_r(F.col(c)).alias(c) for c in ("q25", "q75", "iqr")])
+
+
+_Z_SQL = "avg(bitcoin) {op} 2 * stddev_samp(bitcoin)"
+_IQR_SQL = "avg(bitcoin) {op} 2 * (quantile_cont(bitcoin, 0.75) - quantile_cont(bitcoin, 0.25))"
+
+
+@query("zscore_limits", covers="C3 X11 G7", views=P, sql=f"""
+SELECT round({_Z_SQL.format(op='-')}, 6) AS lower_limit, round({_Z_SQL.format(op='+')}, 6) AS upper_limit FROM prices""")
+def zscore_limits(spark, d):
+    lim = stats.zscore_limits(prices(spark, d), "bitcoin")
+    return lim.select(*[_r(F.col(c)).alias(c) for c in ("lower_limit", "upper_limit")])
+
+
+@query("iqr_limits", covers="C4 X11 G7", views=P, sql=f"""
+SELECT round({_IQR_SQL.format(op='-')}, 6) AS lower_limit, round({_IQR_SQL.format(op='+')}, 6) AS upper_limit
+FROM prices""")
+def iqr_limits(spark, d):
+    lim = stats.mean_iqr_limits(prices(spark, d), "bitcoin")
+    return lim.select(*[_r(F.col(c)).alias(c) for c in ("lower_limit", "upper_limit")])
+
+
+@query("format_limits", covers="X12", views=P, sql=f"""
+SELECT printf('Upper Limit: %.4f', {_Z_SQL.format(op='+')}) AS upper_text,
+       printf('Lower Limit: %.4f', {_Z_SQL.format(op='-')}) AS lower_text FROM prices""")
+def format_limits(spark, d):
+    return stats.format_limits(stats.zscore_limits(prices(spark, d), "bitcoin"))
+
+
+@query("outliers_lt", covers="C5 P11", views=P, sql=f"""
+SELECT * FROM prices WHERE bitcoin < (SELECT {_Z_SQL.format(op='+')} FROM prices)""")
+def outliers_lt(spark, d):
+    p = prices(spark, d)
+    return clean.keep_below(p, "bitcoin", stats.limit(stats.zscore_limits(p, "bitcoin"), "upper_limit"))
+
+
+@query("outliers_drop_gt", covers="C5 P13", views=P, sql=f"""
+SELECT * FROM prices WHERE NOT coalesce(bitcoin > (SELECT {_Z_SQL.format(op='+')} FROM prices), false)""")
+def outliers_drop_gt(spark, d):
+    p = prices(spark, d)
+    return clean.drop_above(p, "bitcoin", stats.limit(stats.zscore_limits(p, "bitcoin"), "upper_limit"))
+
+
+@query("series_buckets", covers="G1", views=P, sql="""
+SELECT date_trunc('day', ts) AS bucket_start, count(bitcoin) AS n, min(bitcoin) AS min, max(bitcoin) AS max,
+       round(avg(bitcoin), 6) AS mean FROM prices GROUP BY 1""")
+def series_buckets(spark, d):
+    out = charts.series_buckets(prices(spark, d), "ts", "bitcoin", "1 day")
+    return out.withColumn("mean", _r(F.col("mean")))
+
+
+@query("hist_150", covers="G2", views=P, sql=hist_sql("prices", "bitcoin", 150))
+def hist_150(spark, d):
+    return charts.histogram(prices(spark, d), "bitcoin", 150)
+
+
+@query("density_hist", covers="G3", views=P, sql=hist_sql("prices", "bitcoin", 50, density=True))
+def density_hist(spark, d):
+    h = charts.histogram(prices(spark, d), "bitcoin", 50, density=True)
+    return h.withColumn("density", F.round("density", 12))
+
+
+@query("ecdf_50", covers="G6", views=P, sql=hist_sql("prices", "bitcoin", 50, cumulative=True))
+def ecdf_50(spark, d):
+    return charts.ecdf(prices(spark, d), "bitcoin", 50)

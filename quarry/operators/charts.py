@@ -1,15 +1,18 @@
 """The numbers behind the reference's charts (G1–G14), as small DataFrames.
 
 A chart of a huge column is drawn from a bounded summary: bins, grid points or buckets.
-Range statistics (min, max, std, n) come from one partial/final aggregate and enter the
-per-row expressions as a scalar subquery (computed once, no cross join). Per-bin and
-per-grid tables have ``k`` or ``gridsize`` rows, so windows over them are bounded.
+Range statistics (min, max, n, std) of all columns a chart needs come from ONE partial/
+final aggregate whose single row is read back as parameters (a bounded, one-row
+result); the per-row bin and kernel expressions then use plain literals, which keeps them
+inside whole-stage codegen. Per-bin and per-grid tables have ``k`` or ``gridsize`` rows,
+so windows over them are bounded.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,31 +21,44 @@ from .rank import exact_quantiles
 from .stats import long_values
 
 
-def range_stats(df: DataFrame, col: str) -> Column:
-    """struct(lo, hi, n, std) of a column as one scalar subquery."""
-    x = F.col(col).cast("double")
-    return df.select(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count(x).alias("n"),
-                              F.stddev_samp(x).alias("std"))).scalar()
+class Range(NamedTuple):
+    lo: float | None
+    hi: float | None
+    n: int
+    std: float | None
+
+
+def range_params(df: DataFrame, cols: Sequence[str]) -> dict[str, Range]:
+    """min, max, non-null count and sample std of each column, from one aggregate job."""
+    aggs = []
+    for i, c in enumerate(cols):
+        x = F.col(c).cast("double")
+        aggs += [F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.count(x).alias(f"n{i}"),
+                 F.stddev_samp(x).alias(f"sd{i}")]
+    row = df.agg(*aggs).first()
+    return {c: Range(row[f"lo{i}"], row[f"hi{i}"], row[f"n{i}"], row[f"sd{i}"]) for i, c in enumerate(cols)}
 
 
-def _edges(lo: Column, hi: Column):
+def _edges(lo: float, hi: float) -> tuple[float, float]:
     # numpy: a constant column gets the range (v − 0.5, v + 0.5)
-    same = lo == hi
-    return F.when(same, lo - 0.5).otherwise(lo), F.when(same, hi + 0.5).otherwise(hi)
+    return (lo - 0.5, hi + 0.5) if lo == hi else (lo, hi)
 
 
-def equal_width_bin(x: Column, lo: Column, hi: Column, k: int) -> Column:
+def equal_width_bin(x: Column, lo: float | None, hi: float | None, k: int) -> Column:
     """Bin index in [0, k) of k equal-width bins over [lo, hi]; the last bin is closed.
 
     The index is corrected against the edges lo + i·width, so a value lying on an edge
-    goes to the bin that edge opens (numpy's rule).
+    goes to the bin that edge opens (numpy's rule). NULL when the column has no values.
     """
+    if lo is None:
+        return F.lit(None).cast("int")
     lo_e, hi_e = _edges(lo, hi)
-    width = (hi_e - lo_e) / k
-    raw = F.floor((x - lo_e) * (F.lit(float(k)) / (hi_e - lo_e)))
+    L, H = F.lit(lo_e), F.lit(hi_e)
+    width = (H - L) / k
+    raw = F.floor((x - L) * (F.lit(float(k)) / (H - L)))
     b0 = F.least(F.greatest(raw, F.lit(0)), F.lit(k - 1))
-    down = x < lo_e + b0 * width
-    up = (x >= lo_e + (b0 + 1) * width) & (b0 != k - 1)
+    down = x < L + b0 * width
+    up = (x >= L + (b0 + 1) * width) & (b0 != k - 1)
     return F.when(down, b0 - 1).when(up, b0 + 1).otherwise(b0).cast("int")
 
 
@@ -51,20 +67,21 @@ def histogram(df: DataFrame, col: str, k: int, density: bool = False) -> DataFra
 
     Empty bins are kept by a right join onto the spine 0..k−1 (k rows).
     """
-    st = range_stats(df, col)
+    st = range_params(df, [col])[col]
     x = F.col(col).cast("double")
     counts = (df.where(x.isNotNull())
                 .groupBy(equal_width_bin(x, st.lo, st.hi, k).alias("bin"))
                 .agg(F.count(F.lit(1)).alias("n")))
     spine = df.sparkSession.range(k).select(F.col("id").cast("int").alias("bin"))
-    lo_e, hi_e = _edges(st.lo, st.hi)
-    width = (hi_e - lo_e) / k
-    out = (spine.join(F.broadcast(counts), "bin", "left")
-                .select("bin", (lo_e + F.col("bin") * width).alias("lo"),
-                        (lo_e + (F.col("bin") + 1) * width).alias("hi"),
+    lo_e, hi_e = _edges(st.lo, st.hi) if st.lo is not None else (None, None)
+    L, H = F.lit(lo_e).cast("double"), F.lit(hi_e).cast("double")
+    width = (H - L) / k
+    out = (spine.join(F.broadcast(counts), "bin", "left")      # counts has at most k rows
+                .select("bin", (L + F.col("bin") * width).alias("lo"),
+                        (L + (F.col("bin") + 1) * width).alias("hi"),
                         F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
     if density:
-        out = out.withColumn("density", F.col("n") / (st.n * width))
+        out = out.withColumn("density", F.col("n") / (F.lit(st.n) * width))
     return out
 
 
@@ -89,10 +106,11 @@ def kde(df: DataFrame, col: str, gridsize: int = 200, cut: float = 0.0, bw_adjus
     [min − cut·bw, max + cut·bw] in ``gridsize`` points. The data is first reduced to
     (distinct value, count), so the work is distinct values × grid points, exact.
     """
-    st = range_stats(df, col)
-    bw = st["std"] * F.pow(st.n.cast("double"), F.lit(-0.2)) * F.lit(bw_adjust)
-    lo = st.lo - F.lit(cut) * bw
-    hi = st.hi + F.lit(cut) * bw
+    st = range_params(df, [col])[col]
+    sd = F.lit(st.std).cast("double")
+    bw = sd * F.pow(F.lit(float(st.n)), F.lit(-0.2)) * F.lit(bw_adjust)
+    lo = F.lit(st.lo).cast("double") - F.lit(cut) * bw
+    hi = F.lit(st.hi).cast("double") + F.lit(cut) * bw
     step = (hi - lo) / F.lit(gridsize - 1)
     x = F.col(col).cast("double")
     values = df.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("c"))
@@ -101,7 +119,7 @@ def kde(df: DataFrame, col: str, gridsize: int = 200, cut: float = 0.0, bw_adjus
     u = (gx - F.col("v")) / bw
     dens = pts.groupBy("grid_index").agg(F.sum(F.col("c") * F.exp(F.lit(-0.5) * u * u)).alias("_s"))
     return dens.select("grid_index", gx.alias("x"),
-                       (F.col("_s") / (st.n * bw * F.lit(math.sqrt(2 * math.pi)))).alias("density"))
+                       (F.col("_s") / (F.lit(st.n) * bw * F.lit(math.sqrt(2 * math.pi)))).alias("density"))
 
 
 def joint_bins(df: DataFrame, x: str, y: str, k: int = 10, hue: str | None = None) -> DataFrame:
@@ -111,7 +129,8 @@ def joint_bins(df: DataFrame, x: str, y: str, k: int = 10, hue: str | None = Non
     """
     keep = [c for c in (hue, x, y) if c]
     pairs = df.select(*keep).where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    sx, sy = range_stats(pairs, x), range_stats(pairs, y)
+    p = range_params(pairs, [x, y])
+    sx, sy = p[x], p[y]
     bx = equal_width_bin(F.col(x).cast("double"), sx.lo, sx.hi, k).alias("bin_x")
     by = equal_width_bin(F.col(y).cast("double"), sy.lo, sy.hi, k).alias("bin_y")
     keys = ([F.col(hue)] if hue else []) + [bx, by]
@@ -126,9 +145,9 @@ def pair_grid(df: DataFrame, cols: Sequence[str], hue: str, k: int = 10) -> Data
     len(cols)² expansion), aggregated with partial aggregation.
     """
     cols = list(cols)
+    p = range_params(df, cols)
     binned = df.select(F.col(hue).alias("hue"), *[
-        equal_width_bin(F.col(c).cast("double"), range_stats(df, c).lo, range_stats(df, c).hi, k).alias(c)
-        for c in cols])
+        equal_width_bin(F.col(c).cast("double"), p[c].lo, p[c].hi, k).alias(c) for c in cols])
     entries = F.array(*[F.struct(F.lit(a).alias("var_x"), F.lit(b).alias("var_y"),
                                  F.col(a).alias("bin_x"), F.col(b).alias("bin_y"))
                         for a in cols for b in cols])

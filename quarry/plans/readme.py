@@ -1 +1,75 @@
-"""placeholder"""
+"""Jobs the reference's README declares without source: rates, Box-Cox, bootstrap, models, I/O."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType, TimestampNTZType
+
+from ..operators import dashboards, models, stats
+from ..session import scratch_path
+from ..sources import csv
+from ..sources.tables import read_table
+from ..sources.views import coasters, prices
+from .registry import query
+from .sqlgen import union_all
+
+RATE_DIMS = ["lang", "source"]
+MODEL_FEATURES = ["height_ft", "inversions", "gforce", "year_introduced"]
+
+
+@query("rate_by_attribute", covers="R2", sql="""
+WITH j AS (SELECT d.lang, d.source, l.toxic FROM labels l JOIN documents d ON l.doc_id = d.doc_id)
+""" + union_all(f"SELECT '{c}' AS dimension, CAST({c} AS VARCHAR) AS dim_value, round(avg(CAST(toxic AS DOUBLE)), 9) "
+                f"AS rate, count(*) AS n FROM j GROUP BY {c}" for c in RATE_DIMS))
+def rate_by_attribute(spark, d):
+    labels = read_table(spark, d, "labels").select("doc_id", "toxic")
+    docs = read_table(spark, d, "documents").select("doc_id", "lang", "source")   # text is never read
+    out = dashboards.rate_by_attributes(labels.join(docs, "doc_id"), "toxic", RATE_DIMS)
+    return out.withColumn("rate", F.round("rate", 9))
+
+
+_LAMBDAS = stats.boxcox_grid()
+
+
+@query("boxcox_lambda", covers="R6", sql=f"""
+WITH x AS (SELECT value FROM events WHERE value > 0),
+s AS (SELECT count(value) AS n, sum(ln(value)) AS sl FROM x),
+g AS (SELECT CAST(round(-2 + range * 0.1, 10) AS DOUBLE) AS "lambda" FROM range({len(_LAMBDAS)}))
+SELECT "lambda", round(-n / 2 * ln(var_pop(CASE WHEN "lambda" = 0 THEN ln(value)
+                                               ELSE (pow(value, "lambda") - 1) / "lambda" END))
+                       + ("lambda" - 1) * sl, 4) AS llf
+FROM g, x, s GROUP BY "lambda", n, sl""")
+def boxcox_lambda(spark, d):
+    ev = read_table(spark, d, "events").select("value")
+    return stats.boxcox_profile(ev, "value", _LAMBDAS).withColumn("llf", F.round("llf", 4))
+
+
+PRICE_SCHEMA = StructType([
+    StructField("event_id", LongType()),
+    StructField("ts", TimestampNTZType()),
+    StructField("bitcoin", DoubleType()),
+    StructField("ether", DoubleType()),
+])
+
+
+@query("csv_roundtrip", covers="S1 S2 X9 X10", views=("prices",), sql="SELECT event_id, ts, bitcoin, ether FROM prices")
+def csv_roundtrip(spark, d):
+    path = scratch_path(spark, "prices-csv")
+    csv.write_csv(prices(spark, d), path)
+    return csv.read_series_csv(spark, path, PRICE_SCHEMA, "ts")
+
+
+@query("bootstrap_ci", covers="R5")
+def bootstrap_ci(spark, d):
+    ev = read_table(spark, d, "events").select("event_id", "value")
+    return models.bootstrap_ci(ev, "value", "event_id", replicates=100)
+
+
+@query("model_comparison", covers="R4")
+def model_comparison(spark, d):
+    return models.model_comparison(coasters(spark, d), "speed_mph", MODEL_FEATURES)
+
+
+@query("gamma_glm", covers="R7")
+def gamma_glm(spark, d):
+    return models.gamma_glm(coasters(spark, d), "speed_mph", MODEL_FEATURES, "row_id")

@@ -70,9 +70,13 @@ def backfill(df: DataFrame, value: str, order: Sequence[str], out: str | None =
     out = out or value
     b = ordered_buckets(df, order, num_buckets)
     v = F.col(value)
-    # 1) inside each range (ranges are balanced, one window partition each)
-    w_in = Window.partitionBy(BUCKET).orderBy(POS).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    filled = b.withColumn("_fill", F.first(v, ignorenulls=True).over(w_in))
+    # 1) inside each range (ranges are balanced, one window partition each). The next valid
+    #    value is the last valid one seen scanning the range backwards: a growing frame,
+    #    evaluated incrementally (a CURRENT ROW..UNBOUNDED FOLLOWING frame is re-evaluated
+    #    for every row, quadratic in the range size).
+    w_in = Window.partitionBy(BUCKET).orderBy(F.col(POS).desc()) \
+                 .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = b.withColumn("_fill", F.last(v, ignorenulls=True).over(w_in))
     # 2) per range: its first valid value; then for each range the first valid value of
     #    any later range. One row per range, so the un-partitioned window is bounded.
     first_valid = F.min(F.when(v.isNotNull(), F.struct(F.col(POS).alias("p"), v.alias("v"))))

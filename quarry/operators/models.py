@@ -47,8 +47,9 @@ def bootstrap_ci(df: DataFrame, value: str, key: str, replicates: int = 100, see
     One row: (statistic, estimate, ci_low, ci_high, replicates). The interval is taken
     over the ``replicates`` replicate means (a table with one row per replicate).
     """
+    from ..session import spread_if_narrow
     base = df.select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    reps = base.select("_k", "_v", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_b"))
+    reps = spread_if_narrow(base).select("_k", "_v", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_b"))
     w = poisson1_weight(hash_uniform(F.col("_k"), F.col("_b"), seed=seed))
     per_rep = (reps.select("_b", "_v", w.alias("_w"))
                    .groupBy("_b").agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("_m")))

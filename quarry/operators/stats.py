@@ -124,19 +124,21 @@ def boxcox_profile(df: DataFrame, col: str, lambdas: Sequence[float] | None = No
 
     llf(λ) = −n/2 · ln(σ²_λ) + (λ − 1) · Σ ln x, σ²_λ the population variance of the
     transformed values (normal MLE). Rows with x ≤ 0 or NULL are excluded.
-    Returns (lambda, llf) per λ.
+    Each value is expanded once per λ and aggregated by λ (partial aggregation: one
+    buffer per λ per task). Returns (lambda, llf) per λ.
     """
+    from ..session import spread_if_narrow
     lambdas = list(lambdas or boxcox_grid())
     x = F.col(col).cast("double")
-    pos = df.where(x > 0)
-    aggs = [F.count(x).alias("n"), F.sum(F.log(x)).alias("sum_log")]
-    aggs += [F.var_pop(boxcox_transform(x, lam)).alias(f"v{i}") for i, lam in enumerate(lambdas)]
-    row = pos.agg(*aggs)
-    entries = F.array(*[F.struct(F.lit(lam).alias("lambda"), F.col(f"v{i}").alias("var"))
-                        for i, lam in enumerate(lambdas)])
-    return row.select("n", "sum_log", F.explode(entries).alias("e")).select(
-        F.col("e.lambda").alias("lambda"),
-        (-F.col("n") / 2 * F.log(F.col("e.var")) + (F.col("e.lambda") - 1) * F.col("sum_log")).alias("llf"))
+    pos = spread_if_narrow(df.select(x.alias("_x")).where(F.col("_x") > 0))
+    lam = F.col("_lam")
+    y = F.when(lam == 0, F.log("_x")).otherwise((F.pow(F.col("_x"), lam) - 1) / lam)
+    grid = F.explode(F.array(*[F.lit(float(v)) for v in lambdas]))
+    per = (pos.select("_x", grid.alias("_lam"))
+              .groupBy("_lam").agg(F.var_pop(y).alias("_var"), F.count("_x").alias("_n"),
+                                   F.sum(F.log("_x")).alias("_sl")))
+    return per.select(lam.alias("lambda"),
+                      (-F.col("_n") / 2 * F.log("_var") + (lam - 1) * F.col("_sl")).alias("llf"))
 
 
 SQRT_2PI = math.sqrt(2 * math.pi)

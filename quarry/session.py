@@ -22,6 +22,7 @@ BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -80,3 +81,15 @@ def default_partitions(spark: SparkSession) -> int:
 
 def env_int(name: str, default: int) -> int:
     return int(os.environ.get(name, default))
+
+
+def spread_if_narrow(df):
+    """Round-robin ``df`` over the cluster's parallelism when it has fewer partitions.
+
+    For CPU-heavy per-row work (grid expansions, resampling) over a narrow projection: a
+    large input already has one scan task per file split and is returned unchanged; a
+    small single-file input would otherwise run the heavy part in one task.
+    """
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

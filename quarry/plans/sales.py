@@ -178,11 +178,10 @@ SELECT ordernumber, max(orderdate) AS order_date, (SELECT max(orderdate) FROM sa
          AS days_before_max
 FROM sales GROUP BY ordernumber""")
 def scalar_subquery_max_date(spark, d):
-    s = sales(spark, d)
-    last = s.select(F.max("orderdate")).scalar()
-    return (s.groupBy("ordernumber").agg(F.max("orderdate").alias("order_date"))
-             .select("ordernumber", "order_date", last.alias("max_order_date"),
-                     day_diff(F.col("order_date"), last).alias("days_before_max")))
+    per_order = sales(spark, d).groupBy("ordernumber").agg(F.max("orderdate").alias("order_date"))
+    last = per_order.select(F.max("order_date")).scalar()      # max of maxima: reuses the aggregate
+    return per_order.select("ordernumber", "order_date", last.alias("max_order_date"),
+                            day_diff(F.col("order_date"), last).alias("days_before_max"))
 
 
 @query("semi_two_line_orders", covers="J5 P17 A8", views=S, sql=f"""
@@ -228,3 +227,14 @@ def dashboard_sales(spark, d):
     from ..operators.dashboards import totals_by_dimensions
     return totals_by_dimensions(sales(spark, d), _DASH_DIMS,
                                 {"total_sales": ("sales", "double"), "total_qty": ("qty", None)})
+
+
+@query("lines_per_order", covers="A8 P5", views=S, sql="""
+SELECT ordernumber, count(*) AS n_lines FROM sales WHERE status = 'F' GROUP BY ordernumber""")
+def lines_per_order(spark, d):
+    return explore.lines_per_key(sales(spark, d), "ordernumber", F.col("status") == basket_status())
+
+
+def basket_status():
+    from ..sources.views import SHIPPED
+    return SHIPPED

@@ -1,0 +1 @@
+"""quarry: the reference's analyses as distributed Spark DataFrame jobs."""

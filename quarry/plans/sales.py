@@ -8,7 +8,7 @@ from ..functions.scalar import day_diff, text_eq_number
 from ..operators import basket, explore, rfm
 from ..operators.rank import ntile
 from ..sources import catalog
-from ..sources.views import sales
+from ..sources.views import SHIPPED, sales
 from .registry import query
 
 # Parameters of the registered queries (the reference hard-codes its year/month the same way).
@@ -232,9 +232,4 @@ def dashboard_sales(spark, d):
 @query("lines_per_order", covers="A8 P5", views=S, sql="""
 SELECT ordernumber, count(*) AS n_lines FROM sales WHERE status = 'F' GROUP BY ordernumber""")
 def lines_per_order(spark, d):
-    return explore.lines_per_key(sales(spark, d), "ordernumber", F.col("status") == basket_status())
-
-
-def basket_status():
-    from ..sources.views import SHIPPED
-    return SHIPPED
+    return explore.lines_per_key(sales(spark, d), "ordernumber", F.col("status") == SHIPPED)

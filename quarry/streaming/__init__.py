@@ -1,0 +1,3 @@
+"""No streaming operators: the reference has no streams, windows over event time, state or
+late data (SURVEY §2.13). Every analysis here is a batch DataFrame function, so a caller
+can apply one to each micro-batch of a Structured Streaming query via ``foreachBatch``."""

@@ -16,6 +16,10 @@ risk), so the global operators here run as:
    gives each bucket's offset; it is broadcast back, and rank = offset + position + 1.
 
 Exact whatever bounds the sampling picks; only the balance depends on them.
+
+A caller that already knows its input is small (a counted, materialised table with at
+most ``SINGLE_TASK_MAX_ROWS`` rows) may take the built-in window instead: a bounded
+single-task sort, the same reasoning as a broadcast below a checked size.
 """
 
 from __future__ import annotations
@@ -35,6 +39,11 @@ TOTAL = "_total"
 # Partition index lives in the upper 31 bits of monotonically_increasing_id.
 _ID_SHIFT = 33
 
+# Size check for the built-in window: an input whose row count is known to be at most
+# this is ordered by one task (like a broadcast below its threshold); anything larger,
+# or of unknown size, takes the distributed range path.
+SINGLE_TASK_MAX_ROWS = 1_000_000
+
 
 def _cols(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
@@ -96,8 +105,14 @@ def ntile_from_rank(rn: Column, total: Column, k: int) -> Column:
 
 
 def ntile(df: DataFrame, k: int, order: Sequence[str | Column], name: str = "ntile",
-          num_buckets: int | None = None) -> DataFrame:
-    """Add ``ntile(k) over (order by <order>)`` as column ``name`` (distributed)."""
+          num_buckets: int | None = None, known_rows: int | None = None) -> DataFrame:
+    """Add ``ntile(k) over (order by <order>)`` as column ``name``.
+
+    Distributed unless the caller knows the input has at most ``SINGLE_TASK_MAX_ROWS``
+    rows (``known_rows``), in which case the built-in window's single sort is bounded.
+    """
+    if known_rows is not None and known_rows <= SINGLE_TASK_MAX_ROWS:
+        return df.withColumn(name, F.ntile(k).over(Window.orderBy(*_cols(order))))
     ranked = global_row_number(df, order, name="_rn", num_buckets=num_buckets, keep_total=True)
     return ranked.withColumn(name, ntile_from_rank(F.col("_rn"), F.col(TOTAL), k)).drop("_rn", TOTAL)
 

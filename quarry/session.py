@@ -23,6 +23,8 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # reliable checkpoints of the rank operators are removed once nothing references them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -79,6 +81,24 @@ def default_partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20, max_split_bytes: int = 512 << 20) -> dict:
+    """Partition sizing for a cluster run over ``input_bytes`` of (compressed) input.
+
+    Shuffles start with about one partition per ``target_partition_bytes`` of input (at
+    least 200) and AQE coalesces them towards the same advisory size at run time; scans
+    split files at ``max_split_bytes``. For 100 TB that is ~400k initial shuffle
+    partitions, coalesced per stage to what the stage's data needs.
+    """
+    initial = max(200, input_bytes // target_partition_bytes)
+    return {
+        "spark.sql.shuffle.partitions": str(initial),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(initial),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(max_split_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+    }
+
+
 def env_int(name: str, default: int) -> int:
     return int(os.environ.get(name, default))
 

@@ -183,3 +183,13 @@ def test_poisson_bootstrap_interval_brackets_mean(spark):
     assert r["ci_low"] < r["estimate"] < r["ci_high"] and r["replicates"] == 50
     again = bootstrap_ci(ev, "value", "event_id", replicates=50).first()
     assert (again["ci_low"], again["ci_high"]) == (r["ci_low"], r["ci_high"])      # deterministic weights
+
+
+def test_rfm_distributed_and_bounded_paths_agree(spark):
+    from quarry.sources.views import sales
+    base = rfm.rfm_base(sales(spark, "/root/testdata/sf0.001"))
+    a = rfm.rfm_scores(base).select("customername", "rfm_cell_string")
+    b = rfm.rfm_scores(base, distributed=True, num_buckets=5).select("customername", F.col("rfm_cell_string").alias("b"))
+    j = a.join(b, "customername")
+    assert j.count() == a.count() == 150
+    assert j.where(F.col("rfm_cell_string") != F.col("b")).count() == 0

@@ -99,18 +99,22 @@ def rug(df: DataFrame, col: str) -> DataFrame:
     return df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def kde(df: DataFrame, col: str, gridsize: int = 200, cut: float = 0.0, bw_adjust: float = 1.0) -> DataFrame:
-    """Gaussian kernel density on a grid (``kdeplot``): (grid_index, x, density).
-
-    Bandwidth = sample std · n^(−1/5) · bw_adjust (Scott's rule); the grid spans
-    [min − cut·bw, max + cut·bw] in ``gridsize`` points. The data is first reduced to
-    (distinct value, count), so the work is distinct values × grid points, exact.
+def kde(df: DataFrame, col: str, gridsize: int = 200, cut: float = 0.0, bw_adjust: float = 1.0,
+        pad_range: float = 0.0) -> DataFrame:
+    """Gaussian kernel density on a grid: (grid_index, x, density).
+
+    Bandwidth = sample std · n^(−1/5) · bw_adjust (Scott's rule). The grid spans
+    [min − cut·bw − pad·range, max + cut·bw + pad·range] in ``gridsize`` points:
+    seaborn's ``kdeplot(cut=0)`` is gridsize=200, cut=0; pandas' ``plot(kind='kde')`` is
+    gridsize=1000, pad_range=0.5. The data is first reduced to (distinct value, count),
+    so the work is distinct values × grid points, and exact.
     """
     st = range_params(df, [col])[col]
     sd = F.lit(st.std).cast("double")
     bw = sd * F.pow(F.lit(float(st.n)), F.lit(-0.2)) * F.lit(bw_adjust)
-    lo = F.lit(st.lo).cast("double") - F.lit(cut) * bw
-    hi = F.lit(st.hi).cast("double") + F.lit(cut) * bw
+    mn, mx = F.lit(st.lo).cast("double"), F.lit(st.hi).cast("double")
+    lo = mn - F.lit(cut) * bw - F.lit(pad_range) * (mx - mn)
+    hi = mx + F.lit(cut) * bw + F.lit(pad_range) * (mx - mn)
     step = (hi - lo) / F.lit(gridsize - 1)
     x = F.col(col).cast("double")
     values = df.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("c"))

@@ -24,12 +24,13 @@ def long_values(df: DataFrame, cols: Sequence[str], extra: Sequence[str] = ()) -
               .unpivot(list(extra), list(cols), "column_name", "value"))
 
 
-def central_tendency(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``df.mean()``, ``df.median()`` per column: (column_name, mean, median)."""
-    long = long_values(df, cols)
-    means = long.groupBy("column_name").agg(F.avg("value").alias("mean"))
-    med = exact_quantiles(long, "value", {"median": 0.5}, ["column_name"])
-    return means.join(med, "column_name", "left")
+def central_tendency(df: DataFrame, cols: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+    """``df.mean()``, ``df.median()`` per column (and per ``extra`` group): (…, column_name, mean, median)."""
+    keys = [*extra, "column_name"]
+    long = long_values(df, cols, extra)
+    means = long.groupBy(*keys).agg(F.avg("value").alias("mean"))
+    med = exact_quantiles(long, "value", {"median": 0.5}, keys)
+    return means.join(med, keys, "left")
 
 
 def dispersion(df: DataFrame, cols: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:

@@ -14,7 +14,7 @@ ALL_BUT_KEY = ["coaster_name", "location", "type_main", "year_introduced", "open
                "height_ft", "inversions", "gforce"]
 DEDUP_SUBSET = ["coaster_name", "location", "opening_date"]
 NUMERIC = ["year_introduced", "speed_mph", "height_ft", "inversions", "gforce"]
-CORR_VARS = ["speed_mph", "height_ft", "inversions", "gforce", "year_introduced"]
+CORR_VARS = ["year_introduced", "speed_mph", "height_ft", "inversions", "gforce"]
 BOX_VARS = ["speed_mph", "height_ft"]
 # The reference's column renames, mapped onto the stand-in column names.
 RENAMES = {
@@ -34,6 +34,16 @@ def _r(c, n=6):
     return F.round(c, n)
 
 
+def _deduped(spark, d):
+    """The coasters after the notebook's dedup step; every feature analysis reads these."""
+    return dq.drop_duplicates_keep_first(coasters(spark, d), "row_id", DEDUP_SUBSET)
+
+
+_DEDUP_SQL = f""", cd AS (SELECT * FROM coasters WHERE row_id IN (SELECT min(row_id) FROM coasters
+                                                   GROUP BY {', '.join(DEDUP_SUBSET)}))
+"""
+
+
 @query("dup_all", covers="I10 W4", views=C, sql=f"""
 SELECT * FROM coasters WHERE row_id NOT IN (SELECT min(row_id) FROM coasters GROUP BY {', '.join(ALL_BUT_KEY)})""")
 def dup_all(spark, d):
@@ -70,13 +80,13 @@ def coaster_clean(spark, d):
     return clean_coasters(coasters(spark, d), RENAMES)
 
 
-@query("describe_numeric", covers="I4", views=C, sql=union_all(
+@query("describe_numeric", covers="I4", views=C, sql=_DEDUP_SQL + union_all(
     f"SELECT '{c}' AS column_name, count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, "
     f"CAST(min({c}) AS DOUBLE) AS min, round(quantile_cont({c}, 0.25), 6) AS p25, "
     f"round(quantile_cont({c}, 0.5), 6) AS p50, round(quantile_cont({c}, 0.75), 6) AS p75, "
-    f"CAST(max({c}) AS DOUBLE) AS max FROM coasters" for c in NUMERIC))
+    f"CAST(max({c}) AS DOUBLE) AS max FROM cd" for c in NUMERIC))
 def describe_numeric(spark, d):
-    out = dq.describe_numeric_stats(coasters(spark, d), NUMERIC)
+    out = dq.describe_numeric_stats(_deduped(spark, d), NUMERIC)
     return out.select("column_name", "count", *[_r(F.col(c)).alias(c) for c in ("mean", "std")], "min",
                       *[_r(F.col(c)).alias(c) for c in ("p25", "p50", "p75")], "max")
 
@@ -84,83 +94,73 @@ def describe_numeric(spark, d):
 _COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in CORR_VARS)
 
 
-@query("corr_matrix", covers="A18 P19 G14", views=C, sql=f""", cc AS (SELECT * FROM coasters WHERE {_COMPLETE})
+@query("corr_matrix", covers="A18 P19 G14", views=C, sql=_DEDUP_SQL + f""", cc AS (SELECT * FROM cd WHERE {_COMPLETE})
 """ + union_all(f"SELECT '{a}' AS var_a, '{b}' AS var_b, round(corr({a}, {b}), 9) AS corr FROM cc"
                 for a in CORR_VARS for b in CORR_VARS))
 def corr_matrix(spark, d):
-    return stats.corr_matrix(coasters(spark, d), CORR_VARS).withColumn("corr", _r(F.col("corr"), 9))
+    return stats.corr_matrix(_deduped(spark, d), CORR_VARS).withColumn("corr", _r(F.col("corr"), 9))
 
 
-@query("ols_fit", covers="G9", views=C, sql="""
-SELECT round(regr_slope(speed_mph, height_ft), 9) AS slope, round(regr_intercept(speed_mph, height_ft), 9) AS intercept,
-       round(regr_r2(speed_mph, height_ft), 9) AS r2, CAST(regr_count(speed_mph, height_ft) AS BIGINT) AS n FROM coasters""")
-def ols_fit(spark, d):
-    out = stats.least_squares(coasters(spark, d), "speed_mph", "height_ft")
-    return out.select(*[_r(F.col(c), 9).alias(c) for c in ("slope", "intercept", "r2")], F.col("n").cast("bigint"))
-
-
-@query("value_counts_top10", covers="A16 O6 G13", views=C, sql="""
-SELECT year_introduced, count(*) AS n FROM coasters WHERE year_introduced IS NOT NULL GROUP BY year_introduced
+@query("value_counts_top10", covers="A16 O6 G13", views=C, sql=_DEDUP_SQL + """
+SELECT year_introduced, count(*) AS n FROM cd WHERE year_introduced IS NOT NULL GROUP BY year_introduced
 ORDER BY n DESC, year_introduced LIMIT 10""")
 def value_counts_top10(spark, d):
-    return explore.value_counts(coasters(spark, d), "year_introduced", top=10)
+    return explore.value_counts(_deduped(spark, d), "year_introduced", top=10)
 
 
-@query("fastest_locations", covers="A15 P7 P18 O4 C17 G13", views=C, sql="""
-SELECT location, round(avg(speed_mph), 6) AS mean, count(speed_mph) AS count FROM coasters WHERE location <> 'Other'
+@query("fastest_locations", covers="A15 P7 P18 O4 C17 G13", views=C, sql=_DEDUP_SQL + """
+SELECT location, round(avg(speed_mph), 6) AS mean, count(speed_mph) AS count FROM cd WHERE location <> 'Other'
 GROUP BY location HAVING count(speed_mph) >= 10 ORDER BY mean DESC""")
 def fastest_locations(spark, d):
-    out = explore.ranked_group_means(coasters(spark, d), "location", "speed_mph", min_count=10, exclude="Other")
+    out = explore.ranked_group_means(_deduped(spark, d), "location", "speed_mph", min_count=10, exclude="Other")
     return out.withColumn("mean", _r(F.col("mean")))
 
 
-@query("hist_30", covers="G2", views=C, sql=hist_sql("coasters", "speed_mph", 30))
+@query("hist_30", covers="G2", views=C, sql=_DEDUP_SQL + hist_sql("cd", "speed_mph", 30))
 def hist_30(spark, d):
-    return charts.histogram(coasters(spark, d), "speed_mph", 30)
-
-
-@query("rug", covers="G5", views=C, sql="""
-SELECT speed_mph AS value, count(*) AS n FROM coasters WHERE speed_mph IS NOT NULL GROUP BY 1""")
-def rug(spark, d):
-    return charts.rug(coasters(spark, d), "speed_mph")
+    return charts.histogram(_deduped(spark, d), "speed_mph", 30)
 
 
-KDE_GRID = 200
+SPEED_KDE_GRID = 1000
 
 
-@query("kde", covers="G3 G4 G6", views=C, sql=f"""
-, st AS (SELECT min(speed_mph) AS lo, max(speed_mph) AS hi, count(speed_mph) AS n,
-               stddev_samp(speed_mph) * pow(CAST(count(speed_mph) AS DOUBLE), -0.2) AS bw FROM coasters),
-vals AS (SELECT speed_mph AS v, count(*) AS c FROM coasters WHERE speed_mph IS NOT NULL GROUP BY 1),
-g AS (SELECT CAST(range AS INTEGER) AS grid_index FROM range({KDE_GRID})),
-pts AS (SELECT grid_index, lo + grid_index * ((hi - lo) / {KDE_GRID - 1}) AS x, n, bw, v, c FROM g, st, vals)
+@query("kde_speed", covers="G4", views=C, sql=_DEDUP_SQL + f"""
+, st AS (SELECT min(speed_mph) AS mn, max(speed_mph) AS mx, count(speed_mph) AS n,
+               stddev_samp(speed_mph) * pow(CAST(count(speed_mph) AS DOUBLE), -0.2) AS bw FROM cd),
+st2 AS (SELECT mn - 0.5 * (mx - mn) AS lo, mx + 0.5 * (mx - mn) AS hi, n, bw FROM st),
+vals AS (SELECT speed_mph AS v, count(*) AS c FROM cd WHERE speed_mph IS NOT NULL GROUP BY 1),
+g AS (SELECT CAST(range AS INTEGER) AS grid_index FROM range({SPEED_KDE_GRID})),
+pts AS (SELECT grid_index, lo + grid_index * ((hi - lo) / {SPEED_KDE_GRID - 1}) AS x, n, bw, v, c FROM g, st2, vals)
 SELECT grid_index, round(x, 9) AS x,
        round(sum(c * exp(-0.5 * ((x - v) / bw) * ((x - v) / bw))) / (n * bw * sqrt(2 * pi())), 12) AS density
 FROM pts GROUP BY grid_index, x, n, bw""")
-def kde(spark, d):
-    out = charts.kde(coasters(spark, d), "speed_mph", gridsize=KDE_GRID, cut=0.0)
+def kde_speed(spark, d):
+    # coasters['Speed_MPH'].plot(kind='kde'): 1000 points over [min - range/2, max + range/2]
+    out = charts.kde(_deduped(spark, d), "speed_mph", gridsize=SPEED_KDE_GRID, pad_range=0.5)
     return out.select("grid_index", _r(F.col("x"), 9).alias("x"), _r(F.col("density"), 12).alias("density"))
 
 
-def _joint_sql(hue: str | None, k: int = 10):
-    h = "hue, " if hue else ""
+def _scatter_sql(hue: str | None, k: int = 10):
     hsel = f"{hue} AS hue, " if hue else ""
-    return f""", pairs AS (SELECT {hsel}CAST(height_ft AS DOUBLE) AS x, CAST(speed_mph AS DOUBLE) AS y FROM coasters
-                WHERE height_ft IS NOT NULL AND speed_mph IS NOT NULL),
+    hout = "p.hue, " if hue else ""
+    return _DEDUP_SQL + f""", pairs AS (SELECT {hsel}CAST(speed_mph AS DOUBLE) AS x, CAST(height_ft AS DOUBLE) AS y FROM cd
+                WHERE speed_mph IS NOT NULL AND height_ft IS NOT NULL),
 sx AS ({edges_sql('x', 'pairs')}), sy AS ({edges_sql('y', 'pairs')})
-SELECT {('p.' + h) if hue else ''}{bin_sql('p.x', 'sx.lo', 'sx.hi', k)} AS bin_x, {bin_sql('p.y', 'sy.lo', 'sy.hi', k)} AS bin_y,
+SELECT {hout}{bin_sql('p.x', 'sx.lo', 'sx.hi', k)} AS bin_x, {bin_sql('p.y', 'sy.lo', 'sy.hi', k)} AS bin_y,
        count(*) AS n FROM pairs p, sx, sy GROUP BY ALL"""
 
 
-@query("joint_bins", covers="G8 G10", views=C, sql=_joint_sql(None))
-def joint_bins(spark, d):
-    return charts.joint_bins(coasters(spark, d), "height_ft", "speed_mph", 10)
+@query("scatter_bins", covers="G10", views=C, sql=_scatter_sql(None))
+def scatter_bins(spark, d):
+    # coasters.plot(kind='scatter', x='Speed_MPH', y='Height_ft'), binned
+    return charts.joint_bins(_deduped(spark, d), "speed_mph", "height_ft", 10)
 
 
-@query("scatter_hue", covers="G10", views=C, sql=_joint_sql("type_main"))
+@query("scatter_hue", covers="G10", views=C, sql=_scatter_sql("year_introduced"))
 def scatter_hue(spark, d):
-    out = charts.joint_bins(coasters(spark, d), "height_ft", "speed_mph", 10, hue="type_main")
-    return out.withColumnRenamed("type_main", "hue")
+    # sns.scatterplot(x='Speed_MPH', y='Height_ft', hue='Year_Introduced'), binned per hue value
+    out = charts.joint_bins(_deduped(spark, d), "speed_mph", "height_ft", 10, hue="year_introduced")
+    return out.withColumnRenamed("year_introduced", "hue")
 
 
 def _pair_sql(k: int = 10):
@@ -168,7 +168,7 @@ def _pair_sql(k: int = 10):
     edges = ",\n".join(f"e_{c} AS ({edges_sql(c, 'dbl')})" for c in CORR_VARS)
     bins = ", ".join(f"{bin_sql('dbl.' + c, f'e_{c}.lo', f'e_{c}.hi', k)} AS {c}" for c in CORR_VARS)
     srcs = ", ".join(f"e_{c}" for c in CORR_VARS)
-    return f""", dbl AS (SELECT row_id, type_main, {dbl} FROM coasters),
+    return _DEDUP_SQL + f""", dbl AS (SELECT row_id, type_main, {dbl} FROM cd),
 {edges},
 binned AS (SELECT row_id, type_main AS hue, {bins} FROM dbl, {srcs}),
 long AS (UNPIVOT binned ON {', '.join(CORR_VARS)} INTO NAME var VALUE b)
@@ -178,13 +178,13 @@ FROM long a JOIN long c ON a.row_id = c.row_id GROUP BY ALL"""
 
 @query("pair_grid", covers="G11", views=C, sql=_pair_sql())
 def pair_grid(spark, d):
-    return charts.pair_grid(coasters(spark, d), CORR_VARS, "type_main", 10)
+    return charts.pair_grid(_deduped(spark, d), CORR_VARS, "type_main", 10)
 
 
-@query("box_stats", covers="G12 A13 A14", views=C, sql=""", q AS (""" + union_all(
+@query("box_stats", covers="G12 A13 A14", views=C, sql=_DEDUP_SQL + """, q AS (""" + union_all(
     f"SELECT '{c}' AS column_name, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS median, "
-    f"quantile_cont({c}, 0.75) AS q3 FROM coasters" for c in BOX_VARS) + """),
-long AS (""" + union_all(f"SELECT '{c}' AS column_name, CAST({c} AS DOUBLE) AS value FROM coasters WHERE {c} IS NOT NULL"
+    f"quantile_cont({c}, 0.75) AS q3 FROM cd" for c in BOX_VARS) + """),
+long AS (""" + union_all(f"SELECT '{c}' AS column_name, CAST({c} AS DOUBLE) AS value FROM cd WHERE {c} IS NOT NULL"
                          for c in BOX_VARS) + """)
 SELECT q.column_name, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(q3 - q1, 6) AS iqr,
        min(value) FILTER (WHERE value >= q1 - 1.5 * (q3 - q1)) AS whisker_low,
@@ -192,6 +192,6 @@ SELECT q.column_name, round(q1, 6) AS q1, round(median, 6) AS median, round(q3,
        count(*) FILTER (WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS n_outliers
 FROM long JOIN q ON long.column_name = q.column_name GROUP BY q.column_name, q1, median, q3""")
 def box_stats(spark, d):
-    out = charts.box_stats(coasters(spark, d), BOX_VARS)
+    out = charts.box_stats(_deduped(spark, d), BOX_VARS)
     return out.select("column_name", *[_r(F.col(c)).alias(c) for c in ("q1", "median", "q3", "iqr")],
                       "whisker_low", "whisker_high", "n_outliers")

@@ -1,4 +1,10 @@
-"""BTC/ETH price analyses over the ``prices`` view: gaps, fill, statistics, outliers, charts."""
+"""BTC/ETH price analyses over the ``prices`` view: gaps, fill, statistics, outliers, charts.
+
+The notebook's data flow is kept: gaps are diagnosed on the raw series; the back-fill then
+replaces the frame (``data``, ``fillna(..., inplace=True)``), and every later step reads
+the filled data or ``data_cleaned`` (filled, two dates dropped). ``bitcoin`` has no gaps,
+so steps that only read it skip the fill: their result is the same.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +22,7 @@ COLS = ["event_id", "ts", "bitcoin", "ether"]
 SERIES = ["bitcoin", "ether"]
 
 # Parameters of the registered queries.
-SLICE = ("2024-01-05", "2024-01-12")
+CONTEXT = ("2024-01-06", "2024-01-12")       # the days around the five-day ether gap (7..11)
 DROP_DAYS = ["2024-01-07", "2024-01-21"]
 MASK_BELOW = 20.0
 ORDER = ["ts", "event_id"]
@@ -30,9 +36,33 @@ def _drop_days_sql():
     return ", ".join(f"DATE '{d}'" for d in DROP_DAYS)
 
 
-def _cleaned(spark, d):
-    p = prices(spark, d)
-    return clean.drop_keys(p, F.to_date("ts"), [dt.date.fromisoformat(x) for x in DROP_DAYS])
+def _drop_days(df):
+    return clean.drop_keys(df, F.to_date("ts"), [dt.date.fromisoformat(x) for x in DROP_DAYS])
+
+
+def _data(spark, d):
+    """``data`` after ``fillna(method='bfill', inplace=True)``."""
+    return clean.backfill(prices(spark, d), "ether", ORDER)
+
+
+def _data_cleaned(spark, d):
+    return _drop_days(_data(spark, d))
+
+
+def _bitcoin_cleaned(spark, d):
+    """``data_cleaned`` for steps reading bitcoin only (no gaps: the fill changes nothing)."""
+    return _drop_days(prices(spark, d)).select("event_id", "ts", "bitcoin")
+
+
+# Oracle CTEs for the same frames.
+_DATA_SQL = f""", data AS (
+  SELECT event_id, ts, bitcoin,
+         first_value(ether IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+           AS ether
+  FROM prices),
+data_cleaned AS (SELECT * FROM data WHERE CAST(ts AS DATE) NOT IN ({_drop_days_sql()})),
+btc_cleaned AS (SELECT event_id, ts, bitcoin FROM prices WHERE CAST(ts AS DATE) NOT IN ({_drop_days_sql()}))
+"""
 
 
 @query("null_audit", covers="I6", views=P, sql=union_all(
@@ -53,20 +83,9 @@ def null_rows(spark, d):
 
 
 @query("date_slice", covers="P10 C7", views=P, sql=f"""
-SELECT * FROM prices WHERE ts >= TIMESTAMP '{SLICE[0]}' AND ts < TIMESTAMP '{SLICE[1]}' + INTERVAL 1 DAY""")
+SELECT * FROM prices WHERE ts >= TIMESTAMP '{CONTEXT[0]}' AND ts < TIMESTAMP '{CONTEXT[1]}' + INTERVAL 1 DAY""")
 def date_slice(spark, d):
-    return clean.date_slice(prices(spark, d), "ts", *SLICE)
-
-
-@query("drop_dates", covers="P12 X9", views=P,
-       sql=f"SELECT * FROM prices WHERE CAST(ts AS DATE) NOT IN ({_drop_days_sql()})")
-def drop_dates(spark, d):
-    return _cleaned(spark, d)
-
-
-@query("drop_mask", covers="P13", views=P, sql=f"SELECT * FROM prices WHERE NOT coalesce(ether < {MASK_BELOW}, false)")
-def drop_mask(spark, d):
-    return clean.drop_masked(prices(spark, d), F.col("ether") < MASK_BELOW)
+    return clean.date_slice(prices(spark, d), "ts", *CONTEXT)
 
 
 @query("bfill", covers="W3 C7", views=P, sql="""
@@ -76,27 +95,34 @@ def bfill(spark, d):
     return clean.backfill(prices(spark, d), "ether", ORDER, out="ether_filled")
 
 
-@query("central_tendency", covers="A10", views=P, sql=union_all(
-    f"SELECT '{c}' AS column_name, round(avg({c}), 6) AS mean, round(quantile_cont({c}, 0.5), 6) AS median FROM prices"
-    for c in SERIES))
-def central_tendency(spark, d):
-    out = stats.central_tendency(prices(spark, d), SERIES)
-    return out.select("column_name", _r(F.col("mean")).alias("mean"), _r(F.col("median")).alias("median"))
+@query("drop_dates", covers="P12 X9 C6", views=P, sql=_DATA_SQL + "SELECT * FROM data_cleaned")
+def drop_dates(spark, d):
+    return _data_cleaned(spark, d)
 
 
-_VARIANTS_SQL = f"""variants AS (
-  SELECT 'raw' AS variant, bitcoin, ether FROM prices
-  UNION ALL
-  SELECT 'cleaned' AS variant, bitcoin, ether FROM prices WHERE CAST(ts AS DATE) NOT IN ({_drop_days_sql()}))"""
+@query("drop_mask", covers="P13", views=P, sql=f"SELECT * FROM prices WHERE NOT coalesce(ether < {MASK_BELOW}, false)")
+def drop_mask(spark, d):
+    return clean.drop_masked(prices(spark, d), F.col("ether") < MASK_BELOW)
 
 
 def _variants(spark, d):
-    raw = prices(spark, d).withColumn("variant", F.lit("raw"))
-    cleaned = _cleaned(spark, d).withColumn("variant", F.lit("cleaned"))
-    return raw.unionByName(cleaned)
+    data = _data(spark, d)
+    return data.withColumn("variant", F.lit("raw")).unionByName(_drop_days(data).withColumn("variant", F.lit("cleaned")))
+
 
+_VARIANTS_SQL = """variants AS (SELECT 'raw' AS variant, * FROM data UNION ALL SELECT 'cleaned' AS variant, * FROM data_cleaned)
+"""
+
+
+@query("central_tendency", covers="A10 C6", views=P, sql=_DATA_SQL + ", " + _VARIANTS_SQL + union_all(
+    f"SELECT variant, '{c}' AS column_name, round(avg({c}), 6) AS mean, round(quantile_cont({c}, 0.5), 6) AS median "
+    f"FROM variants GROUP BY variant" for c in SERIES))
+def central_tendency(spark, d):
+    out = stats.central_tendency(_variants(spark, d), SERIES, extra=["variant"])
+    return out.select("variant", "column_name", _r(F.col("mean")).alias("mean"), _r(F.col("median")).alias("median"))
 
-@query("dispersion", covers="A11 A12 C6", views=P, sql=f", {_VARIANTS_SQL}\n" + union_all(
+
+@query("dispersion", covers="A11 A12 C6", views=P, sql=_DATA_SQL + ", " + _VARIANTS_SQL + union_all(
     f"SELECT variant, '{c}' AS column_name, round(max({c}) - min({c}), 6) AS value_range, "
     f"round(var_samp({c}), 6) AS variance, round(stddev_samp({c}), 6) AS std FROM variants GROUP BY variant"
     for c in SERIES))
@@ -105,19 +131,25 @@ def dispersion(spark, d):
     return out.select("variant", "column_name", *[_r(F.col(c)).alias(c) for c in ("value_range", "variance", "std")])
 
 
-@query("quantiles", covers="A13", views=P, sql="""
-SELECT round(quantile_cont(bitcoin, 0.2), 6) AS q20, round(quantile_cont(bitcoin, 0.5), 6) AS q50 FROM prices""")
+@query("quantiles", covers="A13 G7", views=P, sql=_DATA_SQL + """
+SELECT round(quantile_cont(bitcoin, 0.2), 6) AS q20, round(quantile_cont(bitcoin, 0.5), 6) AS q50 FROM btc_cleaned""")
 def quantiles(spark, d):
-    q = stats.quantiles(prices(spark, d), "bitcoin", {"q20": 0.2, "q50": 0.5})
+    q = stats.quantiles(_bitcoin_cleaned(spark, d), "bitcoin", {"q20": 0.2, "q50": 0.5})
     return q.select(_r(F.col("q20")).alias("q20"), _r(F.col("q50")).alias("q50"))
 
 
-@query("iqr", covers="A14 C6", views=P, sql=f""", {_VARIANTS_SQL}
+def _btc_variants(spark, d):
+    p = prices(spark, d).select("ts", "bitcoin")
+    return p.withColumn("variant", F.lit("raw")).unionByName(_drop_days(p).withColumn("variant", F.lit("cleaned")))
+
+
+@query("iqr", covers="A14 C6", views=P, sql=_DATA_SQL + """
+, v AS (SELECT 'raw' AS variant, bitcoin FROM prices UNION ALL SELECT 'cleaned' AS variant, bitcoin FROM btc_cleaned)
 SELECT variant, round(quantile_cont(bitcoin, 0.25), 6) AS q25, round(quantile_cont(bitcoin, 0.75), 6) AS q75,
        round(quantile_cont(bitcoin, 0.75) - quantile_cont(bitcoin, 0.25), 6) AS iqr
-FROM variants GROUP BY variant""")
+FROM v GROUP BY variant""")
 def iqr(spark, d):
-    q = stats.iqr(_variants(spark, d), "bitcoin", ["variant"])
+    q = stats.iqr(_btc_variants(spark, d), "bitcoin", ["variant"])
     return q.select("variant", *[_r(F.col(c)).alias(c) for c in ("q25", "q75", "iqr")])
 
 
@@ -147,18 +179,18 @@ def format_limits(spark, d):
     return stats.format_limits(stats.zscore_limits(prices(spark, d), "bitcoin"))
 
 
-@query("outliers_lt", covers="C5 P11", views=P, sql=f"""
-SELECT * FROM prices WHERE bitcoin < (SELECT {_Z_SQL.format(op='+')} FROM prices)""")
+@query("outliers_lt", covers="C5 P11", views=P, sql=_DATA_SQL + f"""
+SELECT * FROM data WHERE bitcoin < (SELECT {_Z_SQL.format(op='+')} FROM prices)""")
 def outliers_lt(spark, d):
-    p = prices(spark, d)
-    return clean.keep_below(p, "bitcoin", stats.limit(stats.zscore_limits(p, "bitcoin"), "upper_limit"))
+    limit = stats.limit(stats.zscore_limits(prices(spark, d), "bitcoin"), "upper_limit")
+    return clean.keep_below(_data(spark, d), "bitcoin", limit)
 
 
-@query("outliers_drop_gt", covers="C5 P13", views=P, sql=f"""
-SELECT * FROM prices WHERE NOT coalesce(bitcoin > (SELECT {_Z_SQL.format(op='+')} FROM prices), false)""")
+@query("outliers_drop_gt", covers="C5 P13", views=P, sql=_DATA_SQL + f"""
+SELECT * FROM data WHERE NOT coalesce(bitcoin > (SELECT {_Z_SQL.format(op='+')} FROM prices), false)""")
 def outliers_drop_gt(spark, d):
-    p = prices(spark, d)
-    return clean.drop_above(p, "bitcoin", stats.limit(stats.zscore_limits(p, "bitcoin"), "upper_limit"))
+    limit = stats.limit(stats.zscore_limits(prices(spark, d), "bitcoin"), "upper_limit")
+    return clean.drop_above(_data(spark, d), "bitcoin", limit)
 
 
 @query("series_buckets", covers="G1", views=P, sql="""
@@ -169,17 +201,67 @@ def series_buckets(spark, d):
     return out.withColumn("mean", _r(F.col("mean")))
 
 
-@query("hist_150", covers="G2", views=P, sql=hist_sql("prices", "bitcoin", 150))
+@query("hist_150", covers="G2", views=P, sql=_DATA_SQL + hist_sql("btc_cleaned", "bitcoin", 150))
 def hist_150(spark, d):
-    return charts.histogram(prices(spark, d), "bitcoin", 150)
+    return charts.histogram(_bitcoin_cleaned(spark, d), "bitcoin", 150)
 
 
-@query("density_hist", covers="G3", views=P, sql=hist_sql("prices", "bitcoin", 50, density=True))
+@query("density_hist", covers="G3", views=P,
+       sql=_DATA_SQL + hist_sql("btc_cleaned", "bitcoin", 50, density=True))
 def density_hist(spark, d):
-    h = charts.histogram(prices(spark, d), "bitcoin", 50, density=True)
+    h = charts.histogram(_bitcoin_cleaned(spark, d), "bitcoin", 50, density=True)
     return h.withColumn("density", F.round("density", 12))
 
 
-@query("ecdf_50", covers="G6", views=P, sql=hist_sql("prices", "bitcoin", 50, cumulative=True))
+@query("ecdf_50", covers="G6", views=P,
+       sql=_DATA_SQL + hist_sql("btc_cleaned", "bitcoin", 50, cumulative=True))
 def ecdf_50(spark, d):
-    return charts.ecdf(prices(spark, d), "bitcoin", 50)
+    return charts.ecdf(_bitcoin_cleaned(spark, d), "bitcoin", 50)
+
+
+@query("rug", covers="G5", views=P, sql=_DATA_SQL + """
+SELECT bitcoin AS value, count(*) AS n FROM btc_cleaned WHERE bitcoin IS NOT NULL GROUP BY 1""")
+def rug(spark, d):
+    return charts.rug(_bitcoin_cleaned(spark, d), "bitcoin")
+
+
+KDE_GRID = 200
+
+
+@query("kde", covers="G3 G4", views=P, sql=_DATA_SQL + f"""
+, st AS (SELECT min(ether) AS lo, max(ether) AS hi, count(ether) AS n,
+               stddev_samp(ether) * pow(CAST(count(ether) AS DOUBLE), -0.2) AS bw FROM data_cleaned),
+vals AS (SELECT ether AS v, count(*) AS c FROM data_cleaned WHERE ether IS NOT NULL GROUP BY 1),
+g AS (SELECT CAST(range AS INTEGER) AS grid_index FROM range({KDE_GRID})),
+pts AS (SELECT grid_index, lo + grid_index * ((hi - lo) / {KDE_GRID - 1}) AS x, n, bw, v, c FROM g, st, vals)
+SELECT grid_index, round(x, 9) AS x,
+       round(sum(c * exp(-0.5 * ((x - v) / bw) * ((x - v) / bw))) / (n * bw * sqrt(2 * pi())), 12) AS density
+FROM pts GROUP BY grid_index, x, n, bw""")
+def kde(spark, d):
+    # sns.kdeplot(data_cleaned['Ether'], cut=0)
+    out = charts.kde(_data_cleaned(spark, d), "ether", gridsize=KDE_GRID, cut=0.0)
+    return out.select("grid_index", _r(F.col("x"), 9).alias("x"), _r(F.col("density"), 12).alias("density"))
+
+
+def _joint_sql(k: int = 10):
+    from .sqlgen import bin_sql, edges_sql
+    return _DATA_SQL + f""", pairs AS (SELECT bitcoin AS x, ether AS y FROM data_cleaned
+                WHERE bitcoin IS NOT NULL AND ether IS NOT NULL),
+sx AS ({edges_sql('x', 'pairs')}), sy AS ({edges_sql('y', 'pairs')})
+SELECT {bin_sql('p.x', 'sx.lo', 'sx.hi', k)} AS bin_x, {bin_sql('p.y', 'sy.lo', 'sy.hi', k)} AS bin_y,
+       count(*) AS n FROM pairs p, sx, sy GROUP BY ALL"""
+
+
+@query("joint_bins", covers="G8", views=P, sql=_joint_sql())
+def joint_bins(spark, d):
+    # sns.jointplot(x='Bitcoin', y='Ether', data=data_cleaned): 2-D counts (+ marginals = G2)
+    return charts.joint_bins(_data_cleaned(spark, d), "bitcoin", "ether", 10)
+
+
+@query("ols_fit", covers="G9", views=P, sql=_DATA_SQL + """
+SELECT round(regr_slope(ether, bitcoin), 9) AS slope, round(regr_intercept(ether, bitcoin), 9) AS intercept,
+       round(regr_r2(ether, bitcoin), 9) AS r2, CAST(regr_count(ether, bitcoin) AS BIGINT) AS n FROM data_cleaned""")
+def ols_fit(spark, d):
+    # sns.regplot(x='Bitcoin', y='Ether', data=data_cleaned)
+    out = stats.least_squares(_data_cleaned(spark, d), "ether", "bitcoin")
+    return out.select(*[_r(F.col(c), 9).alias(c) for c in ("slope", "intercept", "r2")], F.col("n").cast("bigint"))

@@ -127,8 +127,11 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
     result is v[⌊h⌋] + (v[⌊h⌋+1] − v[⌊h⌋])·(h − ⌊h⌋).
     """
     groups = list(group_cols)
-    vals = df.select(*groups, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    ranked = global_row_number(vals, [*groups, "_v"], name="_rn", num_buckets=num_buckets)
+    # ``_t`` breaks ties between equal values so that a value held by a large share of
+    # the rows is still spread over several ranges (any tie order gives the same result).
+    vals = (df.select(*groups, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+              .withColumn("_t", F.monotonically_increasing_id()))
+    ranked = global_row_number(vals, [*groups, "_v", "_t"], name="_rn", num_buckets=num_buckets)
     if groups:
         # Rank inside the group = global rank − rows of earlier groups (first rank − 1).
         sizes = ranked.groupBy(*groups).agg(F.min("_rn").alias("_first"), F.count(F.lit(1)).alias("_n"))

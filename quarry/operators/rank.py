@@ -29,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import default_partitions
+from ..session import default_partitions, reliable_checkpoint
 
 BUCKET = "_bucket"
 POS = "_pos"
@@ -59,7 +59,7 @@ def ordered_buckets(df: DataFrame, order: Sequence[str | Column], num_buckets: i
                 .sortWithinPartitions(*cols)
                 .withColumn(BUCKET, pid)
                 .withColumn(POS, F.monotonically_increasing_id() - F.shiftleft(pid.cast("bigint"), _ID_SHIFT)))
-    return tagged.checkpoint(eager=True)
+    return reliable_checkpoint(tagged)
 
 
 def bucket_offsets(buckets: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import concat_text, day_diff
+from ..session import reliable_checkpoint
 from .rank import ntile
 
 # Segment labels and the three-digit RFM codes mapped to them, as written
@@ -58,7 +59,7 @@ def rfm_scores(base: DataFrame, customer: str = "customername", k: int = 4,
     and its row count decides the tiling: at most ``rank.SINGLE_TASK_MAX_ROWS`` customers
     are tiled by the built-in window, more by the distributed rank (``rank.ntile``).
     """
-    base = base.checkpoint(eager=True)
+    base = reliable_checkpoint(base)
     n = None if distributed else base.count()
     rec = F.col("recency").desc() if recency_best_first else F.col("recency").asc()
     s = ntile(base, k, [rec, F.col(customer)], "rfm_recency", num_buckets, n)

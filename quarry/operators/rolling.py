@@ -11,7 +11,8 @@ from ..functions.scalar import col_, pct
 
 
 def running_total(df: DataFrame, keys: Sequence[str], order: str, value, out: str,
-                  pre_aggregate: bool = True) -> DataFrame:
+                  pre_aggregate: bool = True, segmented: bool = False,
+                  num_buckets: int | None = None) -> DataFrame:
     """``sum(value) over (partition by keys order by order)`` with the default RANGE frame.
 
     Rows with equal ``order`` inside a key share one total; NULL values add nothing.
@@ -22,6 +23,12 @@ def running_total(df: DataFrame, keys: Sequence[str], order: str, value, out: st
     totals back on (keys, order) with null-safe equality. The join's build side has one
     row per join key, so AQE's skew-join handling can split a hot key on the probe side.
     Without it the window sorts each key's raw rows in one task.
+
+    ``segmented``: for keys with an unbounded number of distinct ``order`` values (a
+    key holding a third of all timestamps), the per-step table is cut into balanced
+    contiguous ranges of (keys, order) (``rank.ordered_buckets``); each (range, key)
+    segment gets its own running sum, plus the total of the same key in earlier ranges
+    from a table with at most #ranges + #keys rows. No task holds a whole key.
     """
     keys = list(keys)
     v = col_(value)
@@ -29,12 +36,31 @@ def running_total(df: DataFrame, keys: Sequence[str], order: str, value, out: st
     if not pre_aggregate:
         return df.withColumn(out, F.sum(v).over(w))
     per_step = df.groupBy(*keys, order).agg(F.sum(v).alias("_step"))
-    totals = per_step.select(*[F.col(k).alias(f"_k_{k}") for k in [*keys, order]],
-                             F.sum("_step").over(w).alias(out))
+    if segmented:
+        running = _segmented_running_sum(per_step, keys, order, num_buckets)
+    else:
+        running = per_step.withColumn("_run", F.sum("_step").over(w))
+    totals = running.select(*[F.col(k).alias(f"_k_{k}") for k in [*keys, order]], F.col("_run").alias(out))
     cond = [df[k].eqNullSafe(totals[f"_k_{k}"]) for k in [*keys, order]]
     return df.join(totals, cond, "left").drop(*[f"_k_{k}" for k in [*keys, order]])
 
 
+def _segmented_running_sum(steps: DataFrame, keys: list[str], order: str, num_buckets: int | None) -> DataFrame:
+    from .rank import BUCKET, POS, ordered_buckets
+    b = ordered_buckets(steps, [*keys, order], num_buckets)
+    in_seg = Window.partitionBy(BUCKET, *keys).orderBy(POS).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    b = b.withColumn("_seg_run", F.sum("_step").over(in_seg))
+    seg = b.groupBy(BUCKET, *keys).agg(F.sum("_step").alias("_seg"))
+    earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    carry = seg.select(*[F.col(k).alias(f"_c_{k}") for k in [BUCKET, *keys]],
+                       F.sum("_seg").over(earlier).alias("_carry"))
+    cond = [b[k].eqNullSafe(carry[f"_c_{k}"]) for k in [BUCKET, *keys]]
+    j = b.join(carry, cond, "left")
+    run = F.when(F.col("_seg_run").isNull() & F.col("_carry").isNull(), F.lit(None)) \
+           .otherwise(F.coalesce("_seg_run", F.lit(0)) + F.coalesce("_carry", F.lit(0)))
+    return j.select(*keys, order, "_step", run.alias("_run"))
+
+
 def rolling_vaccinations(deaths: DataFrame, vacs: DataFrame) -> DataFrame:
     """Join deaths and vaccinations on (location, date), country rows only, running total.
 

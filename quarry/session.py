@@ -70,6 +70,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def reliable_checkpoint(df):
+    """``df.checkpoint(eager=True)`` into the shared checkpoint folder (set up if needed).
+
+    Reliable checkpoints survive executor loss, unlike ``localCheckpoint``; the files are
+    removed once the checkpointed data is no longer referenced (see ``BASE_CONF``).
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the shared checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")

@@ -193,3 +193,17 @@ def test_rfm_distributed_and_bounded_paths_agree(spark):
     j = a.join(b, "customername")
     assert j.count() == a.count() == 150
     assert j.where(F.col("rfm_cell_string") != F.col("b")).count() == 0
+
+
+def test_segmented_running_total_with_hot_key(spark):
+    # key 0 holds a third of all rows, each with its own order value; NULLs and peers included
+    df = spark.range(0, 3000).select(
+        (F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 17)).alias("k"),
+        (F.col("id") / 2).cast("long").alias("o"),
+        F.when(F.col("id") % 11 == 0, F.lit(None)).otherwise(F.col("id") % 5).cast("long").alias("v"))
+    from pyspark.sql import Window
+    ref = df.withColumn("r", F.sum("v").over(Window.partitionBy("k").orderBy("o")))
+    got = rolling.running_total(df, ["k"], "o", "v", "r2", segmented=True, num_buckets=7)
+    j = got.join(ref, ["k", "o", "v"])
+    assert got.count() == 3000
+    assert j.where(~F.col("r").eqNullSafe(F.col("r2"))).count() == 0

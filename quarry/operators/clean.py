@@ -28,9 +28,12 @@ def date_slice(df: DataFrame, ts: str, start: str | dt.date, end: str | dt.date)
     """
     lo = dt.date.fromisoformat(str(start))
     hi = dt.date.fromisoformat(str(end)) + dt.timedelta(days=1)
-    lo_ts = dt.datetime.combine(lo, dt.time())
-    hi_ts = dt.datetime.combine(hi, dt.time())
-    return df.where((F.col(ts) >= F.lit(lo_ts)) & (F.col(ts) < F.lit(hi_ts)))
+    # Bounds typed like the column; from text, so no session/process time zone is involved.
+    kind = dict(df.dtypes)[ts]
+    kind = kind if kind in ("timestamp", "timestamp_ntz", "date") else "timestamp_ntz"
+    lo_c = F.lit(lo.isoformat()).cast(kind)
+    hi_c = F.lit(hi.isoformat()).cast(kind)
+    return df.where((F.col(ts) >= lo_c) & (F.col(ts) < hi_c))
 
 
 def drop_keys(df: DataFrame, key: str | Column, keys: Iterable | DataFrame, key_name: str = "_key") -> DataFrame:

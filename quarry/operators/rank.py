@@ -129,8 +129,11 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
     groups = list(group_cols)
     # ``_t`` breaks ties between equal values so that a value held by a large share of
     # the rows is still spread over several ranges (any tie order gives the same result).
-    vals = (df.select(*groups, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-              .withColumn("_t", F.monotonically_increasing_id()))
+    # A hash of the whole input row: the same on every task attempt (a row id taken after
+    # a shuffle would not be), so a recomputed map task routes each row to the same range.
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    vals = (df.select(*groups, F.col(value).cast("double").alias("_v"), row_hash.alias("_t"))
+              .where(F.col("_v").isNotNull()))
     ranked = global_row_number(vals, [*groups, "_v", "_t"], name="_rn", num_buckets=num_buckets)
     if groups:
         # Rank inside the group = global rank − rows of earlier groups (first rank − 1).

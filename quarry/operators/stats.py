@@ -19,9 +19,14 @@ from .rank import exact_quantiles
 
 
 def long_values(df: DataFrame, cols: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
-    """(extra…, column_name, value) with values as double: one row per input cell."""
-    return (df.select(*extra, *[F.col(c).cast("double").alias(c) for c in cols])
-              .unpivot(list(extra), list(cols), "column_name", "value"))
+    """(extra…, _row, column_name, value) with values as double: one row per input cell.
+
+    ``_row`` is a hash of the source row; it keeps equal values of different rows apart
+    (the rank operators use it to split a value held by many rows).
+    """
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    return (df.select(*extra, row, *[F.col(c).cast("double").alias(c) for c in cols])
+              .unpivot([*extra, "_row"], list(cols), "column_name", "value"))
 
 
 def central_tendency(df: DataFrame, cols: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:

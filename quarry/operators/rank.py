@@ -134,14 +134,13 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     vals = (df.select(*groups, F.col(value).cast("double").alias("_v"), row_hash.alias("_t"))
               .where(F.col("_v").isNotNull()))
-    ranked = global_row_number(vals, [*groups, "_v", "_t"], name="_rn", num_buckets=num_buckets)
+    ranked = global_row_number(vals, [*groups, "_v", "_t"], name="_rn", num_buckets=num_buckets, keep_total=True)
     if groups:
         # Rank inside the group = global rank − rows of earlier groups (first rank − 1).
         sizes = ranked.groupBy(*groups).agg(F.min("_rn").alias("_first"), F.count(F.lit(1)).alias("_n"))
         ranked = ranked.join(sizes, groups).withColumn("_rn", F.col("_rn") - F.col("_first") + 1)
     else:
-        sizes = ranked.agg(F.count(F.lit(1)).alias("_n"))
-        ranked = ranked.withColumn("_n", F.lit(sizes.scalar()))
+        ranked = ranked.withColumn("_n", F.col(TOTAL))          # from the per-range count table
 
     aggs, finals = [], []
     needed = []

@@ -56,3 +56,37 @@ def test_ntile_has_no_single_partition_sort_of_rows(spark):
     plan = QUERIES["ntile_scaled"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     # the only un-partitioned window is over the per-bucket count table, inside the broadcast
     assert "ntile(" not in plan.lower()
+
+
+def _single_partition_outside_broadcast(plan: str) -> list[str]:
+    """Lines with an Exchange SinglePartition that carries rows (not partial aggregates) and has no
+    BroadcastExchange ancestor."""
+    lines = plan.split("\n")
+
+    def depth(line):
+        return len(line) - len(line.lstrip(" :+-"))
+
+    bad = []
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" not in line:
+            continue
+        if i + 1 < len(lines) and "partial_" in lines[i + 1]:
+            continue                      # global aggregate: one partial row per task
+        d, ok = depth(line), False
+        for prev in reversed(lines[:i]):
+            if depth(prev) < d:
+                d = depth(prev)
+                if "BroadcastExchange" in prev:
+                    ok = True
+                    break
+        if not ok:
+            bad.append(line.strip())
+    return bad
+
+
+@pytest.mark.parametrize("name", ["ntile_scaled", "bfill", "quantiles", "describe_numeric"])
+def test_ordered_operators_keep_rows_off_single_partition(spark, name):
+    df = QUERIES[name](spark, SF_SMALL)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert _single_partition_outside_broadcast(plan) == []

@@ -72,3 +72,19 @@ def to_timestamp_lenient(c, fmt: str | None = None) -> Column:
 def to_number_lenient(c) -> Column:
     """``pd.to_numeric(errors='coerce')``: text → double, NULL when not a number."""
     return col_(c).try_cast("double")
+
+
+def period_range(c, year: int, month: int | None = None, kind: str = "timestamp_ntz") -> Column:
+    """``c`` within a calendar year (or month) as a half-open range of literals.
+
+    Equivalent to ``year(c) = year [and month(c) = month]``, but a plain comparison on the
+    column, so the parquet scan can skip row groups by their min/max statistics.
+    """
+    import datetime as dt
+    if month is None:
+        lo, hi = dt.date(year, 1, 1), dt.date(year + 1, 1, 1)
+    else:
+        lo = dt.date(year, month, 1)
+        hi = dt.date(year + (month == 12), month % 12 + 1, 1)
+    x = col_(c)
+    return (x >= F.lit(lo.isoformat()).cast(kind)) & (x < F.lit(hi.isoformat()).cast(kind))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import col_, pct, text_eq_number
+from ..functions.scalar import col_, pct, period_range, text_eq_number
 
 
 def revenue_by(df: DataFrame, dims: str | Sequence[str], amount: str = "sales",
@@ -28,20 +28,34 @@ def revenue_by(df: DataFrame, dims: str | Sequence[str], amount: str = "sales",
 
 
 def revenue_in_period(df: DataFrame, year: str | int, month: str | int | None = None,
-                      by: str = "month_id", amount: str = "sales", count_col: str = "ordernumber") -> DataFrame:
+                      by: str = "month_id", amount: str = "sales", count_col: str = "ordernumber",
+                      date_col: str | None = "orderdate") -> DataFrame:
     """Revenue and line count within a year (and month) per ``by``.
 
     Filters compare the text literal as a number (``year_id = ' 2004'``). With a month,
     the grouping is (month, by) and the month is not selected, as in the reference.
+    ``date_col``: the same period as a range on the date column, which reaches the scan.
     """
-    cond = text_eq_number("year_id", str(year))
-    if month is not None:
-        cond = cond & text_eq_number("month_id", str(month))
+    cond = period_filter(year, month, date_col)
     keys = ["month_id", by] if (month is not None and by != "month_id") else [by]
     out = revenue_by(df.where(cond), keys, amount=amount, count_col=count_col)
     return out.drop(*[k for k in keys if k != by])
 
 
+def period_filter(year: str | int, month: str | int | None = None, date_col: str | None = "orderdate"):
+    """``year_id = '<year>' [and month_id = '<month>']`` (text compared as number), plus the
+    equivalent range on ``date_col`` so the predicate is pushed into the parquet scan."""
+    y = int(str(year).strip())
+    cond = text_eq_number("year_id", str(year))
+    m = None
+    if month is not None:
+        m = int(str(month).strip())
+        cond = cond & text_eq_number("month_id", str(month))
+    if date_col:
+        cond = cond & period_range(date_col, y, m)
+    return cond
+
+
 def distinct_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Distinct values of several categorical columns in one scan: (column_name, value)."""
     as_text = df.select(*[F.col(c).cast("string").alias(c) for c in cols])

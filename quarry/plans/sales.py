@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalar import day_diff, text_eq_number
+from ..functions.scalar import day_diff
 from ..operators import basket, explore, rfm
 from ..operators.rank import ntile
 from ..sources import catalog
@@ -49,7 +49,7 @@ def distinct_values(spark, d):
 @query("months_in_year", covers="I9 P6", views=S, sql=f"""
 SELECT DISTINCT month_id FROM sales WHERE year_id = CAST(trim('{LAST_YEAR}') AS INTEGER) ORDER BY month_id""")
 def months_in_year(spark, d):
-    return explore.distinct_where(sales(spark, d), "month_id", text_eq_number("year_id", LAST_YEAR)).orderBy("month_id")
+    return explore.distinct_where(sales(spark, d), "month_id", explore.period_filter(LAST_YEAR)).orderBy("month_id")
 
 
 def _revenue_sql(dim):

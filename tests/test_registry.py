@@ -90,3 +90,12 @@ def test_ordered_operators_keep_rows_off_single_partition(spark, name):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert _single_partition_outside_broadcast(plan) == []
+
+
+def test_year_filter_reaches_the_orders_scan(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        plan = QUERIES["month_revenue"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThanOrEqual(o_orderdate,1998-01-01T00:00)" in plan and "LessThan(o_orderdate,1999-01-01T00:00)" in plan

@@ -4,9 +4,10 @@
 row of the table goes through one task. At scale that is the bottleneck (and an OOM
 risk), so the global operators here run as:
 
-1. ``repartitionByRange(n, *order)`` - Spark samples the *full* sort key (including the
+1. ``repartitionByRange(*order)`` - Spark samples the *full* sort key (including the
    tie-break columns) to pick range bounds, so buckets are balanced even when one value
-   holds a large share of rows: the tie-break splits it.
+   holds a large share of rows: the tie-break splits it. AQE may merge neighbouring
+   ranges of a small input; a merged partition is still one contiguous range.
 2. ``sortWithinPartitions`` + the position of each row inside its bucket
    (``monotonically_increasing_id`` minus the partition's id base: no shuffle).
 3. ``checkpoint()`` into the shared checkpoint folder: range bounds come from sampling,
@@ -29,7 +30,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import default_partitions, reliable_checkpoint
+from ..session import reliable_checkpoint
 
 BUCKET = "_bucket"
 POS = "_pos"
@@ -50,12 +51,17 @@ def _cols(order: Sequence[str | Column]) -> list[Column]:
 
 
 def ordered_buckets(df: DataFrame, order: Sequence[str | Column], num_buckets: int | None = None) -> DataFrame:
-    """Tag rows with ``_bucket`` (contiguous ranges of ``order``) and ``_pos`` inside it."""
-    spark = df.sparkSession
-    n = num_buckets or default_partitions(spark)
+    """Tag rows with ``_bucket`` (contiguous ranges of ``order``) and ``_pos`` inside it.
+
+    Without ``num_buckets`` the range shuffle starts at ``spark.sql.shuffle.partitions``
+    and AQE may coalesce neighbouring ranges to its advisory partition size, so the number
+    of ranges follows the data size (a coalesced partition is still one contiguous range,
+    and its index still orders the ranges).
+    """
     cols = _cols(order)
     pid = F.spark_partition_id()
-    tagged = (df.repartitionByRange(n, *cols)
+    ranged = df.repartitionByRange(num_buckets, *cols) if num_buckets else df.repartitionByRange(*cols)
+    tagged = (ranged
                 .sortWithinPartitions(*cols)
                 .withColumn(BUCKET, pid)
                 .withColumn(POS, F.monotonically_increasing_id() - F.shiftleft(pid.cast("bigint"), _ID_SHIFT)))

@@ -63,3 +63,18 @@ def test_backfill_leaves_only_trailing_gaps(spark, sf):
     before_last = (F.col("ts") < ts_l) | ((F.col("ts") == ts_l) & (F.col("event_id") < id_l))
     assert still_null.where(before_last).count() == 0
     assert f.where(F.col("ether").isNotNull() & (F.col("ether") != F.col("ether_filled"))).count() == 0
+
+
+@pytest.mark.parametrize("sf", SFS)
+def test_covid_join_key_is_unique(spark, sf):
+    for v in (covid_deaths(spark, sf), covid_vaccinations(spark, sf)):
+        assert v.groupBy("location", "date").count().where("count > 1").count() == 0
+
+
+def test_rfm_frequency_variants(spark):
+    from quarry.operators import rfm
+    s = sales(spark, SFS[0])
+    lines = {r[0]: r[1] for r in rfm.rfm_base(s).select("customername", "frequency").collect()}
+    orders = {r[0]: r[1] for r in rfm.rfm_base(s, distinct_orders=True).select("customername", "frequency").collect()}
+    ref = {r[0]: r[1] for r in s.groupBy("customername").agg(F.countDistinct("ordernumber")).collect()}
+    assert orders == ref and all(lines[c] >= orders[c] for c in lines)

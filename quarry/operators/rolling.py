@@ -12,10 +12,12 @@ from ..functions.scalar import col_, pct
 
 def running_total(df: DataFrame, keys: Sequence[str], order: str, value, out: str,
                   pre_aggregate: bool = True, segmented: bool = False,
-                  num_buckets: int | None = None) -> DataFrame:
+                  num_buckets: int | None = None, keys_may_be_null: bool = True) -> DataFrame:
     """``sum(value) over (partition by keys order by order)`` with the default RANGE frame.
 
     Rows with equal ``order`` inside a key share one total; NULL values add nothing.
+    ``keys_may_be_null=False`` when keys and order can never be NULL (e.g. after an inner
+    equi-join on them) lets the join back use plain equality.
 
     ``pre_aggregate`` (default): sum per (keys, order) first - partial aggregation, so a
     key holding a third of all rows is reduced map-side - then run the window over that
@@ -40,6 +42,11 @@ def running_total(df: DataFrame, keys: Sequence[str], order: str, value, out: st
         running = _segmented_running_sum(per_step, keys, order, num_buckets)
     else:
         running = per_step.withColumn("_run", F.sum("_step").over(w))
+    if not keys_may_be_null:
+        # Plain equality keeps the join on the (keys, order) hash partitioning the input
+        # usually already has (null-safe keys are rewritten and force another shuffle).
+        totals = running.select(*keys, order, F.col("_run").alias(out))
+        return df.join(totals, [*keys, order], "left").select(*df.columns, out)
     totals = running.select(*[F.col(k).alias(f"_k_{k}") for k in [*keys, order]], F.col("_run").alias(out))
     cond = [df[k].eqNullSafe(totals[f"_k_{k}"]) for k in [*keys, order]]
     return df.join(totals, cond, "left").drop(*[f"_k_{k}" for k in [*keys, order]])
@@ -69,8 +76,9 @@ def rolling_vaccinations(deaths: DataFrame, vacs: DataFrame) -> DataFrame:
     dea = deaths.select("continent", "location", "date", "population").where(F.col("continent").isNotNull())
     j = dea.join(vacs.select("location", "date", "new_vaccinations"), ["location", "date"], "inner")
     j = j.select("continent", "location", "date", "population", "new_vaccinations")
+    # keys of an inner equi-join are never NULL: plain-equality join back
     return running_total(j, ["location"], "date", F.col("new_vaccinations").cast("bigint"),
-                         "rolling_vaccinations_count")
+                         "rolling_vaccinations_count", keys_may_be_null=False)
 
 
 def rolling_share(rolling: DataFrame) -> DataFrame:

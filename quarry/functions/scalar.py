@@ -34,16 +34,6 @@ def pct(numerator, denominator) -> Column:
     return F.try_divide(col_(numerator), col_(denominator)) * 100
 
 
-def pct_double(numerator, denominator) -> Column:
-    """Percentage of two decimals as a double (decimal/decimal widens to decimal(38,20))."""
-    return (F.try_divide(col_(numerator), col_(denominator)) * 100).cast("double")
-
-
-def money(c) -> Column:
-    """Exact money sum → double (sum decimals, convert the exact result)."""
-    return col_(c).cast("double")
-
-
 def day_diff(start, end) -> Column:
     """T-SQL ``datediff(DD, start, end)``: calendar-day boundaries crossed."""
     return F.datediff(col_(end).cast("date"), col_(start).cast("date"))

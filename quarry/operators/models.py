@@ -117,5 +117,10 @@ def gamma_glm(df: DataFrame, label: str, features: Sequence[str], key: str) -> D
     clean = df.select(key, *features, label).na.drop("any").where(F.col(label) > 0)
     data = VectorAssembler(inputCols=list(features), outputCol="features").transform(clean) \
         .withColumn("label", F.col(label).cast("double"))
-    model = GeneralizedLinearRegression(family="gamma", link="log").fit(data)
+    # IRLS reads the data once per iteration: keep the assembled features for the fit only.
+    train = data.select("features", "label").persist()
+    try:
+        model = GeneralizedLinearRegression(family="gamma", link="log").fit(train)
+    finally:
+        train.unpersist()
     return model.transform(data).select(key, label, "prediction")

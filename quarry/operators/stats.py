@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import format_number_line
 from .rank import exact_quantiles
 
 
@@ -80,9 +81,8 @@ def limit(limits: DataFrame, name: str = "upper_limit") -> Column:
 
 def format_limits(limits: DataFrame, decimals: int = 4) -> DataFrame:
     """``"Upper Limit: {}".format(x)`` lines for both limits."""
-    return limits.select(
-        F.format_string(f"Upper Limit: %.{decimals}f", "upper_limit").alias("upper_text"),
-        F.format_string(f"Lower Limit: %.{decimals}f", "lower_limit").alias("lower_text"))
+    return limits.select(format_number_line("Upper Limit", "upper_limit", decimals).alias("upper_text"),
+                         format_number_line("Lower Limit", "lower_limit", decimals).alias("lower_text"))
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:

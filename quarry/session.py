@@ -6,7 +6,6 @@ for tests, ``bench.py`` and command-line use.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -86,11 +85,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/quarry-scratch/{name}-{uuid.uuid4().hex}"
 
 
-def default_partitions(spark: SparkSession) -> int:
-    """Parallelism to aim at when an operator picks a partition count itself."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-
-
 def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20, max_split_bytes: int = 512 << 20) -> dict:
     """Partition sizing for a cluster run over ``input_bytes`` of (compressed) input.
 
@@ -109,10 +103,6 @@ def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20, max_sp
     }
 
 
-def env_int(name: str, default: int) -> int:
-    return int(os.environ.get(name, default))
-
-
 def spread_if_narrow(df):
     """Round-robin ``df`` over the cluster's parallelism when it has fewer partitions.
 

@@ -207,3 +207,23 @@ def test_segmented_running_total_with_hot_key(spark):
     j = got.join(ref, ["k", "o", "v"])
     assert got.count() == 3000
     assert j.where(~F.col("r").eqNullSafe(F.col("r2"))).count() == 0
+
+
+def test_scalar_helpers(spark):
+    from pyspark.errors import PySparkException
+    from quarry.functions.scalar import to_decimal, to_number_lenient, to_timestamp_lenient
+    df = spark.createDataFrame([("12.345", "2020-01-02 03:04:05"), ("x1", "not a date")], "n string, t string")
+    lenient = df.select("n", to_number_lenient("n").alias("x"), to_timestamp_lenient("t").alias("ts"))
+    got = {r["n"]: r for r in lenient.collect()}
+    assert got["12.345"]["x"] == 12.345 and got["12.345"]["ts"].day == 2
+    assert got["x1"]["x"] is None and got["x1"]["ts"] is None
+    assert str(df.where("n = '12.345'").select(to_decimal("n")).first()[0]) == "12.35"
+    with pytest.raises(PySparkException):
+        df.select(to_decimal("n")).collect()           # strict, as convert() fails on bad text
+
+
+def test_scale_conf_sizes_partitions():
+    from quarry.session import scale_conf
+    c = scale_conf(100 * 2 ** 40)
+    assert int(c["spark.sql.shuffle.partitions"]) == 100 * 2 ** 40 // (256 << 20)
+    assert int(scale_conf(10)["spark.sql.shuffle.partitions"]) == 200

@@ -16,12 +16,8 @@ from pyspark.sql.types import StructType
 
 from ..session import scratch_path
 
-_LOCATIONS: dict[str, str] = {}
-
-
 def drop_if_exists(spark: SparkSession, name: str) -> None:
     spark.catalog.dropTempView(name)
-    _LOCATIONS.pop(name, None)
 
 
 def coerce_to_schema(df: DataFrame, schema: StructType) -> DataFrame:
@@ -38,7 +34,6 @@ def select_into(df: DataFrame, name: str) -> DataFrame:
         raise ValueError(f"{name} already exists; drop it first")
     path = scratch_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
-    _LOCATIONS[name] = path
     out = spark.read.parquet(path)
     out.createOrReplaceTempView(name)
     return out

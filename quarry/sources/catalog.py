@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from ..session import scratch_path
 
+
 def drop_if_exists(spark: SparkSession, name: str) -> None:
     spark.catalog.dropTempView(name)
 

@@ -46,6 +46,17 @@ _ID_SHIFT = 33
 SINGLE_TASK_MAX_ROWS = 1_000_000
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A deterministic 64-bit hash of each whole row (map columns, which cannot be hashed, are skipped).
+
+    Used as a tie-break: the same on every task attempt, unlike a row id taken after a
+    shuffle, so a recomputed map task routes each row exactly as before.
+    """
+    from pyspark.sql.types import MapType
+    cols = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, MapType)]
+    return F.xxhash64(*cols) if cols else F.lit(0).cast("bigint")
+
+
 def _cols(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
@@ -135,10 +146,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
     groups = list(group_cols)
     # ``_t`` breaks ties between equal values so that a value held by a large share of
     # the rows is still spread over several ranges (any tie order gives the same result).
-    # A hash of the whole input row: the same on every task attempt (a row id taken after
-    # a shuffle would not be), so a recomputed map task routes each row to the same range.
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    vals = (df.select(*groups, F.col(value).cast("double").alias("_v"), row_hash.alias("_t"))
+    vals = (df.select(*groups, F.col(value).cast("double").alias("_v"), row_hash(df).alias("_t"))
               .where(F.col("_v").isNotNull()))
     ranked = global_row_number(vals, [*groups, "_v", "_t"], name="_rn", num_buckets=num_buckets, keep_total=True)
     if groups:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import format_number_line
-from .rank import exact_quantiles
+from .rank import exact_quantiles, row_hash
 
 
 def long_values(df: DataFrame, cols: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
@@ -25,7 +25,7 @@ def long_values(df: DataFrame, cols: Sequence[str], extra: Sequence[str] = ()) -
     ``_row`` is a hash of the source row; it keeps equal values of different rows apart
     (the rank operators use it to split a value held by many rows).
     """
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    row = row_hash(df).alias("_row")
     return (df.select(*extra, row, *[F.col(c).cast("double").alias(c) for c in cols])
               .unpivot([*extra, "_row"], list(cols), "column_name", "value"))
 

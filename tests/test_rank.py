@@ -62,3 +62,8 @@ def test_quantiles_with_a_hot_value_spread_over_ranges(spark):
     q = exact_quantiles(df, "x", {"m": 0.5, "p1": 0.1}).first()
     ref = df.agg(F.percentile("x", 0.5), F.percentile("x", 0.1)).first()
     assert (q["m"], q["p1"]) == (pytest.approx(ref[0]), pytest.approx(ref[1]))
+
+
+def test_quantiles_on_a_frame_with_a_map_column(spark):
+    df = spark.createDataFrame([(1.0, {"a": 1}), (2.0, {"b": 2}), (4.0, None)], "x double, m map<string,int>")
+    assert exact_quantiles(df, "x", {"m": 0.5}).first()["m"] == 2.0

@@ -84,8 +84,10 @@ def backfill(df: DataFrame, value: str, order: Sequence[str], out: str | None =
     #    any later range. One row per range, so the un-partitioned window is bounded.
     first_valid = F.min(F.when(v.isNotNull(), F.struct(F.col(POS).alias("p"), v.alias("v"))))
     per_bucket = b.groupBy(BUCKET).agg(first_valid.getField("v").alias("_first"))
-    later = Window.orderBy(BUCKET).rowsBetween(1, Window.unboundedFollowing)
-    carry = per_bucket.select(BUCKET, F.first("_first", ignorenulls=True).over(later).alias("_carry"))
+    # the first valid value of any later range = the last one seen scanning ranges backwards
+    # (a growing frame again: linear in the number of ranges)
+    later = Window.orderBy(F.col(BUCKET).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_bucket.select(BUCKET, F.last("_first", ignorenulls=True).over(later).alias("_carry"))
     res = filled.join(F.broadcast(carry), BUCKET, "left") \
                 .withColumn(out, F.coalesce(F.col("_fill"), F.col("_carry")))
     cols = list(df.columns) + ([out] if out not in df.columns else [])

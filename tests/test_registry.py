@@ -18,7 +18,9 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, duck, name):
+    import tools.check_oracle as co
     from tools.check_oracle import canon
+    co.EXACT = True                      # floats compared bit for bit
     sdf = QUERIES[name](spark, SF_SMALL)
     sc, sr = canon(sdf.columns, [tuple(r) for r in sdf.collect()])
     cur = duck.execute(ORACLE[name])

@@ -178,8 +178,12 @@ def box_stats(df: DataFrame, cols: Sequence[str], whis: float = 1.5) -> DataFram
         F.count_if((v < lo_f) | (v > hi_f)).alias("n_outliers"))
 
 
-def series_buckets(df: DataFrame, ts: str, col: str, every: str = "1 day") -> DataFrame:
-    """A long line chart reduced to time buckets: (bucket_start, n, min, max, mean)."""
-    return (df.groupBy(F.window(ts, every).start.alias("bucket_start"))
-              .agg(F.count(col).alias("n"), F.min(col).alias("min"), F.max(col).alias("max"),
-                   F.avg(col).alias("mean")))
+def series_buckets(df: DataFrame, ts: str, cols: str | Sequence[str], every: str = "1 day") -> DataFrame:
+    """Line charts of one or more series reduced to time buckets:
+    (column_name, bucket_start, n, min, max, mean), one aggregate pass for all series."""
+    cols = [cols] if isinstance(cols, str) else list(cols)
+    long = (df.select(F.window(ts, every).start.alias("bucket_start"), *[F.col(c).cast("double") for c in cols])
+              .unpivot(["bucket_start"], cols, "column_name", "value"))
+    return (long.groupBy("column_name", "bucket_start")
+                .agg(F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"),
+                     F.avg("value").alias("mean")))

@@ -193,11 +193,12 @@ def outliers_drop_gt(spark, d):
     return clean.drop_above(_data(spark, d), "bitcoin", limit)
 
 
-@query("series_buckets", covers="G1", views=P, sql="""
-SELECT date_trunc('day', ts) AS bucket_start, count(bitcoin) AS n, min(bitcoin) AS min, max(bitcoin) AS max,
-       round(avg(bitcoin), 6) AS mean FROM prices GROUP BY 1""")
+@query("series_buckets", covers="G1", views=P, sql=union_all(
+    f"SELECT '{c}' AS column_name, date_trunc('day', ts) AS bucket_start, count({c}) AS n, min({c}) AS min, "
+    f"max({c}) AS max, round(avg({c}), 6) AS mean FROM prices GROUP BY 2" for c in SERIES))
 def series_buckets(spark, d):
-    out = charts.series_buckets(prices(spark, d), "ts", "bitcoin", "1 day")
+    # data.plot(): both series over the raw data, bucketed by day
+    out = charts.series_buckets(prices(spark, d), "ts", SERIES, "1 day")
     return out.withColumn("mean", _r(F.col("mean")))
 
 

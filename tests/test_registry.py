@@ -8,6 +8,8 @@ from quarry.plans.registry import ORACLE, QUERIES, load_all
 load_all()
 
 ROWS_ONLY = sorted(set(QUERIES) - set(ORACLE))
+_DUCK_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "DATE": "date",
+               "TIMESTAMP": "timestamp_ntz", "BOOLEAN": "boolean"}
 
 
 @pytest.fixture(scope="module")
@@ -23,6 +25,9 @@ def test_query_matches_oracle(spark, duck, name):
     co.EXACT = True                      # floats compared bit for bit
     sdf = QUERIES[name](spark, SF_SMALL)
     sc, sr = canon(sdf.columns, [tuple(r) for r in sdf.collect()])
+    rel = duck.sql(ORACLE[name])
+    duck_types = {c: _DUCK_TYPES.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
+    assert {f.name: f.dataType.simpleString() for f in sdf.schema.fields} == duck_types
     cur = duck.execute(ORACLE[name])
     dc, dr = canon([d[0] for d in cur.description], cur.fetchall())
     assert sc == dc

@@ -195,3 +195,20 @@ def box_stats(spark, d):
     out = charts.box_stats(_deduped(spark, d), BOX_VARS)
     return out.select("column_name", *[_r(F.col(c)).alias(c) for c in ("q1", "median", "q3", "iqr")],
                       "whisker_low", "whisker_high", "n_outliers")
+
+
+@query("preview_head5", covers="I2", views=C, sql="SELECT * FROM coasters ORDER BY row_id LIMIT 5")
+def preview_head5(spark, d):
+    # coasters.head(5), in row order
+    return coasters(spark, d).orderBy("row_id").limit(5)
+
+
+@query("coaster_shape", covers="I1 C16", views=C, sql=_DEDUP_SQL + """
+SELECT 'raw' AS stage, count(*) AS n_rows, 10 AS n_cols FROM coasters
+UNION ALL
+SELECT 'deduplicated' AS stage, count(*) AS n_rows, 10 AS n_cols FROM cd""")
+def coaster_shape(spark, d):
+    # coasters.shape before and after the dedup step
+    raw = dq.shape(coasters(spark, d)).select(F.lit("raw").alias("stage"), "n_rows", "n_cols")
+    ded = dq.shape(_deduped(spark, d)).select(F.lit("deduplicated").alias("stage"), "n_rows", "n_cols")
+    return raw.unionByName(ded)

@@ -266,3 +266,12 @@ def ols_fit(spark, d):
     # sns.regplot(x='Bitcoin', y='Ether', data=data_cleaned)
     out = stats.least_squares(_data_cleaned(spark, d), "ether", "bitcoin")
     return out.select(*[_r(F.col(c), 9).alias(c) for c in ("slope", "intercept", "r2")], F.col("n").cast("bigint"))
+
+
+@query("bfill_context", covers="W3 P10 C7", views=P, sql=f"""
+, ctx AS (SELECT * FROM prices WHERE ts >= TIMESTAMP '{CONTEXT[0]}' AND ts < TIMESTAMP '{CONTEXT[1]}' + INTERVAL 1 DAY)
+SELECT *, first_value(ether IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+          AS ether_filled FROM ctx""")
+def bfill_context(spark, d):
+    # data.loc[a:b].fillna(method='bfill'): only values inside the slice can fill its gaps
+    return clean.backfill(clean.date_slice(prices(spark, d), "ts", *CONTEXT), "ether", ORDER, out="ether_filled")

@@ -212,3 +212,10 @@ def coaster_shape(spark, d):
     raw = dq.shape(coasters(spark, d)).select(F.lit("raw").alias("stage"), "n_rows", "n_cols")
     ded = dq.shape(_deduped(spark, d)).select(F.lit("deduplicated").alias("stage"), "n_rows", "n_cols")
     return raw.unionByName(ded)
+
+
+@query("year_value_counts", covers="A16", views=C, sql=_DEDUP_SQL + """
+SELECT year_introduced, count(*) AS n FROM cd WHERE year_introduced IS NOT NULL GROUP BY year_introduced""")
+def year_value_counts(spark, d):
+    # coasters['Year_Introduced'].value_counts(): every value, most frequent first
+    return explore.value_counts(_deduped(spark, d), "year_introduced")

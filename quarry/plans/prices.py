@@ -275,3 +275,9 @@ SELECT *, first_value(ether IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWE
 def bfill_context(spark, d):
     # data.loc[a:b].fillna(method='bfill'): only values inside the slice can fill its gaps
     return clean.backfill(clean.date_slice(prices(spark, d), "ts", *CONTEXT), "ether", ORDER, out="ether_filled")
+
+
+@query("hist_150_ether", covers="G2", views=P, sql=_DATA_SQL + hist_sql("data_cleaned", "ether", 150))
+def hist_150_ether(spark, d):
+    # data_cleaned.plot(kind='hist', y='Ether', bins=150): the back-filled series
+    return charts.histogram(_data_cleaned(spark, d), "ether", 150)

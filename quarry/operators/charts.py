@@ -62,6 +62,21 @@ def equal_width_bin(x: Column, lo: float | None, hi: float | None, k: int) -> Co
     return F.when(down, b0 - 1).when(up, b0 + 1).otherwise(b0).cast("int")
 
 
+def fd_bins(df: DataFrame, col: str, cap: int = 50) -> int:
+    """Default bin count of a distribution plot: min(Freedman–Diaconis bins, cap).
+
+    Width 2·IQR·n^(−1/3) over the range; √n bins when the IQR is 0; 1 bin below 2 values.
+    IQR from the distributed exact quantiles; one row of parameters is read back.
+    """
+    st = range_params(df, [col])[col]
+    if st.n < 2:
+        return 1
+    q = exact_quantiles(df, col, {"q25": 0.25, "q75": 0.75}).first()
+    h = 2 * (q["q75"] - q["q25"]) / (st.n ** (1 / 3))
+    k = int(math.sqrt(st.n)) if h == 0 else int(math.ceil((st.hi - st.lo) / h))
+    return min(k, cap)
+
+
 def histogram(df: DataFrame, col: str, k: int, density: bool = False) -> DataFrame:
     """``.plot(kind='hist', bins=k)``: (bin, lo, hi, n[, density]) for all k bins.
 

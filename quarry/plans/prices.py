@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import charts, clean, dq, stats
 from ..sources.views import prices
 from .registry import query
-from .sqlgen import hist_sql, union_all
+from .sqlgen import edges_sql, hist_sql, union_all
 
 P = ("prices",)
 COLS = ["event_id", "ts", "bitcoin", "ether"]
@@ -207,10 +207,32 @@ def hist_150(spark, d):
     return charts.histogram(_bitcoin_cleaned(spark, d), "bitcoin", 150)
 
 
-@query("density_hist", covers="G3", views=P,
-       sql=_DATA_SQL + hist_sql("btc_cleaned", "bitcoin", 50, density=True))
+def _fd_density_sql(src: str, col: str, cap: int = 50) -> str:
+    """Density histogram with the Freedman–Diaconis bin count computed in SQL (k ≤ cap)."""
+    w = "((st.hi - st.lo) / fdk.k)"
+    b0 = f"least(greatest(floor((x.{col} - st.lo) * (CAST(fdk.k AS DOUBLE) / (st.hi - st.lo))), 0), fdk.k - 1)"
+    bin_expr = (f"CAST(CASE WHEN x.{col} < st.lo + {b0} * {w} THEN {b0} - 1 "
+                f"WHEN x.{col} >= st.lo + ({b0} + 1) * {w} AND {b0} <> fdk.k - 1 THEN {b0} + 1 ELSE {b0} END AS INTEGER)")
+    h = f"(2 * iqr / pow(CAST(n AS DOUBLE), CAST(1 AS DOUBLE) / 3))"
+    return f""", fd AS (SELECT count({col}) AS n, max({col}) - min({col}) AS rng,
+                  quantile_cont({col}, 0.75) - quantile_cont({col}, 0.25) AS iqr FROM {src}),
+fdk AS (SELECT CAST(least({cap}, CASE WHEN n < 2 THEN 1 WHEN {h} = 0 THEN floor(sqrt(n))
+                                      ELSE ceil(rng / {h}) END) AS BIGINT) AS k FROM fd),
+st AS ({edges_sql(col, src)}),
+binned AS (SELECT {bin_expr} AS bin FROM {src} x, st, fdk WHERE x.{col} IS NOT NULL),
+counts AS (SELECT bin, count(*) AS n FROM binned GROUP BY bin),
+h AS (SELECT s.bin, st.lo + s.bin * {w} AS lo, st.lo + (s.bin + 1) * {w} AS hi, coalesce(c.n, 0) AS n,
+             st.n AS total, {w} AS width
+      FROM (SELECT CAST(range AS INTEGER) AS bin FROM range({cap})) s CROSS JOIN st CROSS JOIN fdk
+      LEFT JOIN counts c ON s.bin = c.bin WHERE s.bin < fdk.k)
+SELECT bin, lo, hi, n, round(n / (total * width), 12) AS density FROM h"""
+
+
+@query("density_hist", covers="G3", views=P, sql=_DATA_SQL + _fd_density_sql("btc_cleaned", "bitcoin"))
 def density_hist(spark, d):
-    h = charts.histogram(_bitcoin_cleaned(spark, d), "bitcoin", 50, density=True)
+    # sns.distplot(data_cleaned['Bitcoin']): density histogram with the default (Freedman–Diaconis) bins
+    btc = _bitcoin_cleaned(spark, d)
+    h = charts.histogram(btc, "bitcoin", charts.fd_bins(btc, "bitcoin"), density=True)
     return h.withColumn("density", F.round("density", 12))
 
 

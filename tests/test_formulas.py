@@ -47,3 +47,16 @@ def test_histogram_bins_match_numpy(spark, seed):
     assert [r["n"] for r in h] == list(counts)
     assert [r["lo"] for r in h] == pytest.approx(list(edges[:-1]))
     assert [r["hi"] for r in h] == pytest.approx(list(edges[1:]))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_fd_bins_match_numpy_rule(spark, seed):
+    rng = np.random.default_rng(seed)
+    vals = rng.gamma(2.0, 3.0, size=int(rng.integers(20, 400)))
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    q75, q25 = np.percentile(vals, [75, 25])
+    h = 2 * (q75 - q25) / (len(vals) ** (1 / 3))
+    expected = min(int(np.ceil((vals.max() - vals.min()) / h)), 50)
+    assert charts.fd_bins(df, "x") == expected
+    const = spark.createDataFrame([(1.0,)] * 9, "x double")
+    assert charts.fd_bins(const, "x") == 3                    # IQR 0: sqrt(n) bins

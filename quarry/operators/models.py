@@ -124,3 +124,32 @@ def gamma_glm(df: DataFrame, label: str, features: Sequence[str], key: str) -> D
     finally:
         train.unpersist()
     return model.transform(data).select(key, label, "prediction")
+
+
+def bootstrap_corr_ci(df: DataFrame, x: str, y: str, key: str, replicates: int = 100, seed: int = 7,
+                      alpha: float = 0.05) -> DataFrame:
+    """Percentile interval of the Pearson correlation of (x, y) from a Poisson bootstrap.
+
+    Each replicate's correlation comes from its weighted sums (Σw, Σwx, Σwy, Σwx², Σwy², Σwxy),
+    aggregated per replicate with partial aggregation; complete pairs only.
+    One row: (statistic, estimate, ci_low, ci_high, replicates).
+    """
+    from ..session import spread_if_narrow
+    base = (df.select(F.col(key).alias("_k"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+              .where(F.col("_x").isNotNull() & F.col("_y").isNotNull()))
+    reps = spread_if_narrow(base).select("_x", "_y", "_k", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_b"))
+    w = poisson1_weight(hash_uniform(F.col("_k"), F.col("_b"), seed=seed)).cast("double")
+    xs, ys = F.col("_x"), F.col("_y")
+    sums = (reps.select("_b", w.alias("_w"), "_x", "_y")
+                .groupBy("_b").agg(F.sum("_w").alias("sw"), F.sum(F.col("_w") * xs).alias("sx"),
+                                   F.sum(F.col("_w") * ys).alias("sy"), F.sum(F.col("_w") * xs * xs).alias("sxx"),
+                                   F.sum(F.col("_w") * ys * ys).alias("syy"), F.sum(F.col("_w") * xs * ys).alias("sxy")))
+    cov = F.col("sxy") / F.col("sw") - (F.col("sx") / F.col("sw")) * (F.col("sy") / F.col("sw"))
+    vx = F.col("sxx") / F.col("sw") - (F.col("sx") / F.col("sw")) ** 2
+    vy = F.col("syy") / F.col("sw") - (F.col("sy") / F.col("sw")) ** 2
+    per_rep = sums.select((cov / F.sqrt(vx * vy)).alias("_r"))
+    ci = per_rep.agg(F.percentile("_r", alpha / 2).alias("ci_low"), F.percentile("_r", 1 - alpha / 2).alias("ci_high"),
+                     F.count(F.lit(1)).alias("replicates"))
+    estimate = base.select(F.corr("_x", "_y")).scalar()
+    return ci.select(F.lit(f"corr({x},{y})").alias("statistic"), estimate.alias("estimate"), "ci_low", "ci_high",
+                     "replicates")

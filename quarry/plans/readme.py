@@ -73,3 +73,9 @@ def model_comparison(spark, d):
 @query("gamma_glm", covers="R7")
 def gamma_glm(spark, d):
     return models.gamma_glm(coasters(spark, d), "speed_mph", MODEL_FEATURES, "row_id")
+
+
+@query("bootstrap_corr", covers="R5")
+def bootstrap_corr(spark, d):
+    # correlation with a bootstrap interval: coaster speed vs height
+    return models.bootstrap_corr_ci(coasters(spark, d), "speed_mph", "height_ft", "row_id", replicates=100)

@@ -227,3 +227,13 @@ def test_scale_conf_sizes_partitions():
     c = scale_conf(100 * 2 ** 40)
     assert int(c["spark.sql.shuffle.partitions"]) == 100 * 2 ** 40 // (256 << 20)
     assert int(scale_conf(10)["spark.sql.shuffle.partitions"]) == 200
+
+
+def test_bootstrap_corr_interval(spark):
+    from quarry.operators.models import bootstrap_corr_ci
+    from quarry.sources.views import coasters
+    c = coasters(spark, "/root/testdata/sf0.01")
+    r = bootstrap_corr_ci(c, "speed_mph", "height_ft", "row_id", replicates=60).first()
+    ref = c.select(F.corr("speed_mph", "height_ft")).first()[0]
+    assert r["estimate"] == pytest.approx(ref) and r["ci_low"] <= r["estimate"] <= r["ci_high"]
+    assert -1 <= r["ci_low"] <= r["ci_high"] <= 1 and r["replicates"] == 60

@@ -51,3 +51,13 @@ def test_select_into_refuses_an_existing_name(spark):
     assert catalog.read_back(spark, "t_into").count() == 3
     catalog.drop_if_exists(spark, "t_into")
     catalog.drop_if_exists(spark, "t_into")                                   # idempotent
+
+
+def test_cli_lists_every_registered_analysis(capsys):
+    from quarry.cli import main
+    from quarry.plans.registry import QUERIES, load_all
+    load_all()
+    assert main(["list"]) == 0
+    out = capsys.readouterr().out
+    assert all(name in out for name in QUERIES)
+    assert main(["run", "no_such_query", "--sf", "/nowhere"]) == 2

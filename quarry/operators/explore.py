@@ -121,3 +121,19 @@ def grouped_totals(df: DataFrame, keys: Sequence[str], sums: dict[str, object],
         alias, num, den = ratio
         out = out.withColumn(alias, pct(F.col(num).cast("double"), F.col(den).cast("double")))
     return out
+
+
+def best_by_dimension(df: DataFrame, dims: dict, amount: str = "sales") -> DataFrame:
+    """For each named dimension, the value with the highest total of ``amount``.
+
+    ``dims`` maps a name to a Column (NULL where the row does not count for it, e.g. outside
+    a period). One scan: rows are expanded once per dimension, totals per (dimension,
+    value) are partially aggregated, then the best value per dimension is the maximum of
+    (total, value) — ties go to the larger value, deterministically.
+    (dimension, best_value, revenue)
+    """
+    base = df.select(F.col(amount).alias("_amt"), *[col_(c).cast("string").alias(n) for n, c in dims.items()])
+    long = base.unpivot(["_amt"], list(dims), "dimension", "value").where(F.col("value").isNotNull())
+    totals = long.groupBy("dimension", "value").agg(F.sum("_amt").cast("double").alias("revenue"))
+    best = totals.groupBy("dimension").agg(F.max(F.struct("revenue", "value")).alias("_b"))
+    return best.select("dimension", F.col("_b.value").alias("best_value"), F.col("_b.revenue").alias("revenue"))

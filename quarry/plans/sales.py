@@ -10,6 +10,7 @@ from ..operators.rank import ntile
 from ..sources import catalog
 from ..sources.views import SHIPPED, sales
 from .registry import query
+from .sqlgen import union_all
 
 # Parameters of the registered queries (the reference hard-codes its year/month the same way).
 LAST_YEAR = " 2001"          # text with a leading blank, compared as a number
@@ -233,3 +234,35 @@ def dashboard_sales(spark, d):
 SELECT ordernumber, count(*) AS n_lines FROM sales WHERE status = 'F' GROUP BY ordernumber""")
 def lines_per_order(spark, d):
     return explore.lines_per_key(sales(spark, d), "ordernumber", F.col("status") == SHIPPED)
+
+
+def _summary_dims():
+    y, m = int(YEAR.strip()), int(MONTH.strip())
+    in_year = explore.period_filter(YEAR)
+    in_month = explore.period_filter(YEAR, MONTH)
+    return {
+        "product_line": F.col("productline"),
+        "year": F.col("year_id"),
+        "deal_size": F.col("dealsize"),
+        f"month_of_{y}": F.when(in_year, F.col("month_id")),
+        f"product_line_in_{y}_{m:02d}": F.when(in_month, F.col("productline")),
+    }
+
+
+def _summary_sql():
+    y, m = int(YEAR.strip()), int(MONTH.strip())
+    parts = [("product_line", "productline", "TRUE"), ("year", "year_id", "TRUE"), ("deal_size", "dealsize", "TRUE"),
+             (f"month_of_{y}", "month_id", f"year_id = {y}"),
+             (f"product_line_in_{y}_{m:02d}", "productline", f"year_id = {y} AND month_id = {m}")]
+    long = union_all(f"SELECT '{n}' AS dimension, CAST({c} AS VARCHAR) AS value, sales FROM sales WHERE {w}"
+                     for n, c, w in parts)
+    return f""", long AS ({long}),
+totals AS (SELECT dimension, value, CAST(sum(sales) AS DOUBLE) AS revenue FROM long GROUP BY dimension, value),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY revenue DESC, value DESC) AS rn FROM totals)
+SELECT dimension, value AS best_value, revenue FROM ranked WHERE rn = 1"""
+
+
+@query("sales_summary", covers="C15 A1 A2 A3", views=S, sql=_summary_sql())
+def sales_summary(spark, d):
+    # best line, best year, best deal size, best month of the year, best line in that month
+    return explore.best_by_dimension(sales(spark, d), _summary_dims())

@@ -28,6 +28,8 @@ from .common import byte_slices, map_arrow, scratch_table, utf8_list
 
 # Words that a worker remembers with their ids, so that frequent words are encoded once.
 REMEMBERED = 300_000
+# Shares of the fractional solution that are tried in rounding; the fewest sequences win.
+ROUNDING = (1.0, 0.75, 0.5, 0.25)
 # Letters that the word tokenizer's normaliser only lower-cases, then marks that it keeps together.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
 
@@ -222,20 +224,13 @@ class Plan:
         part = sorted((n, c) for n, c in histogram.items() if n < capacity and c > 0)
         lengths = np.array([n for n, _ in part], np.int64)
         counts = np.array([c for _, c in part], np.int64)
-        chosen: list[tuple[tuple[tuple[int, int], ...], int]] = []
-        left = counts.copy()
+        chosen: dict[tuple[tuple[int, int], ...], int] = {}
         if len(lengths):
-            for made, x in solve_configurations(lengths, counts, capacity, **solver).items():
-                at, times = (np.array(v) for v in zip(*made))
-                n = min(int(x), int((left[at] // times).min()))
-                if n > 0 and int((lengths[at] * times).sum()) >= capacity - 1:
-                    left[at] -= n * times
-                    chosen.append((made, n))
-            rest = np.flatnonzero(left)
-            for made, n in best_fit_counts(lengths[rest], left[rest], capacity).items():
-                chosen.append((tuple((int(rest[k]), times) for k, times in made), n))
+            solution = solve_configurations(lengths, counts, capacity, **solver)
+            chosen = min((self._rounded(solution, scale, lengths, counts, capacity) for scale in ROUNDING),
+                         key=lambda c: sum(c.values()))
         rows, base, seen = [], 0, {}
-        for made, n in chosen:
+        for made, n in chosen.items():
             offset = 0
             for k, times in made:
                 size = int(lengths[k])
@@ -251,6 +246,23 @@ class Plan:
         self.key = (table[:, 0] << 44) | table[:, 1]
         self.first, self.base, self.times, self.offset = (table[:, c] for c in range(1, 5))
 
+    @staticmethod
+    def _rounded(solution, scale: float, lengths, counts, capacity: int) -> dict[tuple[tuple[int, int], ...], int]:
+        """``scale`` times the solution rounded down, then the rest of the histogram best-fit."""
+        out: dict[tuple[tuple[int, int], ...], int] = {}
+        left = counts.copy()
+        for made, x in solution.items():
+            at, times = (np.array(v) for v in zip(*made))
+            n = min(int(scale * x), int((left[at] // times).min()))
+            if n > 0 and int((lengths[at] * times).sum()) >= capacity - 1:
+                left[at] -= n * times
+                out[made] = n
+        rest = np.flatnonzero(left)
+        for made, n in best_fit_counts(lengths[rest], left[rest], capacity).items():
+            made = tuple(sorted((int(rest[k]), times) for k, times in made))
+            out[made] = out.get(made, 0) + n
+        return out
+
     def place(self, length: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         row = np.searchsorted(self.key, (length << 44) | number, "right") - 1
         n = number - self.first[row]

@@ -91,7 +91,9 @@ class ByteConvNet:
         dz = dh @ p["mix"].T
         n, text = live.shape[1], np.repeat(np.arange(len(y)), np.diff(first))
         dchunk = dz[text, n:] / np.diff(first)[text, None].astype(np.float32)
-        dchunk += np.where(live == z[text, :n], dz[text, :n], 0)
+        most = live == z[text, :n]
+        ties = np.add.reduceat(most, first[:-1], dtype=np.float32)
+        dchunk += np.where(most, (dz[:, :n] / ties)[text], 0)
         dchunk *= live > 0
         g["bias"] = dchunk.sum(0)
         own = chunk == top

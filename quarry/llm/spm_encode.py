@@ -196,7 +196,7 @@ class OffsetEncoder:
         return ids, decimal, source[at[:-1]], source[at[1:]]
 
     def _surface_ends(self, shown: str, ids: list[int]) -> np.ndarray:
-        surfaces = self._cutter.encode(shown, out_type="immutable_proto").pieces
+        surfaces = self._cutter.encode(shown, return_type="proto").pieces
         return np.concatenate([[0], np.cumsum([len(p.surface.encode()) for p in surfaces])])
 
     def decode(self, ids: list[int]) -> str:

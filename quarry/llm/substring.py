@@ -31,7 +31,8 @@ from .common import (WordHasher, byte_slices, int64_column, map_arrow, mix64, sc
 
 WINDOW, ANCHOR, PERIOD, COVER = 13, 7, 7, (0, 1, 3)
 # Anchors or windows gathered in a task before it hands its buckets on.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
+SLICE = 1 << 20  # bytes of text that one numpy step hashes
 _SEEDS, _BASES = (11, 12), (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -100,7 +101,7 @@ def _settle(keys: list[np.ndarray], docs: np.ndarray, both_ends: bool, n_buckets
 
 def _anchor_rows(batches: Iterable[pa.RecordBatch], p: dict) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
-    for part in byte_slices(batches, "text"):
+    for part in byte_slices(batches, "text", SLICE):
         ids, there = int64_column(part.column("id"))
         _, _, h, first = _hasher(0).words(*utf8_parts(part.column("text")))
         text, place = _positions(first)
@@ -119,6 +120,17 @@ def _flush(held, p) -> Iterator[pa.RecordBatch]:
         yield from _settle([key], docs, True, p["buckets"], ["k1"])
 
 
+def _to_docs(docs: np.ndarray, key: np.ndarray, n_buckets: int) -> pa.Table:
+    """(bucket, docs, keys): one row for each bucket of documents, so that a document's keys meet again."""
+    bucket = ((mix64(docs.view(np.uint64)) >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    docs, key, bucket = docs[order], key[order], bucket[order]
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(docs) else np.zeros(0, np.int64)
+    at = pa.array(np.concatenate([cut, [len(docs)]]).astype(np.int32))
+    return pa.table({"bucket": pa.array(bucket[cut]), "docs": pa.ListArray.from_arrays(at, pa.array(docs)),
+                     "keys": pa.ListArray.from_arrays(at, pa.array(key))})
+
+
 def _flat(table: pa.Table, name: str) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *[c.flatten().to_numpy() for c in table.column(name).chunks]])
 
@@ -129,8 +141,8 @@ def _split(table: pa.Table, names: list[str]) -> tuple[list[np.ndarray], list[np
     return tuple([_flat(part, c) for c in names] for part in (table.filter(pc.invert(settled)), table.filter(settled)))
 
 
-def _shared_anchors(table: pa.Table) -> pa.Table:
-    """(doc, keys) of the anchors of one bucket that more than one document has."""
+def _shared_anchors(table: pa.Table, n_buckets: int) -> pa.Table:
+    """(bucket, docs, keys) of the anchors of one bucket that more than one document has."""
     (key, docs), (sure_key, sure_docs) = _split(table, ["k1", "docs"])
     order = np.argsort(key, kind="stable")
     key, docs = key[order], docs[order]
@@ -139,11 +151,12 @@ def _shared_anchors(table: pa.Table) -> pa.Table:
         shared = np.minimum.reduceat(docs, run) != np.maximum.reduceat(docs, run)
         ok = np.repeat(shared, np.diff(np.concatenate([run, [len(key)]])))
         key, docs = key[ok], docs[ok]
-    return _by_doc(np.concatenate([docs, sure_docs]), np.concatenate([key, sure_key]))
+    return _to_docs(np.concatenate([docs, sure_docs]), np.concatenate([key, sure_key]), n_buckets)
 
 
-def _by_doc(docs: np.ndarray, key: np.ndarray) -> pa.Table:
+def _by_doc(table: pa.Table) -> pa.Table:
     """(doc, keys): one row per document with the keys of it, each once."""
+    docs, key = _flat(table, "docs"), _flat(table, "keys")
     if not len(docs):
         return pa.table({"doc": pa.array([], pa.int64()), "keys": pa.array([], pa.list_(pa.int64()))})
     order = np.lexsort((key, docs))
@@ -176,7 +189,7 @@ def _of_text(text: np.ndarray, salt: np.uint64) -> np.ndarray:
 
 def _window_rows(batches: Iterable[pa.RecordBatch], p: dict) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for part in byte_slices(batches, "text"):
+    for part in byte_slices(batches, "text", SLICE):
         ids, _ = int64_column(part.column("id"))
         raw, at = utf8_parts(part.column("text"))
         _, _, h, first = _hasher(0).words(raw, at)
@@ -209,8 +222,8 @@ def _flush_windows(held, p) -> Iterator[pa.RecordBatch]:
         yield from _settle([k1, k2], docs, False, p["buckets"], ["k1", "k2"])
 
 
-def _repeated_windows(table: pa.Table) -> pa.Table:
-    """(doc, keys) of the windows of one bucket that a document with a smaller id has as well."""
+def _repeated_windows(table: pa.Table, n_buckets: int) -> pa.Table:
+    """(bucket, docs, keys) of the windows of one bucket that a document with a smaller id has as well."""
     (k1, k2, docs), (sure_key, _, sure_docs) = _split(table, ["k1", "k2", "docs"])
     order = np.lexsort((docs, k2, k1))
     k1, k2, docs = k1[order], k2[order], docs[order]
@@ -218,11 +231,11 @@ def _repeated_windows(table: pa.Table) -> pa.Table:
         run = np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))
         ok = docs > np.repeat(docs[run], np.diff(np.concatenate([run, [len(k1)]])))
         k1, docs = k1[ok], docs[ok]
-    return _by_doc(np.concatenate([docs, sure_docs]), np.concatenate([k1, sure_key]))
+    return _to_docs(np.concatenate([docs, sure_docs]), np.concatenate([k1, sure_key]), n_buckets)
 
 
 def _kept(batches: Iterable[pa.RecordBatch], p: dict) -> Iterator[pa.RecordBatch]:
-    for part in byte_slices(batches, "text"):
+    for part in byte_slices(batches, "text", SLICE):
         raw, at = utf8_parts(part.column("text"))
         begin, end, h, first = _hasher(0).words(raw, at)
         text, place = _positions(first)
@@ -257,20 +270,19 @@ def _judged(base: DataFrame, window: int, anchor: int, period: int, cover: tuple
     """``base`` (id, text, ...) with ``keys``: its windows that a document with a smaller id has."""
     _check_cover(window, anchor, period, cover)
     spark = base.sparkSession
-    n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     p = {"window": window, "anchor": anchor, "period": period, "cover": list(cover), "buckets": n}
     some = base.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "text")
-    shared = (map_arrow(some, functools.partial(_anchor_rows, p=p),
-                        "bucket int, settled boolean, k1 array<long>, docs array<long>")
-              .groupBy("bucket").applyInArrow(_shared_anchors, "doc long, keys array<long>"))
-    shared = scratch_table(shared, "anchors")
-    shared = shared.groupBy("doc").agg(F.flatten(F.collect_list("keys")).alias("keys"))
-    around = some.join(shared, F.col("id") == F.col("doc")).select("id", "text", "keys")
+    packed, listed = "bucket int, settled boolean, ", "bucket int, docs array<long>, keys array<long>"
+    shared = (map_arrow(some, functools.partial(_anchor_rows, p=p), packed + "k1 array<long>, docs array<long>")
+              .groupBy("bucket").applyInArrow(lambda t: _shared_anchors(t, n), listed)
+              .groupBy("bucket").applyInArrow(_by_doc, "doc long, keys array<long>"))
+    around = some.join(scratch_table(shared, "anchors"), F.col("id") == F.col("doc")).select("id", "text", "keys")
     repeated = (map_arrow(around, functools.partial(_window_rows, p=p),
-                          "bucket int, settled boolean, k1 array<long>, k2 array<long>, docs array<long>")
-                .groupBy("bucket").applyInArrow(_repeated_windows, "doc long, keys array<long>"))
+                          packed + "k1 array<long>, k2 array<long>, docs array<long>")
+                .groupBy("bucket").applyInArrow(lambda t: _repeated_windows(t, n), listed)
+                .groupBy("bucket").applyInArrow(_by_doc, "doc long, keys array<long>"))
     repeated = scratch_table(repeated, "windows")
-    repeated = repeated.groupBy("doc").agg(F.flatten(F.collect_list("keys")).alias("keys"))
     return base.join(repeated, F.col("id") == F.col("doc"), "left").drop("doc"), p
 
 
@@ -285,8 +297,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words; texts shorter than a window lose nothing; a row without an id neither removes nor
     loses words; rows that repeat an id are judged as that one document.
 
-    ``buckets``: how many hash buckets the anchors are dealt into (default: four for each
-    shuffle partition of the session), which bounds what one task sorts.
+    ``buckets``: how many hash buckets the anchors are dealt into (default: as many as
+    the session has shuffle partitions), which bounds what one task sorts.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     judged, p = _judged(base, window, anchor, period, cover, buckets)

@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
 Features are the byte n-grams (four to six) that a lower-cased text has, each counted once.
-A feature's scale is its log-count ratio, log((p + a) / |p|) - log((q + a) / |q|), over the labelled
-texts; features whose document frequencies do not differ clearly between the classes are
+A feature's scale is its log-count ratio, log((p + a) / |p|) - log((q + a) / |q|), with p and q
+the texts of either label that have it; features whose document frequencies do not differ clearly between the classes are
 left out. Logistic regression learns the weights of the scaled features.
 """
 
@@ -20,7 +20,7 @@ from .common import byte_slices, map_arrow, utf8_list
 from .labelled import labelled_sample
 
 ORDERS = (4, 5, 6)
-_TABLE_BITS = 20
+_TABLE_BITS, _COUNT_BITS = 20, 24
 
 
 def _grams(raw: np.ndarray, n: int) -> np.ndarray:
@@ -32,8 +32,8 @@ def _grams(raw: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _slots(keys: np.ndarray) -> np.ndarray:
-    return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE_BITS)
+def _slots(keys: np.ndarray, bits: int = _TABLE_BITS) -> np.ndarray:
+    return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
 
 
 def lowered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,24 +72,33 @@ class ScaledNgrams:
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
-def _document_counts(texts: list[bytes], y: np.ndarray, slice_bytes: int = 2 << 20) -> tuple[np.ndarray, ...]:
-    """(n-gram, labelled 1 texts that have it, labelled 0 texts that have it), slice by slice merged."""
-    keys, pos, neg = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
-    size = np.cumsum([len(t) for t in texts]) // slice_bytes
-    for s in np.unique(size):
-        own = np.flatnonzero(size == s)
-        new_keys, new_text = [], []
-        for k in own:
-            raw, _ = lowered([texts[k]])
-            grams = np.unique(np.concatenate([_grams(raw, n) for n in ORDERS]))
-            new_keys.append(grams)
-            new_text.append(np.full(len(grams), y[k]))
-        merged = np.concatenate([keys, *new_keys])
-        label = np.concatenate(new_text)
-        keys, at = np.unique(merged, return_inverse=True)
-        pos = np.bincount(at, np.concatenate([pos, label]), len(keys))
-        neg = np.bincount(at, np.concatenate([neg, 1 - label]), len(keys))
-    return keys, pos, neg
+def _document_counts(texts: list[bytes], y: np.ndarray, clear) -> tuple[np.ndarray, ...]:
+    """(n-gram, labelled 1 texts that have it, labelled 0 texts that have it) of the n-grams worth a look.
+
+    The first pass counts in hashed slots, so its memory does not depend on the texts; the
+    second counts exactly the n-grams of the slots that ``clear(pos, neg)`` picks.
+    """
+    counts = np.zeros((2, 1 << _COUNT_BITS), np.uint16 if len(texts) < 1 << 16 else np.uint32)
+
+    def grams(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        raw, _ = lowered([text])
+        keys = np.unique(np.concatenate([_grams(raw, n) for n in ORDERS]))
+        return keys, _slots(keys, _COUNT_BITS)
+
+    for text, label in zip(texts, y):
+        counts[int(label), grams(text)[1]] += 1
+    worth = np.zeros(counts.shape[1], bool)
+    for at in range(0, len(worth), 1 << 20):
+        own = slice(at, at + (1 << 20))
+        worth[own] = clear(counts[1, own].astype(float), counts[0, own].astype(float))
+    found, label = [], []
+    for text, one in zip(texts, y):
+        keys, slots = grams(text)
+        found.append(keys[worth[slots]])
+        label.append(np.full(len(found[-1]), one))
+    keys, at = np.unique(np.concatenate(found), return_inverse=True)
+    label = np.concatenate(label)
+    return keys, np.bincount(at, label, len(keys)), np.bincount(at, 1 - label, len(keys))
 
 
 def fit_ngrams(texts: list[bytes], y: np.ndarray, least: int = 4, contrast: float = 4.5, smooth: float = 1.0,
@@ -100,11 +109,15 @@ def fit_ngrams(texts: list[bytes], y: np.ndarray, least: int = 4, contrast: floa
         none.bias = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))) if len(texts) else 0.0
         return none
     ones, zeros = y.sum(), len(y) - y.sum()
-    keys, pos, neg = _document_counts(texts, y)
-    share = (pos + neg) / len(y)
-    z = (pos / ones - neg / zeros) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / ones + 1 / zeros))
-    keep = (pos + neg >= least) & (np.abs(z) >= contrast)
-    ratio = np.log((pos + smooth) / (pos.sum() + smooth * len(keys))) - np.log((neg + smooth) / (neg.sum() + smooth * len(keys)))
+
+    def clear(pos: np.ndarray, neg: np.ndarray, at_least: float = contrast / 2) -> np.ndarray:
+        share = (pos + neg) / len(y)
+        z = (pos / ones - neg / zeros) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / ones + 1 / zeros))
+        return (pos + neg >= least) & (np.abs(z) >= at_least)
+
+    keys, pos, neg = _document_counts(texts, y, clear)
+    keep = clear(pos, neg, contrast)
+    ratio = np.log((pos + smooth) / (ones + 2 * smooth)) - np.log((neg + smooth) / (zeros + 2 * smooth))
     keys, ratio = keys[keep], ratio[keep]
     model = ScaledNgrams(keys, ratio, 0.0)
     raw, at = lowered(texts)

@@ -120,8 +120,12 @@ def fit_ngrams(texts: list[bytes], y: np.ndarray, least: int = 4, contrast: floa
     ratio = np.log((pos + smooth) / (ones + 2 * smooth)) - np.log((neg + smooth) / (zeros + 2 * smooth))
     keys, ratio = keys[keep], ratio[keep]
     model = ScaledNgrams(keys, ratio, 0.0)
-    raw, at = lowered(texts)
-    text, feature = model.present(raw, at)
+    text, feature = [], []
+    for at in range(0, len(texts), 64):  # a few texts at a time, so that only their n-grams are in memory
+        t, f = model.present(*lowered(texts[at:at + 64]))
+        text.append(t + at)
+        feature.append(f)
+    text, feature = np.concatenate(text), np.concatenate(feature)
     value = ratio[feature]
     w, b = np.zeros(len(keys)), float(np.log(ones / zeros))
     state = np.zeros((4, len(keys) + 1))

@@ -39,14 +39,16 @@ def date_slice(df: DataFrame, ts: str, start: str | dt.date, end: str | dt.date)
 def drop_keys(df: DataFrame, key: str | Column, keys: Iterable | DataFrame, key_name: str = "_key") -> DataFrame:
     """``df.drop([labels])``: remove rows whose key is in a list.
 
-    A short literal list becomes ``NOT IN`` (pushed into the scan when ``key`` is a plain
-    column); a DataFrame of keys becomes a left anti join, for lists of any size.
+    A short literal list becomes a filter; a DataFrame of keys becomes a left anti join, for
+    lists of any size. Rows whose key is NULL stay in both forms, and NULLs among ``keys``
+    drop nothing.
     """
     k = col_(key)
     if isinstance(keys, DataFrame):
         other = keys.select(keys.columns[0]).withColumnRenamed(keys.columns[0], key_name)
         return df.join(other, k == F.col(key_name), "left_anti")
-    return df.where(~k.isin(list(keys)))
+    listed = [x for x in keys if x is not None]
+    return df.where(~F.coalesce(k.isin(listed), F.lit(False))) if listed else df
 
 
 def drop_masked(df: DataFrame, mask: Column) -> DataFrame:

@@ -81,13 +81,11 @@ def duplicated_rows(df: DataFrame, order_key: str, subset: Sequence[str] | None
 def drop_duplicates_keep_first(df: DataFrame, order_key: str, subset: Sequence[str] | None = None) -> DataFrame:
     """``df.loc[~df.duplicated(subset)]``: keep the first row of each group, by row order.
 
-    One aggregation: the minimum of (order key, other columns) per group is the whole
-    first row, so rows are shuffled once and a hot group is reduced map-side.
+    The smallest order key of each group is a hash aggregate of the subset alone, and the
+    rows come back by a semi join on that key (which must be unique), so a hot group is
+    reduced map-side and only the columns a caller goes on to use are read.
     """
     subset = list(subset or [c for c in df.columns if c != order_key])
-    rest = [c for c in df.columns if c not in subset]
-    if order_key not in rest:
+    if order_key in subset:
         raise ValueError("order_key must not be part of the subset")
-    rest = [order_key] + [c for c in rest if c != order_key]
-    firsts = df.groupBy(*subset).agg(F.min(F.struct(*rest)).alias("_first"))
-    return firsts.select(*subset, *[F.col(f"_first.{c}").alias(c) for c in rest]).select(*df.columns)
+    return df.join(first_row_keys(df, subset, order_key), order_key, "left_semi").select(*df.columns)

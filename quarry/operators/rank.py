@@ -17,10 +17,6 @@ risk), so the global operators here run as:
    gives each bucket's offset; it is broadcast back, and rank = offset + position + 1.
 
 Exact whatever bounds the sampling picks; only the balance depends on them.
-
-A caller that already knows its input is small (a counted, materialised table with at
-most ``SINGLE_TASK_MAX_ROWS`` rows) may take the built-in window instead: a bounded
-single-task sort, the same reasoning as a broadcast below a checked size.
 """
 
 from __future__ import annotations
@@ -40,22 +36,6 @@ TOTAL = "_total"
 # Partition index lives in the upper 31 bits of monotonically_increasing_id.
 _ID_SHIFT = 33
 
-# Size check for the built-in window: an input whose row count is known to be at most
-# this is ordered by one task (like a broadcast below its threshold); anything larger,
-# or of unknown size, takes the distributed range path.
-SINGLE_TASK_MAX_ROWS = 1_000_000
-
-
-def row_hash(df: DataFrame) -> Column:
-    """A deterministic 64-bit hash of each whole row (map columns, which cannot be hashed, are skipped).
-
-    Used as a tie-break: the same on every task attempt, unlike a row id taken after a
-    shuffle, so a recomputed map task routes each row exactly as before.
-    """
-    from pyspark.sql.types import MapType
-    cols = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, MapType)]
-    return F.xxhash64(*cols) if cols else F.lit(0).cast("bigint")
-
 
 def _cols(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
@@ -122,14 +102,8 @@ def ntile_from_rank(rn: Column, total: Column, k: int) -> Column:
 
 
 def ntile(df: DataFrame, k: int, order: Sequence[str | Column], name: str = "ntile",
-          num_buckets: int | None = None, known_rows: int | None = None) -> DataFrame:
-    """Add ``ntile(k) over (order by <order>)`` as column ``name``.
-
-    Distributed unless the caller knows the input has at most ``SINGLE_TASK_MAX_ROWS``
-    rows (``known_rows``), in which case the built-in window's single sort is bounded.
-    """
-    if known_rows is not None and known_rows <= SINGLE_TASK_MAX_ROWS:
-        return df.withColumn(name, F.ntile(k).over(Window.orderBy(*_cols(order))))
+          num_buckets: int | None = None) -> DataFrame:
+    """Add ``ntile(k) over (order by <order>)`` as column ``name``, by the distributed rank."""
     ranked = global_row_number(df, order, name="_rn", num_buckets=num_buckets, keep_total=True)
     return ranked.withColumn(name, ntile_from_rank(F.col("_rn"), F.col(TOTAL), k)).drop("_rn", TOTAL)
 
@@ -138,40 +112,46 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
                     group_cols: Sequence[str] = (), num_buckets: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas/numpy default), NULLs skipped.
 
-    Returns one row per group with one column per entry of ``probs`` (alias → p).
-    Built on one distributed rank over (group, value): no per-value counter map in a
-    single task (as ``percentile`` keeps), no sampling. At position h = (n-1)·p the
-    result is v[⌊h⌋] + (v[⌊h⌋+1] − v[⌊h⌋])·(h − ⌊h⌋).
+    Returns one row per group with one column per entry of ``probs`` (alias → p); rows with
+    a NULL group are left out, as pandas' grouping does. At position h = (n-1)·p the result is
+    v[⌊h⌋] + (v[⌊h⌋+1] − v[⌊h⌋])·(h − ⌊h⌋).
+
+    Only the value and group columns are read, and equal values are counted first (a
+    partial aggregate, so a hot value collapses before any shuffle). The (group, value,
+    count) rows are cut into ranges; a small table of count totals per (range, group) gives
+    the rows before each range, and a window per (range, group) the rows before each value.
+    No exchange that carries those rows is keyed by the group alone.
     """
     groups = list(group_cols)
-    # ``_t`` breaks ties between equal values so that a value held by a large share of
-    # the rows is still spread over several ranges (any tie order gives the same result).
-    vals = (df.select(*groups, F.col(value).cast("double").alias("_v"), row_hash(df).alias("_t"))
-              .where(F.col("_v").isNotNull()))
-    ranked = global_row_number(vals, [*groups, "_v", "_t"], name="_rn", num_buckets=num_buckets, keep_total=True)
-    if groups:
-        # Rank inside the group = global rank − rows of earlier groups (first rank − 1).
-        sizes = ranked.groupBy(*groups).agg(F.min("_rn").alias("_first"), F.count(F.lit(1)).alias("_n"))
-        ranked = ranked.join(sizes, groups).withColumn("_rn", F.col("_rn") - F.col("_first") + 1)
-    else:
-        ranked = ranked.withColumn("_n", F.col(TOTAL))          # from the per-range count table
-
-    aggs, finals = [], []
-    needed = []
+    counts = (df.select(*groups, F.col(value).cast("double").alias("_v")).dropna()
+                .groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    ranges = ordered_buckets(counts, [*groups, "_v"], num_buckets).drop(POS)
+    # one row per range and group that it holds: at most ranges + groups rows
+    per_range = ranges.groupBy(BUCKET, *groups).agg(F.sum("_c").alias("_s"))
+    in_group = Window.partitionBy(*groups).orderBy(BUCKET)
+    before = per_range.select(
+        BUCKET, *groups,
+        F.coalesce(F.sum("_s").over(in_group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_s").over(in_group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_n"))
+    inside = Window.partitionBy(BUCKET, *groups).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (ranges.withColumn("_upto", F.sum("_c").over(inside)).join(before, [BUCKET, *groups])
+                    .withColumn("_last", F.col("_before") + F.col("_upto"))
+                    .withColumn("_first", F.col("_last") - F.col("_c") + 1))
+
+    def holds(rank: Column) -> Column:
+        return (F.col("_first") <= rank) & (rank <= F.col("_last"))
+
+    aggs, finals, wanted = [], [], F.lit(False)
     for alias, p in probs.items():
         h = (F.col("_n") - 1) * F.lit(float(p))
         lo = F.floor(h) + 1
         hi = F.least(lo + 1, F.col("_n"))
-        frac = h - F.floor(h)
-        needed += [F.col("_rn") == lo, F.col("_rn") == hi]
-        aggs += [F.max(F.when(F.col("_rn") == lo, F.col("_v"))).alias(f"{alias}__lo"),
-                 F.max(F.when(F.col("_rn") == hi, F.col("_v"))).alias(f"{alias}__hi"),
-                 F.max(frac).alias(f"{alias}__f")]
+        wanted = wanted | holds(lo) | holds(hi)
+        aggs += [F.max(F.when(holds(lo), F.col("_v"))).alias(f"{alias}__lo"),
+                 F.max(F.when(holds(hi), F.col("_v"))).alias(f"{alias}__hi"),
+                 F.max(h - F.floor(h)).alias(f"{alias}__f")]
         finals.append((F.col(f"{alias}__lo") + (F.col(f"{alias}__hi") - F.col(f"{alias}__lo")) * F.col(f"{alias}__f"))
                       .alias(alias))
-    cond = needed[0]
-    for c in needed[1:]:
-        cond = cond | c
-    picked = ranked.where(cond)
+    picked = ranked.where(wanted)
     agg = picked.groupBy(*groups).agg(*aggs) if groups else picked.agg(*aggs)
     return agg.select(*groups, *finals)

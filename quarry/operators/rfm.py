@@ -49,23 +49,20 @@ def rfm_base(sales: DataFrame, customer: str = "customername", amount: str = "sa
 
 
 def rfm_scores(base: DataFrame, customer: str = "customername", k: int = 4,
-               recency_best_first: bool = False, num_buckets: int | None = None,
-               distributed: bool = False) -> DataFrame:
+               recency_best_first: bool = False, num_buckets: int | None = None) -> DataFrame:
     """Three ``ntile(k)`` scores (ties broken by customer), their sum and 3-digit code.
 
     Recency is tiled by ascending days as in the reference (tile 1 = most recent); with
     ``recency_best_first`` the days are tiled descending (tile k = most recent).
     The per-customer table is read by three orderings, so it is checkpointed once (the
-    reference's ``#rfm`` temp table; it also cuts the lineage back to the order lines),
-    and its row count decides the tiling: at most ``rank.SINGLE_TASK_MAX_ROWS`` customers
-    are tiled by the built-in window, more by the distributed rank (``rank.ntile``).
+    reference's ``#rfm`` temp table; it also cuts the lineage back to the order lines)
+    and tiled by the distributed rank (``rank.ntile``) at every size.
     """
     base = reliable_checkpoint(base)
-    n = None if distributed else base.count()
     rec = F.col("recency").desc() if recency_best_first else F.col("recency").asc()
-    s = ntile(base, k, [rec, F.col(customer)], "rfm_recency", num_buckets, n)
-    s = ntile(s, k, [F.col("frequency"), F.col(customer)], "rfm_frequency", num_buckets, n)
-    s = ntile(s, k, [F.col("monetary_value"), F.col(customer)], "rfm_monetary", num_buckets, n)
+    s = ntile(base, k, [rec, F.col(customer)], "rfm_recency", num_buckets)
+    s = ntile(s, k, [F.col("frequency"), F.col(customer)], "rfm_frequency", num_buckets)
+    s = ntile(s, k, [F.col("monetary_value"), F.col(customer)], "rfm_monetary", num_buckets)
     return s.withColumns({
         "rfm_cell": F.col("rfm_recency") + F.col("rfm_frequency") + F.col("rfm_monetary"),
         "rfm_cell_string": concat_text("rfm_recency", "rfm_frequency", "rfm_monetary"),

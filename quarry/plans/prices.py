@@ -60,8 +60,8 @@ _DATA_SQL = f""", data AS (
          first_value(ether IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
            AS ether
   FROM prices),
-data_cleaned AS (SELECT * FROM data WHERE CAST(ts AS DATE) NOT IN ({_drop_days_sql()})),
-btc_cleaned AS (SELECT event_id, ts, bitcoin FROM prices WHERE CAST(ts AS DATE) NOT IN ({_drop_days_sql()}))
+data_cleaned AS (SELECT * FROM data WHERE (CAST(ts AS DATE) IN ({_drop_days_sql()})) IS NOT TRUE),
+btc_cleaned AS (SELECT event_id, ts, bitcoin FROM prices WHERE (CAST(ts AS DATE) IN ({_drop_days_sql()})) IS NOT TRUE)
 """
 
 

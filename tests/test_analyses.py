@@ -185,11 +185,13 @@ def test_poisson_bootstrap_interval_brackets_mean(spark):
     assert (again["ci_low"], again["ci_high"]) == (r["ci_low"], r["ci_high"])      # deterministic weights
 
 
-def test_rfm_distributed_and_bounded_paths_agree(spark):
+def test_rfm_scores_agree_with_the_built_in_window(spark):
+    from pyspark.sql import Window
     from quarry.sources.views import sales
     base = rfm.rfm_base(sales(spark, "/root/testdata/sf0.001"))
-    a = rfm.rfm_scores(base).select("customername", "rfm_cell_string")
-    b = rfm.rfm_scores(base, distributed=True, num_buckets=5).select("customername", F.col("rfm_cell_string").alias("b"))
+    a = rfm.rfm_scores(base, num_buckets=5).select("customername", "rfm_cell_string")
+    tile = lambda c: F.ntile(4).over(Window.orderBy(c, "customername")).cast("string")
+    b = base.select("customername", F.concat(tile("recency"), tile("frequency"), tile("monetary_value")).alias("b"))
     j = a.join(b, "customername")
     assert j.count() == a.count() == 150
     assert j.where(F.col("rfm_cell_string") != F.col("b")).count() == 0
@@ -237,3 +239,13 @@ def test_bootstrap_corr_interval(spark):
     ref = c.select(F.corr("speed_mph", "height_ft")).first()[0]
     assert r["estimate"] == pytest.approx(ref) and r["ci_low"] <= r["estimate"] <= r["ci_high"]
     assert -1 <= r["ci_low"] <= r["ci_high"] <= 1 and r["replicates"] == 60
+
+
+def test_quantiles_read_only_their_columns_and_collapse_hot_values(spark):
+    from quarry.operators.rank import exact_quantiles
+    df = spark.range(0, 20000).select(
+        (F.col("id") % 3).alias("g"), F.when(F.col("id") % 2 == 0, F.lit(7.0)).otherwise(F.col("id").cast("double")).alias("v"),
+        F.lit("unused").alias("u"))
+    got = {r.g: (r.a, r.b) for r in exact_quantiles(df, "v", {"a": 0.5, "b": 0.9}, ["g"], num_buckets=8).collect()}
+    ref = {r.g: tuple(r.q) for r in df.groupBy("g").agg(F.percentile("v", F.array(F.lit(0.5), F.lit(0.9))).alias("q")).collect()}
+    assert got.keys() == ref.keys() and all(got[g] == pytest.approx(ref[g], rel=1e-12) for g in ref)

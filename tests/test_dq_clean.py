@@ -83,6 +83,10 @@ def test_drop_keys_list_and_frame(spark):
     df = spark.range(10)
     assert clean.drop_keys(df, "id", [1, 2]).count() == 8
     assert clean.drop_keys(df, "id", spark.range(5)).count() == 5
+    with_null = spark.createDataFrame([(1,), (2,), (None,)], "id long")
+    drop = spark.createDataFrame([(1,), (None,)], "k long")
+    for keys in ([1, None], drop):
+        assert sorted(map(str, (r.id for r in clean.drop_keys(with_null, "id", keys).collect()))) == ["2", "None"]
 
 
 def test_nan_to_null(spark):

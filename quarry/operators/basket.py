@@ -27,17 +27,14 @@ def order_code_lists(lines: DataFrame, n: int = 2, status: str | None = "F",
     """Every distinct order with the comma list of its codes when it qualifies, else NULL.
 
     Codes inside a list are sorted (numerically when the code is numeric), so equal
-    product sets give equal strings. The per-order list is built from that order's
-    lines only (one group per order), and joined to the distinct order ids.
+    product sets give equal strings. One pass: each order's lines of the given status are
+    counted and its codes listed in the same aggregate (one group per order).
     """
-    chosen = lines_of_n_line_orders(lines.select(order_id, code, status_col), n, status, order_id, status_col)
-    lists = (chosen.groupBy(order_id)
-                   .agg(F.array_sort(F.collect_list(code)).alias("_codes"))
-                   .select(order_id, F.array_join(F.transform("_codes", lambda c: c.cast("string")), sep)
-                           .alias("product_codes")))
-    return (lines.select(order_id).distinct()
-                 .join(lists, order_id, "left")
-                 .orderBy(F.desc_nulls_last("product_codes"), order_id))
+    counted = F.count_if(F.col(status_col) == status) if status is not None else F.count(F.lit(1))
+    orders = lines.groupBy(order_id).agg(counted.alias("_n"), F.array_sort(F.collect_list(code)).alias("_codes"))
+    text = F.array_join(F.transform("_codes", lambda c: c.cast("string")), sep)
+    return (orders.select(order_id, F.when(F.col("_n") == n, text).alias("product_codes"))
+                  .orderBy(F.desc_nulls_last("product_codes"), order_id))
 
 
 def code_set_frequency(code_lists: DataFrame, order_id: str = "ordernumber") -> DataFrame:

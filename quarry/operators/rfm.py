@@ -27,15 +27,15 @@ def rfm_base(sales: DataFrame, customer: str = "customername", amount: str = "sa
 
     ``frequency`` counts lines over all years (as the reference's code does; its comment
     says orders: ``distinct_orders=True`` counts distinct order ids instead). The dataset's
-    last date is the maximum of the customers' last dates - a scalar subquery over the
-    per-customer aggregate, whose shuffle it reuses, rather than a second pass over the
-    order lines. The mean is the exact decimal sum divided by the non-null count, in double.
+    last date is the maximum of the customers' last dates: a scalar subquery over the
+    per-customer table, which is checkpointed first (while this function runs), so the order
+    lines are read once. The mean is the exact decimal sum divided by the non-null count, in double.
     """
-    g = sales.groupBy(customer).agg(
+    g = reliable_checkpoint(sales.groupBy(customer).agg(
         F.sum(amount).alias("_sum"),
         F.count(amount).alias("_n"),
         (F.countDistinct(order_id) if distinct_orders else F.count(order_id)).alias("frequency"),
-        F.max(date).alias("last_order_date"))
+        F.max(date).alias("last_order_date")))
     max_date = g.select(F.max("last_order_date")).scalar()
     return g.select(
         customer,
@@ -54,11 +54,9 @@ def rfm_scores(base: DataFrame, customer: str = "customername", k: int = 4,
 
     Recency is tiled by ascending days as in the reference (tile 1 = most recent); with
     ``recency_best_first`` the days are tiled descending (tile k = most recent).
-    The per-customer table is read by three orderings, so it is checkpointed once (the
-    reference's ``#rfm`` temp table; it also cuts the lineage back to the order lines)
-    and tiled by the distributed rank (``rank.ntile``) at every size.
+    Tiled by the distributed rank (``rank.ntile``) at every size; ``rfm_base`` has already
+    written the per-customer table.
     """
-    base = reliable_checkpoint(base)
     rec = F.col("recency").desc() if recency_best_first else F.col("recency").asc()
     s = ntile(base, k, [rec, F.col(customer)], "rfm_recency", num_buckets)
     s = ntile(s, k, [F.col("frequency"), F.col(customer)], "rfm_frequency", num_buckets)

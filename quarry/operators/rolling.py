@@ -24,7 +24,8 @@ def running_total(df: DataFrame, keys: Sequence[str], order: str, value, out: st
     table, whose partitions hold one row per distinct ``order`` value, and join the
     totals back on (keys, order) with null-safe equality. The join's build side has one
     row per join key, so AQE's skew-join handling can split a hot key on the probe side.
-    Without it the window sorts each key's raw rows in one task.
+    Without it the window sorts each key's raw rows in one task: for inputs that already
+    hold one row per (keys, order).
 
     ``segmented``: for keys with an unbounded number of distinct ``order`` values (a
     key holding a third of all timestamps), the per-step table is cut into balanced
@@ -73,12 +74,12 @@ def rolling_vaccinations(deaths: DataFrame, vacs: DataFrame) -> DataFrame:
 
     (continent, location, date, population, new_vaccinations, rolling_vaccinations_count)
     """
-    dea = deaths.select("continent", "location", "date", "population").where(F.col("continent").isNotNull())
-    j = dea.join(vacs.select("location", "date", "new_vaccinations"), ["location", "date"], "inner")
-    j = j.select("continent", "location", "date", "population", "new_vaccinations")
-    # keys of an inner equi-join are never NULL: plain-equality join back
-    return running_total(j, ["location"], "date", F.col("new_vaccinations").cast("bigint"),
-                         "rolling_vaccinations_count", keys_may_be_null=False)
+    country_days = deaths.select("continent", "location", "date", "population").where(F.col("continent").isNotNull())
+    both = country_days.join(vacs.select("location", "date", "new_vaccinations"), ["location", "date"])
+    both = both.select("continent", "location", "date", "population", "new_vaccinations")
+    # One row per location and day: aggregating first would reduce nothing, so the window reads the rows.
+    return running_total(both, ["location"], "date", F.col("new_vaccinations").cast("bigint"),
+                         "rolling_vaccinations_count", pre_aggregate=False)
 
 
 def rolling_share(rolling: DataFrame) -> DataFrame:

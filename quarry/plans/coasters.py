@@ -135,7 +135,7 @@ SELECT grid_index, round(x, 9) AS x,
        round(sum(c * exp(-0.5 * ((x - v) / bw) * ((x - v) / bw))) / (n * bw * sqrt(2 * pi())), 12) AS density
 FROM pts GROUP BY grid_index, x, n, bw""")
 def kde_speed(spark, d):
-    # coasters['Speed_MPH'].plot(kind='kde'): 1000 points over [min - range/2, max + range/2]
+    # 1000 points, half a range beyond both ends
     out = charts.kde(_deduped(spark, d), "speed_mph", gridsize=SPEED_KDE_GRID, pad_range=0.5)
     return out.select("grid_index", _r(F.col("x"), 9).alias("x"), _r(F.col("density"), 12).alias("density"))
 
@@ -152,13 +152,13 @@ SELECT {hout}{bin_sql('p.x', 'sx.lo', 'sx.hi', k)} AS bin_x, {bin_sql('p.y', 'sy
 
 @query("scatter_bins", covers="G10", views=C, sql=_scatter_sql(None))
 def scatter_bins(spark, d):
-    # coasters.plot(kind='scatter', x='Speed_MPH', y='Height_ft'), binned
+    # Speed against height, binned
     return charts.joint_bins(_deduped(spark, d), "speed_mph", "height_ft", 10)
 
 
 @query("scatter_hue", covers="G10", views=C, sql=_scatter_sql("year_introduced"))
 def scatter_hue(spark, d):
-    # sns.scatterplot(x='Speed_MPH', y='Height_ft', hue='Year_Introduced'), binned per hue value
+    # G10 with a colour per year, binned per year
     out = charts.joint_bins(_deduped(spark, d), "speed_mph", "height_ft", 10, hue="year_introduced")
     return out.withColumnRenamed("year_introduced", "hue")
 
@@ -199,7 +199,7 @@ def box_stats(spark, d):
 
 @query("preview_head5", covers="I2", views=C, sql="SELECT * FROM coasters ORDER BY row_id LIMIT 5")
 def preview_head5(spark, d):
-    # coasters.head(5), in row order
+    # The first rows by row key
     return coasters(spark, d).orderBy("row_id").limit(5)
 
 
@@ -208,7 +208,7 @@ SELECT 'raw' AS stage, count(*) AS n_rows, 10 AS n_cols FROM coasters
 UNION ALL
 SELECT 'deduplicated' AS stage, count(*) AS n_rows, 10 AS n_cols FROM cd""")
 def coaster_shape(spark, d):
-    # coasters.shape before and after the dedup step
+    # I1 before and after the dedup step
     raw = dq.shape(coasters(spark, d)).select(F.lit("raw").alias("stage"), "n_rows", "n_cols")
     ded = dq.shape(_deduped(spark, d)).select(F.lit("deduplicated").alias("stage"), "n_rows", "n_cols")
     return raw.unionByName(ded)
@@ -217,5 +217,5 @@ def coaster_shape(spark, d):
 @query("year_value_counts", covers="A16", views=C, sql=_DEDUP_SQL + """
 SELECT year_introduced, count(*) AS n FROM cd WHERE year_introduced IS NOT NULL GROUP BY year_introduced""")
 def year_value_counts(spark, d):
-    # coasters['Year_Introduced'].value_counts(): every value, most frequent first
+    # Every value, most frequent first
     return explore.value_counts(_deduped(spark, d), "year_introduced")

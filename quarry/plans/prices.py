@@ -1,8 +1,7 @@
 """BTC/ETH price analyses over the ``prices`` view: gaps, fill, statistics, outliers, charts.
 
 The notebook's data flow is kept: gaps are diagnosed on the raw series; the back-fill then
-replaces the frame (``data``, ``fillna(..., inplace=True)``), and every later step reads
-the filled data or ``data_cleaned`` (filled, two dates dropped). ``bitcoin`` has no gaps,
+replaces the frame, and every later step reads the filled data or ``data_cleaned`` (filled, two dates dropped). ``bitcoin`` has no gaps,
 so steps that only read it skip the fill: their result is the same.
 """
 
@@ -41,7 +40,7 @@ def _drop_days(df):
 
 
 def _data(spark, d):
-    """``data`` after ``fillna(method='bfill', inplace=True)``."""
+    """The series after the back-fill."""
     return clean.backfill(prices(spark, d), "ether", ORDER)
 
 
@@ -197,7 +196,7 @@ def outliers_drop_gt(spark, d):
     f"SELECT '{c}' AS column_name, date_trunc('day', ts) AS bucket_start, count({c}) AS n, min({c}) AS min, "
     f"max({c}) AS max, round(avg({c}), 6) AS mean FROM prices GROUP BY 2" for c in SERIES))
 def series_buckets(spark, d):
-    # data.plot(): both series over the raw data, bucketed by day
+    # G1: both raw series, one point per day
     out = charts.series_buckets(prices(spark, d), "ts", SERIES, "1 day")
     return out.withColumn("mean", _r(F.col("mean")))
 
@@ -230,7 +229,7 @@ SELECT bin, lo, hi, n, round(n / (total * width), 12) AS density FROM h"""
 
 @query("density_hist", covers="G3", views=P, sql=_DATA_SQL + _fd_density_sql("btc_cleaned", "bitcoin"))
 def density_hist(spark, d):
-    # sns.distplot(data_cleaned['Bitcoin']): density histogram with the default (Freedman–Diaconis) bins
+    # Density histogram with the default (Freedman–Diaconis) bins
     btc = _bitcoin_cleaned(spark, d)
     h = charts.histogram(btc, "bitcoin", charts.fd_bins(btc, "bitcoin"), density=True)
     return h.withColumn("density", F.round("density", 12))
@@ -261,7 +260,7 @@ SELECT grid_index, round(x, 9) AS x,
        round(sum(c * exp(-0.5 * ((x - v) / bw) * ((x - v) / bw))) / (n * bw * sqrt(2 * pi())), 12) AS density
 FROM pts GROUP BY grid_index, x, n, bw""")
 def kde(spark, d):
-    # sns.kdeplot(data_cleaned['Ether'], cut=0)
+    # Density curve between the smallest and largest value
     out = charts.kde(_data_cleaned(spark, d), "ether", gridsize=KDE_GRID, cut=0.0)
     return out.select("grid_index", _r(F.col("x"), 9).alias("x"), _r(F.col("density"), 12).alias("density"))
 
@@ -277,7 +276,7 @@ SELECT {bin_sql('p.x', 'sx.lo', 'sx.hi', k)} AS bin_x, {bin_sql('p.y', 'sy.lo',
 
 @query("joint_bins", covers="G8", views=P, sql=_joint_sql())
 def joint_bins(spark, d):
-    # sns.jointplot(x='Bitcoin', y='Ether', data=data_cleaned): 2-D counts (+ marginals = G2)
+    # 2-D counts; joint_marginals has both marginals
     return charts.joint_bins(_data_cleaned(spark, d), "bitcoin", "ether", 10)
 
 
@@ -285,7 +284,7 @@ def joint_bins(spark, d):
 SELECT round(regr_slope(ether, bitcoin), 9) AS slope, round(regr_intercept(ether, bitcoin), 9) AS intercept,
        round(regr_r2(ether, bitcoin), 9) AS r2, CAST(regr_count(ether, bitcoin) AS BIGINT) AS n FROM data_cleaned""")
 def ols_fit(spark, d):
-    # sns.regplot(x='Bitcoin', y='Ether', data=data_cleaned)
+    # The line; regression_band has its band
     out = stats.least_squares(_data_cleaned(spark, d), "ether", "bitcoin")
     return out.select(*[_r(F.col(c), 9).alias(c) for c in ("slope", "intercept", "r2")], F.col("n").cast("bigint"))
 
@@ -295,11 +294,11 @@ def ols_fit(spark, d):
 SELECT *, first_value(ether IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
           AS ether_filled FROM ctx""")
 def bfill_context(spark, d):
-    # data.loc[a:b].fillna(method='bfill'): only values inside the slice can fill its gaps
+    # W3 on the slice alone: only values inside it can fill its gaps
     return clean.backfill(clean.date_slice(prices(spark, d), "ts", *CONTEXT), "ether", ORDER, out="ether_filled")
 
 
 @query("hist_150_ether", covers="G2", views=P, sql=_DATA_SQL + hist_sql("data_cleaned", "ether", 150))
 def hist_150_ether(spark, d):
-    # data_cleaned.plot(kind='hist', y='Ether', bins=150): the back-filled series
+    # G2 of the back-filled series
     return charts.histogram(_data_cleaned(spark, d), "ether", 150)

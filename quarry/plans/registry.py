@@ -1,7 +1,8 @@
 """Query registry: name → (Spark plan builder, oracle SQL for DuckDB).
 
-A plan builder takes ``(spark, sf_dir)`` and returns a lazy DataFrame over the driver
-tables of that folder. The oracle SQL computes the same result independently from the
+A plan builder takes ``(spark, sf_dir)`` and returns a DataFrame over the driver tables of
+that folder. Checkpoints, written tables, one-row chart parameters and model fits run while
+it is built; the rest is lazy. The oracle SQL computes the same result independently from the
 raw tables (views inlined as CTEs); queries whose result is not expressible in SQL
 (model fits, resampling) register no oracle.
 """

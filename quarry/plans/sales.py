@@ -91,23 +91,23 @@ _RFM_BASE_SQL = """
 SELECT customername, CAST(sum(sales) AS DOUBLE) AS monetary_value,
        CAST(sum(sales) AS DOUBLE) / count(sales) AS avg_monetary_value,
        count(ordernumber) AS frequency, max(orderdate) AS last_order_date,
-       (SELECT max(orderdate) FROM sales) AS max_order_date,
-       CAST(date_diff('day', CAST(max(orderdate) AS DATE), CAST((SELECT max(orderdate) FROM sales) AS DATE)) AS INTEGER)
+       max(max(orderdate)) OVER () AS max_order_date,
+       CAST(date_diff('day', CAST(max(orderdate) AS DATE), CAST(max(max(orderdate)) OVER () AS DATE)) AS INTEGER)
          AS recency
 FROM sales GROUP BY customername"""
 
+
+def _tile_sql(measure):
+    return f"CAST(ntile(4) OVER (ORDER BY {measure}, customername) AS INTEGER)"
+
+
 _RFM_SCORES_SQL = f"""
-rfm AS ({_RFM_BASE_SQL}),
-rfm_calc AS (
-  SELECT r.*, CAST(ntile(4) OVER (ORDER BY recency, customername) AS INTEGER) AS rfm_recency,
-         CAST(ntile(4) OVER (ORDER BY frequency, customername) AS INTEGER) AS rfm_frequency,
-         CAST(ntile(4) OVER (ORDER BY monetary_value, customername) AS INTEGER) AS rfm_monetary
-  FROM rfm r),
-rfm_scores AS (
-  SELECT c.*, rfm_recency + rfm_frequency + rfm_monetary AS rfm_cell,
-         concat(CAST(rfm_recency AS VARCHAR), CAST(rfm_frequency AS VARCHAR), CAST(rfm_monetary AS VARCHAR))
-           AS rfm_cell_string
-  FROM rfm_calc c)"""
+scored_customers AS (
+  SELECT *, {_tile_sql('recency')} AS rfm_recency, {_tile_sql('frequency')} AS rfm_frequency,
+         {_tile_sql('monetary_value')} AS rfm_monetary,
+         rfm_recency + rfm_frequency + rfm_monetary AS rfm_cell,
+         rfm_recency || '' || rfm_frequency || '' || rfm_monetary AS rfm_cell_string
+  FROM ({_RFM_BASE_SQL}) AS customers)"""
 
 
 def _rfm_sql(body):
@@ -130,37 +130,37 @@ def rfm_base(spark, d):
     return rfm.rfm_base(sales(spark, d))
 
 
-@query("rfm_scores", covers="C1 W2 X4 X5 X7", views=S, sql=_rfm_sql("SELECT * FROM rfm_scores"))
+@query("rfm_scores", covers="C1 W2 X4 X5 X7", views=S, sql=_rfm_sql("SELECT * FROM scored_customers"))
 def rfm_scores(spark, d):
     return _scores(spark, d)
 
 
 @query("rfm_cells", covers="C1", views=S, sql=_rfm_sql(
-    "SELECT rfm_cell_string, count(*) AS n_customers FROM rfm_scores GROUP BY rfm_cell_string"))
+    "SELECT rfm_cell_string, count(*) AS n_customers FROM scored_customers GROUP BY rfm_cell_string"))
 def rfm_cells(spark, d):
     return (_scores(spark, d).groupBy("rfm_cell_string").agg(F.count(F.lit(1)).alias("n_customers"))
             .orderBy(F.desc("n_customers"), "rfm_cell_string"))
 
 
 @query("rfm_segments", covers="C2 P15 P16", views=S, sql=_rfm_sql(
-    f"SELECT customername, rfm_recency, rfm_frequency, rfm_monetary, {_segment_case()} AS rfm_segment FROM rfm_scores"))
+    f"SELECT customername, rfm_recency, rfm_frequency, rfm_monetary, {_segment_case()} AS rfm_segment FROM scored_customers"))
 def rfm_segments(spark, d):
     return rfm.rfm_segments(_scores(spark, d))
 
 
 @query("case_segments", covers="P15 P16 C2", views=S, sql=_rfm_sql(
-    f"SELECT {_segment_case()} AS rfm_segment, count(*) AS n_customers FROM rfm_scores GROUP BY 1"))
+    f"SELECT {_segment_case()} AS rfm_segment, count(*) AS n_customers FROM scored_customers GROUP BY 1"))
 def case_segments(spark, d):
     seg = rfm.rfm_segments(_scores(spark, d))
     return seg.groupBy("rfm_segment").agg(F.count(F.lit(1)).alias("n_customers")).orderBy(F.desc("n_customers"))
 
 
-@query("select_into_view", covers="S5 S7 S8 S6", views=S, sql=_rfm_sql("SELECT * FROM rfm_scores"))
+@query("select_into_view", covers="S5 S7 S8 S6", views=S, sql=_rfm_sql("SELECT * FROM scored_customers"))
 def select_into_view(spark, d):
-    # select … into #rfm: materialise once into the shared folder, read back by name.
-    catalog.drop_if_exists(spark, "rfm")
-    catalog.select_into(_scores(spark, d), "rfm")
-    return catalog.read_back(spark, "rfm")
+    # Written once to the shared folder, read back by name
+    catalog.drop_if_exists(spark, "customer_scores")
+    catalog.select_into(_scores(spark, d), "customer_scores")
+    return catalog.read_back(spark, "customer_scores")
 
 
 @query("ntile_scaled", covers="W2", views=S, sql="""
@@ -187,8 +187,8 @@ def scalar_subquery_max_date(spark, d):
 
 @query("semi_two_line_orders", covers="J5 P17 A8", views=S, sql=f"""
 SELECT ordernumber, line_no, productcode, status FROM sales
-WHERE ordernumber IN (SELECT ordernumber FROM (SELECT ordernumber, count(*) AS rn FROM sales WHERE status = 'F'
-                                               GROUP BY ordernumber) AS o WHERE rn = {BASKET_LINES})""")
+WHERE ordernumber IN (SELECT ordernumber FROM sales GROUP BY ordernumber
+                      HAVING count(*) FILTER (WHERE status = 'F') = {BASKET_LINES})""")
 def semi_two_line_orders(spark, d):
     s = sales(spark, d).select("ordernumber", "line_no", "productcode", "status")
     return basket.lines_of_n_line_orders(s, BASKET_LINES)

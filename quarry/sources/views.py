@@ -71,8 +71,8 @@ def _location(user_id):
 def _covid_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (user, day) with the three daily counts both covid views use.
 
-    Both views derive from this single aggregate, so a query joining them scans and
-    aggregates ``events`` once (the exchange is reused).
+    Both views derive from this aggregate. A query joining them reads ``events`` once per
+    view, each time only with the columns that view needs.
     """
     e = read_table(spark, sf_dir, "events").select("user_id", "ts", "event_type")
     et = F.col("event_type")

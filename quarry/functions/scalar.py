@@ -49,8 +49,10 @@ def concat_text(*cols) -> Column:
     return F.concat(*[col_(c).cast("string") for c in cols])
 
 
-def format_number_line(label: str, c, decimals: int = 4) -> Column:
-    """``"Upper Limit: {}".format(x)`` with a fixed number of decimals."""
+def format_number_line(label: str, c, decimals: int | None = None) -> Column:
+    """``"Upper Limit: {}".format(x)``: the full value, or with a fixed number of decimals."""
+    if decimals is None:
+        return F.concat(F.lit(f"{label}: "), col_(c).cast("string"))
     return F.format_string(f"{label}: %.{decimals}f", col_(c))
 
 

@@ -12,19 +12,20 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_U53 = float(1 << 53)
-
-
 def hash_uniform(*cols: Column, seed: int = 0) -> Column:
-    """A uniform number in [0, 1) determined by the column values and the seed."""
-    h = F.xxhash64(F.lit(seed), *cols)
-    return F.pmod(h, F.lit(1 << 53)).cast("double") / _U53
+    """A uniform number in [0, 1) with 52 bits, fixed by the (whole-number or text) values and the seed.
+
+    The leading 13 hex digits of the md5 of the values joined by ``|``: any engine can repeat it.
+    """
+    text = F.concat_ws("|", *[c.cast("string") for c in cols], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def poisson1_weight(u: Column, kmax: int = 20) -> Column:
@@ -33,13 +34,31 @@ def poisson1_weight(u: Column, kmax: int = 20) -> Column:
     Thresholds follow from the pmf e^(−1)/k!; beyond ``kmax`` the remaining mass is below
     1e-19, under the resolution of u.
     """
-    expr, cdf = None, 0.0
-    for k in range(kmax + 1):
-        cdf += math.exp(-1.0) / math.factorial(k)
+    expr = None
+    for k, cdf in enumerate(poisson1_cdf(kmax)):
         expr = F.when(u < cdf, F.lit(k)) if expr is None else expr.when(u < cdf, F.lit(k))
     return expr.otherwise(F.lit(kmax + 1))
 
 
+def poisson1_cdf(kmax: int = 20) -> list[float]:
+    return list(itertools.accumulate(math.exp(-1.0) / math.factorial(k) for k in range(kmax + 1)))
+
+
+def replicate_weights(base: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
+    """Each row of ``base`` once per replicate, with its Poisson(1) weight: (base columns, _b, _w).
+
+    One md5 of (key, block, seed) holds the weights of four replicates: eight hex digits each.
+    """
+    blocks = F.sequence(F.lit(0), F.lit((replicates - 1) // 4))
+    hashed = (base.withColumn("_block", F.explode(blocks))
+                  .withColumn("_h", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("_block").cast("string"),
+                                                      F.lit(str(seed))).cast("binary"))))
+    each = (hashed.withColumn("_j", F.explode(F.array(*[F.lit(j) for j in range(4)])))
+                  .withColumn("_b", F.col("_block") * 4 + F.col("_j") + 1).where(F.col("_b") <= replicates))
+    u = F.conv(F.substr("_h", F.col("_j") * 8 + 1, F.lit(8)), 16, 10).cast("double") / float(1 << 32)
+    return each.withColumn("_w", poisson1_weight(u)).drop("_block", "_h", "_j")
+
+
 def bootstrap_ci(df: DataFrame, value: str, key: str, replicates: int = 100, seed: int = 7,
                  alpha: float = 0.05) -> DataFrame:
     """Percentile interval of the mean of ``value`` from a Poisson bootstrap.
@@ -49,10 +68,8 @@ def bootstrap_ci(df: DataFrame, value: str, key: str, replicates: int = 100, see
     """
     from ..session import spread_if_narrow
     base = df.select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    reps = spread_if_narrow(base).select("_k", "_v", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_b"))
-    w = poisson1_weight(hash_uniform(F.col("_k"), F.col("_b"), seed=seed))
-    per_rep = (reps.select("_b", "_v", w.alias("_w"))
-                   .groupBy("_b").agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("_m")))
+    reps = replicate_weights(spread_if_narrow(base), "_k", replicates, seed)
+    per_rep = (reps.groupBy("_b").agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("_m")))
     ci = per_rep.agg(F.percentile("_m", alpha / 2).alias("ci_low"), F.percentile("_m", 1 - alpha / 2).alias("ci_high"),
                      F.count(F.lit(1)).alias("replicates"))
     estimate = base.select(F.avg("_v")).scalar()
@@ -60,16 +77,27 @@ def bootstrap_ci(df: DataFrame, value: str, key: str, replicates: int = 100, see
                      "replicates")
 
 
-def _assemble(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
+def _held_out(key: str, seed: int, test_share: float) -> Column:
+    return hash_uniform(F.col(key), seed=seed) < test_share
+
+
+def _assemble(df: DataFrame, label: str, features: Sequence[str], key: str) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
-    clean = df.select(*features, label).na.drop("any")
+    clean = df.select(key, *features, label).na.drop("any")
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(clean) \
-        .select("features", F.col(label).cast("double").alias("label"), *features)
+        .select(key, "features", F.col(label).cast("double").alias("label"))
+
+
+def _scores(pred: DataFrame) -> list[Column]:
+    """RMSE, MAE and R² of (label, prediction) rows, as aggregates of one pass."""
+    miss = F.col("label") - F.col("prediction")
+    return [F.sqrt(F.avg(miss * miss)).alias("rmse"), F.avg(F.abs(miss)).alias("mae"),
+            (1 - F.try_divide(F.avg(miss * miss), F.var_pop("label"))).alias("r2"), F.count(F.lit(1)).alias("n")]
 
 
 def _regressors(seed: int):
     from pyspark.ml.regression import (DecisionTreeRegressor, FMRegressor, GBTRegressor,
-                                       GeneralizedLinearRegression, LinearRegression,
+                                       GeneralizedLinearRegression, IsotonicRegression, LinearRegression,
                                        RandomForestRegressor)
     return [
         ("linear", LinearRegression()),
@@ -79,6 +107,7 @@ def _regressors(seed: int):
         ("glm_gaussian", GeneralizedLinearRegression(family="gaussian", link="identity")),
         ("glm_gamma_log", GeneralizedLinearRegression(family="gamma", link="log")),
         ("glm_poisson_log", GeneralizedLinearRegression(family="poisson", link="log")),
+        ("isotonic_first_feature", IsotonicRegression(featureIndex=0)),
         ("decision_tree", DecisionTreeRegressor(maxDepth=5, seed=seed)),
         ("random_forest", RandomForestRegressor(numTrees=20, maxDepth=5, seed=seed)),
         ("gbt", GBTRegressor(maxIter=20, maxDepth=3, seed=seed)),
@@ -86,30 +115,41 @@ def _regressors(seed: int):
     ]
 
 
-def model_comparison(df: DataFrame, label: str, features: Sequence[str], seed: int = 7,
+def model_comparison(df: DataFrame, label: str, features: Sequence[str], key: str, seed: int = 7,
                      test_share: float = 0.2) -> DataFrame:
     """Fit each regressor on the same training rows; score RMSE, MAE, R² on held-out rows.
 
-    The split is a hash of the row content, so it is the same on every run and partitioning.
+    The split is a hash of the row key, so it is the same on every run and partitioning.
     Returns one row per model: (model, rmse, mae, r2, n_train, n_test).
     """
-    from pyspark.ml.evaluation import RegressionEvaluator
-    data = _assemble(df, label, features)
-    u = hash_uniform(*[F.col(c) for c in features], F.col("label"), seed=seed)
-    data = data.withColumn("_test", u < test_share).drop(*features).persist()
+    data = _assemble(df, label, features, key).withColumn("_test", _held_out(key, seed, test_share)).persist()
     train, test = data.where(~F.col("_test")), data.where(F.col("_test"))
-    n_train, n_test = train.count(), test.count()
+    n_train = train.count()
     rows = []
     for name, est in _regressors(seed):
         pred = est.fit(train).transform(test)
-        ev = RegressionEvaluator(labelCol="label", predictionCol="prediction")
-        rows.append((name, ev.setMetricName("rmse").evaluate(pred), ev.setMetricName("mae").evaluate(pred),
-                     ev.setMetricName("r2").evaluate(pred), n_train, n_test))
+        got = pred.agg(*_scores(pred)).first()
+        rows.append((name, got["rmse"], got["mae"], got["r2"], n_train, got["n"]))
     data.unpersist()
     spark = df.sparkSession
     return spark.createDataFrame(rows, "model string, rmse double, mae double, r2 double, n_train long, n_test long")
 
 
+def linear_holdout(df: DataFrame, label: str, feature: str, key: str, seed: int = 7,
+                   test_share: float = 0.2) -> DataFrame:
+    """One linear model on one feature, scored like ``model_comparison``:
+    (slope, intercept, rmse, mae, r2, n_train, n_test), one row."""
+    from pyspark.ml.regression import LinearRegression
+    data = _assemble(df, label, [feature], key).withColumn("_test", _held_out(key, seed, test_share)).persist()
+    train, test = data.where(~F.col("_test")), data.where(F.col("_test"))
+    model = LinearRegression(solver="normal").fit(train)
+    n_train = train.count()
+    pred = model.transform(test)
+    return pred.agg(*_scores(pred)).select(
+        F.lit(float(model.coefficients[0])).alias("slope"), F.lit(float(model.intercept)).alias("intercept"),
+        "rmse", "mae", "r2", F.lit(n_train).cast("long").alias("n_train"), F.col("n").alias("n_test"))
+
+
 def gamma_glm(df: DataFrame, label: str, features: Sequence[str], key: str) -> DataFrame:
     """Gamma regression with log link; predictions for every complete row: (key, label, prediction)."""
     from pyspark.ml.feature import VectorAssembler
@@ -137,10 +177,9 @@ def bootstrap_corr_ci(df: DataFrame, x: str, y: str, key: str, replicates: int =
     from ..session import spread_if_narrow
     base = (df.select(F.col(key).alias("_k"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
               .where(F.col("_x").isNotNull() & F.col("_y").isNotNull()))
-    reps = spread_if_narrow(base).select("_x", "_y", "_k", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_b"))
-    w = poisson1_weight(hash_uniform(F.col("_k"), F.col("_b"), seed=seed)).cast("double")
+    reps = replicate_weights(spread_if_narrow(base), "_k", replicates, seed)
     xs, ys = F.col("_x"), F.col("_y")
-    sums = (reps.select("_b", w.alias("_w"), "_x", "_y")
+    sums = (reps.withColumn("_w", F.col("_w").cast("double"))
                 .groupBy("_b").agg(F.sum("_w").alias("sw"), F.sum(F.col("_w") * xs).alias("sx"),
                                    F.sum(F.col("_w") * ys).alias("sy"), F.sum(F.col("_w") * xs * xs).alias("sxx"),
                                    F.sum(F.col("_w") * ys * ys).alias("syy"), F.sum(F.col("_w") * xs * ys).alias("sxy")))

@@ -74,7 +74,7 @@ def limit(limits: DataFrame, name: str = "upper_limit") -> Column:
     return limits.select(name).scalar()
 
 
-def format_limits(limits: DataFrame, decimals: int = 4) -> DataFrame:
+def format_limits(limits: DataFrame, decimals: int | None = None) -> DataFrame:
     """``"Upper Limit: {}".format(x)`` lines for both limits."""
     return limits.select(format_number_line("Upper Limit", "upper_limit", decimals).alias("upper_text"),
                          format_number_line("Lower Limit", "lower_limit", decimals).alias("lower_text"))
@@ -88,20 +88,17 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     cols = list(cols)
     clean = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).na.drop("any")
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    row = clean.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    row = clean.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs], *[F.stddev_samp(c).alias(c) for c in cols])
     entries = []
     for a, b in pairs:
         v = F.col(f"`{a}|{b}`")
         entries += [F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"), v.alias("corr")),
                     F.struct(F.lit(b).alias("var_a"), F.lit(a).alias("var_b"), v.alias("corr"))]
     # The diagonal is 1 when the column varies (NaN when it is constant, as in pandas).
-    n = clean.agg(*[F.stddev_samp(c).alias(c) for c in cols])
-    diag = n.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("var_a"), F.lit(c).alias("var_b"),
-                 F.when(F.col(c) > 0, F.lit(1.0)).otherwise(F.lit(float("nan"))).alias("corr")) for c in cols]))
-        .alias("e")).select("e.*")
-    off = row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-    return off.unionByName(diag)
+    for c in cols:
+        one = F.when(F.col(c) > 0, F.lit(1.0)).otherwise(F.lit(float("nan")))
+        entries.append(F.struct(F.lit(c).alias("var_a"), F.lit(c).alias("var_b"), one.alias("corr")))
+    return row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
 def least_squares(df: DataFrame, y: str, x: str) -> DataFrame:
@@ -110,14 +107,42 @@ def least_squares(df: DataFrame, y: str, x: str) -> DataFrame:
                   F.regr_r2(y, x).alias("r2"), F.regr_count(y, x).alias("n"))
 
 
+def regression_band(df: DataFrame, y: str, x: str, points: int = 100, z: float = 1.959963984540054) -> DataFrame:
+    """The least-squares line with its confidence band on a grid over x's range:
+    (grid_index, x, fitted, lower, upper).
+
+    The band is fitted ± z · standard error of the mean response (the normal approximation,
+    in place of resampling). All sums are one aggregate pass; only its single row is
+    expanded over the grid.
+    """
+    yd, xd = F.col(y).cast("double"), F.col(x).cast("double")
+    sums = df.select(yd.alias("_y"), xd.alias("_x")).where("_y is not null and _x is not null").agg(
+        F.regr_slope("_y", "_x").alias("b"), F.regr_intercept("_y", "_x").alias("a"),
+        F.regr_sxx("_y", "_x").alias("sxx"), F.regr_syy("_y", "_x").alias("syy"), F.regr_sxy("_y", "_x").alias("sxy"),
+        F.avg("_x").alias("mx"), F.count("_x").alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"))
+    grid = sums.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("grid_index"))
+    at = F.col("lo") + F.col("grid_index") * ((F.col("hi") - F.col("lo")) / (points - 1))
+    noise = F.try_divide(F.col("syy") - F.col("b") * F.col("sxy"), F.col("n") - 2)
+    off = F.col("x") - F.col("mx")
+    half = z * F.sqrt(noise * (1 / F.col("n") + F.try_divide(off * off, F.col("sxx"))))
+    fitted = F.col("a") + F.col("b") * F.col("x")
+    return grid.withColumn("x", at).select("grid_index", "x", fitted.alias("fitted"),
+                                           (fitted - half).alias("lower"), (fitted + half).alias("upper"))
+
+
 def boxcox_grid(lo: float = -2.0, hi: float = 2.0, step: float = 0.1) -> list[float]:
     n = int(round((hi - lo) / step))
     return [round(lo + i * step, 10) for i in range(n + 1)]
 
 
-def boxcox_transform(x: Column, lam: float) -> Column:
-    """(x^λ − 1)/λ, or ln x at λ = 0."""
-    return F.log(x) if lam == 0 else (F.pow(x, F.lit(lam)) - 1) / F.lit(lam)
+def boxcox_transform(x: Column, lam: Column) -> Column:
+    """(x^λ − 1)/λ, or ln x at λ = 0; NULL for x that is not positive."""
+    return F.when(x > 0, F.when(lam == 0, F.log(x)).otherwise((F.pow(x, lam) - 1) / lam))
+
+
+def boxcox_best(profile: DataFrame) -> Column:
+    """The λ of the largest likelihood (ties: the smaller λ), as a scalar subquery."""
+    return profile.select(F.max_by("lambda", F.struct("llf", -F.col("lambda")))).scalar()
 
 
 def boxcox_profile(df: DataFrame, col: str, lambdas: Sequence[float] | None = None) -> DataFrame:
@@ -133,7 +158,7 @@ def boxcox_profile(df: DataFrame, col: str, lambdas: Sequence[float] | None = No
     x = F.col(col).cast("double")
     pos = spread_if_narrow(df.select(x.alias("_x")).where(F.col("_x") > 0))
     lam = F.col("_lam")
-    y = F.when(lam == 0, F.log("_x")).otherwise((F.pow(F.col("_x"), lam) - 1) / lam)
+    y = boxcox_transform(F.col("_x"), lam)
     grid = F.explode(F.array(*[F.lit(float(v)) for v in lambdas]))
     per = (pos.select("_x", grid.alias("_lam"))
               .groupBy("_lam").agg(F.var_pop(y).alias("_var"), F.count("_x").alias("_n"),

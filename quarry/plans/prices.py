@@ -175,7 +175,8 @@ def iqr_limits(spark, d):
 SELECT printf('Upper Limit: %.4f', {_Z_SQL.format(op='+')}) AS upper_text,
        printf('Lower Limit: %.4f', {_Z_SQL.format(op='-')}) AS lower_text FROM prices""")
 def format_limits(spark, d):
-    return stats.format_limits(stats.zscore_limits(prices(spark, d), "bitcoin"))
+    # four decimals: the last digits of a floating-point sum depend on its order
+    return stats.format_limits(stats.zscore_limits(prices(spark, d), "bitcoin"), decimals=4)
 
 
 @query("outliers_lt", covers="C5 P11", views=P, sql=_DATA_SQL + f"""

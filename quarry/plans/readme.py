@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType, TimestampNTZType
 
+from ..functions.scalar import nan_to_null, to_number_lenient
 from ..operators import dashboards, models, stats
+from ..operators.coaster import clean_coasters
 from ..session import scratch_path
-from ..sources import csv
+from ..sources import catalog, csv
 from ..sources.tables import read_table
 from ..sources.views import coasters, prices
 from .registry import query
@@ -52,22 +54,66 @@ PRICE_SCHEMA = StructType([
 ])
 
 
-@query("csv_roundtrip", covers="S1 S2 X9 X10", views=("prices",), sql="SELECT event_id, ts, bitcoin, ether FROM prices")
+@query("csv_roundtrip", covers="S1 X9", views=("prices",), sql="SELECT event_id, ts, bitcoin, ether FROM prices")
 def csv_roundtrip(spark, d):
     path = scratch_path(spark, "prices-csv")
     csv.write_csv(prices(spark, d), path)
     return csv.read_series_csv(spark, path, PRICE_SCHEMA, "ts")
 
 
-@query("bootstrap_ci", covers="R5")
+REPLICATES, SEED = 100, 7
+_POISSON_SQL = "CASE " + " ".join(f"WHEN u < CAST({c!r} AS DOUBLE) THEN {k}" for k, c in enumerate(
+    models.poisson1_cdf())) + " ELSE 21 END"
+
+
+def _weights_sql(src: str, cols: str) -> str:
+    """Each row of src(k, ...) once per replicate b with its weight w."""
+    return f"""hashed AS (SELECT {cols}, md5(concat_ws('|', k, blk.range, {SEED})) AS h, blk.range AS block
+            FROM {src}, range({REPLICATES // 4}) AS blk),
+drawn AS (SELECT {cols}, block * 4 + q.range + 1 AS b,
+                 CAST(CAST('0x' || substr(h, CAST(q.range * 8 + 1 AS BIGINT), 8) AS BIGINT) AS DOUBLE) / 4294967296 AS u
+          FROM hashed, range(4) AS q),
+weighted AS (SELECT {cols}, b, {_POISSON_SQL} AS w FROM drawn)"""
+
+
+def _interval_sql(statistic: str, estimate: str, value: str) -> str:
+    return f"""SELECT '{statistic}' AS statistic, round({estimate}, 9) AS estimate,
+       round(quantile_cont({value}, 0.025), 9) AS ci_low, round(quantile_cont({value}, 0.975), 9) AS ci_high,
+       count(*) AS replicates FROM per_replicate"""
+
+
+def _rounded(out):
+    return out.withColumns({c: F.round(c, 9) for c in ("estimate", "ci_low", "ci_high")})
+
+
+@query("bootstrap_ci", covers="R5", sql=f"""
+WITH x AS (SELECT event_id AS k, value AS v FROM events WHERE value IS NOT NULL AND NOT isnan(value)),
+{_weights_sql('x', 'v')},
+per_replicate AS (SELECT b, sum(w * v) / sum(w) AS m FROM weighted GROUP BY b)
+{_interval_sql('mean(value)', '(SELECT avg(v) FROM x)', 'm')}""")
 def bootstrap_ci(spark, d):
-    ev = read_table(spark, d, "events").select("event_id", "value")
-    return models.bootstrap_ci(ev, "value", "event_id", replicates=100)
+    ev = nan_to_null(read_table(spark, d, "events").select("event_id", "value"), ["value"])
+    return _rounded(models.bootstrap_ci(ev, "value", "event_id", replicates=REPLICATES, seed=SEED))
 
 
 @query("model_comparison", covers="R4")
 def model_comparison(spark, d):
-    return models.model_comparison(coasters(spark, d), "speed_mph", MODEL_FEATURES)
+    return models.model_comparison(coasters(spark, d), "speed_mph", MODEL_FEATURES, "row_id")
+
+
+@query("linear_holdout", covers="R4", views=("coasters",), sql=f"""
+, x AS (SELECT speed_mph AS y, height_ft AS x,
+               CAST(CAST('0x' || substr(md5(concat_ws('|', row_id, {SEED})), 1, 13) AS BIGINT) AS DOUBLE)
+                 / 4503599627370496 < 0.2 AS test
+        FROM coasters WHERE speed_mph IS NOT NULL AND height_ft IS NOT NULL),
+line AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, count(*) AS n FROM x WHERE NOT test),
+miss AS (SELECT y, y - (a + b * x) AS e, a, b, n FROM x, line WHERE test)
+SELECT round(b, 6) AS slope, round(a, 6) AS intercept, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(abs(e)), 6) AS mae,
+       round(1 - avg(e * e) / var_pop(y), 6) AS r2, n AS n_train, count(*) AS n_test
+FROM miss GROUP BY a, b, n""")
+def linear_holdout(spark, d):
+    out = models.linear_holdout(coasters(spark, d), "speed_mph", "height_ft", "row_id", seed=SEED)
+    return out.withColumns({c: F.round(c, 6) for c in ("slope", "intercept", "rmse", "mae", "r2")})
 
 
 @query("gamma_glm", covers="R7")
@@ -75,7 +121,75 @@ def gamma_glm(spark, d):
     return models.gamma_glm(coasters(spark, d), "speed_mph", MODEL_FEATURES, "row_id")
 
 
-@query("bootstrap_corr", covers="R5")
+@query("gamma_glm_factor", covers="R7", views=("coasters",), sql="""
+SELECT row_id, speed_mph, round(avg(speed_mph) OVER (PARTITION BY inversions), 4) AS prediction
+FROM coasters WHERE speed_mph > 0""")
+def gamma_glm_factor(spark, d):
+    # one categorical factor: the fitted mean of a group is the group's mean
+    levels = {f"is_{k}": (F.col("inversions") == k).cast("double") for k in range(1, 8)}
+    out = models.gamma_glm(coasters(spark, d).withColumns(levels), "speed_mph", list(levels), "row_id")
+    return out.withColumn("prediction", F.round("prediction", 4))
+
+
+@query("bootstrap_corr", covers="R5", views=("coasters",), sql=f"""
+, x AS (SELECT row_id AS k, speed_mph AS x, height_ft AS y FROM coasters
+        WHERE speed_mph IS NOT NULL AND height_ft IS NOT NULL),
+{_weights_sql('x', 'x, y')},
+sums AS (SELECT b, sum(w) AS n, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, sum(w * x * x) / sum(w) AS xx,
+                sum(w * y * y) / sum(w) AS yy, sum(w * x * y) / sum(w) AS xy FROM weighted GROUP BY b),
+per_replicate AS (SELECT (xy - mx * my) / sqrt((xx - mx * mx) * (yy - my * my)) AS r FROM sums)
+{_interval_sql('corr(speed_mph,height_ft)', '(SELECT corr(x, y) FROM x)', 'r')}""")
 def bootstrap_corr(spark, d):
     # correlation with a bootstrap interval: coaster speed vs height
-    return models.bootstrap_corr_ci(coasters(spark, d), "speed_mph", "height_ft", "row_id", replicates=100)
+    return _rounded(models.bootstrap_corr_ci(coasters(spark, d), "speed_mph", "height_ft", "row_id",
+                                             replicates=REPLICATES, seed=SEED))
+
+
+@query("boxcox_apply", covers="R6", sql=f"""
+WITH x AS (SELECT value FROM events WHERE value > 0),
+g AS (SELECT CAST(round(-2 + range * 0.1, 10) AS DOUBLE) AS l FROM range({len(_LAMBDAS)})),
+p AS (SELECT l, -count(*) / 2 * ln(var_pop(CASE WHEN l = 0 THEN ln(value) ELSE (pow(value, l) - 1) / l END))
+                + (l - 1) * sum(ln(value)) AS llf FROM g, x GROUP BY l),
+best AS (SELECT arg_max(l, llf) AS l FROM p)
+SELECT event_id, l AS "lambda",
+       round(CASE WHEN value > 0 THEN CASE WHEN l = 0 THEN ln(value) ELSE (pow(value, l) - 1) / l END END, 9) AS transformed
+FROM events, best""")
+def boxcox_apply(spark, d):
+    # every value under the grid's most likely lambda
+    ev = read_table(spark, d, "events").select("event_id", "value")
+    best = stats.boxcox_best(stats.boxcox_profile(ev, "value", _LAMBDAS))
+    out = ev.withColumn("lambda", best)
+    return out.select("event_id", "lambda", F.round(stats.boxcox_transform(F.col("value"), F.col("lambda")), 9)
+                      .alias("transformed"))
+
+
+@query("csv_inferred", covers="S2", views=("coasters",), sql="SELECT * FROM coasters")
+def csv_inferred(spark, d):
+    # column types guessed from the text; widened to the view's types, since a guess depends on the data
+    table = coasters(spark, d)
+    path = scratch_path(spark, "coasters-csv")
+    csv.write_csv(table, path)
+    read = csv.read_csv(spark, path, infer=True)
+    return read.select(*[F.col(f.name).cast(f.dataType) for f in table.schema.fields])
+
+
+@query("text_to_number", covers="X10", views=("coasters",), sql="""
+SELECT row_id, CASE WHEN inversions <> 0 THEN gforce END AS number FROM coasters""")
+def text_to_number(spark, d):
+    # a text column that holds a name on some rows
+    c = coasters(spark, d)
+    text = F.when(F.col("inversions") == 0, F.col("coaster_name")).otherwise(F.col("gforce").cast("string"))
+    return c.select("row_id", to_number_lenient(text).alias("number"))
+
+
+@query("saved_extract", covers="R3 C16 S5 S8", views=("coasters",), sql="""
+SELECT row_id, coaster_name AS Coaster_Name, location AS Location, CAST(opening_date AS DATE) AS Opening_Date,
+       speed_mph AS Speed_MPH
+FROM coasters WHERE row_id IN (SELECT min(row_id) FROM coasters GROUP BY coaster_name, location, opening_date)""")
+def saved_extract(spark, d):
+    # the cleaned coasters as a saved table for a dashboard
+    renames = {"coaster_name": "Coaster_Name", "location": "Location", "opening_date": "Opening_Date",
+               "speed_mph": "Speed_MPH"}
+    catalog.drop_if_exists(spark, "coaster_extract")
+    catalog.select_into(clean_coasters(coasters(spark, d), renames), "coaster_extract")
+    return catalog.read_back(spark, "coaster_extract")

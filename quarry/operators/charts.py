@@ -48,7 +48,8 @@ def equal_width_bin(x: Column, lo: float | None, hi: float | None, k: int) -> Co
     """Bin index in [0, k) of k equal-width bins over [lo, hi]; the last bin is closed.
 
     The index is corrected against the edges lo + i·width, so a value lying on an edge
-    goes to the bin that edge opens (numpy's rule). NULL when the column has no values.
+    goes to the bin that edge opens (numpy's rule). NULL for a NULL value, and when the
+    column has no values.
     """
     if lo is None:
         return F.lit(None).cast("int")
@@ -59,11 +60,15 @@ def equal_width_bin(x: Column, lo: float | None, hi: float | None, k: int) -> Co
     b0 = F.least(F.greatest(raw, F.lit(0)), F.lit(k - 1))
     down = x < L + b0 * width
     up = (x >= L + (b0 + 1) * width) & (b0 != k - 1)
-    return F.when(down, b0 - 1).when(up, b0 + 1).otherwise(b0).cast("int")
+    # greatest() skips NULLs, so a NULL value needs its own branch
+    return F.when(x.isNotNull(), F.when(down, b0 - 1).when(up, b0 + 1).otherwise(b0)).cast("int")
 
 
-def fd_bins(df: DataFrame, col: str, cap: int = 50) -> int:
-    """Default bin count of a distribution plot: min(Freedman–Diaconis bins, cap).
+def fd_bins(df: DataFrame, col: str, most: int) -> int:
+    """Default bin count of a distribution plot: Freedman–Diaconis bins, ``most`` at most.
+
+    ``most`` is part of the chart (distribution plots draw no more than 50 bars); every row
+    is counted whatever the number of bins.
 
     Width 2·IQR·n^(−1/3) over the range; √n bins when the IQR is 0; 1 bin below 2 values.
     IQR from the distributed exact quantiles; one row of parameters is read back.
@@ -74,7 +79,7 @@ def fd_bins(df: DataFrame, col: str, cap: int = 50) -> int:
     q = exact_quantiles(df, col, {"q25": 0.25, "q75": 0.75}).first()
     h = 2 * (q["q75"] - q["q25"]) / (st.n ** (1 / 3))
     k = int(math.sqrt(st.n)) if h == 0 else int(math.ceil((st.hi - st.lo) / h))
-    return min(k, cap)
+    return min(k, most)
 
 
 def histogram(df: DataFrame, col: str, k: int, density: bool = False) -> DataFrame:
@@ -114,6 +119,19 @@ def rug(df: DataFrame, col: str) -> DataFrame:
     return df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# Boxes of the density estimate: width in bandwidths, and terms of the series in each.
+_BOX, _TERMS = 0.25, 12
+
+
+def _hermite(n: int) -> list[list[float]]:
+    """Monomial coefficients of the probabilists' Hermite polynomials He_0 … He_(n-1)."""
+    rows = [[1.0], [0.0, 1.0]]
+    for k in range(1, n - 1):
+        low = rows[k - 1] + [0.0, 0.0]
+        rows.append([a - k * b for a, b in zip([0.0, *rows[k]], low)])
+    return rows[:n]
+
+
 def kde(df: DataFrame, col: str, gridsize: int = 200, cut: float = 0.0, bw_adjust: float = 1.0,
         pad_range: float = 0.0) -> DataFrame:
     """Gaussian kernel density on a grid: (grid_index, x, density).
@@ -121,8 +139,14 @@ def kde(df: DataFrame, col: str, gridsize: int = 200, cut: float = 0.0, bw_adjus
     Bandwidth = sample std · n^(−1/5) · bw_adjust (Scott's rule). The grid spans
     [min − cut·bw − pad·range, max + cut·bw + pad·range] in ``gridsize`` points:
     seaborn's ``kdeplot(cut=0)`` is gridsize=200, cut=0; pandas' ``plot(kind='kde')`` is
-    gridsize=1000, pad_range=0.5. The data is first reduced to (distinct value, count),
-    so the work is distinct values × grid points, and exact.
+    gridsize=1000, pad_range=0.5.
+
+    One partial aggregate reduces the values to power moments Σt^k of boxes a quarter of a
+    bandwidth wide (t: distance from the box's middle in bandwidths, |t| ≤ 1/8); only boxes
+    meet the grid. With u the grid point's distance from the middle, a kernel is
+    exp(−(u−t)²/2) = exp(−u²/2) · Σ_k He_k(u) t^k / k!, cut after 12 terms. As
+    |He_k(u)| exp(−u²/2) ≤ 1.09 √k!, the rest is below 1.09 · Σ_(k≥12) 8^(−k) / √k! < 1e-15
+    of a kernel's peak per value. There are range / bw · 4 boxes, whatever the row count.
     """
     st = range_params(df, [col])[col]
     sd = F.lit(st.std).cast("double")
@@ -132,15 +156,50 @@ def kde(df: DataFrame, col: str, gridsize: int = 200, cut: float = 0.0, bw_adjus
     hi = mx + F.lit(cut) * bw + F.lit(pad_range) * (mx - mn)
     step = (hi - lo) / F.lit(gridsize - 1)
     x = F.col(col).cast("double")
-    values = df.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    pts = values.select("v", "c", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("grid_index"))
+    middle = mn + (F.col("box") + 0.5) * (bw * _BOX)
+    t = (F.col("v") - middle) / bw
+    placed = df.where(x.isNotNull()).select(x.alias("v")).withColumn("box", F.floor((F.col("v") - mn) / (bw * _BOX)))
+    power, moments = F.lit(1.0), [F.count(F.lit(1)).cast("double").alias("m0")]
+    placed = placed.withColumn("t", t)
+    for k in range(1, _TERMS):
+        power = power * F.col("t")
+        moments.append(F.sum(power).alias(f"m{k}"))
+    boxes = placed.groupBy("box").agg(*moments)
+    # the series as one polynomial in u per box
+    he = _hermite(_TERMS)
+    coefs = []
+    for i in range(_TERMS):
+        c = F.lit(0.0)
+        for k in range(i, _TERMS):
+            if he[k][i]:
+                c = c + F.col(f"m{k}") * (he[k][i] / math.factorial(k))
+        coefs.append(c.alias(f"c{i}"))
+    boxes = boxes.select(middle.alias("middle"), *coefs)
+    pts = boxes.withColumn("grid_index", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))))
     gx = lo + F.col("grid_index") * step
-    u = (gx - F.col("v")) / bw
-    dens = pts.groupBy("grid_index").agg(F.sum(F.col("c") * F.exp(F.lit(-0.5) * u * u)).alias("_s"))
+    pts = pts.withColumn("u", (gx - F.col("middle")) / bw)
+    series = F.col(f"c{_TERMS - 1}")
+    for i in reversed(range(_TERMS - 1)):
+        series = series * F.col("u") + F.col(f"c{i}")
+    dens = pts.groupBy("grid_index").agg(F.sum(F.exp(F.lit(-0.5) * F.col("u") * F.col("u")) * series).alias("_s"))
     return dens.select("grid_index", gx.alias("x"),
                        (F.col("_s") / (F.lit(st.n) * bw * F.lit(math.sqrt(2 * math.pi)))).alias("density"))
 
 
+def cumulative_density(curve: DataFrame) -> DataFrame:
+    """Running sum of a ``kde`` curve over its grid, as a share of the whole: (grid_index, x, cum_density)."""
+    so_far = Window.orderBy("grid_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)   # gridsize rows
+    whole = Window.orderBy("grid_index").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return curve.select("grid_index", "x", (F.sum("density").over(so_far) / F.sum("density").over(whole)).alias("cum_density"))
+
+
+def joint_marginals(df: DataFrame, x: str, y: str, k: int = 10) -> DataFrame:
+    """Histograms of both columns over the complete (x, y) rows: (column_name, bin, lo, hi, n)."""
+    pairs = df.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return (histogram(pairs, x, k).select(F.lit(x).alias("column_name"), "*")
+            .unionByName(histogram(pairs, y, k).select(F.lit(y).alias("column_name"), "*")))
+
+
 def joint_bins(df: DataFrame, x: str, y: str, k: int = 10, hue: str | None = None) -> DataFrame:
     """2-D binned counts of complete (x, y) rows: ([hue,] bin_x, bin_y, n), non-empty cells.
 
@@ -160,8 +219,8 @@ def pair_grid(df: DataFrame, cols: Sequence[str], hue: str, k: int = 10) -> Data
     """``pairplot(vars, hue)``: binned counts for every ordered pair (diagonal included).
 
     (var_x, var_y, hue, bin_x, bin_y, n). Each variable is binned over its own range;
-    each row then yields one entry per pair of its non-null variables (a bounded
-    len(cols)² expansion), aggregated with partial aggregation.
+    each row then yields one entry per unordered pair of its non-null variables (a bounded
+    expansion), aggregated with partial aggregation; the small result is mirrored.
     """
     cols = list(cols)
     p = range_params(df, cols)
@@ -169,10 +228,26 @@ def pair_grid(df: DataFrame, cols: Sequence[str], hue: str, k: int = 10) -> Data
         equal_width_bin(F.col(c).cast("double"), p[c].lo, p[c].hi, k).alias(c) for c in cols])
     entries = F.array(*[F.struct(F.lit(a).alias("var_x"), F.lit(b).alias("var_y"),
                                  F.col(a).alias("bin_x"), F.col(b).alias("bin_y"))
-                        for a in cols for b in cols])
+                        for i, a in enumerate(cols) for b in cols[i:]])
     long = binned.select("hue", F.explode(entries).alias("e")).select("hue", "e.*")
-    return (long.where(F.col("bin_x").isNotNull() & F.col("bin_y").isNotNull())
+    half = (long.where(F.col("bin_x").isNotNull() & F.col("bin_y").isNotNull())
                 .groupBy("var_x", "var_y", "hue", "bin_x", "bin_y").agg(F.count(F.lit(1)).alias("n")))
+    # the other half is the mirror image of the counts
+    mirror = F.struct(F.col("var_y").alias("var_x"), F.col("var_x").alias("var_y"),
+                      F.col("bin_y").alias("bin_x"), F.col("bin_x").alias("bin_y"))
+    same = F.struct("var_x", "var_y", "bin_x", "bin_y")
+    both = F.when(F.col("var_x") == F.col("var_y"), F.array(same)).otherwise(F.array(same, mirror))
+    return half.select("hue", "n", F.explode(both).alias("e")).select("e.var_x", "e.var_y", "hue", "e.bin_x", "e.bin_y", "n")
+
+
+def _with_fences(df: DataFrame, cols: Sequence[str], whis: float, extra: Sequence[str] = ()) -> DataFrame:
+    """Each value in long form with its column's quartiles and the fences whis·IQR beyond them."""
+    long = long_values(df, cols, extra).where(F.col("value").isNotNull())
+    q = exact_quantiles(long_values(df, cols), "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["column_name"]) \
+        .withColumn("iqr", F.col("q3") - F.col("q1"))
+    return (long.join(F.broadcast(q), "column_name")          # one row per column
+                .withColumn("_low", F.col("q1") - whis * F.col("iqr"))
+                .withColumn("_high", F.col("q3") + whis * F.col("iqr")))
 
 
 def box_stats(df: DataFrame, cols: Sequence[str], whis: float = 1.5) -> DataFrame:
@@ -180,17 +255,18 @@ def box_stats(df: DataFrame, cols: Sequence[str], whis: float = 1.5) -> DataFram
 
     Whiskers are the most extreme values within whis·IQR of the quartiles.
     """
-    long = long_values(df, cols).where(F.col("value").isNotNull())
-    q = exact_quantiles(long, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["column_name"]) \
-        .withColumn("iqr", F.col("q3") - F.col("q1"))
-    j = long.join(F.broadcast(q), "column_name")          # one row per column
-    lo_f = F.col("q1") - whis * F.col("iqr")
-    hi_f = F.col("q3") + whis * F.col("iqr")
     v = F.col("value")
-    return j.groupBy("column_name", "q1", "median", "q3", "iqr").agg(
-        F.min(F.when(v >= lo_f, v)).alias("whisker_low"),
-        F.max(F.when(v <= hi_f, v)).alias("whisker_high"),
-        F.count_if((v < lo_f) | (v > hi_f)).alias("n_outliers"))
+    return _with_fences(df, cols, whis).groupBy("column_name", "q1", "median", "q3", "iqr").agg(
+        F.min(F.when(v >= F.col("_low"), v)).alias("whisker_low"),
+        F.max(F.when(v <= F.col("_high"), v)).alias("whisker_high"),
+        F.count_if((v < F.col("_low")) | (v > F.col("_high"))).alias("n_outliers"))
+
+
+def box_outliers(df: DataFrame, cols: Sequence[str], key: str, whis: float = 1.5) -> DataFrame:
+    """The points a box plot draws outside the whiskers: (column_name, key, value)."""
+    v = F.col("value")
+    return (_with_fences(df, cols, whis, [key]).where((v < F.col("_low")) | (v > F.col("_high")))
+            .select("column_name", key, "value"))
 
 
 def series_buckets(df: DataFrame, ts: str, cols: str | Sequence[str], every: str = "1 day") -> DataFrame:

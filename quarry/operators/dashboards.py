@@ -11,18 +11,18 @@ from pyspark.sql import functions as F
 def totals_by_dimensions(df: DataFrame, dims: Sequence[str], measures: dict[str, tuple[str, str | None]]) -> DataFrame:
     """Totals of several measures by each of several dimensions, in long form.
 
-    (dimension, dim_value, <measures…>, n_lines). One scan: rows are expanded once per
-    dimension (``unpivot``) and aggregated with partial aggregation, like GROUPING SETS.
+    (dimension, dim_value, <measures…>, n_lines). The rows are totalled once over all
+    dimensions together (partial aggregation; the dimensions are categories with few
+    values), and only that table is expanded once per dimension.
     """
-    base = df.select(*[F.col(c).cast("string").alias(c) for c in dims],
-                     *[F.col(src).alias(f"_m_{alias}") for alias, (src, _) in measures.items()])
-    long = base.unpivot([f"_m_{a}" for a in measures], list(dims), "dimension", "dim_value")
+    cells = df.groupBy(*[F.col(c).cast("string").alias(c) for c in dims]).agg(
+        *[F.sum(src).alias(f"_m_{alias}") for alias, (src, _) in measures.items()], F.count(F.lit(1)).alias("_n"))
+    long = cells.unpivot([*[f"_m_{a}" for a in measures], "_n"], list(dims), "dimension", "dim_value")
     aggs = []
     for alias, (_, cast) in measures.items():
         s = F.sum(f"_m_{alias}")
         aggs.append((s.cast(cast) if cast else s).alias(alias))
-    aggs.append(F.count(F.lit(1)).alias("n_lines"))
-    return long.groupBy("dimension", "dim_value").agg(*aggs)
+    return long.groupBy("dimension", "dim_value").agg(*aggs, F.sum("_n").alias("n_lines"))
 
 
 def rate_by_attributes(df: DataFrame, flag: str, dims: Sequence[str]) -> DataFrame:

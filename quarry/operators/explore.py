@@ -57,8 +57,11 @@ def period_filter(year: str | int, month: str | int | None = None, date_col: str
 
 
 def distinct_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Distinct values of several categorical columns in one scan: (column_name, value)."""
-    as_text = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
+    """Distinct values of several categorical columns in one scan: (column_name, value).
+
+    Combinations of the categories are made distinct first; only those are expanded.
+    """
+    as_text = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).distinct()
     long = as_text.unpivot([], list(cols), "column_name", "value")
     return long.distinct()
 
@@ -127,12 +130,12 @@ def best_by_dimension(df: DataFrame, dims: dict, amount: str = "sales") -> DataF
     """For each named dimension, the value with the highest total of ``amount``.
 
     ``dims`` maps a name to a Column (NULL where the row does not count for it, e.g. outside
-    a period). One scan: rows are expanded once per dimension, totals per (dimension,
-    value) are partially aggregated, then the best value per dimension is the maximum of
+    a period). One scan: rows are totalled over all dimensions together, that small table is
+    expanded once per dimension, then the best value per dimension is the maximum of
     (total, value) — ties go to the larger value, deterministically.
     (dimension, best_value, revenue)
     """
-    base = df.select(F.col(amount).alias("_amt"), *[col_(c).cast("string").alias(n) for n, c in dims.items()])
+    base = df.groupBy(*[col_(c).cast("string").alias(n) for n, c in dims.items()]).agg(F.sum(amount).alias("_amt"))
     long = base.unpivot(["_amt"], list(dims), "dimension", "value").where(F.col("value").isNotNull())
     totals = long.groupBy("dimension", "value").agg(F.sum("_amt").cast("double").alias("revenue"))
     best = totals.groupBy("dimension").agg(F.max(F.struct("revenue", "value")).alias("_b"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import charts, dq, explore, stats
 from ..sources.views import coasters
 from .registry import query
-from .sqlgen import bin_sql, edges_sql, hist_sql, union_all
+from .sqlgen import edge_rows_sql, hist_sql, in_bin_sql, union_all
 
 C = ("coasters",)
 ALL_BUT_KEY = ["coaster_name", "location", "type_main", "year_introduced", "opening_date", "speed_mph",
@@ -16,6 +16,8 @@ DEDUP_SUBSET = ["coaster_name", "location", "opening_date"]
 NUMERIC = ["year_introduced", "speed_mph", "height_ft", "inversions", "gforce"]
 CORR_VARS = ["year_introduced", "speed_mph", "height_ft", "inversions", "gforce"]
 BOX_VARS = ["speed_mph", "height_ft"]
+OUTLIER_REACH = 0.4                          # whisker length of box_outliers, in IQRs
+NAME_LOOKED_UP = "blue rod"
 # The reference's column renames, mapped onto the stand-in column names.
 RENAMES = {
     "coaster_name": "Coaster_Name",
@@ -141,13 +143,12 @@ def kde_speed(spark, d):
 
 
 def _scatter_sql(hue: str | None, k: int = 10):
-    hsel = f"{hue} AS hue, " if hue else ""
-    hout = "p.hue, " if hue else ""
-    return _DEDUP_SQL + f""", pairs AS (SELECT {hsel}CAST(speed_mph AS DOUBLE) AS x, CAST(height_ft AS DOUBLE) AS y FROM cd
+    hue_col = f"{hue} AS hue, " if hue else ""
+    return _DEDUP_SQL + f""", pairs AS (SELECT {hue_col}CAST(speed_mph AS DOUBLE) AS x, CAST(height_ft AS DOUBLE) AS y FROM cd
                 WHERE speed_mph IS NOT NULL AND height_ft IS NOT NULL),
-sx AS ({edges_sql('x', 'pairs')}), sy AS ({edges_sql('y', 'pairs')})
-SELECT {hout}{bin_sql('p.x', 'sx.lo', 'sx.hi', k)} AS bin_x, {bin_sql('p.y', 'sy.lo', 'sy.hi', k)} AS bin_y,
-       count(*) AS n FROM pairs p, sx, sy GROUP BY ALL"""
+ex AS ({edge_rows_sql('x', 'pairs', k)}), ey AS ({edge_rows_sql('y', 'pairs', k)})
+SELECT {'pairs.hue, ' if hue else ''}ex.bin AS bin_x, ey.bin AS bin_y, count(*) AS n
+FROM pairs JOIN ex ON {in_bin_sql('pairs.x', 'ex')} JOIN ey ON {in_bin_sql('pairs.y', 'ey')} GROUP BY ALL"""
 
 
 @query("scatter_bins", covers="G10", views=C, sql=_scatter_sql(None))
@@ -164,16 +165,15 @@ def scatter_hue(spark, d):
 
 
 def _pair_sql(k: int = 10):
-    dbl = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in CORR_VARS)
-    edges = ",\n".join(f"e_{c} AS ({edges_sql(c, 'dbl')})" for c in CORR_VARS)
-    bins = ", ".join(f"{bin_sql('dbl.' + c, f'e_{c}.lo', f'e_{c}.hi', k)} AS {c}" for c in CORR_VARS)
-    srcs = ", ".join(f"e_{c}" for c in CORR_VARS)
-    return _DEDUP_SQL + f""", dbl AS (SELECT row_id, type_main, {dbl} FROM cd),
-{edges},
-binned AS (SELECT row_id, type_main AS hue, {bins} FROM dbl, {srcs}),
-long AS (UNPIVOT binned ON {', '.join(CORR_VARS)} INTO NAME var VALUE b)
-SELECT a.var AS var_x, c.var AS var_y, a.hue, a.b AS bin_x, c.b AS bin_y, count(*) AS n
-FROM long a JOIN long c ON a.row_id = c.row_id GROUP BY ALL"""
+    values = union_all(f"SELECT row_id, type_main AS hue, '{c}' AS var, CAST({c} AS DOUBLE) AS v FROM cd "
+                       f"WHERE {c} IS NOT NULL" for c in CORR_VARS)
+    edges = union_all(f"SELECT '{c}' AS var, * FROM ({edge_rows_sql(c, 'wide', k)})" for c in CORR_VARS)
+    return _DEDUP_SQL + f""", wide AS (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in CORR_VARS)} FROM cd),
+vals AS ({values}),
+edge AS ({edges}),
+placed AS (SELECT row_id, hue, vals.var, bin FROM vals JOIN edge ON vals.var = edge.var AND {in_bin_sql('v', 'edge')})
+SELECT a.var AS var_x, c.var AS var_y, a.hue, a.bin AS bin_x, c.bin AS bin_y, count(*) AS n
+FROM placed a JOIN placed c ON a.row_id = c.row_id GROUP BY ALL"""
 
 
 @query("pair_grid", covers="G11", views=C, sql=_pair_sql())
@@ -219,3 +219,55 @@ SELECT year_introduced, count(*) AS n FROM cd WHERE year_introduced IS NOT NULL
 def year_value_counts(spark, d):
     # Every value, most frequent first
     return explore.value_counts(_deduped(spark, d), "year_introduced")
+
+
+@query("box_outliers", covers="G12", views=C, sql=_DEDUP_SQL + """, v AS (""" + union_all(
+    f"SELECT '{c}' AS column_name, row_id, CAST({c} AS DOUBLE) AS value, quantile_cont({c}, 0.25) OVER () AS q1, "
+    f"quantile_cont({c}, 0.75) OVER () AS q3 FROM cd WHERE {c} IS NOT NULL" for c in BOX_VARS) + f""")
+SELECT column_name, row_id, value FROM v WHERE value < q1 - {OUTLIER_REACH} * (q3 - q1) OR value > q3 + {OUTLIER_REACH} * (q3 - q1)""")
+def box_outliers(spark, d):
+    # the given table holds no value 1.5 IQR out, so the registered query draws shorter whiskers
+    return charts.box_outliers(_deduped(spark, d), BOX_VARS, "row_id", whis=OUTLIER_REACH)
+
+
+@query("coaster_null_audit", covers="I6 C16", views=C, sql=union_all(
+    f"SELECT '{b}' AS column_name, count(*) FILTER (WHERE {a} IS NULL) AS n_null FROM coasters" for a, b in RENAMES.items()))
+def coaster_null_audit(spark, d):
+    # missing values per renamed column, before the duplicates go
+    return dq.null_counts(coasters(spark, d).withColumnsRenamed(RENAMES), list(RENAMES.values()))
+
+
+@query("coaster_by_name", covers="P5 C16", views=C, sql=f"""
+SELECT * FROM coasters WHERE coaster_name = '{NAME_LOOKED_UP}'""")
+def coaster_by_name(spark, d):
+    # every row of one repeated name, to see how its rows differ
+    return coasters(spark, d).where(F.col("coaster_name") == NAME_LOOKED_UP)
+
+
+@query("dup_projection", covers="I10 W4", views=C, sql="""
+SELECT row_id, location, inversions FROM coasters
+WHERE row_id NOT IN (SELECT min(row_id) FROM coasters GROUP BY location, inversions)""")
+def dup_projection(spark, d):
+    # repeats over all columns of a projection that has some
+    return dq.duplicated_rows(coasters(spark, d).select("row_id", "location", "inversions"), "row_id")
+
+
+def _location_means(spark, d):
+    out = explore.ranked_group_means(_deduped(spark, d), "location", "speed_mph", exclude="Other", ascending=True)
+    return out.withColumn("mean", _r(F.col("mean")))
+
+
+_MEANS_SQL = _DEDUP_SQL + """
+SELECT location, round(avg(speed_mph), 6) AS mean{extra} FROM cd WHERE location <> 'Other'
+GROUP BY location HAVING count(speed_mph) >= 10 ORDER BY mean, location"""
+
+
+@query("slowest_locations", covers="A15 G13", views=C, sql=_MEANS_SQL.format(extra=", count(speed_mph) AS count"))
+def slowest_locations(spark, d):
+    return _location_means(spark, d)
+
+
+@query("location_means", covers="A15 G13", views=C, sql=_MEANS_SQL.format(extra=""))
+def location_means(spark, d):
+    # the means alone
+    return _location_means(spark, d).drop("count")

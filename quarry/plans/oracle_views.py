@@ -9,7 +9,8 @@ from __future__ import annotations
 VIEW_SQL = {
     "sales": """
 SELECT o.o_orderkey AS ordernumber, l.l_linenumber AS line_no, l.l_partkey AS productcode,
-       CAST(l.l_extendedprice AS DECIMAL(18,2)) AS sales, l.l_quantity AS qty, o.o_orderstatus AS status,
+       CAST(l.l_extendedprice AS DECIMAL(18,2)) AS sales,
+       CAST(l.l_extendedprice AS DECIMAL(18,2)) * CAST(1 - l.l_discount - l.l_tax AS DECIMAL(9,4)) AS profit, l.l_quantity AS qty, o.o_orderstatus AS status,
        CAST(year(o.o_orderdate) AS INT) AS year_id, CAST(month(o.o_orderdate) AS INT) AS month_id,
        o.o_orderdate AS orderdate, p.p_type AS productline, c.c_name AS customername,
        c.c_mktsegment AS segment, n.n_name AS country, r.r_name AS territory,

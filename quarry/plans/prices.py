@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import charts, clean, dq, stats
 from ..sources.views import prices
 from .registry import query
-from .sqlgen import edges_sql, hist_sql, union_all
+from .sqlgen import edge_rows_sql, hist_sql, in_bin_sql, union_all
 
 P = ("prices",)
 COLS = ["event_id", "ts", "bitcoin", "ether"]
@@ -207,32 +207,24 @@ def hist_150(spark, d):
     return charts.histogram(_bitcoin_cleaned(spark, d), "bitcoin", 150)
 
 
-def _fd_density_sql(src: str, col: str, cap: int = 50) -> str:
-    """Density histogram with the Freedman–Diaconis bin count computed in SQL (k ≤ cap)."""
-    w = "((st.hi - st.lo) / fdk.k)"
-    b0 = f"least(greatest(floor((x.{col} - st.lo) * (CAST(fdk.k AS DOUBLE) / (st.hi - st.lo))), 0), fdk.k - 1)"
-    bin_expr = (f"CAST(CASE WHEN x.{col} < st.lo + {b0} * {w} THEN {b0} - 1 "
-                f"WHEN x.{col} >= st.lo + ({b0} + 1) * {w} AND {b0} <> fdk.k - 1 THEN {b0} + 1 ELSE {b0} END AS INTEGER)")
-    h = f"(2 * iqr / pow(CAST(n AS DOUBLE), CAST(1 AS DOUBLE) / 3))"
-    return f""", fd AS (SELECT count({col}) AS n, max({col}) - min({col}) AS rng,
-                  quantile_cont({col}, 0.75) - quantile_cont({col}, 0.25) AS iqr FROM {src}),
-fdk AS (SELECT CAST(least({cap}, CASE WHEN n < 2 THEN 1 WHEN {h} = 0 THEN floor(sqrt(n))
-                                      ELSE ceil(rng / {h}) END) AS BIGINT) AS k FROM fd),
-st AS ({edges_sql(col, src)}),
-binned AS (SELECT {bin_expr} AS bin FROM {src} x, st, fdk WHERE x.{col} IS NOT NULL),
-counts AS (SELECT bin, count(*) AS n FROM binned GROUP BY bin),
-h AS (SELECT s.bin, st.lo + s.bin * {w} AS lo, st.lo + (s.bin + 1) * {w} AS hi, coalesce(c.n, 0) AS n,
-             st.n AS total, {w} AS width
-      FROM (SELECT CAST(range AS INTEGER) AS bin FROM range({cap})) s CROSS JOIN st CROSS JOIN fdk
-      LEFT JOIN counts c ON s.bin = c.bin WHERE s.bin < fdk.k)
-SELECT bin, lo, hi, n, round(n / (total * width), 12) AS density FROM h"""
-
-
-@query("density_hist", covers="G3", views=P, sql=_DATA_SQL + _fd_density_sql("btc_cleaned", "bitcoin"))
+MOST_BINS = 50                               # bars of a distribution plot with default bins
+
+
+def _default_bins_sql(src: str, col: str, most: int = MOST_BINS) -> str:
+    """The Freedman–Diaconis bin count of a column as a scalar subquery."""
+    h = "(2 * iqr / pow(CAST(n AS DOUBLE), CAST(1 AS DOUBLE) / 3))"
+    return f"""(SELECT CAST(least({most}, CASE WHEN n < 2 THEN 1 WHEN {h} = 0 THEN floor(sqrt(n)) ELSE ceil(rng / {h}) END)
+                            AS BIGINT)
+                FROM (SELECT count({col}) AS n, max({col}) - min({col}) AS rng,
+                             quantile_cont({col}, 0.75) - quantile_cont({col}, 0.25) AS iqr FROM {src}) AS spread)"""
+
+
+@query("density_hist", covers="G3", views=P, sql=_DATA_SQL + hist_sql(
+    "btc_cleaned", "bitcoin", _default_bins_sql("btc_cleaned", "bitcoin"), density=True, most=MOST_BINS))
 def density_hist(spark, d):
     # Density histogram with the default (Freedman–Diaconis) bins
     btc = _bitcoin_cleaned(spark, d)
-    h = charts.histogram(btc, "bitcoin", charts.fd_bins(btc, "bitcoin"), density=True)
+    h = charts.histogram(btc, "bitcoin", charts.fd_bins(btc, "bitcoin", MOST_BINS), density=True)
     return h.withColumn("density", F.round("density", 12))
 
 
@@ -266,16 +258,14 @@ def kde(spark, d):
     return out.select("grid_index", _r(F.col("x"), 9).alias("x"), _r(F.col("density"), 12).alias("density"))
 
 
-def _joint_sql(k: int = 10):
-    from .sqlgen import bin_sql, edges_sql
-    return _DATA_SQL + f""", pairs AS (SELECT bitcoin AS x, ether AS y FROM data_cleaned
-                WHERE bitcoin IS NOT NULL AND ether IS NOT NULL),
-sx AS ({edges_sql('x', 'pairs')}), sy AS ({edges_sql('y', 'pairs')})
-SELECT {bin_sql('p.x', 'sx.lo', 'sx.hi', k)} AS bin_x, {bin_sql('p.y', 'sy.lo', 'sy.hi', k)} AS bin_y,
-       count(*) AS n FROM pairs p, sx, sy GROUP BY ALL"""
+_PAIRS_SQL = """, pairs AS (SELECT bitcoin, ether FROM data_cleaned WHERE bitcoin IS NOT NULL AND ether IS NOT NULL)
+"""
 
 
-@query("joint_bins", covers="G8", views=P, sql=_joint_sql())
+@query("joint_bins", covers="G8", views=P, sql=_DATA_SQL + _PAIRS_SQL + f"""
+, ex AS ({edge_rows_sql('bitcoin', 'pairs', 10)}), ey AS ({edge_rows_sql('ether', 'pairs', 10)})
+SELECT ex.bin AS bin_x, ey.bin AS bin_y, count(*) AS n
+FROM pairs JOIN ex ON {in_bin_sql('pairs.bitcoin', 'ex')} JOIN ey ON {in_bin_sql('pairs.ether', 'ey')} GROUP BY ALL""")
 def joint_bins(spark, d):
     # 2-D counts; joint_marginals has both marginals
     return charts.joint_bins(_data_cleaned(spark, d), "bitcoin", "ether", 10)
@@ -303,3 +293,52 @@ def bfill_context(spark, d):
 def hist_150_ether(spark, d):
     # G2 of the back-filled series
     return charts.histogram(_data_cleaned(spark, d), "ether", 150)
+
+
+@query("joint_marginals", covers="G8 G2", views=P, sql=_DATA_SQL + _PAIRS_SQL + "".join(f"""
+, e_{c} AS ({edge_rows_sql(c, 'pairs', 10)})""" for c in SERIES) + union_all(f"""
+SELECT '{c}' AS column_name, bin, lo, hi, count(pairs.{c}) AS n
+FROM e_{c} LEFT JOIN pairs ON {in_bin_sql(f'pairs.{c}', f'e_{c}')} GROUP BY ALL""" for c in SERIES))
+def joint_marginals(spark, d):
+    return charts.joint_marginals(_data_cleaned(spark, d), "bitcoin", "ether", 10)
+
+
+@query("regression_band", covers="G9", views=P, sql=_DATA_SQL + """
+, s AS (SELECT regr_slope(ether, bitcoin) AS b, regr_intercept(ether, bitcoin) AS a, regr_sxx(ether, bitcoin) AS sxx,
+               regr_avgx(ether, bitcoin) AS mx, CAST(regr_count(ether, bitcoin) AS BIGINT) AS n,
+               min(bitcoin) FILTER (WHERE ether IS NOT NULL) AS lo, max(bitcoin) FILTER (WHERE ether IS NOT NULL) AS hi
+        FROM data_cleaned),
+noise AS (SELECT sum((ether - a - b * bitcoin) * (ether - a - b * bitcoin)) / (max(n) - 2) AS v
+          FROM data_cleaned, s WHERE ether IS NOT NULL AND bitcoin IS NOT NULL),
+g AS (SELECT CAST(range AS INTEGER) AS grid_index, lo + range * ((hi - lo) / 99) AS x, s.*, v FROM range(100), s, noise)
+SELECT grid_index, round(x, 6) AS x, round(a + b * x, 6) AS fitted,
+       round(a + b * x - CAST(1.959963984540054 AS DOUBLE) * sqrt(v * (1 / n + (x - mx) * (x - mx) / sxx)), 6) AS lower,
+       round(a + b * x + CAST(1.959963984540054 AS DOUBLE) * sqrt(v * (1 / n + (x - mx) * (x - mx) / sxx)), 6) AS upper
+FROM g""")
+def regression_band(spark, d):
+    out = stats.regression_band(_data_cleaned(spark, d), "ether", "bitcoin")
+    return out.select("grid_index", *[_r(F.col(c)).alias(c) for c in ("x", "fitted", "lower", "upper")])
+
+
+@query("ecdf_default", covers="G6", views=P, sql=_DATA_SQL + hist_sql(
+    "btc_cleaned", "bitcoin", _default_bins_sql("btc_cleaned", "bitcoin"), cumulative=True, most=MOST_BINS))
+def ecdf_default(spark, d):
+    # cumulative histogram with the default bins
+    btc = _bitcoin_cleaned(spark, d)
+    return charts.ecdf(btc, "bitcoin", charts.fd_bins(btc, "bitcoin", MOST_BINS))
+
+
+@query("cumulative_density", covers="G6 G4", views=P, sql=_DATA_SQL + f"""
+, st AS (SELECT min(bitcoin) AS lo, max(bitcoin) AS hi,
+                stddev_samp(bitcoin) * pow(CAST(count(bitcoin) AS DOUBLE), -0.2) AS bw FROM btc_cleaned),
+pts AS (SELECT CAST(range AS INTEGER) AS grid_index, lo + range * ((hi - lo) / {KDE_GRID - 1}) AS x, bw
+        FROM range({KDE_GRID}), st),
+curve AS (SELECT grid_index, x, sum(exp(-0.5 * ((x - bitcoin) / bw) * ((x - bitcoin) / bw))) AS density
+          FROM pts, btc_cleaned WHERE bitcoin IS NOT NULL GROUP BY grid_index, x)
+SELECT grid_index, round(x, 9) AS x,
+       round(sum(density) OVER (ORDER BY grid_index) / sum(density) OVER (), 9) AS cum_density
+FROM curve""")
+def cumulative_density(spark, d):
+    # running sum of the density curve over its grid
+    out = charts.cumulative_density(charts.kde(_bitcoin_cleaned(spark, d), "bitcoin", gridsize=KDE_GRID))
+    return out.select("grid_index", _r(F.col("x"), 9).alias("x"), _r(F.col("cum_density"), 9).alias("cum_density"))

@@ -32,7 +32,7 @@ def preview_top20(spark, d):
              .orderBy("ordernumber", "line_no", "productcode", "sales").limit(20))
 
 
-@query("shape", covers="I1", views=S, sql="SELECT count(*) AS n_rows, 15 AS n_cols FROM sales")
+@query("shape", covers="I1", views=S, sql="SELECT count(*) AS n_rows, 16 AS n_cols FROM sales")
 def shape(spark, d):
     from ..operators.dq import shape as shape_of
     return shape_of(sales(spark, d))
@@ -223,11 +223,12 @@ _DASH_DIMS = ["productline", "country", "month_id", "segment", "territory"]
 
 @query("dashboard_sales", covers="R1 R3", views=S, sql="\nUNION ALL\n".join(
     f"SELECT '{c}' AS dimension, CAST({c} AS VARCHAR) AS dim_value, CAST(sum(sales) AS DOUBLE) AS total_sales, "
-    f"sum(qty) AS total_qty, count(*) AS n_lines FROM sales GROUP BY {c}" for c in _DASH_DIMS))
+    f"CAST(sum(profit) AS DOUBLE) AS total_profit, sum(qty) AS total_qty, count(*) AS n_lines FROM sales GROUP BY {c}" for c in _DASH_DIMS))
 def dashboard_sales(spark, d):
     from ..operators.dashboards import totals_by_dimensions
     return totals_by_dimensions(sales(spark, d), _DASH_DIMS,
-                                {"total_sales": ("sales", "double"), "total_qty": ("qty", None)})
+                                {"total_sales": ("sales", "double"), "total_profit": ("profit", "double"),
+                                 "total_qty": ("qty", None)})
 
 
 @query("lines_per_order", covers="A8 P5", views=S, sql="""

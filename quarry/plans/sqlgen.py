@@ -3,14 +3,6 @@
 from __future__ import annotations
 
 
-def bin_sql(x: str, lo: str, hi: str, k: int) -> str:
-    """Bin index of x in k equal-width bins over [lo, hi], corrected against the edges."""
-    w = f"(({hi} - {lo}) / {k})"
-    b0 = f"least(greatest(floor(({x} - {lo}) * ({k}.0 / ({hi} - {lo}))), 0), {k - 1})"
-    return (f"CAST(CASE WHEN {x} < {lo} + {b0} * {w} THEN {b0} - 1 "
-            f"WHEN {x} >= {lo} + ({b0} + 1) * {w} AND {b0} <> {k - 1} THEN {b0} + 1 ELSE {b0} END AS INTEGER)")
-
-
 def edges_sql(col: str, src: str, where: str = "TRUE") -> str:
     """lo/hi (numpy's ±0.5 for a constant column) and n of a column."""
     return (f"SELECT CASE WHEN min({col}) = max({col}) THEN min({col}) - 0.5 ELSE min({col}) END AS lo, "
@@ -18,15 +10,27 @@ def edges_sql(col: str, src: str, where: str = "TRUE") -> str:
             f"count({col}) AS n FROM {src} WHERE {where}")
 
 
-def hist_sql(src: str, col: str, k: int, density: bool = False, cumulative: bool = False) -> str:
+def edge_rows_sql(col: str, src: str, k: int | str, most: int | None = None) -> str:
+    """One row per bin of ``col``: bin, lo, hi, whether it is the last (closed) one, value count, width.
+
+    ``k`` is a number, or a scalar SQL expression of at most ``most``.
+    """
+    return (f"SELECT CAST(r.range AS INTEGER) AS bin, lo + r.range * ((hi - lo) / {k}) AS lo, "
+            f"lo + (r.range + 1) * ((hi - lo) / {k}) AS hi, r.range = {k} - 1 AS last, n AS total, (hi - lo) / {k} AS width "
+            f"FROM ({edges_sql(col, src)}) AS ends, range({most or k}) AS r WHERE r.range < {k}")
+
+
+def in_bin_sql(x: str, edges: str) -> str:
+    """Whether x lies in a bin: lo <= x < hi, the last bin closed."""
+    return f"({x} >= {edges}.lo AND ({x} < {edges}.hi OR {edges}.last))"
+
+
+def hist_sql(src: str, col: str, k: int | str, density: bool = False, cumulative: bool = False,
+             most: int | None = None) -> str:
     """Histogram over all k bins (empty bins included); optional density / cumulative form."""
-    w = f"((st.hi - st.lo) / {k})"
-    body = f""", st AS ({edges_sql(col, src)}),
-binned AS (SELECT {bin_sql(f'x.{col}', 'st.lo', 'st.hi', k)} AS bin FROM {src} x, st WHERE x.{col} IS NOT NULL),
-counts AS (SELECT bin, count(*) AS n FROM binned GROUP BY bin),
-h AS (SELECT s.bin, st.lo + s.bin * {w} AS lo, st.lo + (s.bin + 1) * {w} AS hi, coalesce(c.n, 0) AS n,
-             st.n AS total, {w} AS width
-      FROM (SELECT CAST(range AS INTEGER) AS bin FROM range({k})) s CROSS JOIN st LEFT JOIN counts c ON s.bin = c.bin)
+    body = f""", edge AS ({edge_rows_sql(col, src, k, most)}),
+h AS (SELECT edge.bin, edge.lo, edge.hi, edge.total, edge.width, count(x.{col}) AS n
+      FROM edge LEFT JOIN {src} AS x ON {in_bin_sql('x.' + col, 'edge')} GROUP BY ALL)
 """
     if cumulative:
         return body + ("SELECT bin, hi, n, CAST(sum(n) OVER (ORDER BY bin) AS BIGINT) AS cum_n, "

@@ -30,7 +30,7 @@ OTHER_BRAND = "Brand#1"             # p_brand shown as location 'Other'
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines with order, customer, geography and product attributes."""
     l = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+        "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
@@ -48,6 +48,7 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").alias("line_no"),
         F.col("l_partkey").alias("productcode"),
         price.cast("decimal(18,2)").alias("sales"),
+        (price.cast("decimal(18,2)") * (1 - F.col("l_discount") - F.col("l_tax")).cast("decimal(9,4)")).alias("profit"),
         F.col("l_quantity").alias("qty"),
         F.col("o_orderstatus").alias("status"),
         F.year("o_orderdate").cast("int").alias("year_id"),

@@ -249,3 +249,27 @@ def test_quantiles_read_only_their_columns_and_collapse_hot_values(spark):
     got = {r.g: (r.a, r.b) for r in exact_quantiles(df, "v", {"a": 0.5, "b": 0.9}, ["g"], num_buckets=8).collect()}
     ref = {r.g: tuple(r.q) for r in df.groupBy("g").agg(F.percentile("v", F.array(F.lit(0.5), F.lit(0.9))).alias("q")).collect()}
     assert got.keys() == ref.keys() and all(got[g] == pytest.approx(ref[g], rel=1e-12) for g in ref)
+
+
+def test_pair_grid_leaves_nulls_out_and_mirrors(spark):
+    df = spark.createDataFrame([(0.0, 1.0, "a"), (None, 2.0, "a"), (4.0, None, "a"), (4.0, 2.0, "a")], "x double, y double, h string")
+    got = {(r["var_x"], r["var_y"], r["bin_x"], r["bin_y"]): r["n"] for r in charts.pair_grid(df, ["x", "y"], "h", 2).collect()}
+    assert got == {("x", "x", 0, 0): 1, ("x", "x", 1, 1): 2, ("y", "y", 0, 0): 1, ("y", "y", 1, 1): 2,
+                   ("x", "y", 0, 0): 1, ("x", "y", 1, 1): 1, ("y", "x", 0, 0): 1, ("y", "x", 1, 1): 1}
+
+
+@pytest.mark.parametrize("values", [[0.0] * 40 + [1.0, 2.5, 1000.0], list(np.linspace(-3, 3, 101) ** 3)])
+def test_kde_by_boxes_equals_the_direct_sum(spark, values):
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    v = np.array(values)
+    bw = v.std(ddof=1) * len(v) ** -0.2
+    for r in charts.kde(df, "x", gridsize=60, pad_range=0.5).collect():
+        direct = np.exp(-0.5 * ((r["x"] - v) / bw) ** 2).sum() / (len(v) * bw * np.sqrt(2 * np.pi))
+        assert abs(r["density"] - direct) < 1e-14 / bw
+
+
+def test_order_code_lists_in_one_pass(spark):
+    df = spark.createDataFrame([(1, 9, "F"), (1, 3, "F"), (2, 5, "F"), (2, 4, "O"), (3, 1, "O"), (4, 7, "F"), (4, 7, "F"), (4, 2, "O")],
+                               "ordernumber long, productcode long, status string")
+    got = {r["ordernumber"]: r["product_codes"] for r in basket.order_code_lists(df, 2).collect()}
+    assert got == {1: "3,9", 2: None, 3: None, 4: "2,7,7"}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chat, embed_dedup, packing, quality, simhash, spm_encode, substring, toxicity, warc
+from .common import scratch_table
 from .labelled import held_out
 
 QUALITY_THRESHOLD, TOXICITY_THRESHOLD = 0.3, 0.5
@@ -95,12 +96,14 @@ def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     The replica is derived from the pages too: records whose url's md5 begins with 00 have
     their last byte changed, those with 01 are lost.
     """
-    records = warc.warc_records(table(spark, sf_dir, "pages"))
+    rows = warc.page_records(table(spark, sf_dir, "pages"))
     mark = F.substring(F.md5(F.coalesce("url", F.lit("")).cast("binary")), 1, 2)
     broken = F.concat(F.expr("substring(record, 1, length(record) - 1)"), F.lit("!").cast("binary"))
-    replica = records.withColumn("mark", mark).where("mark <> '01'").withColumn(
-        "record", F.when(F.col("mark") == "00", broken).otherwise(F.col("record"))).drop("mark")
-    report = warc.fixity_report(records, replica)
+    rows = rows.select("file", "page_id", "url", "length", "digest", mark.alias("mark"),
+                       F.sha2(F.when(mark == "00", broken).otherwise(F.col("record")), 256).alias("replica_digest"))
+    archive = scratch_table(warc.placed(rows), "archive")
+    replica = archive.where("mark <> '01'").withColumn("digest", F.col("replica_digest"))
+    report = warc.fixity_report(archive, replica)
     return report.select("page_id", F.col("file").alias("warc_file"), F.col("offset").alias("record_offset"),
                          F.col("length").alias("record_length"), F.col("hash").alias("leaf_sha256"), "status")
 

@@ -29,29 +29,46 @@ def record_bytes(url: Column, page_id: Column, body: Column) -> Column:
                     F.lit("\r\n\r\n")).cast("binary")
 
 
-def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html",
+def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html",
                  per_file: int = PER_FILE) -> DataFrame:
-    """(file, number, offset, length, page_id, url, record): every page as a record of some file.
+    """(file, page_id, url, record, length, digest): every page as a record of some file, not yet placed there.
 
     Files hold ``per_file`` consecutive page numbers; pages without a number are dealt over
-    files of their own by a hash, named below zero. Pages that repeat a number lie in the same file,
-    ordered by url and then by record, so equal rows give equal archives.
+    files of their own by a hash, named below zero.
     """
     record = record_bytes(F.col(url_col), F.col(id_col), F.col(body_col))
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), record.alias("record"))
     loose = -1 - F.pmod(F.xxhash64("record"), F.lit(1024))
-    base = base.withColumn("file", F.coalesce(F.floor(F.col("page_id") / per_file).cast("long"), loose))
-    base = base.withColumn("length", F.octet_length("record").cast("long"))
-    in_file = Window.partitionBy("file").orderBy("page_id", "url", F.sha2("record", 256))
+    return base.select(F.coalesce(F.floor(F.col("page_id") / per_file).cast("long"), loose).alias("file"), "*",
+                       F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("digest"))
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """``rows(file, page_id, url, length, digest, ...)`` with each record's number and offset in its file.
+
+    Pages that repeat a number lie in the same file, ordered by url and then by digest, so
+    equal rows give equal archives. Only the columns that ``rows`` has travel: without
+    ``record``, no page's bytes are shuffled.
+    """
+    in_file = Window.partitionBy("file").orderBy("page_id", "url", "digest")
     before = F.coalesce(F.sum("length").over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return (base.withColumn("number", F.row_number().over(in_file) - 1).withColumn("offset", before)
-            .select("file", "number", "offset", "length", "page_id", "url", "record"))
+    return rows.withColumn("number", F.row_number().over(in_file) - 1).withColumn("offset", before)
+
+
+def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html",
+                 per_file: int = PER_FILE) -> DataFrame:
+    """(file, number, offset, length, page_id, url, record): the archive of all pages, with its bytes."""
+    return placed(page_records(pages, id_col, url_col, body_col, per_file)).select(
+        "file", "number", "offset", "length", "page_id", "url", "record")
 
 
 def merkle_leaves(records: DataFrame) -> DataFrame:
-    """(file, number, offset, length, page_id, hash): the digest binds place and bytes."""
-    place = F.concat_ws(":", F.col("offset").cast("string"), F.col("length").cast("string"),
-                        F.sha2("record", 256))
+    """(file, number, offset, length, page_id, hash): the hash binds place and bytes.
+
+    ``records`` hold the bytes (``record``) or, where those were read before, their ``digest``.
+    """
+    digest = F.sha2("record", 256) if "record" in records.columns else F.col("digest")
+    place = F.concat_ws(":", F.col("offset").cast("string"), F.col("length").cast("string"), digest)
     return records.select("file", "number", "offset", "length", "page_id", F.sha2(place.cast("binary"), 256).alias("hash"))
 
 

@@ -202,6 +202,10 @@ def test_audit_finds_exactly_the_damage(spark):
     assert found == {(0, 17): "corrupt", (4, 321): "missing"}
     back = {(r.file, r.number): r.status for r in warc.audit(warc.merkle_leaves(damaged), warc.merkle_leaves(records)).collect()}
     assert back[4, 321] == "extra"
+    digests = warc.placed(warc.page_records(pages, per_file=1000).drop("record"))
+    assert warc.audit(warc.merkle_leaves(records), warc.merkle_leaves(digests)).count() == 0
+    plan = warc.merkle_leaves(digests)._jdf.queryExecution().executedPlan().toString()
+    assert "record" not in plan.split("Exchange")[0]
     report = warc.fixity_report(records, damaged)
     assert report.count() == 5001 and report.where("status <> 'ok'").count() == 2
     assert warc.fixity_report(records.limit(0), records.limit(0)).count() == 0

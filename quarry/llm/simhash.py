@@ -9,7 +9,7 @@ To spread the walk over tasks, the trie is built in ``max_bits + 1`` rotations w
 leading blocks together cover all 64 bits. Two fingerprints within the budget agree on
 at least one whole block, so in that rotation they meet below one node at the block's
 depth: the walk starts there with nothing spent. A task walks all such nodes of its
-partition level by level.
+partition, a bounded number of node pairs at a time.
 """
 
 from __future__ import annotations
@@ -27,6 +27,10 @@ from .common import byte_slices, connected_components, local_components, map_arr
 
 # Node pairs with at most this many leaf pairs are compared leaf by leaf.
 LEAF_PAIRS = 64
+# Node pairs that are walked together.
+NODE_PAIRS = 1 << 18
+# Links that a task holds before it reduces them to a spanning forest.
+HELD_LINKS = 1 << 21
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -78,25 +82,30 @@ def trie_self_join(v: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: np.ndar
     """
     for d0 in np.unique(depth):
         at = depth == d0
-        a0, a1 = lo[at], hi[at]
-        b0, b1, spent = a0, a1, np.zeros(len(a0), np.int64)
-        for d in range(int(d0), 65):
-            same = a0 == b0
+        walk = [(int(d0), lo[at], hi[at], lo[at], hi[at], np.zeros(int(at.sum()), np.int64))]
+        counted, ones = -1, None
+        while walk:
+            d, a0, a1, b0, b1, spent = walk.pop()
+            if len(a0) > NODE_PAIRS:  # one half waits, so that the pairs in memory stay few
+                half = len(a0) // 2
+                walk += [(d, *(x[half:] for x in (a0, a1, b0, b1, spent))), (d, *(x[:half] for x in (a0, a1, b0, b1, spent)))]
+                continue
             size = (a1 - a0) * (b1 - b0)
             leaf = size <= LEAF_PAIRS if d < 64 else np.ones(len(size), bool)
             yield from _compare(v, a0[leaf], a1[leaf], b0[leaf], b1[leaf], budget)
-            a0, a1, b0, b1, spent, same = (x[~leaf] for x in (a0, a1, b0, b1, spent, same))
+            a0, a1, b0, b1, spent = (x[~leaf] for x in (a0, a1, b0, b1, spent))
             if not len(a0):
-                break
-            ones = np.concatenate([[0], np.cumsum((v >> np.uint64(63 - d)) & np.uint64(1), dtype=np.int64)])
+                continue
+            if counted != d:
+                counted, ones = d, np.concatenate([[0], np.cumsum((v >> np.uint64(63 - d)) & np.uint64(1), dtype=np.int64)])
             am, bm = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0])
-            other = ~same
+            other = a0 != b0
             a0, a1, b0, b1, spent = (np.concatenate(x) for x in (
                 (a0, am, a0, am[other]), (am, a1, am, a1[other]),
                 (b0, bm, bm, b0[other]), (bm, b1, b1, bm[other]),
                 (spent, spent, spent + 1, spent[other] + 1)))
             keep = (a1 > a0) & (b1 > b0) & (spent <= budget) & ~((a0 == b0) & (a1 - a0 == 1))
-            a0, a1, b0, b1, spent = (x[keep] for x in (a0, a1, b0, b1, spent))
+            walk.append((d + 1, *(x[keep] for x in (a0, a1, b0, b1, spent))))
 
 
 def _compare(v, a0, a1, b0, b1, budget, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -131,14 +140,23 @@ def _trie_links(batches: Iterable[pa.RecordBatch], max_bits: int) -> Iterator[pa
     lo, hi = new, np.concatenate([new[1:], [len(v)]])
     many = hi - lo > 1
     lo, hi = lo[many], hi[many]
-    ends = [(node[i], node[j]) for i, j in trie_self_join(v, lo, hi, length[lo], max_bits) if len(i)]
-    if not ends:
-        return
-    a, b = (np.concatenate(x) for x in zip(*ends))
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for i, j in trie_self_join(v, lo, hi, length[lo], max_bits):
+        if len(i):
+            held.append((node[i], node[j]))
+        if sum(len(x) for x, _ in held) >= HELD_LINKS + (len(held[0][0]) if held else 0):
+            held = [_forest(held)]
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _forest(held)], ["u", "v"])
+
+
+def _forest(links: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, smallest node that it reaches) that join what ``links`` join: one per joined node."""
+    a, b = (np.concatenate(x) for x in zip(*links))
     names, local = np.unique(np.concatenate([a, b]), return_inverse=True)
     root = names[local_components(len(names), local[:len(a)], local[len(a):])]
     tree = root != names
-    yield pa.RecordBatch.from_arrays([pa.array(names[tree]), pa.array(root[tree])], ["u", "v"])
+    return names[tree], root[tree]
 
 
 def simhash_links(nodes: DataFrame, max_bits: int = 4) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -67,6 +68,18 @@ def test_simhash_matches_brute_force(spark):
             assert (r.fingerprint, r.component_id) == (f"{prints[r.doc_id]:016x}", comp[r.doc_id])
 
 
+def test_links_held_in_parts_join_the_same_nodes(monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 40, dtype=np.int64)
+    fp = np.unique(np.concatenate([base, *(base ^ (1 << int(k)) for k in rng.integers(0, 62, 30))]))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(fp), np.int32)), pa.array(fp), pa.array(np.arange(len(fp)))],
+                                       ["turn", "fp", "node"])
+    whole = [b.to_pydict() for b in simhash._trie_links([batch], 4)]
+    monkeypatch.setattr(simhash, "HELD_LINKS", 50)
+    monkeypatch.setattr(simhash, "NODE_PAIRS", 7)
+    assert [b.to_pydict() for b in simhash._trie_links([batch], 4)] == whole and len(whole[0]["u"]) > 500
+
+
 def test_trie_join_finds_every_pair_within_the_budget():
     rng = np.random.default_rng(2)
     seeds = rng.integers(0, 2**64, 40, dtype=np.uint64)

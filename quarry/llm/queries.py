@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, embed_dedup, packing, quality, simhash, spm_encode, substring, toxicity, warc
+from . import (ann, chat, embed_dedup, license_scan, packing, quality, resample, simhash, spm_encode, substring, toxicity,
+               warc, whiten)
 from .common import scratch_table
 from .labelled import held_out
+from .license_rules import rules
 
 QUALITY_THRESHOLD, TOXICITY_THRESHOLD = 0.3, 0.5
 # What a user types to look like the template; conversation -1 of op4.
@@ -114,10 +116,29 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_classifier, op2_toxicity, op3_best_fit_packing, op4_chat_formatting, op5_embedding_near_dedup,
-        op6_substring_dedup, op7_simhash_near_dedup, op8_nearest_neighbours, op9_warc_fixity, op10_sentencepiece)}
+        op6_substring_dedup, op7_simhash_near_dedup, op8_nearest_neighbours, op9_warc_fixity, op10_sentencepiece,
+        op11_importance_resampling, op12_embedding_whitening, op13_license_scan)}
+
+_WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_LICENSE_RULES = rules()
+_RULES_SQL = ", ".join(f"({r.number}, '{r.label}', CAST({r.confidence} AS DOUBLE), {str(r.base).lower()}, "
+                       f"'{license_scan.spaced_pattern(r.pattern)}')" for r in _LICENSE_RULES)
 
 _FORGED_SQL = FORGED.replace("'", "''")
 
@@ -186,4 +207,81 @@ SELECT page_id, warc_file, record_offset, record_length,
        sha256(record_offset || ':' || record_length || ':' || sha256(rec)) AS leaf_sha256,
        CASE substr(md5(u), 1, 2) WHEN '00' THEN 'corrupt' WHEN '01' THEN 'missing' ELSE 'ok' END AS status
 FROM o""",
+    # CRC-32 by its linearity: a byte adds what it becomes after the bytes behind it
+    "op11_importance_resampling": f"""
+WITH RECURSIVE one AS (
+  SELECT range AS b, list_reduce([range] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+  FROM range(256)),
+d AS (SELECT doc_id, {_WORDS_SQL} AS words FROM documents),
+b AS (SELECT item_id, {_WORDS_SQL} AS words FROM benchmark),
+w AS (
+  SELECT false AS target, doc_id AS id, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS i FROM d
+  UNION ALL SELECT true, item_id, unnest(words), unnest(range(1, len(words) + 1)) FROM b),
+runs AS (
+  SELECT target, id, w, w || ' ' || lead(w) OVER o AS w2, w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o AS w3
+  FROM w WINDOW o AS (PARTITION BY target, id ORDER BY i)),
+g AS (
+  SELECT target, id, w AS gram FROM runs UNION ALL SELECT target, id, w2 FROM runs WHERE w2 IS NOT NULL
+  UNION ALL SELECT target, id, w3 FROM runs WHERE w3 IS NOT NULL),
+grams AS (SELECT DISTINCT gram, strlen(gram) AS n FROM g),
+moved AS (
+  SELECT 0 AS far, b, c FROM one
+  UNION ALL SELECT far + 1, m.b, xor(o.c, m.c >> 8) FROM moved m JOIN one o ON o.b = m.c & 255
+  WHERE far < (SELECT max(n) FROM grams)),
+begun AS (
+  SELECT 0 AS n, 4294967295 AS c
+  UNION ALL SELECT n + 1, xor(o.c, s.c >> 8) FROM begun s JOIN one o ON o.b = s.c & 255 WHERE n < (SELECT max(n) FROM grams)),
+bytes AS (
+  SELECT gram, n - 1 - k AS far, CAST('0x' || substr(hex(encode(gram)), 2 * k + 1, 2) AS BIGINT) AS b
+  FROM (SELECT gram, n, unnest(range(n)) AS k FROM grams)),
+crc AS (
+  SELECT gram, xor(xor(x, c), 4294967295) % 10000 AS bucket
+  FROM (SELECT gram, CAST(strlen(gram) AS BIGINT) AS n, bit_xor(c) AS x FROM bytes JOIN moved USING (far, b) GROUP BY gram) JOIN begun USING (n)),
+f AS (SELECT target, id, bucket FROM g JOIN crc USING (gram)),
+total AS (SELECT count(*) FILTER (NOT target) AS s, count(*) FILTER (target) AS t FROM f),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln((count(*) FILTER (target) + CAST(1 AS DOUBLE)) * (any_value(s) + CAST(10000 AS DOUBLE))
+                                      / ((count(*) FILTER (NOT target) + CAST(1 AS DOUBLE)) * (any_value(t) + CAST(10000 AS DOUBLE))))) AS BIGINT) AS gain
+  FROM f, total GROUP BY bucket),
+weight AS (SELECT id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM f JOIN gain USING (bucket) WHERE NOT target GROUP BY id),
+scored AS (
+  SELECT doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('42:' || doc_id), 1, 8) AS BIGINT) AS DOUBLE) + 0.5)
+                                                         / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+  FROM d LEFT JOIN weight ON id = doc_id),
+drawn AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_words >= 20
+  QUALIFY rank <= 5 * (SELECT count(*) FROM scored WHERE n_words >= 20) // 100)
+SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN drawn USING (doc_id)""",
+    "op13_license_scan": f"""
+WITH d AS (SELECT doc_id, {_WORDS_SQL} AS words FROM documents),
+t AS (SELECT doc_id, len(words) AS n_words, '  ' || array_to_string(words, '  ') || '  ' AS s FROM d),
+rule(number, label, confidence, base, pattern) AS (VALUES {_RULES_SQL}),
+found AS (
+  SELECT doc_id, number, label, confidence, base, regexp_extract_all(s, pattern) AS hits, string_split_regex(s, pattern) AS gaps
+  FROM t, rule WHERE regexp_matches(s, pattern)),
+each AS (
+  SELECT doc_id, number, label, confidence, base, unnest(range(len(hits))) AS k, unnest(hits) AS hit, unnest(gaps[:len(hits)]) AS gap FROM found),
+wide AS (
+  SELECT *, len(replace(hit, ' ', '  ')) - len(hit) AS hit_spaces, len(replace(gap, ' ', '  ')) - len(gap) AS gap_spaces FROM each),
+placed AS (
+  SELECT *, sum(hit_spaces // 2 + gap_spaces // 2) OVER (PARTITION BY doc_id, number ORDER BY k) - 1 AS last, hit_spaces // 2 AS width FROM wide),
+spans AS (SELECT doc_id, number, label, confidence, base, last - width + 1 AS first, last FROM placed),
+free AS (
+  SELECT a.*, NOT EXISTS (
+    SELECT 1 FROM spans b WHERE b.doc_id = a.doc_id AND b.first <= a.first AND b.last >= a.last
+      AND (b.first < a.first OR b.last > a.last OR b.number < a.number)) AS free FROM spans a),
+near AS (
+  SELECT *, lag(last) OVER o >= first AND lag(number) OVER o < number OR lead(first) OVER o <= last AND lead(number) OVER o < number AS loses
+  FROM free WINDOW o AS (PARTITION BY doc_id, free ORDER BY first)),
+counted AS (SELECT *, base OR (free AND NOT coalesce(loses, false)) AS counts FROM near),
+said AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base, CAST(min(first) FILTER (base) AS BIGINT) AS first_word,
+         CAST(max(first) FILTER (base) AS BIGINT) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (counts) AS labels, max(confidence) FILTER (counts) AS score
+  FROM counted GROUP BY doc_id)
+SELECT doc_id, n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM t LEFT JOIN said USING (doc_id)""",
 }

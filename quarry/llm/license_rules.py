@@ -82,7 +82,7 @@ gnu | gnu library general public license as published by the free software found
 """,
     "agpl-3": """
 affero | gnu affero general public license as published by the free software foundation either version 3 of the license
-remote | all users interacting with it remotely through a computer network
+remotely | all users interacting with it remotely through a computer network
 """,
     "mpl-2": """
 mozilla | this source code form is subject to the terms of the mozilla public license v 2 0

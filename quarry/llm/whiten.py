@@ -88,6 +88,7 @@ def refined_eigenvectors(matrix: np.ndarray, start: np.ndarray | None = None, ro
         x = x + x @ e
         if np.abs(e).max() < tiny:
             break
+    x = x + x @ ((eye - x.T @ x) / 2)           # what the division by small gaps left
     r, s = eye - x.T @ x, x.T @ (a @ x)
     values = np.diag(s) / (1 - np.diag(r))
     order = np.argsort(-values, kind="stable")

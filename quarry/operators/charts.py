@@ -17,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rank import exact_quantiles
+from .order_stats import exact_quantiles, summarise
 from .stats import long_values
 
 
@@ -71,14 +71,13 @@ def fd_bins(df: DataFrame, col: str, most: int) -> int:
     is counted whatever the number of bins.
 
     Width 2·IQR·n^(−1/3) over the range; √n bins when the IQR is 0; 1 bin below 2 values.
-    IQR from the distributed exact quantiles; one row of parameters is read back.
+    Count, range and quartiles are one summary, whose single row is read back.
     """
-    st = range_params(df, [col])[col]
-    if st.n < 2:
+    st = summarise(df, col, {"q25": 0.25, "q75": 0.75}).first()
+    if st["n"] < 2:
         return 1
-    q = exact_quantiles(df, col, {"q25": 0.25, "q75": 0.75}).first()
-    h = 2 * (q["q75"] - q["q25"]) / (st.n ** (1 / 3))
-    k = int(math.sqrt(st.n)) if h == 0 else int(math.ceil((st.hi - st.lo) / h))
+    h = 2 * (st["q75"] - st["q25"]) / (st["n"] ** (1 / 3))
+    k = int(math.sqrt(st["n"])) if h == 0 else int(math.ceil((st["max"] - st["min"]) / h))
     return min(k, most)
 
 

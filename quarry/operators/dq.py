@@ -27,19 +27,13 @@ def column_types(df: DataFrame) -> list[tuple[str, str]]:
 def describe_numeric_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``df.describe()`` for numeric columns in long form, one row per column.
 
-    count, mean, std (sample), min, exact interpolated 25/50/75 %, max. Moments come
-    from one partial/final aggregate over the unpivoted columns; the quartiles from the
-    distributed exact quantile operator (no per-value map in one task).
+    count, mean, std (sample), min, exact interpolated 25/50/75 %, max: one summary with
+    sketch brackets, which reads the input twice and writes nothing.
     """
-    from .rank import exact_quantiles
+    from .order_stats import summarise
     from .stats import long_values
-    long = long_values(df, cols)
-    moments = long.groupBy("column_name").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    qs = exact_quantiles(long, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, ["column_name"])
-    return (moments.join(qs, "column_name", "left")
-                   .select("column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max"))
+    out = summarise(long_values(df, cols), "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, ["column_name"])
+    return out.select("column_name", F.col("n").alias("count"), "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def any_null(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

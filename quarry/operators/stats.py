@@ -1,8 +1,8 @@
 """Descriptive statistics, outlier limits, correlation, least squares, Box-Cox profile.
 
 Moments (mean, variance, correlation, regression sums) are partial/final aggregates.
-Quantiles use ``rank.exact_quantiles`` (distributed rank, linear interpolation) instead of
-``percentile``, whose final step keeps a counter per distinct value in one task.
+Quantiles use ``order_stats`` (sketch brackets, two reads, exact) instead of ``percentile``,
+whose final step keeps a counter per distinct value in one task.
 Limits are one-row frames; ``scalar`` turns a limit into a scalar subquery, so a filter
 on it stays one plan with no driver round trip and no cross join.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import format_number_line
-from .rank import exact_quantiles
+from .order_stats import exact_quantiles, summarise
 
 
 def long_values(df: DataFrame, cols: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
@@ -28,10 +28,7 @@ def long_values(df: DataFrame, cols: Sequence[str], extra: Sequence[str] = ()) -
 def central_tendency(df: DataFrame, cols: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
     """``df.mean()``, ``df.median()`` per column (and per ``extra`` group): (…, column_name, mean, median)."""
     keys = [*extra, "column_name"]
-    long = long_values(df, cols, extra)
-    means = long.groupBy(*keys).agg(F.avg("value").alias("mean"))
-    med = exact_quantiles(long, "value", {"median": 0.5}, keys)
-    return means.join(med, keys, "left")
+    return summarise(long_values(df, cols, extra), "value", {"median": 0.5}, keys).select(*keys, "mean", "median")
 
 
 def dispersion(df: DataFrame, cols: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:

@@ -15,8 +15,9 @@ sketches of all map tasks.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SKETCH_K = 4096
@@ -28,40 +29,77 @@ SALTS = 64
 
 def _partial_moments(values: DataFrame, groups: list[str]) -> DataFrame:
     """(groups, n, mean, m2, min, max, sketch) from one read; values that are NULL or NaN do not count."""
-    v = F.col("_v")
-    salted = values.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    first = salted.groupBy(*groups, "_salt").agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("m2"), F.min(v).alias("min"),
-        F.max(v).alias("max"), F.kll_sketch_agg_double(v, F.lit(SKETCH_K)).alias("sketch"))
-    part = F.when(F.col("n") > 0, F.struct("n", "mean", "m2"))
-    merged = first.groupBy(*groups).agg(
-        F.sum("n").alias("n"), F.collect_list(part).alias("parts"), F.min("min").alias("min"), F.max("max").alias("max"),
-        F.kll_merge_agg_double(F.when(F.col("n") > 0, F.col("sketch")), F.lit(SKETCH_K)).alias("sketch"))
-    zero = F.lit(0.0)
-    mean = F.try_divide(F.aggregate("parts", zero, lambda s, p: s + p["n"] * p["mean"]), F.col("n"))
-    merged = merged.withColumn("mean", mean)
-    off = F.aggregate("parts", zero, lambda s, p: s + p["m2"] + p["n"] * (p["mean"] - F.col("mean")) * (p["mean"] - F.col("mean")))
-    return merged.withColumn("m2", off).drop("parts")
-
-
-def _brackets(moments: DataFrame, probs: dict[str, float]) -> DataFrame:
-    """``moments`` with, for each probability i: wanted ranks ``lo{i}``, ``hi{i}`` (from 1), the weight between them
-    ``part{i}``, and the values ``from{i}``, ``to{i}`` that bracket both."""
-    n, out = F.col("n"), {}
-    # a rank lies at most two values off its share of the rows; so few values are all inside
-    slack = MARGIN * SKETCH_ERROR + 2 / SKETCH_K
+    first = values.groupBy(*groups, F.expr(f"pmod(spark_partition_id(), {SALTS})").alias("_salt")).agg(*[
+        F.expr(e).alias(name) for name, e in (
+            ("n", "count(_v)"), ("mean", "avg(_v)"), ("m2", "var_pop(_v) * count(_v)"), ("min", "min(_v)"), ("max", "max(_v)"),
+            ("sketch", f"kll_sketch_agg_double(_v, {SKETCH_K})"))])
+    merged = first.groupBy(*groups).agg(*[
+        F.expr(e).alias(name) for name, e in (
+            ("n", "sum(n)"), ("parts", "collect_list(CASE WHEN n > 0 THEN struct(n, mean, m2) END)"), ("min", "min(min)"), ("max", "max(max)"),
+            ("sketch", f"kll_merge_agg_double(CASE WHEN n > 0 THEN sketch END, {SKETCH_K})"))])
+    merged = merged.selectExpr("*", "try_divide(aggregate(parts, 0D, (s, p) -> s + p.n * p.mean), n) AS mean")
+    off = "aggregate(parts, 0D, (s, p) -> s + p.m2 + p.n * (p.mean - mean) * (p.mean - mean))"
+    return merged.selectExpr(*[f"`{c}`" for c in merged.columns if c != "parts"], f"{off} AS m2")
+
+
+class Target(NamedTuple):
+    """Ranks (from 1) to look up, as SQL over column ``n`` and the groups, all within two of ``share`` · n.
+
+    A share that differs by group is a dictionary by the (whole-number) value of the first group column.
+    """
+    share: float | dict[int, float]
+    ranks: list[str]
 
-    def value_at(share: float, end: str) -> Column:
+
+def _bracket(target: Target, by: float, end: str, key: str) -> str:
+    """SQL of the value ``by`` off the target's share; ``end`` beyond the shares and where all values are inside."""
+    def value_at(share: float) -> str:
         if not 0 < share < 1:
-            return F.col(end)
-        return F.when(n <= SKETCH_K, F.col(end)).otherwise(F.kll_sketch_get_quantile_double("sketch", F.lit(share)))
+            return f"`{end}`"
+        return f"CASE WHEN n <= {SKETCH_K} THEN `{end}` ELSE kll_sketch_get_quantile_double(sketch, {share!r}D) END"
+    if isinstance(target.share, dict):
+        return f"CASE `{key}` " + " ".join(f"WHEN {g} THEN {value_at(p + by)}" for g, p in target.share.items()) + " END"
+    return value_at(target.share + by)
 
-    for i, p in enumerate(probs.values()):
-        h = (n - 1) * F.lit(float(p))
-        lo = F.floor(h) + 1
-        out |= {f"lo{i}": lo, f"hi{i}": F.least(lo + 1, n), f"part{i}": h - F.floor(h),
-                f"from{i}": value_at(p - slack, "min"), f"to{i}": value_at(p + slack, "max")}
-    return moments.withColumns(out).drop("sketch")
+
+def values_at_ranks(values: DataFrame, targets: Sequence[Target], groups: Sequence[str] = ()) -> DataFrame:
+    """The values of column ``_v`` at the wanted ranks of each group, with the group's moments:
+    (groups…, n, mean, m2, min, max, and for rank j of target i: at{i}_{j}, before{i}_{j}, same{i}_{j}).
+
+    ``before`` counts the smaller values and ``same`` the equal ones. NULL values do not count.
+    """
+    groups, keys = list(groups), list(groups)
+    if not groups:
+        values, keys = values.withColumn("_all", F.expr("pmod(spark_partition_id(), 1)")), ["_all"]
+    # a rank lies at most two values off its share of the rows; so few values are all inside
+    slack = MARGIN * SKETCH_ERROR + 2 / SKETCH_K
+    moments = _partial_moments(values, keys)
+    brackets = moments.selectExpr(*[f"`{c}`" for c in moments.columns if c != "sketch"], *[
+        f"{_bracket(t, by, end, keys[0])} AS {side}{i}" for i, t in enumerate(targets)
+        for side, by, end in (("from", -slack, "min"), ("to", slack, "max"))])
+    # the sketch is random, so its brackets are used once and travel with what they counted
+    fixed = [c for c in brackets.columns if c not in keys]
+    placed = values.join(F.broadcast(brackets), keys)           # one row per group
+    every = range(len(targets))
+    inside = " OR ".join(f"_v BETWEEN from{i} AND to{i}" for i in every)
+    counted = placed.groupBy(*keys, F.expr(f"CASE WHEN {inside} THEN _v END").alias("_x")).agg(
+        F.expr("count(_v)").alias("_c"), *[F.expr(f"max(`{c}`)").alias(c) for c in fixed],
+        *[F.expr(f"count_if(_v < from{i})").alias(f"_below{i}") for i in every])
+    by = "PARTITION BY " + ", ".join(f"`{c}`" for c in keys)
+    run = f"OVER ({by} ORDER BY _x NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    ranked = counted.selectExpr("*", *[
+        f"CASE WHEN _x >= from{i} THEN sum(_below{i}) OVER ({by}) + sum(CASE WHEN _x >= from{i} THEN _c ELSE 0 END) {run} END AS _last{i}"
+        for i in every])
+    picks = [F.expr(f"max(`{c}`)").alias(c) for c in fixed]
+    for i, target in enumerate(targets):
+        for j, rank in enumerate(target.ranks):
+            holds = f"_last{i} - _c < {rank} AND {rank} <= _last{i}"
+            picks += [F.expr(f"max(CASE WHEN {holds} THEN {what} END)").alias(f"{name}{i}_{j}")
+                      for what, name in (("_x", "at"), (f"_last{i} - _c", "before"), ("_c", "same"))]
+    picked = ranked.groupBy(*groups).agg(*picks)                # without groups always one row
+    lost = " OR ".join(f"at{i}_{j} IS NULL" for i, t in enumerate(targets) for j in range(len(t.ranks)))
+    n = f"CASE WHEN n > 0 AND ({lost}) THEN raise_error('a wanted rank lies outside its sketch bracket') ELSE coalesce(n, 0) END"
+    return picked.withColumn("n", F.expr(n))
 
 
 def summarise(df: DataFrame, value: str, probs: dict[str, float], group_cols: Sequence[str] = ()) -> DataFrame:
@@ -76,43 +114,17 @@ def summarise(df: DataFrame, value: str, probs: dict[str, float], group_cols: Se
     broadcast, and a group's few values inside brackets meet in one task. For groups that
     grow with the data use ``rank.exact_quantiles``.
     """
-    groups, count = list(group_cols), len(probs)
+    groups = list(group_cols)
     v = F.col(value).cast("double")
     values = df.select(*groups, F.when(~F.isnan(v), v).alias("_v"))
-    if groups:
-        values, keys = values.na.drop(subset=groups), groups
-    else:
-        values, keys = values.withColumn("_all", F.pmod(F.spark_partition_id(), F.lit(1))), ["_all"]
-    brackets = _brackets(_partial_moments(values, keys), probs)
-    # the sketch is random, so its brackets are used once and travel with what they counted
-    fixed = [c for c in brackets.columns if c not in keys]
-    placed = values.join(F.broadcast(brackets), keys)           # one row per group
-    inside = F.lit(False)
-    for i in range(count):
-        inside = inside | F.col("_v").between(F.col(f"from{i}"), F.col(f"to{i}"))
-    counted = placed.groupBy(*keys, F.when(inside, F.col("_v")).alias("_x")).agg(
-        F.count("_v").alias("_c"), *[F.max(c).alias(c) for c in fixed],
-        *[F.count_if(F.col("_v") < F.col(f"from{i}")).alias(f"_below{i}") for i in range(count)])
-    whole = Window.partitionBy(*keys)
-    so_far = whole.orderBy(F.col("_x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked, picks = counted, []
-    for i in range(count):
-        reached = F.col("_x") >= F.col(f"from{i}")
-        last = F.sum(f"_below{i}").over(whole) + F.sum(F.when(reached, F.col("_c")).otherwise(0)).over(so_far)
-        ranked = ranked.withColumn(f"_last{i}", F.when(reached, last))
-        for side in ("lo", "hi"):
-            holds = (F.col(f"_last{i}") - F.col("_c") < F.col(f"{side}{i}")) & (F.col(f"{side}{i}") <= F.col(f"_last{i}"))
-            picks.append(F.max(F.when(holds, F.col("_x"))).alias(f"at_{side}{i}"))
-    picks += [F.max(c).alias(c) for c in fixed]
-    picked = ranked.groupBy(*groups).agg(*picks)                # without groups always one row
-    finals = []
-    for i, alias in enumerate(probs):
-        lo, hi = F.col(f"at_lo{i}"), F.col(f"at_hi{i}")
-        lost = F.raise_error(F.lit("a wanted rank lies outside its sketch bracket")).cast("double")
-        finals.append(F.when(F.col("n") > 0, F.when(lo.isNull() | hi.isNull(), lost).otherwise(lo + (hi - lo) * F.col(f"part{i}")))
-                      .alias(alias))
-    std = F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1)))
-    return picked.select(*groups, F.coalesce("n", F.lit(0)).alias("n"), "mean", std.alias("std"), "min", "max", *finals)
+    values = values.na.drop(subset=groups) if groups else values
+    targets, finals = [], []
+    for i, (alias, p) in enumerate(probs.items()):
+        h = f"((n - 1) * {float(p)!r}D)"
+        targets.append(Target(p, [f"(floor({h}) + 1)", f"least(floor({h}) + 2, n)"]))
+        finals.append(F.expr(f"at{i}_0 + (at{i}_1 - at{i}_0) * ({h} - floor({h}))").alias(alias))
+    std = F.expr("CASE WHEN n > 1 THEN sqrt(m2 / (n - 1)) END")
+    return values_at_ranks(values, targets, groups).select(*groups, "n", "mean", std.alias("std"), "min", "max", *finals)
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], group_cols: Sequence[str] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import concat_text, day_diff
 from ..session import reliable_checkpoint
-from .rank import ntile
+from .tiles import ntiles
 
 # Segment labels and the three-digit RFM codes mapped to them, as written
 # in the reference's CASE expression. The 30 other codes of 111..444 get no label (NULL).
@@ -49,18 +49,16 @@ def rfm_base(sales: DataFrame, customer: str = "customername", amount: str = "sa
 
 
 def rfm_scores(base: DataFrame, customer: str = "customername", k: int = 4,
-               recency_best_first: bool = False, num_buckets: int | None = None) -> DataFrame:
+               recency_best_first: bool = False) -> DataFrame:
     """Three ``ntile(k)`` scores (ties broken by customer), their sum and 3-digit code.
 
     Recency is tiled by ascending days as in the reference (tile 1 = most recent); with
     ``recency_best_first`` the days are tiled descending (tile k = most recent).
-    Tiled by the distributed rank (``rank.ntile``) at every size; ``rfm_base`` has already
-    written the per-customer table.
+    All three orders are tiled together from their border rows (``tiles.ntiles``), at every
+    size; ``rfm_base`` has already written the per-customer table, which is only read here.
     """
-    rec = F.col("recency").desc() if recency_best_first else F.col("recency").asc()
-    s = ntile(base, k, [rec, F.col(customer)], "rfm_recency", num_buckets)
-    s = ntile(s, k, [F.col("frequency"), F.col(customer)], "rfm_frequency", num_buckets)
-    s = ntile(s, k, [F.col("monetary_value"), F.col(customer)], "rfm_monetary", num_buckets)
+    s = ntiles(base, k, {"rfm_recency": ("recency", recency_best_first), "rfm_frequency": "frequency",
+                         "rfm_monetary": "monetary_value"}, customer)
     return s.withColumns({
         "rfm_cell": F.col("rfm_recency") + F.col("rfm_frequency") + F.col("rfm_monetary"),
         "rfm_cell_string": concat_text("rfm_recency", "rfm_frequency", "rfm_monetary"),

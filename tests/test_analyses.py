@@ -189,7 +189,7 @@ def test_rfm_scores_agree_with_the_built_in_window(spark):
     from pyspark.sql import Window
     from quarry.sources.views import sales
     base = rfm.rfm_base(sales(spark, "/root/testdata/sf0.001"))
-    a = rfm.rfm_scores(base, num_buckets=5).select("customername", "rfm_cell_string")
+    a = rfm.rfm_scores(base.repartition(5)).select("customername", "rfm_cell_string")
     tile = lambda c: F.ntile(4).over(Window.orderBy(c, "customername")).cast("string")
     b = base.select("customername", F.concat(tile("recency"), tile("frequency"), tile("monetary_value")).alias("b"))
     j = a.join(b, "customername")

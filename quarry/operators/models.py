@@ -1,10 +1,5 @@
-"""Distributed models and resampling declared in the reference's README.
+"""Distributed models declared in the reference's README.
 
-* ``bootstrap_ci``: Poisson bootstrap - each row gets an independent Poisson(1) weight per
-  replicate instead of drawing samples, so replicates are aggregates over the
-  (row × replicate) expansion with partial aggregation; no replicate is ever collected.
-  Weights come from a hash of (row key, replicate, seed), not ``rand()``, so a
-  recomputed partition (lost executor) reproduces the same weights.
 * ``model_comparison``: Spark ML regressors fitted on the same features, evaluated on a
   hash-split hold-out set.
 * ``gamma_glm``: ``GeneralizedLinearRegression(family="gamma", link="log")``.
@@ -12,8 +7,6 @@
 
 from __future__ import annotations
 
-import itertools
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -28,55 +21,6 @@ def hash_uniform(*cols: Column, seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def poisson1_weight(u: Column, kmax: int = 20) -> Column:
-    """Inverse CDF of Poisson(1) at u: the smallest k with P(X ≤ k) > u.
-
-    Thresholds follow from the pmf e^(−1)/k!; beyond ``kmax`` the remaining mass is below
-    1e-19, under the resolution of u.
-    """
-    expr = None
-    for k, cdf in enumerate(poisson1_cdf(kmax)):
-        expr = F.when(u < cdf, F.lit(k)) if expr is None else expr.when(u < cdf, F.lit(k))
-    return expr.otherwise(F.lit(kmax + 1))
-
-
-def poisson1_cdf(kmax: int = 20) -> list[float]:
-    return list(itertools.accumulate(math.exp(-1.0) / math.factorial(k) for k in range(kmax + 1)))
-
-
-def replicate_weights(base: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
-    """Each row of ``base`` once per replicate, with its Poisson(1) weight: (base columns, _b, _w).
-
-    One md5 of (key, block, seed) holds the weights of four replicates: eight hex digits each.
-    """
-    blocks = F.sequence(F.lit(0), F.lit((replicates - 1) // 4))
-    hashed = (base.withColumn("_block", F.explode(blocks))
-                  .withColumn("_h", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("_block").cast("string"),
-                                                      F.lit(str(seed))).cast("binary"))))
-    each = (hashed.withColumn("_j", F.explode(F.array(*[F.lit(j) for j in range(4)])))
-                  .withColumn("_b", F.col("_block") * 4 + F.col("_j") + 1).where(F.col("_b") <= replicates))
-    u = F.conv(F.substr("_h", F.col("_j") * 8 + 1, F.lit(8)), 16, 10).cast("double") / float(1 << 32)
-    return each.withColumn("_w", poisson1_weight(u)).drop("_block", "_h", "_j")
-
-
-def bootstrap_ci(df: DataFrame, value: str, key: str, replicates: int = 100, seed: int = 7,
-                 alpha: float = 0.05) -> DataFrame:
-    """Percentile interval of the mean of ``value`` from a Poisson bootstrap.
-
-    One row: (statistic, estimate, ci_low, ci_high, replicates). The interval is taken
-    over the ``replicates`` replicate means (a table with one row per replicate).
-    """
-    from ..session import spread_if_narrow
-    base = df.select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    reps = replicate_weights(spread_if_narrow(base), "_k", replicates, seed)
-    per_rep = (reps.groupBy("_b").agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("_m")))
-    ci = per_rep.agg(F.percentile("_m", alpha / 2).alias("ci_low"), F.percentile("_m", 1 - alpha / 2).alias("ci_high"),
-                     F.count(F.lit(1)).alias("replicates"))
-    estimate = base.select(F.avg("_v")).scalar()
-    return ci.select(F.lit(f"mean({value})").alias("statistic"), estimate.alias("estimate"), "ci_low", "ci_high",
-                     "replicates")
-
-
 def _held_out(key: str, seed: int, test_share: float) -> Column:
     return hash_uniform(F.col(key), seed=seed) < test_share
 
@@ -164,31 +108,3 @@ def gamma_glm(df: DataFrame, label: str, features: Sequence[str], key: str) -> D
     finally:
         train.unpersist()
     return model.transform(data).select(key, label, "prediction")
-
-
-def bootstrap_corr_ci(df: DataFrame, x: str, y: str, key: str, replicates: int = 100, seed: int = 7,
-                      alpha: float = 0.05) -> DataFrame:
-    """Percentile interval of the Pearson correlation of (x, y) from a Poisson bootstrap.
-
-    Each replicate's correlation comes from its weighted sums (Σw, Σwx, Σwy, Σwx², Σwy², Σwxy),
-    aggregated per replicate with partial aggregation; complete pairs only.
-    One row: (statistic, estimate, ci_low, ci_high, replicates).
-    """
-    from ..session import spread_if_narrow
-    base = (df.select(F.col(key).alias("_k"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-              .where(F.col("_x").isNotNull() & F.col("_y").isNotNull()))
-    reps = replicate_weights(spread_if_narrow(base), "_k", replicates, seed)
-    xs, ys = F.col("_x"), F.col("_y")
-    sums = (reps.withColumn("_w", F.col("_w").cast("double"))
-                .groupBy("_b").agg(F.sum("_w").alias("sw"), F.sum(F.col("_w") * xs).alias("sx"),
-                                   F.sum(F.col("_w") * ys).alias("sy"), F.sum(F.col("_w") * xs * xs).alias("sxx"),
-                                   F.sum(F.col("_w") * ys * ys).alias("syy"), F.sum(F.col("_w") * xs * ys).alias("sxy")))
-    cov = F.col("sxy") / F.col("sw") - (F.col("sx") / F.col("sw")) * (F.col("sy") / F.col("sw"))
-    vx = F.col("sxx") / F.col("sw") - (F.col("sx") / F.col("sw")) ** 2
-    vy = F.col("syy") / F.col("sw") - (F.col("sy") / F.col("sw")) ** 2
-    per_rep = sums.select((cov / F.sqrt(vx * vy)).alias("_r"))
-    ci = per_rep.agg(F.percentile("_r", alpha / 2).alias("ci_low"), F.percentile("_r", 1 - alpha / 2).alias("ci_high"),
-                     F.count(F.lit(1)).alias("replicates"))
-    estimate = base.select(F.corr("_x", "_y")).scalar()
-    return ci.select(F.lit(f"corr({x},{y})").alias("statistic"), estimate.alias("estimate"), "ci_low", "ci_high",
-                     "replicates")

@@ -104,29 +104,6 @@ def least_squares(df: DataFrame, y: str, x: str) -> DataFrame:
                   F.regr_r2(y, x).alias("r2"), F.regr_count(y, x).alias("n"))
 
 
-def regression_band(df: DataFrame, y: str, x: str, points: int = 100, z: float = 1.959963984540054) -> DataFrame:
-    """The least-squares line with its confidence band on a grid over x's range:
-    (grid_index, x, fitted, lower, upper).
-
-    The band is fitted ± z · standard error of the mean response (the normal approximation,
-    in place of resampling). All sums are one aggregate pass; only its single row is
-    expanded over the grid.
-    """
-    yd, xd = F.col(y).cast("double"), F.col(x).cast("double")
-    sums = df.select(yd.alias("_y"), xd.alias("_x")).where("_y is not null and _x is not null").agg(
-        F.regr_slope("_y", "_x").alias("b"), F.regr_intercept("_y", "_x").alias("a"),
-        F.regr_sxx("_y", "_x").alias("sxx"), F.regr_syy("_y", "_x").alias("syy"), F.regr_sxy("_y", "_x").alias("sxy"),
-        F.avg("_x").alias("mx"), F.count("_x").alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"))
-    grid = sums.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("grid_index"))
-    at = F.col("lo") + F.col("grid_index") * ((F.col("hi") - F.col("lo")) / (points - 1))
-    noise = F.try_divide(F.col("syy") - F.col("b") * F.col("sxy"), F.col("n") - 2)
-    off = F.col("x") - F.col("mx")
-    half = z * F.sqrt(noise * (1 / F.col("n") + F.try_divide(off * off, F.col("sxx"))))
-    fitted = F.col("a") + F.col("b") * F.col("x")
-    return grid.withColumn("x", at).select("grid_index", "x", fitted.alias("fitted"),
-                                           (fitted - half).alias("lower"), (fitted + half).alias("upper"))
-
-
 def boxcox_grid(lo: float = -2.0, hi: float = 2.0, step: float = 0.1) -> list[float]:
     n = int(round((hi - lo) / step))
     return [round(lo + i * step, 10) for i in range(n + 1)]

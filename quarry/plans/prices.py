@@ -11,10 +11,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..operators import charts, clean, dq, stats
+from ..operators import charts, clean, dq, resampling, stats
 from ..sources.views import prices
 from .registry import query
-from .sqlgen import edge_rows_sql, hist_sql, in_bin_sql, union_all
+from .sqlgen import REPLICATES, SEED, edge_rows_sql, hist_sql, in_bin_sql, union_all, weights_sql
 
 P = ("prices",)
 COLS = ["event_id", "ts", "bitcoin", "ether"]
@@ -303,20 +303,19 @@ def joint_marginals(spark, d):
     return charts.joint_marginals(_data_cleaned(spark, d), "bitcoin", "ether", 10)
 
 
-@query("regression_band", covers="G9", views=P, sql=_DATA_SQL + """
-, s AS (SELECT regr_slope(ether, bitcoin) AS b, regr_intercept(ether, bitcoin) AS a, regr_sxx(ether, bitcoin) AS sxx,
-               regr_avgx(ether, bitcoin) AS mx, CAST(regr_count(ether, bitcoin) AS BIGINT) AS n,
-               min(bitcoin) FILTER (WHERE ether IS NOT NULL) AS lo, max(bitcoin) FILTER (WHERE ether IS NOT NULL) AS hi
-        FROM data_cleaned),
-noise AS (SELECT sum((ether - a - b * bitcoin) * (ether - a - b * bitcoin)) / (max(n) - 2) AS v
-          FROM data_cleaned, s WHERE ether IS NOT NULL AND bitcoin IS NOT NULL),
-g AS (SELECT CAST(range AS INTEGER) AS grid_index, lo + range * ((hi - lo) / 99) AS x, s.*, v FROM range(100), s, noise)
-SELECT grid_index, round(x, 6) AS x, round(a + b * x, 6) AS fitted,
-       round(a + b * x - CAST(1.959963984540054 AS DOUBLE) * sqrt(v * (1 / n + (x - mx) * (x - mx) / sxx)), 6) AS lower,
-       round(a + b * x + CAST(1.959963984540054 AS DOUBLE) * sqrt(v * (1 / n + (x - mx) * (x - mx) / sxx)), 6) AS upper
-FROM g""")
+@query("regression_band", covers="G9 R5", views=P, sql=_DATA_SQL + f"""
+, pair AS (SELECT event_id AS k, bitcoin AS x, ether AS y FROM data_cleaned WHERE ether IS NOT NULL AND bitcoin IS NOT NULL),
+{weights_sql('pair', 'x, y')},
+sums AS (SELECT b, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, sum(w * x * x) / sum(w) AS xx,
+                sum(w * x * y) / sum(w) AS xy FROM weighted GROUP BY b),
+line AS (SELECT mx, my, (xy - mx * my) / (xx - mx * mx) AS slope FROM sums),
+s AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, min(x) AS lo, max(x) AS hi FROM pair),
+g AS (SELECT CAST(range AS INTEGER) AS grid_index, lo + range * ((hi - lo) / 99) AS x, a, b FROM range(100), s)
+SELECT grid_index, round(x, 6) AS x, round(any_value(a + b * x), 6) AS fitted,
+       round(quantile_cont(my + slope * (x - mx), 0.025), 6) AS lower, round(quantile_cont(my + slope * (x - mx), 0.975), 6) AS upper
+FROM g, line GROUP BY grid_index, x""")
 def regression_band(spark, d):
-    out = stats.regression_band(_data_cleaned(spark, d), "ether", "bitcoin")
+    out = resampling.regression_band(_data_cleaned(spark, d), "ether", "bitcoin", "event_id", replicates=REPLICATES, seed=SEED)
     return out.select("grid_index", *[_r(F.col(c)).alias(c) for c in ("x", "fitted", "lower", "upper")])
 
 

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType, TimestampNTZType
 
 from ..functions.scalar import nan_to_null, to_number_lenient
-from ..operators import dashboards, models, stats
+from ..operators import dashboards, models, resampling, stats
 from ..operators.coaster import clean_coasters
 from ..session import scratch_path
 from ..sources import catalog, csv
 from ..sources.tables import read_table
 from ..sources.views import coasters, prices
 from .registry import query
-from .sqlgen import union_all
+from .sqlgen import REPLICATES, SEED, union_all, weights_sql
 
 RATE_DIMS = ["lang", "source"]
 MODEL_FEATURES = ["height_ft", "inversions", "gforce", "year_introduced"]
@@ -61,21 +61,6 @@ def csv_roundtrip(spark, d):
     return csv.read_series_csv(spark, path, PRICE_SCHEMA, "ts")
 
 
-REPLICATES, SEED = 100, 7
-_POISSON_SQL = "CASE " + " ".join(f"WHEN u < CAST({c!r} AS DOUBLE) THEN {k}" for k, c in enumerate(
-    models.poisson1_cdf())) + " ELSE 21 END"
-
-
-def _weights_sql(src: str, cols: str) -> str:
-    """Each row of src(k, ...) once per replicate b with its weight w."""
-    return f"""hashed AS (SELECT {cols}, md5(concat_ws('|', k, blk.range, {SEED})) AS h, blk.range AS block
-            FROM {src}, range({REPLICATES // 4}) AS blk),
-drawn AS (SELECT {cols}, block * 4 + q.range + 1 AS b,
-                 CAST(CAST('0x' || substr(h, CAST(q.range * 8 + 1 AS BIGINT), 8) AS BIGINT) AS DOUBLE) / 4294967296 AS u
-          FROM hashed, range(4) AS q),
-weighted AS (SELECT {cols}, b, {_POISSON_SQL} AS w FROM drawn)"""
-
-
 def _interval_sql(statistic: str, estimate: str, value: str) -> str:
     return f"""SELECT '{statistic}' AS statistic, round({estimate}, 9) AS estimate,
        round(quantile_cont({value}, 0.025), 9) AS ci_low, round(quantile_cont({value}, 0.975), 9) AS ci_high,
@@ -88,12 +73,12 @@ def _rounded(out):
 
 @query("bootstrap_ci", covers="R5", sql=f"""
 WITH x AS (SELECT event_id AS k, value AS v FROM events WHERE value IS NOT NULL AND NOT isnan(value)),
-{_weights_sql('x', 'v')},
+{weights_sql('x', 'v')},
 per_replicate AS (SELECT b, sum(w * v) / sum(w) AS m FROM weighted GROUP BY b)
 {_interval_sql('mean(value)', '(SELECT avg(v) FROM x)', 'm')}""")
 def bootstrap_ci(spark, d):
     ev = nan_to_null(read_table(spark, d, "events").select("event_id", "value"), ["value"])
-    return _rounded(models.bootstrap_ci(ev, "value", "event_id", replicates=REPLICATES, seed=SEED))
+    return _rounded(resampling.bootstrap_ci(ev, "value", "event_id", REPLICATES, SEED, partitions=spark.sparkContext.defaultParallelism))
 
 
 @query("model_comparison", covers="R4")
@@ -134,15 +119,15 @@ def gamma_glm_factor(spark, d):
 @query("bootstrap_corr", covers="R5", views=("coasters",), sql=f"""
 , x AS (SELECT row_id AS k, speed_mph AS x, height_ft AS y FROM coasters
         WHERE speed_mph IS NOT NULL AND height_ft IS NOT NULL),
-{_weights_sql('x', 'x, y')},
+{weights_sql('x', 'x, y')},
 sums AS (SELECT b, sum(w) AS n, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, sum(w * x * x) / sum(w) AS xx,
                 sum(w * y * y) / sum(w) AS yy, sum(w * x * y) / sum(w) AS xy FROM weighted GROUP BY b),
 per_replicate AS (SELECT (xy - mx * my) / sqrt((xx - mx * mx) * (yy - my * my)) AS r FROM sums)
 {_interval_sql('corr(speed_mph,height_ft)', '(SELECT corr(x, y) FROM x)', 'r')}""")
 def bootstrap_corr(spark, d):
     # correlation with a bootstrap interval: coaster speed vs height
-    return _rounded(models.bootstrap_corr_ci(coasters(spark, d), "speed_mph", "height_ft", "row_id",
-                                             replicates=REPLICATES, seed=SEED))
+    return _rounded(resampling.bootstrap_corr_ci(coasters(spark, d), "speed_mph", "height_ft", "row_id", REPLICATES, SEED,
+                                                 partitions=spark.sparkContext.defaultParallelism))
 
 
 @query("boxcox_apply", covers="R6", sql=f"""

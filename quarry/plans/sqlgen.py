@@ -2,6 +2,21 @@
 
 from __future__ import annotations
 
+from ..operators.resampling import poisson1_cdf
+
+REPLICATES, SEED = 100, 7
+_POISSON_SQL = "CASE " + " ".join(f"WHEN u < CAST({c!r} AS DOUBLE) THEN {k}" for k, c in enumerate(poisson1_cdf())) + " ELSE 21 END"
+
+
+def weights_sql(src: str, cols: str) -> str:
+    """CTEs up to weighted: each row of src(k, ...) once per replicate b with its weight w."""
+    return f"""hashed AS (SELECT {cols}, md5(concat_ws('|', k, blk.range, {SEED})) AS h, blk.range AS block
+            FROM {src}, range({REPLICATES // 4}) AS blk),
+drawn AS (SELECT {cols}, block * 4 + q.range + 1 AS b,
+                 CAST(CAST('0x' || substr(h, CAST(q.range * 8 + 1 AS BIGINT), 8) AS BIGINT) AS DOUBLE) / 4294967296 AS u
+          FROM hashed, range(4) AS q),
+weighted AS (SELECT {cols}, b, {_POISSON_SQL} AS w FROM drawn)"""
+
 
 def edges_sql(col: str, src: str, where: str = "TRUE") -> str:
     """lo/hi (numpy's ±0.5 for a constant column) and n of a column."""

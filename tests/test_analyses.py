@@ -177,7 +177,7 @@ def test_ecdf_ends_at_one(spark):
 
 
 def test_poisson_bootstrap_interval_brackets_mean(spark):
-    from quarry.operators.models import bootstrap_ci
+    from quarry.operators.resampling import bootstrap_ci
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     r = bootstrap_ci(ev, "value", "event_id", replicates=50).first()
     assert r["ci_low"] < r["estimate"] < r["ci_high"] and r["replicates"] == 50
@@ -232,7 +232,7 @@ def test_scale_conf_sizes_partitions():
 
 
 def test_bootstrap_corr_interval(spark):
-    from quarry.operators.models import bootstrap_corr_ci
+    from quarry.operators.resampling import bootstrap_corr_ci
     from quarry.sources.views import coasters
     c = coasters(spark, "/root/testdata/sf0.01")
     r = bootstrap_corr_ci(c, "speed_mph", "height_ft", "row_id", replicates=60).first()

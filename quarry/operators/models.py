@@ -1,8 +1,8 @@
 """Distributed models declared in the reference's README.
 
-* ``model_comparison``: Spark ML regressors fitted on the same features, evaluated on a
-  hash-split hold-out set.
-* ``gamma_glm``: ``GeneralizedLinearRegression(family="gamma", link="log")``.
+* ``model_comparison``: the linear families of ``gram`` (one moment matrix) and Spark ML's
+  tree, factorization, isotonic and generalised linear regressors, on the same rows.
+* ``gamma_glm``: predictions of ``gram.fit_gamma``.
 """
 
 from __future__ import annotations
@@ -12,6 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .gram import compare_linear, fit_gamma, linear_families
+
+
 def hash_uniform(*cols: Column, seed: int = 0) -> Column:
     """A uniform number in [0, 1) with 52 bits, fixed by the (whole-number or text) values and the seed.
 
@@ -29,7 +32,7 @@ def _assemble(df: DataFrame, label: str, features: Sequence[str], key: str) -> D
     from pyspark.ml.feature import VectorAssembler
     clean = df.select(key, *features, label).na.drop("any")
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(clean) \
-        .select(key, "features", F.col(label).cast("double").alias("label"))
+        .select(key, "features", *features, F.col(label).cast("double").alias("label"))
 
 
 def _scores(pred: DataFrame) -> list[Column]:
@@ -41,13 +44,8 @@ def _scores(pred: DataFrame) -> list[Column]:
 
 def _regressors(seed: int):
     from pyspark.ml.regression import (DecisionTreeRegressor, FMRegressor, GBTRegressor,
-                                       GeneralizedLinearRegression, IsotonicRegression, LinearRegression,
-                                       RandomForestRegressor)
+                                       GeneralizedLinearRegression, IsotonicRegression, RandomForestRegressor)
     return [
-        ("linear", LinearRegression()),
-        ("ridge", LinearRegression(regParam=0.1, elasticNetParam=0.0)),
-        ("lasso", LinearRegression(regParam=0.1, elasticNetParam=1.0)),
-        ("elastic_net", LinearRegression(regParam=0.1, elasticNetParam=0.5)),
         ("glm_gaussian", GeneralizedLinearRegression(family="gaussian", link="identity")),
         ("glm_gamma_log", GeneralizedLinearRegression(family="gamma", link="log")),
         ("glm_poisson_log", GeneralizedLinearRegression(family="poisson", link="log")),
@@ -61,7 +59,7 @@ def _regressors(seed: int):
 
 def model_comparison(df: DataFrame, label: str, features: Sequence[str], key: str, seed: int = 7,
                      test_share: float = 0.2) -> DataFrame:
-    """Fit each regressor on the same training rows; score RMSE, MAE, R² on held-out rows.
+    """Fit each model on the same training rows; score RMSE, MAE, R² on held-out rows.
 
     The split is a hash of the row key, so it is the same on every run and partitioning.
     Returns one row per model: (model, rmse, mae, r2, n_train, n_test).
@@ -69,7 +67,8 @@ def model_comparison(df: DataFrame, label: str, features: Sequence[str], key: st
     data = _assemble(df, label, features, key).withColumn("_test", _held_out(key, seed, test_share)).persist()
     train, test = data.where(~F.col("_test")), data.where(F.col("_test"))
     n_train = train.count()
-    rows = []
+    plain = data.select(F.col("label"), *[F.col(f).cast("double").alias(f) for f in features], "_test")
+    rows = compare_linear(plain, "label", features, "_test")
     for name, est in _regressors(seed):
         pred = est.fit(train).transform(test)
         got = pred.agg(*_scores(pred)).first()
@@ -94,17 +93,23 @@ def linear_holdout(df: DataFrame, label: str, feature: str, key: str, seed: int
         "rmse", "mae", "r2", F.lit(n_train).cast("long").alias("n_train"), F.col("n").alias("n_test"))
 
 
+def positive_rows(df: DataFrame, label: str, features: Sequence[str], *keep: str) -> DataFrame:
+    """The complete rows with a positive label, as doubles."""
+    rows = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in [*features, label] if c not in keep])
+    return rows.na.drop("any").where(F.col(label) > 0)
+
+
 def gamma_glm(df: DataFrame, label: str, features: Sequence[str], key: str) -> DataFrame:
     """Gamma regression with log link; predictions for every complete row: (key, label, prediction)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-    clean = df.select(key, *features, label).na.drop("any").where(F.col(label) > 0)
-    data = VectorAssembler(inputCols=list(features), outputCol="features").transform(clean) \
-        .withColumn("label", F.col(label).cast("double"))
-    # IRLS reads the data once per iteration: keep the assembled features for the fit only.
-    train = data.select("features", "label").persist()
-    try:
-        model = GeneralizedLinearRegression(family="gamma", link="log").fit(train)
-    finally:
-        train.unpersist()
-    return model.transform(data).select(key, label, "prediction")
+    rows = positive_rows(df, label, features, key)
+    return rows.select(key, label, fit_gamma(rows, label, features).predicted().alias("prediction"))
+
+
+def compare_families(df: DataFrame, label: str, features: Sequence[str], key: str, names: Sequence[str], seed: int = 7,
+                     test_share: float = 0.2) -> DataFrame:
+    """The linear families called ``names`` scored like ``model_comparison``: (model, rmse, mae, r2, n_train, n_test)."""
+    rows = df.select(key, *[F.col(c).cast("double").alias(c) for c in [*features, label]]).na.drop("any")
+    rows = rows.withColumn("_test", _held_out(key, seed, test_share))
+    every = linear_families(features)
+    out = compare_linear(rows, label, features, "_test", {n: every[n] for n in names})
+    return df.sparkSession.createDataFrame(out, "model string, rmse double, mae double, r2 double, n_train long, n_test long")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType, TimestampNTZType
 
 from ..functions.scalar import nan_to_null, to_number_lenient
-from ..operators import dashboards, models, resampling, stats
+from ..operators import dashboards, gram, models, resampling, stats
 from ..operators.coaster import clean_coasters
 from ..session import scratch_path
 from ..sources import catalog, csv
@@ -101,6 +101,48 @@ def linear_holdout(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in ("slope", "intercept", "rmse", "mae", "r2")})
 
 
+_PAIR = ["height_ft", "gforce"]
+_FAMILIES = ["mean", "least_squares", "ridge_0.1", "ridge_1", "principal_components_1", "partial_least_squares_1", "only_height_ft"]
+
+
+@query("linear_families", covers="R4", views=("coasters",), sql=f"""
+, x AS (SELECT CAST(speed_mph AS DOUBLE) AS y, CAST(height_ft AS DOUBLE) AS x1, CAST(gforce AS DOUBLE) AS x2,
+               CAST(CAST('0x' || substr(md5(concat_ws('|', row_id, {SEED})), 1, 13) AS BIGINT) AS DOUBLE)
+                 / 4503599627370496 < 0.2 AS test
+        FROM coasters WHERE speed_mph IS NOT NULL AND height_ft IS NOT NULL AND gforce IS NOT NULL),
+s AS (SELECT count(*) AS n, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, stddev_pop(y) AS sy, stddev_pop(x1) AS s1,
+             stddev_pop(x2) AS s2, corr(x1, x2) AS r, corr(x1, y) AS c1, corr(x2, y) AS c2 FROM x WHERE NOT test),
+b AS (
+  SELECT 'mean' AS model, CAST(0 AS DOUBLE) AS b1, CAST(0 AS DOUBLE) AS b2 FROM s
+  UNION ALL SELECT name, ((1 + l) * c1 - r * c2) / ((1 + l) * (1 + l) - r * r), ((1 + l) * c2 - r * c1) / ((1 + l) * (1 + l) - r * r)
+    FROM s, (VALUES ('least_squares', CAST(0 AS DOUBLE)), ('ridge_0.1', CAST(0.1 AS DOUBLE)), ('ridge_1', CAST(1 AS DOUBLE))) AS v(name, l)
+  UNION ALL SELECT 'principal_components_1', (c1 + sign(r) * c2) / (2 * (1 + abs(r))), sign(r) * (c1 + sign(r) * c2) / (2 * (1 + abs(r))) FROM s
+  UNION ALL SELECT 'partial_least_squares_1', c1 * (c1 * c1 + c2 * c2) / (c1 * c1 + c2 * c2 + 2 * r * c1 * c2),
+                   c2 * (c1 * c1 + c2 * c2) / (c1 * c1 + c2 * c2 + 2 * r * c1 * c2) FROM s
+  UNION ALL SELECT 'only_height_ft', c1, 0 FROM s),
+miss AS (SELECT model, n, y, y - (my + b1 * sy / s1 * (x1 - m1) + b2 * sy / s2 * (x2 - m2)) AS e FROM b, s, x WHERE test)
+SELECT model, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(abs(e)), 6) AS mae, round(1 - avg(e * e) / var_pop(y), 6) AS r2,
+       any_value(n) AS n_train, count(*) AS n_test
+FROM miss GROUP BY model""")
+def linear_families(spark, d):
+    # families with a closed form for two features
+    out = models.compare_families(coasters(spark, d), "speed_mph", _PAIR, "row_id", _FAMILIES, seed=SEED)
+    return out.withColumns({c: F.round(c, 6) for c in ("rmse", "mae", "r2")})
+
+
+@query("gamma_inference", covers="R7", views=("coasters",), sql="""
+, x AS (SELECT speed_mph AS y FROM coasters WHERE speed_mph > 0 AND """ + " AND ".join(f"{f} IS NOT NULL" for f in MODEL_FEATURES) + """),
+s AS (SELECT count(*) AS n, round(2 * count(*) * (ln(avg(y)) - avg(ln(y))), 6) AS null_deviance FROM x)
+SELECT term, CAST(0 AS DOUBLE) AS score, n, null_deviance, true AS improves
+FROM s, (VALUES ('intercept'), """ + ", ".join(f"('{f}')" for f in MODEL_FEATURES) + """) AS v(term)""")
+def gamma_inference(spark, d):
+    # the score equations hold at the fit (0 for every term), and the fit is better than the mean
+    rows = models.positive_rows(coasters(spark, d), "speed_mph", MODEL_FEATURES)
+    out = gram.gamma_inference(rows, "speed_mph", MODEL_FEATURES)
+    return out.select("term", (F.round("score", 6) + 0.0).alias("score"), "n", F.round("null_deviance", 6).alias("null_deviance"),
+                      (F.col("deviance") <= F.col("null_deviance")).alias("improves"))
+
+
 @query("gamma_glm", covers="R7")
 def gamma_glm(spark, d):
     return models.gamma_glm(coasters(spark, d), "speed_mph", MODEL_FEATURES, "row_id")

@@ -65,19 +65,19 @@ def adaptive_scan(q: np.ndarray, c: np.ndarray, k: int, step: int = 16, width: i
                   slack: float = 1e-9) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(query, candidate) pairs, all that may be among the k nearest of the rotated ``c``.
 
-    The first ``width`` candidates (at least 4 k) are scanned whole and set each query's
-    k-th distance; later blocks are scanned ``step`` dimensions at a time. With d of D
+    The first 2 k candidates are scanned whole and set each query's k-th distance; all later
+    ones are scanned ``step`` dimensions at a time, ``width`` candidates together. With d of D
     dimensions seen, a candidate whose partial distance times D / d exceeds the k-th
     distance by (1 + strict / sqrt(d))^2 is abandoned: under rotation a nearer one fails
     that test with vanishing probability. ``slack`` keeps ties.
     """
     dims = q.shape[1]
-    width = max(width, 4 * k)
+    blocks = [0, *range(2 * k, len(c), width)]
     cut = np.full(len(q), np.inf)
     nearest = np.full((len(q), k), np.inf)
     kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for at in range(0, len(c), width):
-        part = c[at:at + width]
+    for at, end in zip(blocks, [*blocks[1:], len(c)]):
+        part = c[at:end]
         if at == 0:
             d = (q * q).sum(1)[:, None] + (part * part).sum(1) - 2 * q @ part.T
             i, j = np.nonzero(d <= np.inf)

@@ -5,7 +5,7 @@ parts in order into one string: text is escaped, every other part becomes a plac
 with a running number, and its reference and expanded token count are recorded. Turns are
 joined by a template of control strings, and the loss mask marks the assistant's text.
 
-Escaping: in texts and roles ``<``, any number of backslashes, then ``|`` gets one more
+Escaping: in roles and in runs of neighbouring text parts, joined first, ``<``, any number of backslashes, then ``|`` gets one more
 backslash; reading back takes one away. So ``<|`` never occurs in an escaped text, and every
 control string in the output is the template's own.
 """
@@ -55,7 +55,7 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     (begin, end) code points of the assistant's texts in ``formatted``; ``attachments`` are
     (turn number, number in the turn, type, ref, tokens) in order. Null role or text is
     empty; a null part or one of an unknown type is dropped; turns are ordered by turn (null
-    first), then role, then text, so repeated turn numbers have a fixed order; turns without
+    first), then role, then text, then placeholders, so repeated turn numbers have a fixed order; turns without
     a conversation id form one conversation with a null id. The work per turn is done before
     the turns meet; only the joining, whose result is one string, takes a conversation's
     turns together.
@@ -66,19 +66,25 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
                         F.coalesce(content, F.array().cast(PART_TYPE)).alias("parts"))
     known = F.filter("parts", lambda p: p.isNotNull() & p["type"].isin("text", "image", "audio", "document"))
     media = F.filter("parts", lambda p: p["type"] != "text")
-    shown = F.transform("parts", lambda p, k: F.when(
-        p["type"] == "text", escape(F.coalesce(p["text"], F.lit(""))))
-        .otherwise(F.concat(F.lit("<|"), p["type"], F.lit(":"), F.aggregate(
-            F.slice(F.col("parts"), F.lit(1), k), F.lit(0), lambda n, q: n + F.when(q["type"] == "text", 0).otherwise(1)).cast("string"),
-            F.lit("|>"))))
+    # the visitor: neighbouring texts are one run, escaped when a placeholder or the end closes it
+    begin = F.struct(F.lit("").alias("done"), F.lit("").alias("run"), F.lit(0).alias("media"))
+
+    def visit(at: Column, p: Column) -> Column:
+        text = p["type"] == "text"
+        placeholder = F.concat(F.lit("<|"), p["type"], F.lit(":"), at["media"].cast("string"), F.lit("|>"))
+        return F.struct(F.when(text, at["done"]).otherwise(F.concat(at["done"], escape(at["run"]), placeholder)).alias("done"),
+                        F.when(text, F.concat(at["run"], F.coalesce(p["text"], F.lit("")))).otherwise("").alias("run"),
+                        F.when(text, at["media"]).otherwise(at["media"] + 1).alias("media"))
+    shown = F.aggregate("parts", begin, visit, lambda at: F.concat(at["done"], escape(at["run"])))
+    plain = F.array_join(F.transform("parts", lambda p: F.when(p["type"] == "text", F.coalesce(p["text"], F.lit(""))).otherwise("")), "")
     visited = (base.withColumn("parts", known)
-               .withColumn("body", F.array_join(shown, ""))
+               .withColumn("body", shown).withColumn("plain", plain)
                .withColumn("media", F.transform(media, lambda p, k: F.struct(
                    k.alias("number"), p["type"].alias("type"), p["ref"].alias("ref"),
                    _tokens(p, patch, audio_rate, page_tokens).alias("tokens"))))
                .withColumn("head", F.concat(F.lit(START), escape(F.col("role")), F.lit(SEP)))
                .withColumn("piece", F.concat("head", "body", F.lit(END), F.lit("\n"))))
-    order = [F.col("turn").asc_nulls_first(), "role", "body"]
+    order = [F.col("turn").asc_nulls_first(), "role", "plain", "body"]
     by_turn = Window.partitionBy("conv").orderBy(*order)
     before = F.coalesce(F.sum(F.char_length("piece")).over(by_turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = (visited.withColumn("number", F.row_number().over(by_turn))

@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarry.session import scratch_path
 
@@ -76,7 +77,7 @@ def ship_package(spark: SparkSession) -> None:
         sc._quarry_shipped = True
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable, schema: str | StructType) -> DataFrame:
     ship_package(df.sparkSession)
     return df.mapInArrow(fn, schema)
 

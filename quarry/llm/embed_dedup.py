@@ -26,27 +26,34 @@ from .common import connected_components, local_components, map_arrow, scratch_t
 from .vectors import matrix, sample_vectors, usable
 
 PIVOTS, PREFIX, SHARED, BLOCK = 128, 10, 3, 2048
-# Rows that the pivots are chosen from; largest cosine of two pivots.
+# Rows that the pivots are chosen from; largest cosine of two pivots, seen from the rows' mean.
 SAMPLE, APART = 2048, 0.6
 
 
-def choose_pivots(sample: np.ndarray, n: int, apart: float = APART) -> np.ndarray:
-    """At most ``n`` of the sampled vectors (as unit vectors, in order) that lie apart from each other.
+def choose_pivots(sample: np.ndarray, n: int, apart: float = APART) -> tuple[np.ndarray, np.ndarray]:
+    """(at most ``n`` of the sampled directions, in order, that lie apart from each other; the sample's mean direction).
 
-    Copies of one vector, however many the table has, so give one pivot and cannot fill the
-    prefixes of their neighbours.
+    Directions are taken from the mean: a component that all vectors share would otherwise
+    leave them all close to one pivot. Copies of one vector, however many the table has,
+    give one pivot and cannot fill the prefixes of their neighbours.
     """
     unit = sample / np.linalg.norm(sample, axis=1)[:, None]
+    mean = unit.mean(0)
+    off = unit - mean
+    length = np.linalg.norm(off, axis=1)
+    if length.max() < 1e-9:                     # one direction only
+        return unit[:1], np.zeros_like(mean)
+    off = off[length >= 1e-9] / length[length >= 1e-9][:, None]
     chosen: list[int] = []
-    for k in range(len(unit)):
+    for k in range(len(off)):
         if len(chosen) == n:
             break
-        if not chosen or (unit[chosen] @ unit[k]).max() < apart:
+        if not chosen or (off[chosen] @ off[k]).max() < apart:
             chosen.append(k)
-    return unit[chosen]
+    return off[chosen], mean
 
 
-def _described(batches: Iterable[pa.RecordBatch], pivots: np.ndarray, prefix: int) -> Iterator[pa.RecordBatch]:
+def _described(batches: Iterable[pa.RecordBatch], pivots: np.ndarray, mean: np.ndarray, prefix: int) -> Iterator[pa.RecordBatch]:
     for part in batches:
         if not part.num_rows:
             continue
@@ -56,7 +63,8 @@ def _described(batches: Iterable[pa.RecordBatch], pivots: np.ndarray, prefix: in
             own = np.flatnonzero(sizes == n)
             x = matrix(part.column("vec").take(pa.array(own)))
             d = min(n, pivots.shape[1])
-            near[own] = np.sort(np.argsort(-(x[:, :d] @ pivots[:, :d].T), 1, "stable")[:, :near.shape[1]], 1)
+            off = x[:, :d] / np.linalg.norm(x, axis=1)[:, None] - mean[:d]
+            near[own] = np.sort(np.argsort(-(off @ pivots[:, :d].T), 1, "stable")[:, :near.shape[1]], 1)
         at = pa.array(np.arange(0, near.size + 1, near.shape[1], dtype=np.int32))
         yield part.append_column("near", pa.ListArray.from_arrays(at, pa.array(near.ravel())))
 
@@ -126,11 +134,11 @@ def embedding_near_dups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str
         weights = classes.select("rep", F.lit(0).cast("long").alias("weight")).limit(0)
         comps = classes.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
     else:
-        points = choose_pivots(points, pivots)
+        points, mean = choose_pivots(points, pivots)
         shared = min(shared, len(points))
         posted = min(prefix, len(points)) - shared + 1
         schema = "label string, vec array<float>, rep long, n long, near array<int>"
-        described = scratch_table(map_arrow(classes, functools.partial(_described, pivots=points, prefix=prefix), schema),
+        described = scratch_table(map_arrow(classes, functools.partial(_described, pivots=points, mean=mean, prefix=prefix), schema),
                                   "vector-prefixes")
         key = ["label", "dim", "pivot"]
         posting = described.select("*", F.size("vec").alias("dim"),

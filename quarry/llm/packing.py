@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import byte_slices, map_arrow, scratch_table, utf8_list
 
@@ -288,27 +289,26 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, salts: int | None = Non
     """
     spark = pieces.sparkSession
     salts = salts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    same = [F.col(c) for c in pieces.columns if c not in ("start", "length")]
-    pieces = scratch_table(pieces.withColumn("salt", F.pmod(F.xxhash64(*same), F.lit(salts)).cast("int")), "pieces")
-    counts = scratch_table(pieces.groupBy("length", "salt").agg(F.count("*").alias("n")), "piece-counts")
+    # the caller's columns travel as one struct, so none of their names can clash
+    same = [F.col("row")[c] for c in pieces.columns if c not in ("start", "length")]
+    rows = pieces.select(F.struct(*[F.col(f"`{c}`") for c in pieces.columns]).alias("row"))
+    rows = rows.select("row", F.col("row")["length"].alias("length"))
+    rows = scratch_table(rows.withColumn("salt", F.pmod(F.xxhash64(*same), F.lit(salts)).cast("int")), "pieces")
+    counts = scratch_table(rows.groupBy("length", "salt").agg(F.count("*").alias("n")), "piece-counts")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     if not histogram:
-        plan = None
-    else:
-        if min(histogram) < 1 or max(histogram) > capacity:
-            raise ValueError("a piece is empty or longer than the capacity")
-        plan = Plan(histogram, capacity, **solver)
+        return rows.select("row.*", F.col("length").cast("long").alias("sequence_id"), F.col("length").cast("long").alias("offset"))
+    if min(histogram) < 1 or max(histogram) > capacity:
+        raise ValueError("a piece is empty or longer than the capacity")
+    plan = Plan(histogram, capacity, **solver)
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
     within = F.row_number().over(Window.partitionBy("length", "salt").orderBy(*same))
-    numbered = (pieces.withColumn("within", within).join(starts, ["length", "salt"])
-                .withColumn("number", F.col("before") + F.col("within") - 1))
-    out = [c for c in pieces.columns if c != "salt"]
-    schema = ", ".join(f"`{c}` {t}" for c, t in numbered.select(out).dtypes)
-    if plan is None:
-        return numbered.select(*out, F.col("number").alias("sequence_id"), F.col("number").alias("offset"))
-    return map_arrow(numbered.select(*out, "number"), functools.partial(_placed, plan=plan),
-                     f"{schema}, sequence_id long, offset long")
+    numbered = (rows.withColumn("within", within).join(starts, ["length", "salt"])
+                .select("row", "length", (F.col("before") + F.col("within") - 1).alias("number")))
+    schema = T.StructType([*numbered.schema.fields[:2], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    placed = map_arrow(numbered, functools.partial(_placed, plan=plan), schema)
+    return placed.select("row.*", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",

@@ -49,9 +49,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    packed = packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"), keep_ids=False)
-    return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+def packed(docs: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """The digest columns of packed pieces; with ``keep_ids`` also their ids (little-endian 32-bit numbers)."""
+    out = packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"), keep_ids=keep_ids)
+    out = out.withColumn("ids_crc32", F.crc32("ids")) if keep_ids else out
+    return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset",
+                      *(["ids"] if keep_ids else []))
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,8 +196,10 @@ FROM k""",
     "op9_warc_fixity": """
 WITH r AS (
   SELECT page_id, coalesce(url, '') AS u, page_id // 1000 AS warc_file,
-         'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
-         || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+         'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: '
+         || replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') || chr(13) || chr(10)
+         || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+         || 'Content-Type: text/html' || chr(13) || chr(10)
          || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
          || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec
   FROM pages),

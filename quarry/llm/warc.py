@@ -1,6 +1,6 @@
 """WARC archives and their Merkle fixity audit, in DataFrame functions.
 
-Pages become WARC/1.0 response records, dealt into files by page number; a record's offset
+Pages become WARC/1.0 resource records, dealt into files by page number; a record's offset
 is the sum of the lengths before it in its file. The leaves of a file's hash tree are its
 records (digest of offset, length and bytes), and each node above covers the ``FAN`` next
 offset ranges. An audit compares the roots of two replicas and then, level by level, only
@@ -18,17 +18,42 @@ from .common import scratch_table
 
 FAN, LEVELS = 16, 3  # FAN ** LEVELS records a file at most
 PER_FILE = 1000
+# Pages carry no time of capture; records need one.
+DATE = "1970-01-01T00:00:00Z"
 
 
-def record_bytes(url: Column, page_id: Column, body: Column) -> Column:
-    """A response record; null url or body counts as empty."""
+def record_bytes(url: Column, page_id: Column, body: Column, date: str = DATE) -> Column:
+    """A resource record; null url or body counts as empty.
+
+    Carriage returns and line feeds of a url are percent-encoded, so a url stays one header line.
+    """
     url, body = F.coalesce(url.cast("string"), F.lit("")), F.coalesce(body.cast("string"), F.lit(""))
-    return F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "), url,
+    url = F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    return F.concat(F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: "), url, F.lit(f"\r\nWARC-Date: {date}"),
                     F.lit("\r\nWARC-Record-ID: <urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")),
-                    F.lit(">\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body,
+                    F.lit(">\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body,
                     F.lit("\r\n\r\n")).cast("binary")
 
 
+def read_record(record: Column) -> Column:
+    """The header fields and the block of a record's bytes: struct (headers map, body)."""
+    text = record.cast("string")
+    head = F.substring_index(text, "\r\n\r\n", 1)
+    lines = F.filter(F.split(head, "\r\n"), lambda x: F.contains(x, F.lit(": ")))
+    headers = F.map_from_entries(F.transform(lines, lambda x: F.struct(
+        F.substring_index(x, ": ", 1).alias("key"), F.regexp_replace(x, "^[^:]*: ", "").alias("value"))))
+    length = F.element_at(headers, "Content-Length").cast("int")
+    return F.struct(headers.alias("headers"),
+                    F.substring(record, F.octet_length(head) + 5, length).cast("string").alias("body"))
+
+
+def records_at(archives: DataFrame, places: DataFrame) -> DataFrame:
+    """``places`` (file, offset, length, ...) with the record found there in ``archives`` (file, content)."""
+    content = archives.select("file", "content")
+    found = F.substring(F.col("content"), (F.col("offset") + 1).cast("int"), F.col("length").cast("int"))
+    return places.join(content, "file").withColumn("record", found).drop("content")
+
+
 def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html",
                  per_file: int = PER_FILE) -> DataFrame:
     """(file, page_id, url, record, length, digest): every page as a record of some file, not yet placed there.

@@ -33,7 +33,7 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Of each group of near-duplicates the document with the smallest doc_id stays."""
     groups = simhash.simhash_near_dups(docs)
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("gone_"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["gone_"], "left_anti")
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +45,8 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The remaining documents, packed: one row per piece, as in ``op3_best_fit_packing``."""
-    return queries.packed(docs)
+    """The remaining documents, packed: one row per piece, as in ``op3_best_fit_packing``, with the piece's ids."""
+    return queries.packed(docs, keep_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -119,18 +119,19 @@ def boxcox_best(profile: DataFrame) -> Column:
     return profile.select(F.max_by("lambda", F.struct("llf", -F.col("lambda")))).scalar()
 
 
-def boxcox_profile(df: DataFrame, col: str, lambdas: Sequence[float] | None = None) -> DataFrame:
+def boxcox_profile(df: DataFrame, col: str, lambdas: Sequence[float] | None = None, partitions: int | None = None) -> DataFrame:
     """Box-Cox profile log-likelihood for each λ of a grid, from one aggregate pass.
 
     llf(λ) = −n/2 · ln(σ²_λ) + (λ − 1) · Σ ln x, σ²_λ the population variance of the
     transformed values (normal MLE). Rows with x ≤ 0 or NULL are excluded.
     Each value is expanded once per λ and aggregated by λ (partial aggregation: one
-    buffer per λ per task). Returns (lambda, llf) per λ.
+    buffer per λ per task). ``partitions`` deals the values out first, for inputs of fewer
+    files than the cluster has cores. Returns (lambda, llf) per λ.
     """
-    from ..session import spread_if_narrow
     lambdas = list(lambdas or boxcox_grid())
     x = F.col(col).cast("double")
-    pos = spread_if_narrow(df.select(x.alias("_x")).where(F.col("_x") > 0))
+    pos = df.select(x.alias("_x")).where(F.col("_x") > 0)
+    pos = pos.repartition(partitions) if partitions else pos
     lam = F.col("_lam")
     y = boxcox_transform(F.col("_x"), lam)
     grid = F.explode(F.array(*[F.lit(float(v)) for v in lambdas]))

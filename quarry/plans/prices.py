@@ -11,6 +11,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..functions.scalar import format_number_line
 from ..operators import charts, clean, dq, resampling, stats
 from ..sources.views import prices
 from .registry import query
@@ -179,6 +180,19 @@ def format_limits(spark, d):
     return stats.format_limits(stats.zscore_limits(prices(spark, d), "bitcoin"), decimals=4)
 
 
+@query("format_limits_whole", covers="X12", views=P, sql=f"""
+SELECT 'Upper Limit' AS upper_label, round({_Z_SQL.format(op='+')}, 6) AS upper_value, 'Lower Limit' AS lower_label,
+       round({_Z_SQL.format(op='-')}, 6) AS lower_value, true AS whole FROM prices""")
+def format_limits_whole(spark, d):
+    # the whole value is printed: read as a number again it is the limit itself
+    limits = stats.zscore_limits(prices(spark, d), "bitcoin")
+    both = limits.select("*", *[format_number_line(f"{side.title()} Limit", f"{side}_limit").alias(f"{side}_text") for side in ("upper", "lower")])
+    number = {side: F.substring_index(f"{side}_text", ": ", -1).cast("double") for side in ("upper", "lower")}
+    return both.select(*[c for side in ("upper", "lower") for c in (
+        F.substring_index(f"{side}_text", ": ", 1).alias(f"{side}_label"), _r(number[side]).alias(f"{side}_value"))],
+        ((number["upper"] == F.col("upper_limit")) & (number["lower"] == F.col("lower_limit"))).alias("whole"))
+
+
 @query("outliers_lt", covers="C5 P11", views=P, sql=_DATA_SQL + f"""
 SELECT * FROM data WHERE bitcoin < (SELECT {_Z_SQL.format(op='+')} FROM prices)""")
 def outliers_lt(spark, d):

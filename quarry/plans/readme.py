@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType, TimestampNTZType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType
 
 from ..functions.scalar import nan_to_null, to_number_lenient
 from ..operators import dashboards, gram, models, resampling, stats
@@ -43,7 +43,7 @@ SELECT "lambda", round(-n / 2 * ln(var_pop(CASE WHEN "lambda" = 0 THEN ln(value)
 FROM g, x, s GROUP BY "lambda", n, sl""")
 def boxcox_lambda(spark, d):
     ev = read_table(spark, d, "events").select("value")
-    return stats.boxcox_profile(ev, "value", _LAMBDAS).withColumn("llf", F.round("llf", 4))
+    return stats.boxcox_profile(ev, "value", _LAMBDAS, spark.sparkContext.defaultParallelism).withColumn("llf", F.round("llf", 4))
 
 
 PRICE_SCHEMA = StructType([
@@ -184,13 +184,13 @@ FROM events, best""")
 def boxcox_apply(spark, d):
     # every value under the grid's most likely lambda
     ev = read_table(spark, d, "events").select("event_id", "value")
-    best = stats.boxcox_best(stats.boxcox_profile(ev, "value", _LAMBDAS))
+    best = stats.boxcox_best(stats.boxcox_profile(ev, "value", _LAMBDAS, spark.sparkContext.defaultParallelism))
     out = ev.withColumn("lambda", best)
     return out.select("event_id", "lambda", F.round(stats.boxcox_transform(F.col("value"), F.col("lambda")), 9)
                       .alias("transformed"))
 
 
-@query("csv_inferred", covers="S2", views=("coasters",), sql="SELECT * FROM coasters")
+@query("csv_inferred", covers="S1", views=("coasters",), sql="SELECT * FROM coasters")
 def csv_inferred(spark, d):
     # column types guessed from the text; widened to the view's types, since a guess depends on the data
     table = coasters(spark, d)
@@ -200,6 +200,25 @@ def csv_inferred(spark, d):
     return read.select(*[F.col(f.name).cast(f.dataType) for f in table.schema.fields])
 
 
+_TYPED = ["row_id", "coaster_name", "speed_mph", "inversions", "gforce", "opening_date"]
+
+
+@query("inferred_types", covers="S2", views=("coasters",), sql=", texts AS (SELECT " + ", ".join(
+    f"CAST({c} AS VARCHAR) AS {c}" for c in _TYPED) + " FROM coasters)\n" + union_all(f"""
+SELECT '{c}' AS column_name, CASE WHEN n_values = 0 THEN 'string' """ + " ".join(
+    f"WHEN misfits_{t} = 0 THEN '{t}'" for t in csv.TYPE_PATTERNS) + f""" ELSE 'string' END AS inferred_type, *
+FROM (SELECT count({c}) AS n_values, """ + ", ".join(
+    f"count(*) FILTER (NOT regexp_matches({c}, '{p}')) AS misfits_{t}" for t, p in csv.TYPE_PATTERNS.items()) + f""" FROM texts) AS t
+""" for c in _TYPED))
+def inferred_types(spark, d):
+    # written as CSV and read back as text, then one aggregate finds each column's type
+    path = scratch_path(spark, "coasters-text")
+    table = coasters(spark, d).select(*_TYPED)
+    csv.write_csv(table, path)
+    texts = StructType([StructField(c, StringType()) for c in _TYPED])
+    return csv.infer_types(csv.read_csv(spark, path, texts))
+
+
 @query("text_to_number", covers="X10", views=("coasters",), sql="""
 SELECT row_id, CASE WHEN inversions <> 0 THEN gforce END AS number FROM coasters""")
 def text_to_number(spark, d):
@@ -217,6 +236,7 @@ def saved_extract(spark, d):
     # the cleaned coasters as a saved table for a dashboard
     renames = {"coaster_name": "Coaster_Name", "location": "Location", "opening_date": "Opening_Date",
                "speed_mph": "Speed_MPH"}
-    catalog.drop_if_exists(spark, "coaster_extract")
-    catalog.select_into(clean_coasters(coasters(spark, d), renames), "coaster_extract")
-    return catalog.read_back(spark, "coaster_extract")
+    name = catalog.unique_name("coaster_extract")
+    catalog.drop_if_exists(spark, name)
+    catalog.select_into(clean_coasters(coasters(spark, d), renames), name)
+    return catalog.read_back(spark, name)

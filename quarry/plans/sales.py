@@ -158,9 +158,10 @@ def case_segments(spark, d):
 @query("select_into_view", covers="S5 S7 S8 S6", views=S, sql=_rfm_sql("SELECT * FROM scored_customers"))
 def select_into_view(spark, d):
     # Written once to the shared folder, read back by name
-    catalog.drop_if_exists(spark, "customer_scores")
-    catalog.select_into(_scores(spark, d), "customer_scores")
-    return catalog.read_back(spark, "customer_scores")
+    name = catalog.unique_name("customer_scores")
+    catalog.drop_if_exists(spark, name)
+    catalog.select_into(_scores(spark, d), name)
+    return catalog.read_back(spark, name)
 
 
 @query("ntile_scaled", covers="W2", views=S, sql="""

@@ -79,10 +79,25 @@ def reliable_checkpoint(df):
     return df.checkpoint(eager=True)
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables, below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/quarry-scratch/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder below the shared checkpoint folder."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/quarry-scratch/{name}-{uuid.uuid4().hex}"
+    """A fresh, unique folder below the run's folder."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_folder(spark: SparkSession, path: str) -> bool:
+    """Delete a folder in whatever store it lies; False if there was none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True))
+
+
+def remove_scratch(spark: SparkSession) -> bool:
+    """Delete this application's intermediate tables, once no result that reads them is needed any more."""
+    return delete_folder(spark, run_folder(spark))
 
 
 def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20, max_split_bytes: int = 512 << 20) -> dict:
@@ -101,15 +116,3 @@ def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20, max_sp
         "spark.sql.files.maxPartitionBytes": str(max_split_bytes),
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
     }
-
-
-def spread_if_narrow(df):
-    """Round-robin ``df`` over the cluster's parallelism when it has fewer partitions.
-
-    For CPU-heavy per-row work (grid expansions, resampling) over a narrow projection: a
-    large input already has one scan task per file split and is returned unchanged; a
-    small single-file input would otherwise run the heavy part in one task.
-    """
-    spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df

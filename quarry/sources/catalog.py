@@ -6,19 +6,33 @@
 * ``create table #t(...); insert into #t select …`` → positional assignment of the
   query's columns to a declared schema with casts (values coerced to the declared types).
 * ``create view v as …`` → a session temp view (no data stored).
-* ``drop table if exists`` → drop the name; idempotent.
+* ``drop table if exists`` → drop the name and the files that were written for it; idempotent.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..session import scratch_path
+from ..session import delete_folder, scratch_path
+
+_OWNED = "quarry.table."
+
+
+def unique_name(name: str) -> str:
+    """``name`` with a suffix of its own, so that two builds in one session do not replace each other's tables."""
+    return f"{name}_{uuid.uuid4().hex[:12]}"
 
 
 def drop_if_exists(spark: SparkSession, name: str) -> None:
+    """Drop a table or view; files that ``select_into`` wrote for it go with it, those of others stay."""
     spark.catalog.dropTempView(name)
+    path = spark.conf.get(_OWNED + name, None)
+    if path:
+        delete_folder(spark, path)
+        spark.conf.unset(_OWNED + name)
 
 
 def coerce_to_schema(df: DataFrame, schema: StructType) -> DataFrame:
@@ -37,6 +51,7 @@ def select_into(df: DataFrame, name: str) -> DataFrame:
     df.write.mode("errorifexists").parquet(path)
     out = spark.read.parquet(path)
     out.createOrReplaceTempView(name)
+    spark.conf.set(_OWNED + name, path)
     return out
 
 

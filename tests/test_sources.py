@@ -61,3 +61,34 @@ def test_cli_lists_every_registered_analysis(capsys):
     out = capsys.readouterr().out
     assert all(name in out for name in QUERIES)
     assert main(["run", "no_such_query", "--sf", "/nowhere"]) == 2
+
+
+def test_drop_removes_the_files_it_owns(spark):
+    import os
+    import urllib.parse
+
+    from quarry.session import remove_scratch, run_folder, scratch_path
+    name = catalog.unique_name("t_files")
+    out = catalog.select_into(spark.range(3), name)
+    folder = os.path.dirname(urllib.parse.urlparse(out.inputFiles()[0]).path)
+    assert os.path.isdir(folder)
+    other = catalog.unique_name("t_files")
+    kept = catalog.select_into(spark.range(2), other)
+    catalog.create_view(spark.read.parquet(folder), "v_files")
+    catalog.drop_if_exists(spark, "v_files")                                   # a view owns nothing
+    assert os.path.isdir(folder)
+    catalog.drop_if_exists(spark, name)
+    assert not os.path.exists(folder) and not spark.catalog.tableExists(name) and kept.count() == 2
+    catalog.drop_if_exists(spark, other)
+    assert scratch_path(spark, "x").startswith(run_folder(spark)) and callable(remove_scratch)
+
+
+def test_types_are_inferred_from_all_values(spark):
+    rows = [("1", "1.5", "2024-01-06", "2024-01-06T00:00:00", "x", None), ("-2", "2", "2024-02-30", "2024-01-06 01:02:03.5Z", "1", None),
+            (None, "1e5", None, None, "2", None)]
+    texts = spark.createDataFrame(rows, "i string, d string, day string, ts string, t string, none string")
+    got = {r.column_name: (r.inferred_type, r.n_values, r.misfits_bigint, r.misfits_double) for r in csv.infer_types(texts).collect()}
+    assert got == {"i": ("bigint", 2, 0, 0), "d": ("double", 3, 2, 0), "day": ("date", 2, 2, 2), "ts": ("timestamp", 2, 2, 2),
+                   "t": ("string", 3, 1, 1), "none": ("string", 0, 0, 0)}
+    typed = csv.with_inferred_types(texts.select("i", "d", "t"))
+    assert typed.dtypes == [("i", "bigint"), ("d", "double"), ("t", "string")] and typed.first().d == 1.5

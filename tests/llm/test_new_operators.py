@@ -319,3 +319,74 @@ def test_adaptive_scan_abandons_candidates_of_short_lists():
     assert len(got[0]) < 5 * 300 / 2        # most pairs were abandoned or ruled out
     found = sum(np.isin(near[k], got[1][got[0] == k]).sum() for k in range(5))
     assert found >= 95
+
+
+# ---- classifiers against plain loops ---------------------------------------------------------
+
+def naive_quality(net, text):
+    """The forward pass of the byte network, one chunk and one filter place at a time."""
+    from quarry.llm.quality import BLOCK, STEP
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    size = STEP * BLOCK
+    blocks = max(1, -(-len(text) // size))
+    data = text + bytes(blocks * size - len(text))
+
+    def step(k):
+        piece = data[k * STEP:(k + 1) * STEP] if (k + 1) * STEP <= len(data) else bytes(STEP)
+        return np.concatenate([p["emb"][b] for b in piece])
+    places = [step(k) @ p["left"] + step(k + 1) @ p["right"] for k in range(blocks * BLOCK)]
+    chunks = []
+    for b in range(blocks):         # a chunk is a block and the one after it
+        own = places[b * BLOCK:(b + 2) * BLOCK]
+        chunks.append(np.maximum(np.max(own, axis=0) + p["bias"], 0))
+    z = np.concatenate([np.max(chunks, axis=0), np.mean(chunks, axis=0)])
+    h = np.maximum(z @ p["mix"] + p["mix_bias"], 0)
+    return 1 / (1 + math.exp(-(h @ p["out"] + p["out_bias"][0])))
+
+
+def test_quality_scores_equal_plain_loops():
+    from quarry.llm import quality
+    net = quality.ByteConvNet(filters=6, dims=4, hidden=5, seed=3)
+    texts = [b"", b"x", "Ünï code".encode() * 40, b"a b c " * 200, b"\x00\x01" * 64, b"y" * 128, b"z" * 129]
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = net.score(np.frombuffer(b"".join(texts), np.uint8), at)
+    assert np.allclose(got, [naive_quality(net, t) for t in texts], atol=1e-6)
+
+
+def test_toxicity_equals_plain_sets():
+    from quarry.llm import toxicity
+    rng = random.Random(2)
+    words = ["river", "Stone", "blue", "vile", "ÄRGER", "seven"]
+    texts = [" ".join(rng.choices(words[:5] if k % 2 else words[2:], k=8)).encode() for k in range(60)]
+    y = np.array([k % 2 for k in range(60)], float)
+    model = toxicity.fit_ngrams(texts, y, contrast=2.0)
+
+    def grams(text):
+        low = text.decode().lower().encode()
+        return {low[i:i + n] for n in toxicity.ORDERS for i in range(len(low) - n + 1)}
+
+    def packed(g):
+        return (len(g) << 56) | int.from_bytes(g, "little")
+    sets = [grams(t) for t in texts]
+    pos, neg = ({g: sum(g in s for s, label in zip(sets, y) if label == side) for g in set().union(*sets)} for side in (1, 0))
+    chosen = set(model.keys.tolist())
+    for g in pos:       # every clearly different n-gram is a feature, and no other
+        a, b = pos[g] / 30, neg[g] / 30
+        share = (pos[g] + neg[g]) / 60
+        z = (a - b) / math.sqrt(max(share * (1 - share), 1e-12) * (2 / 30))
+        assert (packed(g) in chosen) == (pos[g] + neg[g] >= 4 and abs(z) >= 2.0)
+    weight = dict(zip(model.keys.tolist(), model.weights))
+    scores = [1 / (1 + math.exp(-(model.bias + sum(weight.get(packed(g), 0.0) for g in s)))) for s in sets]
+    assert np.allclose(model.score(*toxicity.lowered(texts)), scores, atol=1e-9)
+    for g, w in ((g, weight[packed(g)]) for g in pos if packed(g) in weight):      # scaled by the log-count ratio
+        ratio = math.log((pos[g] + 1) / 32) - math.log((neg[g] + 1) / 32)
+        assert ratio == 0 or w == 0 or abs(w / ratio) < 100
+
+
+def test_pipeline_takes_a_clashing_column(spark):
+    import corpus_pipeline
+    docs = docs_frame(spark, [(1, "a b c d e f"), (2, "a b c d e f"), (3, "other words here now")]).withColumn("gone_", F.lit(1))
+    out = corpus_pipeline.simhash_stage(spark, docs, SMALL)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
+    packed = corpus_pipeline.packing_stage(spark, docs, SMALL).collect()
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in packed)

@@ -42,3 +42,39 @@ def code_set_frequency(code_lists: DataFrame, order_id: str = "ordernumber") ->
     return (code_lists.where(F.col("product_codes").isNotNull())
                       .groupBy("product_codes").agg(F.count(order_id).alias("n_orders"))
                       .orderBy(F.desc("n_orders"), "product_codes"))
+
+
+def _mined(lines: DataFrame, min_orders: int, order_id: str, code: str):
+    """The frequent-pattern model of all orders' code sets, and the number of orders."""
+    from pyspark.ml.fpm import FPGrowth
+    sets = lines.where(F.col(code).isNotNull()).groupBy(order_id).agg(F.collect_set(code).alias("items"))
+    total = sets.count()
+    # half an order below the least count, so that rounding cannot lift the bound
+    support = min(1.0, (min_orders - 0.5) / max(total, 1))
+    return FPGrowth(itemsCol="items", minSupport=support, minConfidence=0.0).fit(sets), total
+
+
+def recurring_sets(lines: DataFrame, min_orders: int = 2, order_id: str = "ordernumber", code: str = "productcode",
+                   sep: str = ",") -> DataFrame:
+    """Every set of two or more codes, of any size, that at least ``min_orders`` orders hold together:
+    (product_codes, n_codes, n_orders, support).
+
+    Mined by parallel FP-growth: orders are projected to the suffixes of their items and each
+    item's conditional prefix tree is grown in one task, so no pair or set is enumerated that
+    does not recur. Orders may have any number of lines; a code counts once per order. The
+    list of codes that recur themselves (one entry per product) passes through the driver.
+    """
+    model, total = _mined(lines, min_orders, order_id, code)
+    text = F.array_join(F.transform(F.array_sort("items"), lambda c: c.cast("string")), sep)
+    return model.freqItemsets.where(F.size("items") > 1).select(
+        text.alias("product_codes"), F.size("items").alias("n_codes"), F.col("freq").alias("n_orders"),
+        (F.col("freq") / F.lit(max(total, 1))).alias("support"))
+
+
+def product_rules(lines: DataFrame, min_orders: int = 2, order_id: str = "ordernumber", code: str = "productcode",
+                  sep: str = ",") -> DataFrame:
+    """Rules from each recurring set to each of its codes: (antecedent, consequent, confidence, lift, support)."""
+    model, _ = _mined(lines, min_orders, order_id, code)
+    text = F.array_join(F.transform(F.array_sort("antecedent"), lambda c: c.cast("string")), sep)
+    return model.associationRules.select(text.alias("antecedent"), F.col("consequent")[0].alias("consequent"), "confidence", "lift",
+                                         "support")

@@ -219,6 +219,35 @@ def pair_frequency(spark, d):
     return basket.code_set_frequency(basket.order_code_lists(sales(spark, d), BASKET_LINES))
 
 
+_SETS_SQL = """SELECT * FROM (WITH RECURSIVE held AS (SELECT DISTINCT ordernumber, productcode AS c FROM sales),
+sets AS (
+  SELECT ordernumber, c, [c] AS codes FROM held
+  UNION ALL SELECT s.ordernumber, h.c, list_append(s.codes, h.c) FROM sets s JOIN held h ON h.ordernumber = s.ordernumber AND h.c > s.c),
+often AS (SELECT codes, count(*) AS n FROM sets GROUP BY codes HAVING count(*) >= 2),
+total AS (SELECT count(DISTINCT ordernumber) AS orders FROM held)
+"""
+
+
+@query("recurring_sets", covers="C14", views=S, sql=_SETS_SQL + """
+SELECT array_to_string(codes, ',') AS product_codes, CAST(len(codes) AS INTEGER) AS n_codes, n AS n_orders, round(n / orders, 9) AS support
+FROM often, total WHERE len(codes) > 1) AS found""")
+def recurring_sets(spark, d):
+    # sets of any size, found rather than read off a list
+    out = basket.recurring_sets(sales(spark, d).select("ordernumber", "productcode"))
+    return out.withColumn("support", F.round("support", 9))
+
+
+@query("product_rules", covers="C14", views=S, sql=_SETS_SQL + """
+, rule AS (SELECT codes, n, unnest(codes) AS consequent FROM often WHERE len(codes) > 1)
+SELECT array_to_string(list_filter(rule.codes, lambda x: x <> consequent), ',') AS antecedent, consequent,
+       round(rule.n / a.n, 9) AS confidence, round(CAST(rule.n AS DOUBLE) / a.n / (CAST(c.n AS DOUBLE) / orders), 6) AS lift,
+       round(rule.n / orders, 9) AS support
+FROM rule JOIN often a ON a.codes = list_filter(rule.codes, lambda x: x <> consequent) JOIN often c ON c.codes = [consequent], total) AS found""")
+def product_rules(spark, d):
+    out = basket.product_rules(sales(spark, d).select("ordernumber", "productcode"))
+    return out.withColumns({"confidence": F.round("confidence", 9), "lift": F.round("lift", 6), "support": F.round("support", 9)})
+
+
 _DASH_DIMS = ["productline", "country", "month_id", "segment", "territory"]
 
 

@@ -273,3 +273,31 @@ def test_order_code_lists_in_one_pass(spark):
                                "ordernumber long, productcode long, status string")
     got = {r["ordernumber"]: r["product_codes"] for r in basket.order_code_lists(df, 2).collect()}
     assert got == {1: "3,9", 2: None, 3: None, 4: "2,7,7"}
+
+
+def test_recurring_sets_of_any_size_equal_brute_force(spark):
+    import itertools
+    import random
+
+    from quarry.operators import basket
+    rng = random.Random(1)
+    orders = {k: set(rng.sample(range(9), rng.randint(1, 6))) for k in range(60)}
+    rows = [(k, c) for k, codes in orders.items() for c in codes] + [(0, c) for c in orders[0]] + [(99, None)]
+    frame = spark.createDataFrame(rows, "ordernumber long, productcode long")
+    counts = {}
+    for codes in orders.values():
+        for n in range(1, len(codes) + 1):
+            for s in itertools.combinations(sorted(codes), n):
+                counts[s] = counts.get(s, 0) + 1
+    often = {s: n for s, n in counts.items() if n >= 5}
+    got = {r.product_codes: (r.n_codes, r.n_orders, r.support) for r in basket.recurring_sets(frame, 5).collect()}
+    assert got == {",".join(map(str, s)): (len(s), n, n / 60) for s, n in often.items() if len(s) > 1}
+    assert max(v[0] for v in got.values()) >= 3
+    rules = {(r.antecedent, r.consequent): (r.confidence, r.lift) for r in basket.product_rules(frame, 5).collect()}
+    expected = {}
+    for s, n in often.items():
+        for c in s if len(s) > 1 else ():
+            rest = tuple(x for x in s if x != c)
+            expected[",".join(map(str, rest)), c] = (n / often[rest], n / often[rest] / (often[(c,)] / 60))
+    assert rules.keys() == expected.keys() and all(v == pytest.approx(expected[k]) for k, v in rules.items())
+    assert basket.recurring_sets(frame.limit(0)).count() == 0

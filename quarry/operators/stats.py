@@ -1,4 +1,4 @@
-"""Descriptive statistics, outlier limits, correlation, least squares, Box-Cox profile.
+"""Descriptive statistics, outlier limits, correlation, least squares; Box-Cox names from ``boxcox``.
 
 Moments (mean, variance, correlation, regression sums) are partial/final aggregates.
 Quantiles use ``order_stats`` (sketch brackets, two reads, exact) instead of ``percentile``,
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import format_number_line
+from .boxcox import boxcox_best, boxcox_fit, boxcox_grid, boxcox_profile, boxcox_transform  # noqa: F401
 from .order_stats import exact_quantiles, summarise
 
 
@@ -104,42 +105,4 @@ def least_squares(df: DataFrame, y: str, x: str) -> DataFrame:
                   F.regr_r2(y, x).alias("r2"), F.regr_count(y, x).alias("n"))
 
 
-def boxcox_grid(lo: float = -2.0, hi: float = 2.0, step: float = 0.1) -> list[float]:
-    n = int(round((hi - lo) / step))
-    return [round(lo + i * step, 10) for i in range(n + 1)]
-
-
-def boxcox_transform(x: Column, lam: Column) -> Column:
-    """(x^λ − 1)/λ, or ln x at λ = 0; NULL for x that is not positive."""
-    return F.when(x > 0, F.when(lam == 0, F.log(x)).otherwise((F.pow(x, lam) - 1) / lam))
-
-
-def boxcox_best(profile: DataFrame) -> Column:
-    """The λ of the largest likelihood (ties: the smaller λ), as a scalar subquery."""
-    return profile.select(F.max_by("lambda", F.struct("llf", -F.col("lambda")))).scalar()
-
-
-def boxcox_profile(df: DataFrame, col: str, lambdas: Sequence[float] | None = None, partitions: int | None = None) -> DataFrame:
-    """Box-Cox profile log-likelihood for each λ of a grid, from one aggregate pass.
-
-    llf(λ) = −n/2 · ln(σ²_λ) + (λ − 1) · Σ ln x, σ²_λ the population variance of the
-    transformed values (normal MLE). Rows with x ≤ 0 or NULL are excluded.
-    Each value is expanded once per λ and aggregated by λ (partial aggregation: one
-    buffer per λ per task). ``partitions`` deals the values out first, for inputs of fewer
-    files than the cluster has cores. Returns (lambda, llf) per λ.
-    """
-    lambdas = list(lambdas or boxcox_grid())
-    x = F.col(col).cast("double")
-    pos = df.select(x.alias("_x")).where(F.col("_x") > 0)
-    pos = pos.repartition(partitions) if partitions else pos
-    lam = F.col("_lam")
-    y = boxcox_transform(F.col("_x"), lam)
-    grid = F.explode(F.array(*[F.lit(float(v)) for v in lambdas]))
-    per = (pos.select("_x", grid.alias("_lam"))
-              .groupBy("_lam").agg(F.var_pop(y).alias("_var"), F.count("_x").alias("_n"),
-                                   F.sum(F.log("_x")).alias("_sl")))
-    return per.select(lam.alias("lambda"),
-                      (-F.col("_n") / 2 * F.log("_var") + (lam - 1) * F.col("_sl")).alias("llf"))
-
-
 SQRT_2PI = math.sqrt(2 * math.pi)

@@ -43,7 +43,7 @@ SELECT "lambda", round(-n / 2 * ln(var_pop(CASE WHEN "lambda" = 0 THEN ln(value)
 FROM g, x, s GROUP BY "lambda", n, sl""")
 def boxcox_lambda(spark, d):
     ev = read_table(spark, d, "events").select("value")
-    return stats.boxcox_profile(ev, "value", _LAMBDAS, spark.sparkContext.defaultParallelism).withColumn("llf", F.round("llf", 4))
+    return stats.boxcox_profile(ev, "value", _LAMBDAS).withColumn("llf", F.round("llf", 4))
 
 
 PRICE_SCHEMA = StructType([
@@ -184,12 +184,47 @@ FROM events, best""")
 def boxcox_apply(spark, d):
     # every value under the grid's most likely lambda
     ev = read_table(spark, d, "events").select("event_id", "value")
-    best = stats.boxcox_best(stats.boxcox_profile(ev, "value", _LAMBDAS, spark.sparkContext.defaultParallelism))
+    best = stats.boxcox_best(stats.boxcox_profile(ev, "value", _LAMBDAS))
     out = ev.withColumn("lambda", best)
     return out.select("event_id", "lambda", F.round(stats.boxcox_transform(F.col("value"), F.col("lambda")), 9)
                       .alias("transformed"))
 
 
+def _llf_sql(lam: str) -> str:
+    """Profile log-likelihood of the values in ``x`` at ``lam``, as an aggregate expression."""
+    return f"""(-count(*) / 2.0 * ln(var_pop(CASE WHEN {lam} = 0 THEN ln(value) ELSE (pow(value, {lam}) - 1) / {lam} END))
+         + ({lam} - 1) * sum(ln(value)))"""
+
+
+# the largest likelihood by thirds, then both interval ends by halves, each step over all values
+@query("boxcox_fit", covers="R6", sql=f"""
+WITH RECURSIVE x AS (SELECT value FROM events WHERE value > 0),
+thirds AS (
+  SELECT CAST(-4 AS DOUBLE) AS lo, CAST(4 AS DOUBLE) AS hi, 0 AS step
+  UNION ALL
+  SELECT CASE WHEN l1 < l2 THEN m1 ELSE lo END, CASE WHEN l1 < l2 THEN hi ELSE m2 END, step + 1
+  FROM (SELECT lo, hi, step, m1, m2, {_llf_sql("m1")} AS l1, {_llf_sql("m2")} AS l2
+        FROM (SELECT lo, hi, step, lo + (hi - lo) / 3 AS m1, hi - (hi - lo) / 3 AS m2 FROM thirds WHERE step < 45) AS t, x
+        GROUP BY lo, hi, step, m1, m2) AS u),
+best AS (SELECT (lo + hi) / 2 AS lam FROM thirds WHERE step = 45),
+top AS (SELECT lam, count(*) AS n, {_llf_sql("lam")} AS llf FROM best, x GROUP BY lam),
+halves AS (
+  SELECT side, lam AS inner_, lam + 4 * side AS outer_, llf, 0 AS step FROM top, (VALUES (-1), (1)) AS s(side)
+  UNION ALL
+  SELECT side, CASE WHEN l >= llf - 1.920729410347062 THEN mid ELSE inner_ END,
+         CASE WHEN l >= llf - 1.920729410347062 THEN outer_ ELSE mid END, llf, step + 1
+  FROM (SELECT side, inner_, outer_, llf, step, mid, {_llf_sql("mid")} AS l
+        FROM (SELECT *, (inner_ + outer_) / 2 AS mid FROM halves WHERE step < 45) AS h, x
+        GROUP BY side, inner_, outer_, llf, step, mid) AS v)
+SELECT n, round(lam, 5) AS "lambda", round(llf, 4) AS llf,
+       (SELECT round(inner_, 5) FROM halves WHERE step = 45 AND side = -1) AS ci_low,
+       (SELECT round(inner_, 5) FROM halves WHERE step = 45 AND side = 1) AS ci_high
+FROM top""")
+def boxcox_fit(spark, d):
+    fit = stats.boxcox_fit(read_table(spark, d, "events").select("value"), "value")
+    return fit.withColumns({c: F.round(c, 4 if c == "llf" else 5) for c in ("lambda", "llf", "ci_low", "ci_high")})
+
+
 @query("csv_inferred", covers="S1", views=("coasters",), sql="SELECT * FROM coasters")
 def csv_inferred(spark, d):
     # column types guessed from the text; widened to the view's types, since a guess depends on the data

@@ -155,15 +155,29 @@ def kde(df: DataFrame, col: str, gridsize: int = 200, cut: float = 0.0, bw_adjus
     hi = mx + F.lit(cut) * bw + F.lit(pad_range) * (mx - mn)
     step = (hi - lo) / F.lit(gridsize - 1)
     x = F.col(col).cast("double")
+    curve = _box_density(df.where(x.isNotNull()).select(x.alias("v")), [], mn, bw, lo, step, gridsize)
+    return curve.select("grid_index", "x", (F.col("mass") / F.lit(st.n)).alias("density"))
+
+
+def _box_density(values: DataFrame, keys: Sequence[str], mn: Column, bw: Column, lo: Column, step: Column,
+                 gridsize: int) -> DataFrame:
+    """(keys…, grid_index, x, mass): kernel sums of ``v`` over the bandwidth, by box moments as ``kde`` says.
+
+    ``mn``, ``bw``, ``lo`` and ``step`` are literals, or columns of ``values`` that the keys determine.
+    """
+    keys = list(keys)
+    params = {"p_mn": mn, "p_bw": bw, "p_lo": lo, "p_step": step}
+    boxes = [*keys, *params, "box"] if keys else ["box"]
+    placed = values.withColumns(params) if keys else values
+    mn, bw, lo, step = (F.col(p) for p in params) if keys else params.values()
     middle = mn + (F.col("box") + 0.5) * (bw * _BOX)
-    t = (F.col("v") - middle) / bw
-    placed = df.where(x.isNotNull()).select(x.alias("v")).withColumn("box", F.floor((F.col("v") - mn) / (bw * _BOX)))
+    placed = placed.withColumn("box", F.floor((F.col("v") - mn) / (bw * _BOX)))
+    placed = placed.withColumn("t", (F.col("v") - middle) / bw)
     power, moments = F.lit(1.0), [F.count(F.lit(1)).cast("double").alias("m0")]
-    placed = placed.withColumn("t", t)
     for k in range(1, _TERMS):
         power = power * F.col("t")
         moments.append(F.sum(power).alias(f"m{k}"))
-    boxes = placed.groupBy("box").agg(*moments)
+    summary = placed.groupBy(*boxes).agg(*moments)
     # the series as one polynomial in u per box
     he = _hermite(_TERMS)
     coefs = []
@@ -173,16 +187,47 @@ def kde(df: DataFrame, col: str, gridsize: int = 200, cut: float = 0.0, bw_adjus
             if he[k][i]:
                 c = c + F.col(f"m{k}") * (he[k][i] / math.factorial(k))
         coefs.append(c.alias(f"c{i}"))
-    boxes = boxes.select(middle.alias("middle"), *coefs)
-    pts = boxes.withColumn("grid_index", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))))
+    summary = summary.select(*boxes[:-1], middle.alias("middle"), *coefs)
+    pts = summary.withColumn("grid_index", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))))
     gx = lo + F.col("grid_index") * step
     pts = pts.withColumn("u", (gx - F.col("middle")) / bw)
     series = F.col(f"c{_TERMS - 1}")
     for i in reversed(range(_TERMS - 1)):
         series = series * F.col("u") + F.col(f"c{i}")
-    dens = pts.groupBy("grid_index").agg(F.sum(F.exp(F.lit(-0.5) * F.col("u") * F.col("u")) * series).alias("_s"))
-    return dens.select("grid_index", gx.alias("x"),
-                       (F.col("_s") / (F.lit(st.n) * bw * F.lit(math.sqrt(2 * math.pi)))).alias("density"))
+    dens = pts.groupBy(*boxes[:-1], "grid_index").agg(F.sum(F.exp(F.lit(-0.5) * F.col("u") * F.col("u")) * series).alias("_s"))
+    return dens.select(*keys, "grid_index", gx.alias("x"),
+                       (F.col("_s") / (bw * F.lit(math.sqrt(2 * math.pi)))).alias("mass"))
+
+
+def group_density(values: DataFrame, value: str, within: Sequence[str], group: str, gridsize: int = 200, cut: float = 3.0,
+                  bw_adjust: float = 1.0, common_norm: bool = True) -> DataFrame:
+    """Density curve of each group: (within…, group, grid_index, x, density).
+
+    The diagonal of ``pairplot(hue=…)``: every group has its own Scott bandwidth and its own
+    grid from min − cut·bw to max + cut·bw. With ``common_norm`` the curves of one ``within``
+    together hold an area of 1 (each its share of the values), otherwise each holds 1. Rows whose
+    value or key is NULL take no part; groups of one value, or of equal values, have no curve.
+
+    Counts, ranges and deviations of all groups are one aggregate; the values meet that table by a
+    join on the keys (broadcast if it is measured as small, else split where a key is hot) and
+    are reduced to box moments per group before anything else is shuffled. No group's numbers
+    pass through the driver.
+    """
+    keys = [*within, group]
+    rows = values.select(*keys, F.col(value).cast("double").alias("v")).na.drop("any")
+    per = rows.groupBy(*keys).agg(F.min("v").alias("g_lo"), F.max("v").alias("g_hi"), F.count("v").alias("g_n"),
+                                  F.stddev_samp("v").alias("g_sd"))
+    whole = Window.partitionBy(*[F.col(c) for c in within])            # one row per group
+    share = F.col("g_n") / F.sum("g_n").over(whole) if common_norm else F.lit(1.0)
+    per = per.withColumn("g_share", share).where("g_hi > g_lo")
+    bw = F.col("g_sd") * F.pow(F.col("g_n").cast("double"), F.lit(-0.2)) * F.lit(bw_adjust)
+    lo = F.col("g_lo") - F.lit(cut) * bw
+    per = per.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keys)], "g_lo", "g_n", "g_share", bw.alias("g_bw"),
+                     lo.alias("g_from"), ((F.col("g_hi") + F.lit(cut) * bw - lo) / F.lit(gridsize - 1)).alias("g_step"))
+    on = [F.col(c) == F.col(f"k{i}") for i, c in enumerate(keys)]
+    curve = _box_density(rows.join(per, on), [*keys, "g_n", "g_share"], F.col("g_lo"), F.col("g_bw"), F.col("g_from"),
+                         F.col("g_step"), gridsize)
+    return curve.select(*keys, "grid_index", "x", (F.col("mass") * F.col("g_share") / F.col("g_n")).alias("density"))
 
 
 def cumulative_density(curve: DataFrame) -> DataFrame:

@@ -181,6 +181,30 @@ def pair_grid(spark, d):
     return charts.pair_grid(_deduped(spark, d), CORR_VARS, "type_main", 10)
 
 
+GROUP_GRID = 50
+
+
+@query("pair_densities", covers="G11 G4", views=C, sql=_DEDUP_SQL + ", vals AS (" + union_all(
+    f"SELECT '{c}' AS column_name, type_main, CAST({c} AS DOUBLE) AS v FROM cd WHERE {c} IS NOT NULL AND type_main IS NOT NULL"
+    for c in CORR_VARS) + f"""),
+counted AS (SELECT column_name, type_main, v, count(*) AS c FROM vals GROUP BY ALL),
+st AS (SELECT column_name, type_main, min(v) AS lo, max(v) AS hi, count(*) AS n,
+              count(*) / sum(count(*)) OVER (PARTITION BY column_name) AS share,
+              stddev_samp(v) * pow(CAST(count(*) AS DOUBLE), -0.2) AS bw FROM vals GROUP BY column_name, type_main),
+pts AS (SELECT column_name, type_main, CAST(range AS INTEGER) AS grid_index, n, share, bw,
+               lo - 3 * bw + range * ((hi - lo + 6 * bw) / {GROUP_GRID - 1}) AS x
+        FROM st, range({GROUP_GRID}) WHERE hi > lo)
+SELECT p.column_name, p.type_main, grid_index, round(x, 9) AS x,
+       round(share * sum(c * exp(-0.5 * ((x - v) / bw) * ((x - v) / bw))) / (n * bw * sqrt(2 * pi())), 10) AS density
+FROM pts p JOIN counted USING (column_name, type_main)
+GROUP BY p.column_name, p.type_main, grid_index, x, n, share, bw""")
+def pair_densities(spark, d):
+    # the diagonal of the pair grid: one curve per variable and coaster type
+    long = stats.long_values(_deduped(spark, d), CORR_VARS, ["type_main"])
+    out = charts.group_density(long, "value", ["column_name"], "type_main", gridsize=GROUP_GRID)
+    return out.withColumns({"x": _r(F.col("x"), 9), "density": _r(F.col("density"), 10)})
+
+
 @query("box_stats", covers="G12 A13 A14", views=C, sql=_DEDUP_SQL + """, q AS (""" + union_all(
     f"SELECT '{c}' AS column_name, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS median, "
     f"quantile_cont({c}, 0.75) AS q3 FROM cd" for c in BOX_VARS) + """),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import charts, dq, explore, stats
+from ..sources import catalog, stored
 from ..sources.views import coasters
 from .registry import query
 from .sqlgen import edge_rows_sql, hist_sql, in_bin_sql, union_all
@@ -261,6 +262,23 @@ def coaster_null_audit(spark, d):
     return dq.null_counts(coasters(spark, d).withColumnsRenamed(RENAMES), list(RENAMES.values()))
 
 
+@query("load_audit", covers="I1 I5 I6 I10 C16", views=C, sql=f""", {_CLEAN_SQL},
+kept AS (SELECT * FROM cleaned WHERE row_id IN (SELECT min(row_id) FROM cleaned GROUP BY Coaster_Name, Location, Opening_Date))
+SELECT CAST(NULL AS VARCHAR) AS column_name, 'rows' AS measure, count(*) AS n FROM kept
+UNION ALL SELECT NULL, 'no inversions', count(*) FILTER (WHERE Inversions = 0) FROM kept
+UNION ALL SELECT NULL, 'stored rows', count(*) FROM kept
+""" + "".join(f"UNION ALL SELECT '{c}', 'nulls', count(*) FILTER (WHERE {c} IS NULL) FROM kept\n"
+              for c in ["row_id", *RENAMES.values()]))
+def load_audit(spark, d):
+    # the cleaned coasters are written and audited by one scan; the stored table is counted beside
+    from ..operators.coaster import clean_coasters
+    clean = clean_coasters(coasters(spark, d), RENAMES)
+    table, audit = stored.store_audited(clean, catalog.unique_name("coasters_clean"), {"no inversions": F.col("Inversions") == 0})
+    counted = table.agg(F.lit(None).cast("string").alias("column_name"), F.lit("stored rows").alias("measure"),
+                        F.count(F.lit(1)).alias("n"))
+    return audit.unionByName(counted)
+
+
 @query("coaster_by_name", covers="P5 C16", views=C, sql=f"""
 SELECT * FROM coasters WHERE coaster_name = '{NAME_LOOKED_UP}'""")
 def coaster_by_name(spark, d):

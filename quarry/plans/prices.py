@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import format_number_line
 from ..operators import charts, clean, dq, resampling, stats
+from ..sources import catalog, stored
+from ..sources.tables import table_path
 from ..sources.views import prices
 from .registry import query
 from .sqlgen import REPLICATES, SEED, edge_rows_sql, hist_sql, in_bin_sql, union_all, weights_sql
@@ -88,6 +90,17 @@ def date_slice(spark, d):
     return clean.date_slice(prices(spark, d), "ts", *CONTEXT)
 
 
+@query("gap_days", covers="P10 S1 G1 I7", views=P, sql="""
+SELECT *, CAST(ts AS DATE) AS day FROM prices
+WHERE CAST(ts AS DATE) IN (SELECT CAST(ts AS DATE) FROM prices GROUP BY 1 HAVING count(ether) = 0)""")
+def gap_days(spark, d):
+    # the series stored by day; the days without any ether price are found in the summary and only they are read
+    files = stored.bucket_count(stored.stored_bytes(spark, table_path(d, "events")))
+    by_day = stored.store_by_day(prices(spark, d), catalog.unique_name("prices"), "ts", ["ts", "event_id"], files)
+    summary = stored.day_summary(by_day, catalog.unique_name("price_days"), F.count("ether").alias("n_ether"))
+    return stored.days_where(by_day, summary, F.col("n_ether") == 0)
+
+
 @query("bfill", covers="W3 C7", views=P, sql="""
 SELECT *, first_value(ether IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
           AS ether_filled FROM prices""")

@@ -27,14 +27,26 @@ def unique_name(name: str) -> str:
 
 
 def drop_if_exists(spark: SparkSession, name: str) -> None:
-    """Drop a table or view; files that ``select_into`` wrote for it go with it, those of others stay."""
-    spark.catalog.dropTempView(name)
+    """Drop a table or view; files that this library wrote for it go with it, those of others stay."""
+    if not spark.catalog.dropTempView(name) and spark.catalog.tableExists(name):
+        spark.sql(f"DROP TABLE `{name}`")
     path = spark.conf.get(_OWNED + name, None)
     if path:
         delete_folder(spark, path)
         spark.conf.unset(_OWNED + name)
 
 
+def check_free(spark: SparkSession, name: str) -> None:
+    """Raise if the name is taken, as ``select into`` does."""
+    if spark.catalog.tableExists(name):
+        raise ValueError(f"{name} already exists; drop it first")
+
+
+def own(spark: SparkSession, name: str, path: str) -> None:
+    """Note that the files below ``path`` belong to the table and go when it is dropped."""
+    spark.conf.set(_OWNED + name, path)
+
+
 def coerce_to_schema(df: DataFrame, schema: StructType) -> DataFrame:
     """Insert-from-query semantics: columns assigned by position, cast to declared types."""
     if len(df.columns) != len(schema.fields):
@@ -45,13 +57,12 @@ def coerce_to_schema(df: DataFrame, schema: StructType) -> DataFrame:
 def select_into(df: DataFrame, name: str) -> DataFrame:
     """Materialise ``df`` under ``name`` (fails if the name exists, like ``select into``)."""
     spark = df.sparkSession
-    if spark.catalog.tableExists(name):
-        raise ValueError(f"{name} already exists; drop it first")
+    check_free(spark, name)
     path = scratch_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     out = spark.read.parquet(path)
     out.createOrReplaceTempView(name)
-    spark.conf.set(_OWNED + name, path)
+    own(spark, name, path)
     return out
 
 

@@ -4,9 +4,9 @@
 2. Plan (driver, on the histogram: one count per length, at most ``capacity`` of them): the
    configuration LP is solved approximately by multiplicative weights. A knapsack dynamic
    program prices configurations under the current weights; every priced configuration gets
-   a fraction of its bottleneck length and the covered lengths lose weight. The fractional
-   solution is rounded down and what is left of the histogram is packed best-fit decreasing,
-   again on counts.
+   a share of its scarcest length and the covered lengths lose weight. The fractional
+   solution is rounded down; the few pieces that this and the last, not full, configurations
+   leave are packed best-fit decreasing, again on counts.
 3. Place: pieces are numbered within their length (counts per length and salt, prefix sums
    over the salts, numbers within a salt); number and length decide sequence and offset by
    arithmetic on the plan, which is bounded by the capacity and not by the data.
@@ -29,8 +29,8 @@ from .common import byte_slices, map_arrow, scratch_table, utf8_list
 
 # Words that a worker remembers with their ids, so that frequent words are encoded once.
 REMEMBERED = 300_000
-# Shares of the fractional solution that are tried in rounding; the fewest sequences win.
-ROUNDING = (1.0, 0.75, 0.5, 0.25)
+# Pricing that the plan tries: (worth taken off each piece, waste allowed); the fewest sequences win.
+PRICES = ((0.0, 0), (64.0, 512))
 # Letters that the word tokenizer's normaliser only lower-cases, then marks that it keeps together.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
 
@@ -118,64 +118,88 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
 # ---- plan ------------------------------------------------------------------------------------
 
-def _price(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unbounded knapsack: (most worth of each capacity, index of one length it uses or -1)."""
-    best, used = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
-    for c in range(1, capacity + 1):
-        best[c], used[c] = best[c - 1], -2
-        k = fits[c]
-        if k:
-            value = best[c - lengths[:k]] + worth[:k]
-            top = int(value.argmax())
-            if value[top] > best[c]:
-                best[c], used[c] = value[top], top
-    return best, used
-
-
-def _filled(first: int, lengths: np.ndarray, used: np.ndarray, capacity: int) -> tuple[tuple[int, int], ...]:
-    """The configuration of length index ``first`` and the best filling of the rest."""
-    count = {first: 1}
-    c = capacity - int(lengths[first])
-    while c > 0:
-        k = int(used[c])
-        if k == -1:
+def _price(lengths: np.ndarray, worth: np.ndarray, most: np.ndarray, capacity: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Knapsack with at most ``most`` pieces of each length, by doubling: (copies, taken).
+
+    ``copies`` are (length index, how many at once); ``taken[i, c]`` says whether the most worth
+    of the first i + 1 copies in room c has the i-th.
+    """
+    copies = []
+    for k, size in enumerate(lengths.tolist()):
+        left, times = min(int(most[k]), capacity // size), 1
+        while left > 0:
+            times = min(times, left)
+            copies.append((k, times))
+            left, times = left - times, 2 * times
+    best, taken = np.zeros(capacity + 1), np.zeros((len(copies), capacity + 1), bool)
+    for i, (k, times) in enumerate(copies):
+        width = times * int(lengths[k])
+        with_it = best[:-width] + times * worth[k]
+        np.greater(with_it, best[width:], out=taken[i, width:])
+        np.maximum(with_it, best[width:], out=best[width:])
+    return copies, taken
+
+
+def _filled(first: int, lengths: np.ndarray, copies: list[tuple[int, int]], taken: np.ndarray, room: np.ndarray,
+            capacity: int) -> tuple[tuple[tuple[int, int], ...], int]:
+    """The configuration of length ``first`` with the priced filling of the rest, and its waste.
+
+    A copy that ``room`` (pieces left of each length) no longer holds is passed over.
+    """
+    count, left, at = {first: 1}, capacity - int(lengths[first]), len(copies)
+    while left > 0:
+        used = np.flatnonzero(taken[:at, left])
+        if not len(used):
             break
-        if k == -2:
-            c -= 1
-            continue
-        count[k] = count.get(k, 0) + 1
-        c -= int(lengths[k])
-    return tuple(sorted(count.items()))
+        at = int(used[-1])
+        k, times = copies[at]
+        if count.get(k, 0) + times <= room[k]:
+            count[k] = count.get(k, 0) + times
+            left -= times * int(lengths[k])
+    return tuple(sorted(count.items())), left
 
 
-def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 80, batch: int = 96,
-                         share: float = 0.25, rate: float = 0.006) -> dict[tuple[tuple[int, int], ...], float]:
+def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 200, batch: int = 256,
+                         share: float = 0.5, rate: float = 0.0002, penalty: float = 0.0, slack: int = 0,
+                         ) -> dict[tuple[tuple[int, int], ...], float]:
     """A fractional solution of the configuration LP: {configuration: how many}.
 
-    A configuration is ((length index, times), ...). Weights start at the lengths (the dual
-    of the volume bound) and fall by ``exp(-rate x share covered)``, so pricing keeps choosing full
-    configurations and among them those of lengths not covered yet. Each round prices once
-    and takes, for the ``batch`` lengths covered least, the best configuration that has it.
+    A configuration is ((length index, times), ...) and holds no more of a length than there is.
+    Weights start at the lengths (the dual of the volume bound) and fall by ``exp(-rate x share
+    covered)``, so pricing keeps choosing full configurations and among them those of lengths
+    covered less. Each round prices once and takes, from the longest length not covered on, up to ``batch``
+    configurations that waste at most ``slack``, each for ``share`` of what its scarcest
+    length has left (in whole numbers where that is below 8). ``penalty`` is taken off the worth
+    of every piece: configurations of fewer pieces win over slightly fuller ones, which saves
+    short pieces where long ones need them. Ends when a round takes nothing.
     """
-    covered = np.zeros(len(lengths))
-    weight = lengths.astype(float)
+    covered, weight = np.zeros(len(lengths)), lengths.astype(float)
     out: dict[tuple[tuple[int, int], ...], float] = {}
     for _ in range(rounds):
-        _, used = _price(lengths, weight, capacity)
-        for first in np.lexsort((-lengths, np.round(covered, 2)))[:batch]:
-            if covered[first] >= 1:
-                break
-            made = _filled(int(first), lengths, used, capacity)
-            at, times = (np.array(x) for x in zip(*made))
-            room = np.maximum(counts[at] * (1 - covered[at]), 0) / times
-            step = max(share * float(room.min()), min(1.0, float(room.min())))
-            if step <= 0:
+        order = np.flatnonzero(counts - covered >= 1)[::-1]          # longest first
+        if not len(order):
+            break
+        room = np.floor(counts - covered)
+        copies, taken = _price(lengths[order], weight[order] - penalty, room[order], capacity)
+        copies = [(int(order[k]), times) for k, times in copies]
+        made_now = 0
+        for first in order.tolist():
+            if room[first] < 1:
                 continue
+            made, waste = _filled(first, lengths, copies, taken, room, capacity)
+            if waste > slack:
+                continue
+            at, times = (np.array(x) for x in zip(*made))
+            step = share * float(((counts[at] - covered[at]) / times).min())
+            step = step if step >= 8 else max(1.0, float(np.floor(step)))
             out[made] = out.get(made, 0.0) + step
-            covered[at] += step * times / counts[at]
+            covered[at] += step * times
             weight[at] *= np.exp(-rate * step * times / counts[at])
-        if (covered >= 1).all():
+            room[at] = np.floor(counts[at] - covered[at])
+            made_now += 1
+            if made_now >= batch:
+                break
+        if not made_now:
             break
     return out
 
@@ -218,7 +242,11 @@ def best_fit_counts(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> d
 
 
 class Plan:
-    """Where the n-th piece of each length goes; arrays sorted by (length, first number)."""
+    """Where the n-th piece of each length goes; arrays sorted by (length, first number).
+
+    Of the ``partial`` sequences of pieces shorter than the capacity, ``own`` are the rounded
+    program's, whose value is ``program``; best-fit made the others.
+    """
 
     def __init__(self, histogram: dict[int, int], capacity: int, **solver):
         whole = histogram.get(capacity, 0)
@@ -226,10 +254,14 @@ class Plan:
         lengths = np.array([n for n, _ in part], np.int64)
         counts = np.array([c for _, c in part], np.int64)
         chosen: dict[tuple[tuple[int, int], ...], int] = {}
+        self.program, self.own = 0.0, 0
         if len(lengths):
-            solution = solve_configurations(lengths, counts, capacity, **solver)
-            chosen = min((self._rounded(solution, scale, lengths, counts, capacity) for scale in ROUNDING),
-                         key=lambda c: sum(c.values()))
+            plans = []
+            for penalty, slack in PRICES:
+                solution = solve_configurations(lengths, counts, capacity, penalty=penalty, slack=slack, **solver)
+                plans.append((*self._rounded(solution, lengths, counts, capacity), sum(solution.values())))
+            chosen, self.own, self.program = min(plans, key=lambda p: sum(p[0].values()))
+        self.partial = sum(chosen.values())
         rows, base, seen = [], 0, {}
         for made, n in chosen.items():
             offset = 0
@@ -248,21 +280,20 @@ class Plan:
         self.first, self.base, self.times, self.offset = (table[:, c] for c in range(1, 5))
 
     @staticmethod
-    def _rounded(solution, scale: float, lengths, counts, capacity: int) -> dict[tuple[tuple[int, int], ...], int]:
-        """``scale`` times the solution rounded down, then the rest of the histogram best-fit."""
+    def _rounded(solution, lengths, counts, capacity: int) -> tuple[dict[tuple[tuple[int, int], ...], int], int]:
+        """The solution rounded down, then the rest of the histogram best-fit: (plan, sequences of the solution)."""
         out: dict[tuple[tuple[int, int], ...], int] = {}
         left = counts.copy()
         for made, x in solution.items():
-            at, times = (np.array(v) for v in zip(*made))
-            n = min(int(scale * x), int((left[at] // times).min()))
-            if n > 0 and int((lengths[at] * times).sum()) >= capacity - 1:
-                left[at] -= n * times
-                out[made] = n
-        rest = np.flatnonzero(left)
+            if int(x):
+                at, times = (np.array(v) for v in zip(*made))
+                left[at] -= int(x) * times
+                out[made] = int(x)
+        own, rest = sum(out.values()), np.flatnonzero(left)
         for made, n in best_fit_counts(lengths[rest], left[rest], capacity).items():
             made = tuple(sorted((int(rest[k]), times) for k, times in made))
             out[made] = out.get(made, 0) + n
-        return out
+        return out, own
 
     def place(self, length: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         row = np.searchsorted(self.key, (length << 44) | number, "right") - 1

@@ -173,6 +173,28 @@ def test_configurations_reach_the_volume_bound():
     lengths, counts = np.unique(n, return_counts=True)
     plan = packing.Plan(dict(zip(lengths.tolist(), counts.tolist())), 4096, rounds=40)
     assert plan.sequences <= 1.003 * -(-int(n.sum()) // 4096) + 1
+    assert plan.own >= 0.9 * plan.partial
+
+
+@pytest.mark.parametrize("times", [1, 1000])
+def test_the_program_itself_makes_the_sequences(times):
+    # lengths like those of texts: many short ones, few long ones, and more of each at scale
+    rng = np.random.default_rng(8)
+    n = np.clip(rng.lognormal(6.3, 0.8, 6000).astype(int), 1, 4095)
+    lengths, counts = np.unique(n, return_counts=True)
+    counts = counts * times + (rng.integers(0, times, len(counts)) if times > 1 else 0)
+    bound = -(-int((lengths * counts).sum()) // 4096)
+    plan = packing.Plan(dict(zip(lengths.tolist(), counts.tolist())), 4096)
+    best_fit = sum(packing.best_fit_counts(lengths, counts, 4096).values())
+    assert bound <= plan.partial <= best_fit and plan.partial <= 1.0005 * bound + 1
+    assert plan.own >= 0.9 * plan.partial and 0 <= plan.program - plan.own <= 0.01 * plan.program + 1
+    solution = packing.solve_configurations(lengths, counts, 4096)
+    used = np.zeros(len(lengths))
+    for config, x in solution.items():
+        at, many = (np.array(v) for v in zip(*config))
+        used[at] += x * many
+        assert (lengths[at] * many).sum() <= 4096
+    assert (used <= counts + 1e-6).all()
 
 
 def test_sentencepiece_matches_the_library(spark):

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import delete_folder, scratch_path
+
 
 def orders_with_n_lines(lines: DataFrame, n: int = 2, status: str | None = "F",
                         order_id: str = "ordernumber", status_col: str = "status") -> DataFrame:
@@ -44,14 +48,55 @@ def code_set_frequency(code_lists: DataFrame, order_id: str = "ordernumber") ->
                       .orderBy(F.desc("n_orders"), "product_codes"))
 
 
-def _mined(lines: DataFrame, min_orders: int, order_id: str, code: str):
-    """The frequent-pattern model of all orders' code sets, and the number of orders."""
-    from pyspark.ml.fpm import FPGrowth
-    sets = lines.where(F.col(code).isNotNull()).groupBy(order_id).agg(F.collect_set(code).alias("items"))
-    total = sets.count()
-    # half an order below the least count, so that rounding cannot lift the bound
-    support = min(1.0, (min_orders - 0.5) / max(total, 1))
-    return FPGrowth(itemsCol="items", minSupport=support, minConfidence=0.0).fit(sets), total
+def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read back, and where it lies."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _extended(held: DataFrame) -> DataFrame:
+    """Each basket's sets of one code more: two of its sets that differ in the last code only make one."""
+    a, b = held.alias("a"), held.alias("b")
+    same = (F.col("a.basket") == F.col("b.basket")) & (F.col("a.head") == F.col("b.head"))
+    return a.join(b, same & (F.col("a.code") < F.col("b.code"))).select(
+        "a.basket", "a.n", F.array_append("a.head", F.col("a.code")).alias("head"), F.col("b.code").alias("code"))
+
+
+def _mined(lines: DataFrame, min_orders: int, order_id: str, code: str) -> tuple[list[DataFrame], int]:
+    """The recurring sets by size from 1 on, each (head, code, n): all codes but the largest, that one,
+    orders that hold them; and the number of orders.
+
+    Level by level: a set can only recur if all its parts do, so each basket's recurring sets are
+    joined to sets of one code more, those are counted, and the ones that recur stay with their
+    baskets for the next level. Orders of the same codes are one basket, weighted by their number.
+    """
+    spark = lines.sparkSession
+    items = F.array_sort(F.collect_set(code)).alias("items")
+    orders = lines.where(F.col(code).isNotNull()).groupBy(order_id).agg(items)
+    baskets, path = _stored(orders.groupBy("items").agg(F.count(F.lit(1)).alias("n"))
+                            .withColumn("basket", F.monotonically_increasing_id()), "baskets")
+    total = baskets.agg(F.sum("n")).first()[0] or 0
+    found = baskets.select("basket", "n", F.slice("items", 1, 0).alias("head"), F.explode("items").alias("code"))
+    levels = []
+    while True:
+        counted = found.groupBy("head", "code").agg(F.sum("n").alias("n")).where(F.col("n") >= min_orders)
+        levels.append(_stored(counted, "recurring")[0])
+        if levels[-1].isEmpty():
+            delete_folder(spark, path)
+            return levels, total
+        held, held_path = _stored(found.join(levels[-1], ["head", "code"], "left_semi").select("basket", "n", "head", "code"), "held")
+        delete_folder(spark, path)
+        found, path = _extended(held), held_path
+
+
+def _sets(level: DataFrame) -> DataFrame:
+    return level.select(F.array_append("head", F.col("code")).alias("codes"), "n")
+
+
+def _text(codes: str, sep: str) -> Column:
+    return F.array_join(F.transform(codes, lambda c: c.cast("string")), sep)
 
 
 def recurring_sets(lines: DataFrame, min_orders: int = 2, order_id: str = "ordernumber", code: str = "productcode",
@@ -59,22 +104,28 @@ def recurring_sets(lines: DataFrame, min_orders: int = 2, order_id: str = "order
     """Every set of two or more codes, of any size, that at least ``min_orders`` orders hold together:
     (product_codes, n_codes, n_orders, support).
 
-    Mined by parallel FP-growth: orders are projected to the suffixes of their items and each
-    item's conditional prefix tree is grown in one task, so no pair or set is enumerated that
-    does not recur. Orders may have any number of lines; a code counts once per order. The
-    list of codes that recur themselves (one entry per product) passes through the driver.
+    Mined level by level with joins and aggregates that spill, a fixed number of shuffles a
+    level; nothing but the number of orders passes through the driver, and no task holds more
+    than one order's codes. Sets are tried only where all their parts recur, pairs where both
+    codes do. Orders may have any number of lines; a code counts once per order.
     """
-    model, total = _mined(lines, min_orders, order_id, code)
-    text = F.array_join(F.transform(F.array_sort("items"), lambda c: c.cast("string")), sep)
-    return model.freqItemsets.where(F.size("items") > 1).select(
-        text.alias("product_codes"), F.size("items").alias("n_codes"), F.col("freq").alias("n_orders"),
-        (F.col("freq") / F.lit(max(total, 1))).alias("support"))
+    levels, total = _mined(lines, min_orders, order_id, code)
+    sets = functools.reduce(DataFrame.union, map(_sets, levels[1:] or levels))
+    return sets.select(_text("codes", sep).alias("product_codes"), F.size("codes").alias("n_codes"), F.col("n").alias("n_orders"),
+                       (F.col("n") / F.lit(max(total, 1))).alias("support"))
 
 
 def product_rules(lines: DataFrame, min_orders: int = 2, order_id: str = "ordernumber", code: str = "productcode",
                   sep: str = ",") -> DataFrame:
     """Rules from each recurring set to each of its codes: (antecedent, consequent, confidence, lift, support)."""
-    model, _ = _mined(lines, min_orders, order_id, code)
-    text = F.array_join(F.transform(F.array_sort("antecedent"), lambda c: c.cast("string")), sep)
-    return model.associationRules.select(text.alias("antecedent"), F.col("consequent")[0].alias("consequent"), "confidence", "lift",
-                                         "support")
+    levels, total = _mined(lines, min_orders, order_id, code)
+    orders = F.lit(max(total, 1))
+    sets = functools.reduce(DataFrame.union, map(_sets, levels))
+    each = sets.where(F.size("codes") > 1).select("codes", "n", F.explode("codes").alias("consequent"))
+    each = each.select(F.array_remove("codes", F.col("consequent")).alias("antecedent"), "consequent", "n")
+    whole = sets.select(F.col("codes").alias("antecedent"), F.col("n").alias("n_antecedent"))
+    one = levels[0].select(F.col("code").alias("consequent"), F.col("n").alias("n_consequent"))
+    rules = each.join(whole, "antecedent").join(one, "consequent")
+    confidence = F.col("n") / F.col("n_antecedent")
+    return rules.select(_text("antecedent", sep).alias("antecedent"), "consequent", confidence.alias("confidence"),
+                        (confidence / (F.col("n_consequent") / orders)).alias("lift"), (F.col("n") / orders).alias("support"))

@@ -301,3 +301,18 @@ def test_recurring_sets_of_any_size_equal_brute_force(spark):
             expected[",".join(map(str, rest)), c] = (n / often[rest], n / often[rest] / (often[(c,)] / 60))
     assert rules.keys() == expected.keys() and all(v == pytest.approx(expected[k]) for k, v in rules.items())
     assert basket.recurring_sets(frame.limit(0)).count() == 0
+
+
+def test_product_rules_need_the_least_orders_and_weigh_equal_baskets(spark):
+    one = spark.createDataFrame([(1, 5), (1, 6)], "ordernumber long, productcode long")
+    assert basket.product_rules(one).count() == 0            # one order cannot make a set recur
+    rows = [(k, c) for k in range(40) for c in (1, 2, 3)] + [(100, 1), (100, 2), (None, 2), (None, 3), (None, 3), (101, 9)]
+    frame = spark.createDataFrame(rows, "ordernumber long, productcode long")
+    out = basket.product_rules(frame, 41)
+    got = {(r.antecedent, r.consequent): (r.confidence, r.lift, r.support) for r in out.collect()}
+    orders = 43                                              # the lines without an order are one order
+    n = {1: 41, 2: 42, 3: 41}
+    expected = {(str(a), c): (41 / n[a], 41 / n[a] / (n[c] / orders), 41 / orders)
+                for a, c in ((1, 2), (2, 1), (2, 3), (3, 2))}
+    assert got.keys() == expected.keys() and all(v == pytest.approx(expected[k]) for k, v in got.items())
+    assert dict(out.dtypes) == {"antecedent": "string", "consequent": "bigint", "confidence": "double", "lift": "double", "support": "double"}

@@ -316,3 +316,10 @@ def test_product_rules_need_the_least_orders_and_weigh_equal_baskets(spark):
                 for a, c in ((1, 2), (2, 1), (2, 3), (3, 2))}
     assert got.keys() == expected.keys() and all(v == pytest.approx(expected[k]) for k, v in got.items())
     assert dict(out.dtypes) == {"antecedent": "string", "consequent": "bigint", "confidence": "double", "lift": "double", "support": "double"}
+
+
+def test_recurring_sets_stay_out_of_the_driver_and_take_any_code(spark):
+    rows = [(k, c) for k in range(6) for c in ("b", "a", "Z")[:1 + k % 3]] + [(50, f"c{i}") for i in range(300)] + [(51, "c7")]
+    out = basket.recurring_sets(spark.createDataFrame(rows, "ordernumber long, productcode string"), 2, sep="|")
+    assert {tuple(r)[:3] for r in out.collect()} == {("a|b", 2, 4), ("Z|b", 2, 2), ("Z|a", 2, 2), ("Z|a|b", 3, 2)}
+    assert "ExistingRDD" not in out._jdf.queryExecution().executedPlan().toString()      # no frame made of a model's rows

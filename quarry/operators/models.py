@@ -28,6 +28,20 @@ def _held_out(key: str, seed: int, test_share: float) -> Column:
     return hash_uniform(F.col(key), seed=seed) < test_share
 
 
+# Rows of one task in the iterative fits.
+TASK_ROWS = 50_000
+
+
+def _spread(df: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """The rows dealt out evenly, ``task_rows`` a task, where there are more.
+
+    Narrow tables lie in few and small files, whose tasks would keep most cores idle in every
+    iteration of every fit. The number of tasks follows from the rows, not from the cluster.
+    """
+    tasks = -(-df.count() // task_rows)
+    return df.repartition(tasks) if tasks > 1 else df
+
+
 def _assemble(df: DataFrame, label: str, features: Sequence[str], key: str) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
     clean = df.select(key, *features, label).na.drop("any")
@@ -64,7 +78,7 @@ def model_comparison(df: DataFrame, label: str, features: Sequence[str], key: st
     The split is a hash of the row key, so it is the same on every run and partitioning.
     Returns one row per model: (model, rmse, mae, r2, n_train, n_test).
     """
-    data = _assemble(df, label, features, key).withColumn("_test", _held_out(key, seed, test_share)).persist()
+    data = _spread(_assemble(df, label, features, key)).withColumn("_test", _held_out(key, seed, test_share)).persist()
     train, test = data.where(~F.col("_test")), data.where(F.col("_test"))
     n_train = train.count()
     plain = data.select(F.col("label"), *[F.col(f).cast("double").alias(f) for f in features], "_test")

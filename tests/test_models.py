@@ -116,3 +116,11 @@ def test_replicates_equal_brute_force(spark):
     band = resampling.regression_band(df, "y", "x", "k", points=5, replicates=40).orderBy("grid_index").collect()
     assert len(band) == 5 and all(r.lower <= r.fitted <= r.upper for r in band)
     assert resampling.bootstrap_ci(df.limit(0), "x", "k").first().ci_low is None
+
+
+def test_rows_of_one_file_are_dealt_out_to_fit(spark):
+    df = spark.range(0, 1050, numPartitions=1).select("id", (F.col("id") % 7).cast("double").alias("y"))
+    out = models._spread(df, 100)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 11 and max(sizes) <= 100 and sum(sizes) == 1050
+    assert out.exceptAll(df).isEmpty() and models._spread(df, 1050) is df

@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import delete_folder, scratch_path
 
+# Codes of an order from which on it is first cut to those that recur, where such orders make more pairs than there are lines.
+SHORT_BASKET = 16
+# All larger sets are counted at once where these are at most so many times the next level's, and no more than 2 to this power a row.
+AT_ONCE, AT_ONCE_CODES = 8, 16
+# Sets that one task makes and counts, on the average.
+TASK_SETS = 2_000_000
+
 
 def orders_with_n_lines(lines: DataFrame, n: int = 2, status: str | None = "F",
                         order_id: str = "ordernumber", status_col: str = "status") -> DataFrame:
@@ -56,43 +64,101 @@ def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def _extended(held: DataFrame) -> DataFrame:
-    """Each basket's sets of one code more: two of its sets that differ in the last code only make one."""
-    a, b = held.alias("a"), held.alias("b")
-    same = (F.col("a.basket") == F.col("b.basket")) & (F.col("a.head") == F.col("b.head"))
-    return a.join(b, same & (F.col("a.code") < F.col("b.code"))).select(
-        "a.basket", "a.n", F.array_append("a.head", F.col("a.code")).alias("head"), F.col("b.code").alias("code"))
+def _pairs(size: Column) -> Column:
+    return size.cast("double") * (size - 1) / 2
+
+
+def _dealt(groups: DataFrame, made: float | None) -> DataFrame:
+    """The groups over as many tasks as the sets they make ask for: few files hold them."""
+    tasks = math.ceil((made or 0) / TASK_SETS)
+    return groups.repartition(tasks, "basket") if tasks > 1 else groups
+
+
+def _followed(groups: DataFrame) -> DataFrame:
+    """Each set with the codes after its own in its group: a group's sets differ in the last code only."""
+    each = groups.select("basket", "n", "codes", F.posexplode("sets").alias("at", "parent"))
+    return each.select("basket", "n", "parent", F.slice("codes", F.col("at") + 2, F.size("codes")).alias("after"))
+
+
+def _extended(groups: DataFrame) -> DataFrame:
+    """Each basket's sets of one code more."""
+    return _followed(groups).select("basket", "n", "parent", F.explode("after").alias("code"))
+
+
+def _subsets(codes: str) -> Column:
+    """All subsets of an array in its order, without the empty one."""
+    every = F.aggregate(codes, F.array(F.slice(codes, 1, 0)), lambda made, c: F.concat(made, F.transform(made, lambda s: F.array_append(s, c))))
+    return F.slice(every, 2, F.size(every))
 
 
-def _mined(lines: DataFrame, min_orders: int, order_id: str, code: str) -> tuple[list[DataFrame], int]:
-    """The recurring sets by size from 1 on, each (head, code, n): all codes but the largest, that one,
-    orders that hold them; and the number of orders.
+def _rest(groups: DataFrame, last: DataFrame, min_orders: int) -> DataFrame:
+    """All recurring sets larger than the last level's: every set that a group can still make, counted."""
+    found = _followed(groups).select("n", "parent", F.explode(_subsets("after")).alias("more"))
+    rest = _counted(found, min_orders, "parent", "more").join(last.select(F.col("set").alias("parent"), "codes"), "parent")
+    return rest.select(F.concat("codes", "more").alias("codes"), "n")
 
-    Level by level: a set can only recur if all its parts do, so each basket's recurring sets are
-    joined to sets of one code more, those are counted, and the ones that recur stay with their
-    baskets for the next level. Orders of the same codes are one basket, weighted by their number.
+
+def _grouped(held: DataFrame) -> DataFrame:
+    """A basket's sets (parent, code, set) by what they have before the last code: (basket, n, codes, sets), side by side in order."""
+    each = held.groupBy("basket", "n", "parent").agg(F.array_sort(F.collect_list(F.struct("code", "set"))).alias("s"))
+    return each.where(F.size("s") > 1).select("basket", "n", F.col("s.code").alias("codes"), F.col("s.set").alias("sets"))
+
+
+def _counted(found: DataFrame, min_orders: int, *by: str) -> DataFrame:
+    return found.groupBy(*by).agg(F.sum("n").alias("n")).where(F.col("n") >= min_orders)
+
+
+def _mined(lines: DataFrame, min_orders: int, order_id: str, code: str,
+           singles: bool = True) -> tuple[DataFrame | None, list[DataFrame], int]:
+    """The recurring codes (code, n), the recurring sets by size from 2 on, each (codes, n), n: orders
+    that hold them, and the number of orders. The codes are left out without ``singles``.
+
+    Level by level: a set can only recur if all its parts do, so each basket's recurring sets make
+    sets of one code more, those are counted, and the ones that recur stay with their baskets for
+    the next level. A set goes by the number of the set before its last code, and that code.
+    Once the sets that can still be made are few, they are counted at once.
+    Orders of the same codes are one basket, weighted by their number.
     """
     spark = lines.sparkSession
     items = F.array_sort(F.collect_set(code)).alias("items")
     orders = lines.where(F.col(code).isNotNull()).groupBy(order_id).agg(items)
     baskets, path = _stored(orders.groupBy("items").agg(F.count(F.lit(1)).alias("n"))
                             .withColumn("basket", F.monotonically_increasing_id()), "baskets")
-    total = baskets.agg(F.sum("n")).first()[0] or 0
-    found = baskets.select("basket", "n", F.slice("items", 1, 0).alias("head"), F.explode("items").alias("code"))
+    size = F.size("items")
+    total, codes, pairs, of_long = baskets.agg(F.sum("n"), F.sum(size), F.sum(_pairs(size)), F.sum(
+        F.when(size > SHORT_BASKET, _pairs(size)).otherwise(0))).first()
+    cut = (of_long or 0) > (codes or 0)
+    groups = baskets.select("basket", "n", F.col("items").alias("codes"), F.col("items").alias("sets"))
+    one = None
+    if singles or cut:
+        one = _stored(_counted(baskets.select("n", F.explode("items").alias("code")), min_orders, "code"), "recurring")[0]
+    if cut:
+        long = F.size("codes") > SHORT_BASKET
+        held = groups.where(long).select("basket", "n", F.explode("codes").alias("code")).join(one, "code", "left_semi")
+        groups = groups.where(~long).unionByName(_grouped(held.select("basket", "n", F.lit(0).alias("parent"), "code", F.col("code").alias("set"))))
     levels = []
     while True:
-        counted = found.groupBy("head", "code").agg(F.sum("n").alias("n")).where(F.col("n") >= min_orders)
-        levels.append(_stored(counted, "recurring")[0])
-        if levels[-1].isEmpty():
-            delete_folder(spark, path)
-            return levels, total
-        held, held_path = _stored(found.join(levels[-1], ["head", "code"], "left_semi").select("basket", "n", "head", "code"), "held")
+        found = _extended(_dealt(groups, pairs))
+        level = _counted(found, min_orders, "parent", "code")
+        if levels:
+            level = level.join(levels[-1].select(F.col("set").alias("parent"), "codes"), "parent").withColumn("codes", F.array_append("codes", F.col("code")))
+        else:
+            level = level.withColumn("codes", F.array("parent", "code"))
+        levels.append(_stored(level.withColumn("set", F.monotonically_increasing_id()), "recurring")[0])
+        held = found.join(levels[-1].select("parent", "code", "set"), ["parent", "code"])
+        groups, held_path = _stored(_grouped(held), "held")
         delete_folder(spark, path)
-        found, path = _extended(held), held_path
-
-
-def _sets(level: DataFrame) -> DataFrame:
-    return level.select(F.array_append("head", F.col("code")).alias("codes"), "n")
+        size = F.size("codes")
+        longest, pairs, every = groups.agg(F.max(size), F.sum(_pairs(size)), F.sum(F.pow(F.lit(2.0), size) - size - 1)).first()
+        sets = [x.select("codes", "n") for x in levels]
+        if longest is None:
+            delete_folder(spark, held_path)
+            return one, sets, total or 0
+        if longest <= AT_ONCE_CODES and every <= AT_ONCE * pairs:
+            rest = _stored(_rest(_dealt(groups, every), levels[-1], min_orders), "recurring")[0]
+            delete_folder(spark, held_path)
+            return one, [*sets, rest], total or 0
+        path = held_path
 
 
 def _text(codes: str, sep: str) -> Column:
@@ -105,12 +171,14 @@ def recurring_sets(lines: DataFrame, min_orders: int = 2, order_id: str = "order
     (product_codes, n_codes, n_orders, support).
 
     Mined level by level with joins and aggregates that spill, a fixed number of shuffles a
-    level; nothing but the number of orders passes through the driver, and no task holds more
-    than one order's codes. Sets are tried only where all their parts recur, pairs where both
-    codes do. Orders may have any number of lines; a code counts once per order.
+    level; only sums and largest sizes pass through the driver, and no task holds more than one
+    order's codes, or the sets of ``AT_ONCE_CODES`` of them. Sets of three codes or more are tried
+    only where the parts of the last level counted recur; pairs in orders of more than
+    ``SHORT_BASKET`` codes, where these make many, where both codes do. Orders may have any number of lines; a code
+    counts once per order.
     """
-    levels, total = _mined(lines, min_orders, order_id, code)
-    sets = functools.reduce(DataFrame.union, map(_sets, levels[1:] or levels))
+    _, levels, total = _mined(lines, min_orders, order_id, code, singles=False)
+    sets = functools.reduce(DataFrame.union, levels)
     return sets.select(_text("codes", sep).alias("product_codes"), F.size("codes").alias("n_codes"), F.col("n").alias("n_orders"),
                        (F.col("n") / F.lit(max(total, 1))).alias("support"))
 
@@ -118,13 +186,14 @@ def recurring_sets(lines: DataFrame, min_orders: int = 2, order_id: str = "order
 def product_rules(lines: DataFrame, min_orders: int = 2, order_id: str = "ordernumber", code: str = "productcode",
                   sep: str = ",") -> DataFrame:
     """Rules from each recurring set to each of its codes: (antecedent, consequent, confidence, lift, support)."""
-    levels, total = _mined(lines, min_orders, order_id, code)
+    single, levels, total = _mined(lines, min_orders, order_id, code)
     orders = F.lit(max(total, 1))
-    sets = functools.reduce(DataFrame.union, map(_sets, levels))
-    each = sets.where(F.size("codes") > 1).select("codes", "n", F.explode("codes").alias("consequent"))
+    larger = functools.reduce(DataFrame.union, levels)
+    sets = larger.union(single.select(F.array("code").alias("codes"), "n"))
+    each = larger.select("codes", "n", F.explode("codes").alias("consequent"))
     each = each.select(F.array_remove("codes", F.col("consequent")).alias("antecedent"), "consequent", "n")
     whole = sets.select(F.col("codes").alias("antecedent"), F.col("n").alias("n_antecedent"))
-    one = levels[0].select(F.col("code").alias("consequent"), F.col("n").alias("n_consequent"))
+    one = single.select(F.col("code").alias("consequent"), F.col("n").alias("n_consequent"))
     rules = each.join(whole, "antecedent").join(one, "consequent")
     confidence = F.col("n") / F.col("n_antecedent")
     return rules.select(_text("antecedent", sep).alias("antecedent"), "consequent", confidence.alias("confidence"),

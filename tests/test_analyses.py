@@ -323,3 +323,30 @@ def test_recurring_sets_stay_out_of_the_driver_and_take_any_code(spark):
     out = basket.recurring_sets(spark.createDataFrame(rows, "ordernumber long, productcode string"), 2, sep="|")
     assert {tuple(r)[:3] for r in out.collect()} == {("a|b", 2, 4), ("Z|b", 2, 2), ("Z|a", 2, 2), ("Z|a|b", 3, 2)}
     assert "ExistingRDD" not in out._jdf.queryExecution().executedPlan().toString()      # no frame made of a model's rows
+
+
+@pytest.mark.parametrize("at_once, short", [(8, 16), (0, 16), (0, 2), (1e9, 2)])
+def test_recurring_sets_are_the_same_by_levels_and_at_once(spark, monkeypatch, at_once, short):
+    import itertools
+    import random
+    monkeypatch.setattr(basket, "AT_ONCE", at_once)
+    monkeypatch.setattr(basket, "SHORT_BASKET", short)
+    rng = random.Random(7)
+    orders = [sorted(rng.sample(range(8), rng.randint(1, 6))) for _ in range(40)] + [[*range(20, 26), 90 + k] for k in range(3)]
+    frame = spark.createDataFrame([(k, c) for k, codes in enumerate(orders) for c in codes], "ordernumber long, productcode long")
+    counts = {}
+    for codes in orders:
+        for n in range(2, len(codes) + 1):
+            for s in itertools.combinations(codes, n):
+                counts[",".join(map(str, s))] = counts.get(",".join(map(str, s)), 0) + 1
+    got = basket.recurring_sets(frame, 3).collect()
+    assert len({r.product_codes for r in got}) == len(got)
+    assert {r.product_codes: r.n_orders for r in got} == {s: n for s, n in counts.items() if n >= 3}
+
+
+def test_recurring_sets_of_a_long_order_need_few_steps(spark, monkeypatch):
+    steps, stored = [], basket._stored
+    monkeypatch.setattr(basket, "_stored", lambda df, name: (steps.append(name), stored(df, name))[1])
+    frame = spark.createDataFrame([(k, c) for k in range(2) for c in range(9)], "ordernumber long, productcode long")
+    assert basket.recurring_sets(frame).count() == 2 ** 9 - 9 - 1
+    assert len(steps) <= 8                                   # two a size made 20 of them
